@@ -98,3 +98,118 @@ FROM (SELECT {_v1} AS r1, {_v2} AS r2 FROM scored) GROUP BY ALL"""
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+# ---------------------------------------------------------------- threads and hold-out
+GD, RT = Wd.SQL_GOLDEN, Wd.SQL_ROOTS
+_HELD = """held AS (
+  SELECT t.tweet_id, r.root AS conversation_root FROM tweets t JOIN roots r ON r.id = t.tweet_id
+  WHERE r.root IN (SELECT coalesce(r2.root, g.tweet_id) FROM golden g LEFT JOIN roots r2 ON r2.id = g.tweet_id))"""
+_SAFE = """safe AS (
+  SELECT * FROM cases
+  WHERE customer_tweet_id NOT IN (SELECT tweet_id FROM held)
+    AND brand_reply_id NOT IN (SELECT CAST(tweet_id AS VARCHAR) FROM held))"""
+_HOLD = (T, LK, CR, CS, MS, GD, RT, _HELD, _SAFE)
+
+ORACLES["conversation_roots"] = sql_with(T, RT, recursive=True) + \
+    "\nSELECT id AS tweet_id, root AS conversation_root FROM roots"
+ORACLES["holdout_expand"] = sql_with(*_HOLD, recursive=True) + "\nSELECT tweet_id, conversation_root FROM held"
+ORACLES["leakage_safe_cases"] = sql_with(*_HOLD, recursive=True) + \
+    "\nSELECT case_id, customer_tweet_id, brand_reply_id FROM safe"
+ORACLES["holdout_audit"] = sql_with(*_HOLD, recursive=True) + """
+SELECT 'tweets' AS stage, count(*)::BIGINT AS rows FROM tweets
+UNION ALL SELECT 'held_out_conversations', count(DISTINCT conversation_root) FROM held
+UNION ALL SELECT 'held_out_tweets', count(*) FROM held
+UNION ALL SELECT 'cases', count(*) FROM cases
+UNION ALL SELECT 'leakage_safe_cases', count(*) FROM safe"""
+ORACLES["row_level_holdout"] = sql_with(*_HOLD, recursive=True) + """
+SELECT case_id, customer_tweet_id FROM cases WHERE customer_tweet_id NOT IN (SELECT tweet_id FROM golden)"""
+
+_QV_SAFE = QV.replace("qvec AS (", "qvec_g AS (").replace(
+    "WHERE m.n <", "WHERE m.tweet_id IN (SELECT tweet_id FROM golden) AND m.n <")
+_CV_SAFE = CV.replace("cvec AS (", "cvec_s AS (").replace("FROM cases c", "FROM safe c")
+_HT_SAFE = HT.replace("hits AS (", "hits_s AS (").replace("FROM qvec q, cvec c", "FROM qvec_g q, cvec_s c")
+ORACLES["topk_safe"] = sql_with(*_HOLD, _QV_SAFE, _CV_SAFE, _HT_SAFE, recursive=True) + \
+    "\nSELECT qid, rank, case_id, round(score, 6) AS score FROM hits_s"
+
+# ---------------------------------------------------------------- retrieval
+_unit = Wd._norm_vec("embedding")
+ORACLES["vector_normalise"] = f"""
+SELECT vec_id, label, len(embedding)::INTEGER AS dim,
+       round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))), 6) AS norm_in,
+       round(sqrt(list_sum(list_transform(u, lambda y: y * y))), 6) AS norm_out,
+       round(list_sum(u), 6) AS checksum
+FROM (SELECT *, {_unit} AS u FROM embeddings)"""
+
+_WORLD = (T, LK, CR, CS, MS, QV, CV, HT)
+ORACLES["topk_retrieval"] = sql_with(*_WORLD) + "\nSELECT qid, rank, case_id, round(score, 6) AS score FROM hits"
+
+ORACLES["evidence_strings"] = sql_with(*_WORLD) + f"""
+SELECT qid, string_agg(ev, ' || ' ORDER BY rank) AS evidence, count(*)::BIGINT AS n_evidence FROM (
+  SELECT h.qid, h.rank,
+         printf('Similarity %.4f | Customer: %s | Brand: %s', h.score,
+                {G.strip("coalesce(c.customer_text, '')")}, {G.strip("coalesce(c.brand_reply, '')")}) AS ev
+  FROM hits h JOIN cases c USING (case_id)) GROUP BY qid"""
+
+ORACLES["top_score_stats"] = sql_with(*_WORLD) + """
+SELECT round(avg(ts), 4) AS mean_top, round(min(ts), 4) AS min_top, round(max(ts), 4) AS max_top,
+       count(*)::BIGINT AS n_queries
+FROM (SELECT m.tweet_id, coalesce(max(h.score), 0.0) AS ts FROM messages m
+      LEFT JOIN hits h ON h.qid = m.tweet_id GROUP BY m.tweet_id)"""
+
+# ---------------------------------------------------------------- metrics
+_HT1 = HT.replace("hits AS (", "hits1 AS (").replace(f"rank <= {Wd.K}", "rank <= 1")
+_KNN = _HT1 + """,
+knn AS (
+  SELECT h.qid, CAST(et.label AS VARCHAR) AS true_label, CAST(ep.label AS VARCHAR) AS pred_label
+  FROM hits1 h JOIN messages m ON m.tweet_id = h.qid
+  JOIN embeddings et ON et.vec_id = m.n JOIN embeddings ep ON ep.vec_id = h.case_id)"""
+_PL = """pairs AS (SELECT true_label AS y, pred_label AS p, count(*) AS n FROM knn GROUP BY ALL),
+per_label AS (
+  SELECT label, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(support)::BIGINT AS support
+  FROM (SELECT y AS label, CASE WHEN y = p THEN n ELSE 0 END AS tp, 0 AS fp,
+               CASE WHEN y <> p THEN n ELSE 0 END AS fn, n AS support FROM pairs
+        UNION ALL
+        SELECT p, 0, CASE WHEN y <> p THEN n ELSE 0 END, 0, 0 FROM pairs) GROUP BY label),
+pl AS (
+  SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision,
+            CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall,
+            CASE WHEN 2 * tp + fp + fn > 0 THEN (2 * tp)::DOUBLE / (2 * tp + fp + fn) ELSE 0.0 END AS f1
+  FROM per_label)"""
+_MET = (*_WORLD[:-1], _KNN, _PL)
+ORACLES["accuracy"] = sql_with(*_MET) + \
+    "\nSELECT count(*)::BIGINT AS n, round(avg(CASE WHEN true_label = pred_label THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM knn"
+ORACLES["macro_f1"] = sql_with(*_MET) + \
+    "\nSELECT count(*)::BIGINT AS n_labels, round(avg(f1), 4) AS macro_f1 FROM pl"
+ORACLES["classification_report"] = sql_with(*_MET) + """
+SELECT label, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, support FROM pl
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp)::DOUBLE / sum(support), 4), sum(support)::BIGINT FROM pl
+UNION ALL SELECT 'macro avg', round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4), sum(support)::BIGINT FROM pl
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 4),
+                 round(sum(recall * support) / sum(support), 4), round(sum(f1 * support) / sum(support), 4),
+                 sum(support)::BIGINT FROM pl"""
+ORACLES["confusion_matrix"] = sql_with(*_MET) + """
+SELECT CAST(a.x AS VARCHAR) AS true_label, CAST(b.x AS VARCHAR) AS pred_label, coalesce(p.n, 0)::BIGINT AS n
+FROM range(10) a(x) CROSS JOIN range(10) b(x)
+LEFT JOIN pairs p ON p.y = CAST(a.x AS VARCHAR) AND p.p = CAST(b.x AS VARCHAR)"""
+ORACLES["binary_f1"] = """
+SELECT tp, fp, fn, tn, round(CASE WHEN 2 * tp + fp + fn > 0 THEN (2 * tp)::DOUBLE / (2 * tp + fp + fn) ELSE 0.0 END, 4) AS f1
+FROM (SELECT count(*) FILTER (WHERE y AND p)::BIGINT AS tp, count(*) FILTER (WHERE NOT y AND p)::BIGINT AS fp,
+             count(*) FILTER (WHERE y AND NOT p)::BIGINT AS fn, count(*) FILTER (WHERE NOT y AND NOT p)::BIGINT AS tn
+      FROM (SELECT coalesce(quality = 1, false) AS y, coalesce(toxic = 0, false) AS p FROM labels))"""
+ORACLES["binary_confusion"] = """
+SELECT y AS truth, count(*) FILTER (WHERE NOT p)::BIGINT AS pred_false, count(*) FILTER (WHERE p)::BIGINT AS pred_true
+FROM (SELECT y, p FROM (SELECT coalesce(quality = 1, false) AS y, coalesce(toxic = 0, false) AS p FROM labels)
+      UNION ALL SELECT false, NULL UNION ALL SELECT true, NULL)
+GROUP BY y"""
+
+# ---------------------------------------------------------------- sampling
+ORACLES["seeded_sample"] = """
+SELECT doc_id, lang, n_chars FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id LIMIT 50"""
+ORACLES["stratified_split"] = """
+SELECT doc_id, quality, CASE WHEN r <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split
+FROM (SELECT doc_id, quality,
+             row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) AS r,
+             count(*) OVER (PARTITION BY quality) AS n FROM labels)"""
+ORACLES["head_n"] = "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 20"
+ORACLES["message_positions"] = sql_with(MS) + "\nSELECT tweet_id, n FROM messages"

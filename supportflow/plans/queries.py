@@ -154,3 +154,165 @@ def q_policy_diff(spark, sf):
 
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
+
+
+# ---------------------------------------------------------------- threads and hold-out (D, C3-C5, J7)
+from supportflow.operators import threads as TH  # noqa: E402
+
+
+def _roots(spark, sf):
+    return TH.conversation_roots(TH.reply_edges(W.tweets(spark, sf)))
+
+
+@register("conversation_roots")
+def q_conversation_roots(spark, sf):
+    return _roots(spark, sf).select(F.col("id").alias("tweet_id"), F.col("root").alias("conversation_root"))
+
+
+def _holdout(spark, sf):
+    tw = W.tweets(spark, sf)
+    roots = TH.conversation_roots(TH.reply_edges(tw))
+    twr = TH.with_conversation_root(tw, roots)
+    msgs = W.messages(spark, sf)
+    gold = W.golden(spark, sf, msgs)
+    groots = TH.golden_roots(gold, roots)
+    held = TH.held_out_tweets(twr, groots)
+    cs = W.cases(spark, sf)
+    return dict(tweets=twr, msgs=msgs, golden=gold, groots=groots, held=held, cases=cs,
+                safe=TH.leakage_safe_cases(cs, held))
+
+
+@register("holdout_expand")
+def q_holdout_expand(spark, sf):
+    return _holdout(spark, sf)["held"].select("tweet_id", "conversation_root")
+
+
+@register("leakage_safe_cases")
+def q_leakage_safe_cases(spark, sf):
+    return _holdout(spark, sf)["safe"].select("case_id", "customer_tweet_id", "brand_reply_id")
+
+
+@register("holdout_audit")
+def q_holdout_audit(spark, sf):
+    h = _holdout(spark, sf)
+    return TH.holdout_audit(h["tweets"], h["groots"], h["held"], h["cases"], h["safe"])
+
+
+@register("row_level_holdout")
+def q_row_level_holdout(spark, sf):
+    h = _holdout(spark, sf)
+    return TH.row_level_holdout(h["cases"], h["golden"]).select("case_id", "customer_tweet_id")
+
+
+@register("topk_safe")
+def q_topk_safe(spark, sf):
+    """Golden messages retrieved against the leakage-safe corpus (vectors reused, re-normalised)."""
+    h = _holdout(spark, sf)
+    qv = W.message_vectors(spark, sf, h["msgs"]).join(
+        h["golden"].select(F.col("tweet_id").alias("qid")), "qid", "left_semi")
+    cv = W.case_vectors(spark, sf, h["safe"])
+    return R.top_k(qv, cv, k=W.K).select("qid", "rank", "case_id", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- retrieval
+@register("vector_normalise")
+def q_vector_normalise(spark, sf):
+    emb = R.l2_normalise(W.embeddings(spark, sf), "embedding", "unit")
+    return emb.select("vec_id", "label", F.size("embedding").alias("dim"),
+                      F.round(R.vector_norm("embedding"), 6).alias("norm_in"),
+                      F.round(R.vector_norm("unit"), 6).alias("norm_out"),
+                      F.round(F.aggregate("unit", F.lit(0.0), lambda a, x: a + x), 6).alias("checksum"))
+
+
+@register("topk_retrieval")
+def q_topk_retrieval(spark, sf):
+    return W.hits(spark, sf).select("qid", "rank", "case_id", F.round("score", 6).alias("score"))
+
+
+@register("evidence_strings")
+def q_evidence_strings(spark, sf):
+    return R.evidence_strings(W.hits(spark, sf), W.cases(spark, sf), BRAND)
+
+
+@register("top_score_stats")
+def q_top_score_stats(spark, sf):
+    msgs = W.messages(spark, sf)
+    summ = R.hit_summary(msgs.select("tweet_id"), W.hits(spark, sf, msgs=msgs), key="tweet_id")
+    return R.score_stats(summ.withColumn("top_score", F.coalesce("top_score", F.lit(0.0))))
+
+
+# ---------------------------------------------------------------- metrics
+from supportflow.operators import metrics as MT  # noqa: E402
+
+
+def _knn_predictions(spark, sf) -> DataFrame:
+    """Message vector label (truth) vs label of its nearest case vector (prediction)."""
+    msgs = W.messages(spark, sf)
+    emb = W.embeddings(spark, sf).select("vec_id", "label")
+    top1 = W.hits(spark, sf, k=1, msgs=msgs)
+    truth = msgs.select(F.col("tweet_id").alias("qid"), "n").join(
+        emb.withColumnRenamed("vec_id", "n").withColumnRenamed("label", "true_label"), "n")
+    pred = emb.select(F.col("vec_id").alias("case_id"), F.col("label").alias("pred_label"))
+    return (top1.join(truth, "qid").join(pred, "case_id")
+            .select("qid", F.col("true_label").cast("string").alias("true_label"),
+                    F.col("pred_label").cast("string").alias("pred_label")))
+
+
+@register("accuracy")
+def q_accuracy(spark, sf):
+    return MT.accuracy(_knn_predictions(spark, sf), "true_label", "pred_label")
+
+
+@register("macro_f1")
+def q_macro_f1(spark, sf):
+    return MT.macro_f1(_knn_predictions(spark, sf), "true_label", "pred_label")
+
+
+@register("classification_report")
+def q_classification_report(spark, sf):
+    return MT.classification_report(_knn_predictions(spark, sf), "true_label", "pred_label")
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    return MT.confusion_pairs(_knn_predictions(spark, sf), "true_label", "pred_label",
+                              [str(i) for i in range(10)])
+
+
+@register("binary_f1")
+def q_binary_f1(spark, sf):
+    lab = read_table(spark, sf, "labels")
+    return MT.binary_f1(lab, F.col("quality") == 1, F.col("toxic") == 0)
+
+
+@register("binary_confusion")
+def q_binary_confusion(spark, sf):
+    lab = read_table(spark, sf, "labels")
+    return MT.binary_confusion(lab, F.col("quality") == 1, F.col("toxic") == 0)
+
+
+# ---------------------------------------------------------------- sampling
+from supportflow.operators import sampling as SM  # noqa: E402
+
+
+@register("seeded_sample")
+def q_seeded_sample(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return SM.seeded_sample(docs, 50, "doc_id", 42)
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf):
+    lab = read_table(spark, sf, "labels")
+    return SM.stratified_split(lab, "quality", "doc_id", 0.2, 42).select("doc_id", "quality", "split")
+
+
+@register("head_n")
+def q_head_n(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "source")
+    return SM.head_n(docs, 20, ["doc_id"])
+
+
+@register("message_positions")
+def q_message_positions(spark, sf):
+    return W.messages(spark, sf).select("tweet_id", "n")

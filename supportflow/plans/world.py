@@ -44,6 +44,17 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
             .withColumn("case_id", F.col("m") + F.lit(CORPUS_FROM)).drop("m"))
 
 
+GOLDEN_N = 50
+GOLDEN_SEED = 42
+
+
+def golden(spark: SparkSession, sf: str, msgs: DataFrame | None = None) -> DataFrame:
+    """Evaluation set: a seeded sample of ``GOLDEN_N`` messages."""
+    from supportflow.operators.sampling import seeded_sample
+    msgs = msgs if msgs is not None else messages(spark, sf)
+    return seeded_sample(msgs, GOLDEN_N, "tweet_id", GOLDEN_SEED)
+
+
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "embeddings")
 
@@ -137,10 +148,24 @@ SQL_HITS = f"""hits AS (
     FROM qvec q, cvec c) WHERE rank <= {K})"""
 
 
-def sql_with(*parts: str) -> str:
+SQL_GOLDEN = f"""golden AS (
+  SELECT * FROM messages ORDER BY md5(CAST(tweet_id AS VARCHAR) || ':{GOLDEN_SEED}'), tweet_id LIMIT {GOLDEN_N})"""
+
+SQL_ROOTS = """edges AS (
+  SELECT tweet_id AS id, min(trunc(TRY_CAST(in_response_to_tweet_id AS DOUBLE))::BIGINT) AS parent
+  FROM tweets GROUP BY tweet_id),
+walk(id, cur, depth) AS (
+  SELECT id, id, 0 FROM edges
+  UNION ALL
+  SELECT w.id, e.parent, w.depth + 1 FROM walk w JOIN edges e ON e.id = w.cur
+  WHERE e.parent IS NOT NULL AND w.depth < 100000),
+roots AS (SELECT id, arg_max(cur, depth) AS root FROM walk GROUP BY id)"""
+
+
+def sql_with(*parts: str, recursive: bool = False) -> str:
     from supportflow.functions.text import STRIP_RE
     body = ",\n".join(parts).replace("{strip}", STRIP_RE.replace("'", "''"))
-    return "WITH " + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + body
 
 
 ALL_WORLD = (SQL_TWEETS, SQL_LINKED, SQL_CASES_RAW, SQL_CASES, SQL_MESSAGES, SQL_QVEC, SQL_CVEC, SQL_HITS)
