@@ -93,12 +93,15 @@ def truthy(x) -> Column:
     return F.coalesce(F.lower(py_strip(_c(x).cast("string"))).isin("true", "1", "yes"), F.lit(False))
 
 
+def prefixes_regex(prefixes: Iterable[str]) -> str:
+    return "^" + "".join(f"(?:{quote_re(p)}[{WS}]*)?" for p in prefixes)
+
+
 def strip_prefixes(x, prefixes: Iterable[str]) -> Column:
-    """H9: for each prefix in list order, drop it if the text starts with it, then strip."""
-    c = _c(x)
-    for p in prefixes:
-        c = F.when(c.startswith(F.lit(p)), py_strip(F.substring(c, len(p) + 1, 1 << 30))).otherwise(c)
-    return c
+    """H9: for each prefix in list order, drop it if the (stripped) text starts with it, then
+    strip again. One anchored regex of optional groups in list order does exactly that:
+    each group is tried once, in order, and takes the blanks after its prefix."""
+    return F.regexp_replace(_c(x), prefixes_regex(prefixes), "")
 
 
 def after_first(x, marker: str) -> Column:

@@ -213,3 +213,106 @@ FROM (SELECT doc_id, quality,
              count(*) OVER (PARTITION BY quality) AS n FROM labels)"""
 ORACLES["head_n"] = "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 20"
 ORACLES["message_positions"] = sql_with(MS) + "\nSELECT tweet_id, n FROM messages"
+
+
+# ---------------------------------------------------------------- replies and agent
+from supportflow.operators import replies as RPx  # noqa: E402
+
+RR, J6, J1 = Wd.SQL_RAW_REPLIES, Wd.SQL_JUDGE_SIX, Wd.SQL_JUDGE_ONE
+_CLEAN = G.clean_replies_ctes("raw_first", "Brand")
+_RAWF = "raw_first AS (SELECT id, arg_min(raw, attempt) AS raw FROM raw_responses GROUP BY id)"
+
+ORACLES["clean_replies"] = sql_with(RR, G.clean_replies_ctes("raw_responses", "Brand")) + \
+    "\nSELECT id, reply, reject_reason FROM cleaned"
+
+_tmpl = RPx.prompt_template("Brand", "Brand")
+_block = RPx.evidence_block("Brand")
+_CLS = f"cls AS ({_cls})"
+_PROMPTS = f"""prompts AS (
+  SELECT c.tweet_id, coalesce(e.n_cases, 0)::BIGINT AS n_cases, coalesce(e.n_blocks, 0)::BIGINT AS n_blocks,
+         CASE WHEN e.n_blocks > 0 THEN printf({G.lit(_tmpl)}, {G.strip("coalesce(m.text, '')")}, c.intent, e.ev) END AS prompt
+  FROM cls c JOIN messages m USING (tweet_id)
+  LEFT JOIN (
+    SELECT qid, count(*) AS n_cases, count(*) FILTER (WHERE br <> '') AS n_blocks,
+           string_agg(CASE WHEN br <> '' THEN printf({G.lit(_block)}, rank, {G.strip("coalesce(customer_text, '')")}, br,
+                                                     printf('%.4f', score)) ELSE '' END, '' ORDER BY rank) AS ev
+    FROM (SELECT h.*, c2.customer_text, {G.strip("coalesce(c2.brand_reply, '')")} AS br
+          FROM hits h JOIN cases c2 USING (case_id)) GROUP BY qid) e ON e.qid = c.tweet_id)"""
+_AG = (T, LK, CR, CS, MS, QV, CV, HT, _CLS, _PROMPTS)
+ORACLES["prompt_table"] = sql_with(*_AG) + "\nSELECT tweet_id, n_cases, n_blocks, prompt FROM prompts"
+
+_EVID = f"""evid AS (
+  SELECT qid, string_agg(ev, ' || ' ORDER BY rank) AS evidence FROM (
+    SELECT h.qid, h.rank, printf('Similarity %.4f | Customer: %s | Brand: %s', h.score,
+           {G.strip("coalesce(c.customer_text, '')")}, {G.strip("coalesce(c.brand_reply, '')")}) AS ev
+    FROM hits h JOIN cases c USING (case_id)) GROUP BY qid)"""
+_handle = RPx.HANDLE_RE
+_FINAL = f"""agent AS (
+  SELECT p.tweet_id, m.text, c.intent, c.confidence, coalesce(hs.n_hits, 0)::BIGINT AS n_hits, hs.top_score,
+         coalesce(ev.evidence, '') AS evidence,
+         CASE WHEN p.n_cases = 0 THEN {G.lit(RPx.fallback_no_cases('Brand'))}
+              WHEN p.n_blocks = 0 THEN {G.lit(RPx.fallback_no_evidence('Brand'))}
+              WHEN cl.reply IS NOT NULL THEN cl.reply
+              WHEN {G.strip(f"regexp_replace({G.strip('coalesce(t1.brand_reply, ' + chr(39) * 2 + ')')}, {G.lit(_handle)}, '')")} <> ''
+                THEN {G.strip(f"regexp_replace({G.strip('coalesce(t1.brand_reply, ' + chr(39) * 2 + ')')}, {G.lit(_handle)}, '')")}
+              ELSE {G.lit(RPx.fallback_no_cases('Brand'))} END AS reply
+  FROM prompts p JOIN messages m USING (tweet_id) JOIN cls c USING (tweet_id)
+  LEFT JOIN (SELECT qid, count(*) AS n_hits, max(score) AS top_score FROM hits GROUP BY qid) hs ON hs.qid = p.tweet_id
+  LEFT JOIN (SELECT h.qid, c3.brand_reply FROM hits h JOIN cases c3 USING (case_id) WHERE h.rank = 1) t1 ON t1.qid = p.tweet_id
+  LEFT JOIN cleaned cl ON cl.id = p.tweet_id
+  LEFT JOIN evid ev ON ev.qid = p.tweet_id)"""
+_AGENT = (*_AG, RR, _RAWF, _CLEAN, _EVID, _FINAL)
+ORACLES["fallback_reply"] = sql_with(*_AGENT) + "\nSELECT tweet_id, reply FROM agent"
+_pol = P.stand_in_v2()
+_rid = G.decide_sql(_pol, G.norm("text"), "confidence", "n_hits", "top_score")
+ORACLES["agent_batch"] = sql_with(*_AGENT) + f"""
+SELECT tweet_id,
+       CASE WHEN text IS NOT NULL THEN intent ELSE 'ERROR' END AS intent,
+       CASE WHEN text IS NOT NULL THEN confidence ELSE 0.0 END AS confidence,
+       CASE WHEN text IS NOT NULL THEN reply ELSE '' END AS reply,
+       CASE WHEN text IS NOT NULL THEN {G.rule_lookup_sql(_pol, 'rule_id', 'decision')} ELSE 'ERROR' END AS decision,
+       CASE WHEN text IS NOT NULL THEN {G.rule_lookup_sql(_pol, 'rule_id', 'reason')} ELSE 'message text missing' END AS reason,
+       CASE WHEN text IS NOT NULL THEN rule_id END AS rule_id,
+       round(coalesce(top_score, 0.0), 6) AS top_similarity, evidence,
+       CASE WHEN text IS NOT NULL THEN 'OK' ELSE 'ERROR' END AS status
+FROM (SELECT *, {_rid} AS rule_id FROM agent)"""
+
+from supportflow.operators import judge as Jx  # noqa: E402
+
+_t6 = Jx.six_metric_template("Brand")
+_t1 = Jx.one_score_template("Brand")
+ORACLES["judge_prompts"] = sql_with(T, LK, CR, CS, MS, QV, CV, HT, _CLS, _EVID) + f"""
+SELECT c.tweet_id,
+       printf({G.lit(_t6)}, substring(coalesce(m.text, ''), 1, 500), substring(coalesce(c.intent, ''), 1, 100),
+              substring(coalesce(r.reply, ''), 1, 600), substring(coalesce(e.evidence, ''), 1, 700)) AS prompt_six,
+       printf({G.lit(_t1)}, coalesce(m.text, ''), coalesce(e.evidence, ''), coalesce(r.reply, '')) AS prompt_one
+FROM cls c JOIN messages m USING (tweet_id)
+LEFT JOIN (SELECT trunc(TRY_CAST(in_response_to_tweet_id AS DOUBLE))::BIGINT AS tweet_id, text AS reply FROM tweets
+           WHERE in_response_to_tweet_id IS NOT NULL) r USING (tweet_id)
+LEFT JOIN evid e ON e.qid = c.tweet_id"""
+
+# ---------------------------------------------------------------- judging
+_SIX = G.judge_six_ctes("judge_raw")
+ORACLES["judge_scores_six"] = sql_with(J6, _SIX) + """
+SELECT id, correctness, groundedness, helpfulness, brand_consistency, safety, overall, method, parsed,
+       CASE WHEN parsed THEN 'Scored by the judge.' ELSE 'Judge output could not be parsed.' END AS reason FROM six"""
+_ONE = f"one AS (SELECT id, attempt, {G.last_score_sql('raw')} AS llm_overall FROM judge_raw1)"
+ORACLES["judge_score_last"] = sql_with(J1, _ONE) + "\nSELECT id, attempt, llm_overall FROM one"
+_RETRY = """retry AS (
+  SELECT id, arg_min(llm_overall, attempt) FILTER (WHERE llm_overall IS NOT NULL) AS llm_overall,
+         count(*)::BIGINT AS attempts FROM one GROUP BY id)"""
+ORACLES["judge_retry"] = sql_with(J1, _ONE, _RETRY) + "\nSELECT id, llm_overall, attempts FROM retry"
+_mets = ["correctness", "groundedness", "helpfulness", "brand_consistency", "safety", "overall"]
+ORACLES["judge_summary"] = sql_with(J6, _SIX) + "\nSELECT count(*)::BIGINT AS n_total, " + \
+    "count(*) FILTER (WHERE overall > 0)::BIGINT AS n_valid, count(*) FILTER (WHERE NOT overall > 0)::BIGINT AS n_failed, " + \
+    ", ".join(f"round(avg({m}) FILTER (WHERE overall > 0), 4) AS mean_{m}" for m in _mets) + \
+    ", round(count(*) FILTER (WHERE overall > 0 AND overall >= 4) / nullif(count(*) FILTER (WHERE overall > 0), 0), 4)" \
+    " AS share_overall_ge4 FROM six"
+ORACLES["judge_summary_one"] = sql_with(J1, _ONE, _RETRY) + """
+SELECT count(*)::BIGINT AS n_total, count(llm_overall)::BIGINT AS n_success,
+       count(*) FILTER (WHERE llm_overall IS NULL)::BIGINT AS n_failed, round(avg(llm_overall), 4) AS mean_score FROM retry"""
+ORACLES["judge_vs_human"] = sql_with(J6, _SIX) + """
+SELECT count(*)::BIGINT AS n, round(avg(abs(j - h)), 4) AS mean_abs_diff,
+       round(avg(CASE WHEN j = h THEN 1.0 ELSE 0.0 END), 4) AS exact_share, round(corr(j::DOUBLE, h::DOUBLE), 4) AS corr
+FROM (SELECT s.overall AS j, 1 + 2 * l.quality + 2 * (1 - l.toxic) AS h
+      FROM six s JOIN labels l ON l.doc_id = s.id WHERE s.overall > 0)"""

@@ -316,3 +316,90 @@ def q_head_n(spark, sf):
 @register("message_positions")
 def q_message_positions(spark, sf):
     return W.messages(spark, sf).select("tweet_id", "n")
+
+
+# ---------------------------------------------------------------- replies and agent
+from supportflow.functions.parsing import clean_replies as _clean  # noqa: E402
+from supportflow.operators import judge as J  # noqa: E402
+from supportflow.operators import replies as RP  # noqa: E402
+
+
+@register("clean_replies")
+def q_clean_replies(spark, sf):
+    return _clean(W.raw_replies(spark, sf), "raw", BRAND).select("id", "reply", "reject_reason")
+
+
+def _agent_inputs(spark, sf):
+    msgs = W.messages(spark, sf)
+    cl = L.classify(msgs.select("tweet_id", "text"), "text", L.STAND_IN)
+    return msgs, cl, W.hits(spark, sf, msgs=msgs), W.cases(spark, sf)
+
+
+@register("prompt_table")
+def q_prompt_table(spark, sf):
+    _, cl, hs, cs = _agent_inputs(spark, sf)
+    return RP.prompt_table(cl, hs, cs, BRAND)
+
+
+@register("fallback_reply")
+def q_fallback_reply(spark, sf):
+    out = RP.agent_batch(W.messages(spark, sf).select("tweet_id", "text"),
+                         *_agent_inputs(spark, sf)[2:], W.raw_replies(spark, sf), BRAND,
+                         L.STAND_IN, P.stand_in_v2())
+    return out.select("tweet_id", "reply")
+
+
+@register("agent_batch")
+def q_agent_batch(spark, sf):
+    msgs, _, hs, cs = _agent_inputs(spark, sf)
+    out = RP.agent_batch(msgs.select("tweet_id", "text"), hs, cs, W.raw_replies(spark, sf), BRAND,
+                         L.STAND_IN, P.stand_in_v2())
+    return out.withColumn("top_similarity", F.round("top_similarity", 6)).drop("text")
+
+
+@register("judge_prompts")
+def q_judge_prompts(spark, sf):
+    msgs, cl, hs, cs = _agent_inputs(spark, sf)
+    replies = W.tweets(spark, sf).select(F.col("in_response_to_tweet_id").cast("long").alias("tweet_id"),
+                                         F.col("text").alias("reply"))
+    ev = R.evidence_strings(hs, cs, BRAND).withColumnRenamed("qid", "tweet_id")
+    rows = cl.join(replies, "tweet_id", "left").join(ev.select("tweet_id", "evidence"), "tweet_id", "left")
+    return J.judge_prompts(rows, BRAND)
+
+
+# ---------------------------------------------------------------- judging
+@register("judge_scores_six")
+def q_judge_scores_six(spark, sf):
+    return J.score_six(W.judge_raw_six(spark, sf)).drop("raw", "attempt")
+
+
+@register("judge_score_last")
+def q_judge_score_last(spark, sf):
+    return J.score_one(W.judge_raw_one(spark, sf)).select("id", "attempt", "llm_overall")
+
+
+@register("judge_retry")
+def q_judge_retry(spark, sf):
+    return J.retry_first_success(J.score_one(W.judge_raw_one(spark, sf)))
+
+
+@register("judge_summary")
+def q_judge_summary(spark, sf):
+    return J.summary_six(J.score_six(W.judge_raw_six(spark, sf)))
+
+
+@register("judge_summary_one")
+def q_judge_summary_one(spark, sf):
+    return J.summary_one(J.retry_first_success(J.score_one(W.judge_raw_one(spark, sf))))
+
+
+def human_ratings(spark, sf) -> DataFrame:
+    """Stand-in human ratings per document from ``labels``: 1 + 2*quality + 2*(1 - toxic)."""
+    lab = read_table(spark, sf, "labels")
+    return lab.select(F.col("doc_id").alias("id"),
+                      (F.lit(1) + 2 * F.col("quality") + 2 * (F.lit(1) - F.col("toxic"))).alias("human_overall"))
+
+
+@register("judge_vs_human")
+def q_judge_vs_human(spark, sf):
+    return J.judge_vs_human(J.score_six(W.judge_raw_six(spark, sf)), human_ratings(spark, sf), "id")

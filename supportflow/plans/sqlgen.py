@@ -115,3 +115,99 @@ def decide_sql(policy: Policy, t: str, conf: str, n_hits: str, top: str) -> str:
 def rule_lookup_sql(policy: Policy, rule_col: str, field: str) -> str:
     return ("CASE " + " ".join(f"WHEN {rule_col} = {lit(r.rule_id)} THEN {lit(getattr(r, field))}"
                                for r in policy.rules) + " END")
+
+
+# ------------------------------------------------------------------------------
+# Parsers (N2, H19-H24) as CTE chains
+# ------------------------------------------------------------------------------
+def _after(x: str, marker: str) -> str:
+    return f"substr({x}, strpos({x}, {lit(marker)}) + {len(marker)})"
+
+
+def _is_obj(x: str) -> str:
+    return f"(starts_with({x}, '{{') AND ends_with({x}, '}}') AND coalesce(json_valid({x}), false))"
+
+
+def _jstr(x: str, key: str) -> str:
+    return f"json_extract_string(TRY_CAST({x} AS JSON), {lit('$.' + key)})"
+
+
+def clean_replies_ctes(src: str, brand: str, out: str = "cleaned") -> str:
+    """CTEs ending in ``out(id, reply, reject_reason)`` from ``src(id, raw)``."""
+    from supportflow.functions.parsing import (BAD_STARTS, FINAL_PREFIXES, REPLY_OBJECT_RE,
+                                               REPLY_PREFIXES, reasoning_markers)
+    from supportflow.functions.text import prefixes_regex
+    bad = " OR ".join(f"starts_with(r1, {lit(b)})" for b in BAD_STARTS)
+    mk = " OR ".join(f"contains(r1, {lit(m)})" for m in reasoning_markers(brand))
+    return f"""{out}_a AS (SELECT id, {strip("coalesce(raw, '')")} AS raw FROM {src}),
+{out}_b AS (SELECT *, {_is_obj('raw')} AS is_obj,
+       CASE WHEN contains(raw, '</think>') THEN {strip(_after('raw', '</think>'))} ELSE raw END AS c1 FROM {out}_a),
+{out}_c AS (SELECT *, CASE WHEN is_obj THEN {_jstr('raw', 'reply')} END AS jr,
+       CASE WHEN contains(c1, '<think>') THEN {strip(_after('c1', '<think>'))} ELSE c1 END AS c2 FROM {out}_b),
+{out}_d AS (SELECT *, regexp_extract_all(c2, {lit(REPLY_OBJECT_RE)})[-1] AS cand FROM {out}_c),
+{out}_e AS (SELECT *, CASE WHEN {_is_obj('cand')} THEN {_jstr('cand', 'reply')} END AS cr FROM {out}_d),
+{out}_f AS (SELECT *, regexp_replace({strip("coalesce(CASE WHEN is_obj THEN jr WHEN coalesce(cr, '') <> '' THEN cr ELSE c2 END, '')")},
+                                 {lit(prefixes_regex(REPLY_PREFIXES))}, '') AS r1 FROM {out}_e),
+{out}_g AS (SELECT *, CASE WHEN raw = '' THEN 'empty'
+                      WHEN is_obj AND coalesce(jr, '') = '' THEN 'json_without_reply'
+                      WHEN starts_with(r1, '{{') OR starts_with(r1, '[') THEN 'structured'
+                      WHEN {bad} THEN 'reasoning_start'
+                      WHEN {mk} THEN 'reasoning_marker'
+                      WHEN length(r1) < 10 THEN 'too_short'
+                      WHEN length(r1) > 1000 THEN 'too_long' END AS rr,
+                 regexp_replace(r1, {lit(prefixes_regex(FINAL_PREFIXES))}, '') AS r2 FROM {out}_f),
+{out} AS (SELECT id, CASE WHEN rr IS NULL AND r2 <> '' THEN r2 END AS reply,
+                 CASE WHEN rr IS NULL AND r2 = '' THEN 'empty' ELSE rr END AS reject_reason FROM {out}_g)"""
+
+
+def judge_six_ctes(src: str, out: str = "six") -> str:
+    """CTEs ending in ``out(id, six metrics, method, parsed)`` from ``src(id, raw)``."""
+    from supportflow.functions.parsing import JUDGE_METRICS, LABEL_PATTERNS, SP
+    from supportflow.functions.text import WORD
+    nb, na = f"(?:^|[^{WORD}])", f"(?:[^{WORD}]|$)"
+
+    def first_score(v):
+        d = f"regexp_extract({v}, {lit(f'(?:^|[^{WORD}])([1-5])(?:[^{WORD}]|$)')}, 1)"
+        return f"CASE WHEN coalesce({d}, '') <> '' THEN CAST({d} AS INTEGER) ELSE 0 END"
+    d = "([1-5])"
+    pats = [nb + (SP + "+").join([d] * 6) + na, nb + (SP + "*," + SP + "*").join([d] * 6) + na,
+            nb + r"\|".join([d] * 6) + na]
+    keys = " AND ".join(f"coalesce(json_exists(TRY_CAST(js AS JSON), '$.{m}'), false)" for m in JUDGE_METRICS)
+    jcols = ", ".join(f"{first_score(_jstr('js', m))} AS j_{m}" for m in JUDGE_METRICS)
+    lcols = ", ".join(f"regexp_extract(tl, {lit(f'(?i){p}{SP}*[:=\\-]{SP}*([1-5])')}, 1) AS l_{m}"
+                      for m, p in LABEL_PATTERNS.items())
+    scols = ", ".join(f"regexp_extract(t3, {lit(p)}, {i + 1}) AS s{pi}_{i}" for pi, p in enumerate(pats)
+                      for i in range(6))
+    json_ok = keys + " AND " + " AND ".join(f"j_{m} > 0" for m in JUDGE_METRICS)
+    lab_ok = " AND ".join(f"l_{m} <> ''" for m in JUDGE_METRICS)
+    seq_pick = []
+    for i, m in enumerate(JUDGE_METRICS):
+        seq_pick.append(f"CASE WHEN s0_0 <> '' THEN s0_{i} WHEN s1_0 <> '' THEN s1_{i} ELSE s2_{i} END")
+    metric_cols = ", ".join(
+        f"CASE method WHEN 'json' THEN j_{m} WHEN 'labelled' THEN CAST(l_{m} AS INTEGER) "
+        f"WHEN 'sequence' THEN CAST({seq_pick[i]} AS INTEGER) ELSE 0 END AS {m}"
+        for i, m in enumerate(JUDGE_METRICS))
+    cands = f"list_filter(list_reverse(regexp_extract_all(t2, {lit(r'(?s)\{.*?\}')})), lambda x: {_is_obj('x')})[1]"
+    return f"""{out}_a AS (SELECT id, coalesce(raw, '') AS raw, {strip("coalesce(raw, '')")} AS t FROM {src}),
+{out}_b AS (SELECT *, contains(t, '</think>') AS has_end,
+       CASE WHEN contains(t, '</think>') THEN {strip(_after('t', '</think>'))} ELSE '' END AS after,
+       CASE WHEN contains(raw, '</think>') AND {strip(_after('raw', '</think>'))} <> '' THEN {_after('raw', '</think>')}
+            ELSE raw END AS tl FROM {out}_a),
+{out}_c AS (SELECT *, CASE WHEN has_end THEN after ELSE t END AS t2,
+       CASE WHEN has_end AND after <> '' THEN after ELSE t END AS t3 FROM {out}_b),
+{out}_d AS (SELECT *, coalesce(CASE WHEN {_is_obj('t')} THEN t END,
+                             CASE WHEN has_end AND {_is_obj('after')} THEN after END,
+                             {cands}) AS js FROM {out}_c),
+{out}_e AS (SELECT *, {jcols}, {lcols}, {scols} FROM {out}_d),
+{out}_f AS (SELECT *, CASE WHEN raw = '' THEN NULL WHEN {json_ok} THEN 'json' WHEN {lab_ok} THEN 'labelled'
+                           WHEN s0_0 <> '' OR s1_0 <> '' OR s2_0 <> '' THEN 'sequence' END AS method
+            FROM {out}_e),
+{out} AS (SELECT id, {metric_cols}, method, method IS NOT NULL AS parsed FROM {out}_f)"""
+
+
+def last_score_sql(x: str) -> str:
+    from supportflow.functions.parsing import LAST_SCORE_RE
+    a = strip(f"coalesce({x}, '')")
+    a2 = f"CASE WHEN contains({a}, '<think>') AND contains({a}, '</think>') THEN {strip(_after(a, '</think>'))} ELSE {a} END"
+    d = f"regexp_extract({a2}, {lit(LAST_SCORE_RE)}, 1)"
+    return f"CASE WHEN {d} <> '' THEN CAST({d} AS INTEGER) END"

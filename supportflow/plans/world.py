@@ -169,3 +169,135 @@ def sql_with(*parts: str, recursive: bool = False) -> str:
 
 
 ALL_WORLD = (SQL_TWEETS, SQL_LINKED, SQL_CASES_RAW, SQL_CASES, SQL_MESSAGES, SQL_QVEC, SQL_CVEC, SQL_HITS)
+
+
+# ------------------------------------------------------------------------------
+# Stand-in model output, derived from the driver tables (the model server is not called).
+# ------------------------------------------------------------------------------
+def json_escape(c):
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def raw_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """``raw_responses(id, attempt, raw)``: for the message before each assistant turn, the
+    assistant text wrapped in one of eight shapes chosen by ``conv_id % 8``."""
+    conv = read_table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    a = F.coalesce(F.col("text"), F.lit(""))
+    e = json_escape(a)
+    shape = F.pmod(F.col("conv_id"), F.lit(8))
+    raw = (F.when(shape == 0, F.concat(F.lit('{"reply": "'), e, F.lit('"}')))
+           .when(shape == 1, F.concat(F.lit("<think>draft</think>"), a))
+           .when(shape == 2, F.concat(F.lit("Reply: "), a))
+           .when(shape == 3, F.concat(F.lit('{"answer": "'), e, F.lit('"}')))
+           .when(shape == 4, F.concat(F.lit('[{"reply": "'), e, F.lit('"}]')))
+           .when(shape == 5, F.concat(F.lit('{"reply": "'), e, F.lit('"} Hope this helps')))
+           .when(shape == 6, F.concat(F.lit("We need to reply. "), a))
+           .otherwise(a))
+    return conv.select((F.col("conv_id") * 1000 + F.col("turn") - 1).alias("id"),
+                       F.lit(1).alias("attempt"), raw.alias("raw"))
+
+
+def _scores(i: int):
+    return (F.lit(1) + F.pmod(F.col("doc_id") + F.lit(i), F.lit(5))).cast("string")
+
+
+def judge_raw_six(spark: SparkSession, sf: str) -> DataFrame:
+    """Six-metric judgements for each document, spelled six ways by ``doc_id % 6``; two of
+    the ways carry the whole document text."""
+    docs = read_table(spark, sf, "documents")
+    s = [_scores(i) for i in range(6)]
+    names = ["correctness", "groundedness", "helpfulness", "brand_consistency", "safety", "overall"]
+    js = F.concat(F.lit("{"), *sum([[F.lit(('' if i == 0 else ', ') + f'"{n}": '), s[i]]
+                                    for i, n in enumerate(names)], []), F.lit("}"))
+    labelled = F.concat(*sum([[F.lit(('' if i == 0 else '\n') + lab + ": "), s[i]] for i, lab in enumerate(
+        ["Correctness", "Groundedness", "Helpfulness", "Brand consistency", "Safety", "Overall"])], []))
+    way = F.pmod(F.col("doc_id"), F.lit(6))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    raw = (F.when(way == 0, js)
+           .when(way == 1, F.concat(F.lit("<think>"), text, F.lit("</think>"), js))
+           .when(way == 2, labelled)
+           .when(way == 3, F.concat_ws(" ", *s))
+           .when(way == 4, F.concat_ws(", ", *s))
+           .otherwise(text))
+    return docs.select(F.col("doc_id").alias("id"), F.lit(1).alias("attempt"), raw.alias("raw"))
+
+
+def judge_raw_one(spark: SparkSession, sf: str) -> DataFrame:
+    """One-score judgements, two attempts per document: the first spelled five ways by
+    ``doc_id % 5`` (some fail), the second a bare digit."""
+    docs = read_table(spark, sf, "documents")
+    s = _scores(5)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    way = F.pmod(F.col("doc_id"), F.lit(5))
+    first = (F.when(way == 0, s)
+             .when(way == 1, F.concat(F.lit("<think>"), text, F.lit("</think> Score: "), s))
+             .when(way == 2, F.concat(F.lit("I would rate it "), s, F.lit("/5")))
+             .when(way == 3, text)
+             .otherwise(F.lit("")))
+    a1 = docs.select(F.col("doc_id").alias("id"), F.lit(1).alias("attempt"), first.alias("raw"))
+    a2 = docs.select(F.col("doc_id").alias("id"), F.lit(2).alias("attempt"), s.alias("raw"))
+    return a1.unionByName(a2)
+
+
+def _esc_sql(x: str) -> str:
+    out = x
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = f"replace({out}, {_q(a)}, {_q(b)})"
+    return out
+
+
+def _q(s: str) -> str:
+    s = s.replace("'", "''")
+    if "\n" in s or "\r" in s or "\t" in s:
+        return " || ".join("chr(%d)" % ord(ch) if ch in "\n\r\t" else f"'{ch}'" for ch in s)
+    return f"'{s}'"
+
+
+SQL_RAW_REPLIES = f"""raw_responses AS (
+  SELECT conv_id * 1000 + turn - 1 AS id, 1 AS attempt,
+    CASE conv_id % 8
+      WHEN 0 THEN '{{"reply": "' || {_esc_sql("coalesce(text, '')")} || '"}}'
+      WHEN 1 THEN '<think>draft</think>' || coalesce(text, '')
+      WHEN 2 THEN 'Reply: ' || coalesce(text, '')
+      WHEN 3 THEN '{{"answer": "' || {_esc_sql("coalesce(text, '')")} || '"}}'
+      WHEN 4 THEN '[{{"reply": "' || {_esc_sql("coalesce(text, '')")} || '"}}]'
+      WHEN 5 THEN '{{"reply": "' || {_esc_sql("coalesce(text, '')")} || '"}} Hope this helps'
+      WHEN 6 THEN 'We need to reply. ' || coalesce(text, '')
+      ELSE coalesce(text, '') END AS raw
+  FROM conversations WHERE role = 'assistant')"""
+
+
+def _s_sql(i: int) -> str:
+    return f"CAST(1 + (doc_id + {i}) % 5 AS VARCHAR)"
+
+
+_NAMES = ["correctness", "groundedness", "helpfulness", "brand_consistency", "safety", "overall"]
+_LABS = ["Correctness", "Groundedness", "Helpfulness", "Brand consistency", "Safety", "Overall"]
+_JS_SQL = "'{' || " + " || ".join(f"'{'' if i == 0 else ', '}\"{n}\": ' || {_s_sql(i)}"
+                                   for i, n in enumerate(_NAMES)) + " || '}'"
+_LAB_SQL = " || ".join((f"chr(10) || " if i else "") + f"'{lab}: ' || {_s_sql(i)}" for i, lab in enumerate(_LABS))
+
+SQL_JUDGE_SIX = f"""judge_raw AS (
+  SELECT doc_id AS id, 1 AS attempt,
+    CASE doc_id % 6
+      WHEN 0 THEN {_JS_SQL}
+      WHEN 1 THEN '<think>' || coalesce(text, '') || '</think>' || {_JS_SQL}
+      WHEN 2 THEN {_LAB_SQL}
+      WHEN 3 THEN concat_ws(' ', {', '.join(_s_sql(i) for i in range(6))})
+      WHEN 4 THEN concat_ws(', ', {', '.join(_s_sql(i) for i in range(6))})
+      ELSE coalesce(text, '') END AS raw
+  FROM documents)"""
+
+SQL_JUDGE_ONE = f"""judge_raw1 AS (
+  SELECT doc_id AS id, 1 AS attempt,
+    CASE doc_id % 5
+      WHEN 0 THEN {_s_sql(5)}
+      WHEN 1 THEN '<think>' || coalesce(text, '') || '</think> Score: ' || {_s_sql(5)}
+      WHEN 2 THEN 'I would rate it ' || {_s_sql(5)} || '/5'
+      WHEN 3 THEN coalesce(text, '')
+      ELSE '' END AS raw
+  FROM documents
+  UNION ALL
+  SELECT doc_id, 2, {_s_sql(5)} FROM documents)"""
