@@ -316,3 +316,78 @@ SELECT count(*)::BIGINT AS n, round(avg(abs(j - h)), 4) AS mean_abs_diff,
        round(avg(CASE WHEN j = h THEN 1.0 ELSE 0.0 END), 4) AS exact_share, round(corr(j::DOUBLE, h::DOUBLE), 4) AS corr
 FROM (SELECT s.overall AS j, 1 + 2 * l.quality + 2 * (1 - l.toxic) AS h
       FROM six s JOIN labels l ON l.doc_id = s.id WHERE s.overall > 0)"""
+
+
+# ---------------------------------------------------------------- features and baselines
+from supportflow.operators.features import TOKEN_RE as _TOK  # noqa: E402
+
+
+def _tfidf_sql(min_df: int, max_features: int, sublinear: bool) -> str:
+    tfw = "(1 + ln(tf))" if sublinear else "tf::DOUBLE"
+    return f"""WITH toks AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {G.lit(_TOK)}) AS t FROM documents),
+grams AS (SELECT doc_id, unnest(t) AS term FROM toks
+          UNION ALL
+          SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM toks
+          WHERE len(t) >= 2),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
+vocab AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf FROM (
+            SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term) WHERE df >= {min_df}
+          ORDER BY total DESC, term LIMIT {max_features}),
+w AS (SELECT doc_id, term, {tfw} * idf AS w FROM tf JOIN vocab USING (term))
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""
+
+
+ORACLES["tfidf"] = _tfidf_sql(2, 100000, True)
+ORACLES["tfidf_top10k"] = _tfidf_sql(1, 10000, False)
+
+_SPLIT = """split AS (
+  SELECT doc_id, quality, toxic, CASE WHEN r <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) AS r,
+               count(*) OVER (PARTITION BY quality) AS n FROM labels))"""
+ORACLES["majority_baseline"] = "WITH " + _SPLIT + """
+SELECT doc_id, quality, (SELECT quality FROM split WHERE split = 'train' GROUP BY quality
+                         ORDER BY count(*) DESC, quality LIMIT 1) AS prediction
+FROM split WHERE split = 'test'"""
+
+# ---------------------------------------------------------------- review and flags
+_SW = G.first_match_sql("text", L.STAND_IN_WEAK)
+ORACLES["review_queue"] = f"""
+SELECT doc_id, CASE WHEN s IN ({', '.join(G.lit(x) for x in L.LABEL_ORDER)}) THEN s ELSE 'general_support' END AS suggested_label
+FROM (SELECT doc_id, {_SW} AS s FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"""
+ORACLES["next_review"] = ORACLES["review_queue"] + " ORDER BY doc_id LIMIT 5"
+ORACLES["review_progress"] = """
+SELECT total, reviewed, total - reviewed AS remaining,
+       round(CASE WHEN total > 0 THEN reviewed / total ELSE 0.0 END, 4) AS progress
+FROM (SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels))::BIGINT AS reviewed
+      FROM documents)"""
+_LBL = ", ".join(G.lit(x) for x in L.LABEL_ORDER)
+ORACLES["apply_reviews"] = f"""
+WITH dec AS (
+  SELECT doc_id, 0 AS pass, 'general_support' AS intent, toxic = 1 AS escalate, 'first pass' AS reason FROM labels
+  UNION ALL
+  SELECT doc_id, 1, CASE WHEN toxic = 1 THEN 'account_purchase_issue' ELSE 'not_a_label' END, toxic = 1, 'second pass'
+  FROM labels WHERE quality = 0),
+last AS (SELECT doc_id, arg_max(intent, pass) AS i, arg_max(escalate, pass) AS e, arg_max(reason, pass) AS r
+         FROM dec GROUP BY doc_id)
+SELECT d.doc_id,
+       CASE WHEN l.doc_id IS NOT NULL THEN (CASE WHEN l.i IN ({_LBL}) THEN l.i ELSE 'general_support' END)
+            ELSE {_SW} END AS intent,
+       CASE WHEN l.doc_id IS NOT NULL THEN l.e ELSE false END AS escalate,
+       CASE WHEN l.doc_id IS NOT NULL AND l.e THEN l.r ELSE '' END AS escalation_reason,
+       l.doc_id IS NOT NULL AS reviewed
+FROM documents d LEFT JOIN last l USING (doc_id)"""
+ORACLES["append_ratings"] = """
+SELECT doc_id, CASE WHEN toxic = 1 THEN 1 ELSE 1 + 2 * quality + 2 * (1 - toxic) END AS rating,
+       CASE WHEN toxic = 1 THEN 2 ELSE 1 END AS rated_at FROM labels"""
+ORACLES["fill_defaults"] = """
+SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, 0) AS toxic, false AS reviewed,
+       length(coalesce(d.text, ''))::INTEGER AS text_len
+FROM documents d LEFT JOIN labels l USING (doc_id)"""
+ORACLES["normalise_flags"] = """
+SELECT doc_id, coalesce(toxic = 1, false) AS toxic_flag, coalesce(quality = 1, false) AS quality_flag,
+       coalesce(toxic = 1, false) AS escalate_flag FROM labels"""
+ORACLES["split_valid_failed"] = sql_with(J6, _SIX, J1, _ONE) + """
+SELECT CASE WHEN overall > 0 THEN 'valid' ELSE 'failed' END AS status, count(*)::BIGINT AS n, 'six' AS judge
+FROM six GROUP BY ALL
+UNION ALL
+SELECT CASE WHEN llm_overall IS NOT NULL THEN 'valid' ELSE 'failed' END, count(*)::BIGINT, 'one' FROM one GROUP BY ALL"""

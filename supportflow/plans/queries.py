@@ -403,3 +403,135 @@ def human_ratings(spark, sf) -> DataFrame:
 @register("judge_vs_human")
 def q_judge_vs_human(spark, sf):
     return J.judge_vs_human(J.score_six(W.judge_raw_six(spark, sf)), human_ratings(spark, sf), "id")
+
+
+# ---------------------------------------------------------------- features and baselines
+from supportflow.operators import features as FT  # noqa: E402
+from supportflow.operators import models as MD  # noqa: E402
+
+
+@register("tfidf")
+def q_tfidf(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    return FT.tfidf(docs, min_df=2, max_features=100000, sublinear=True).withColumn(
+        "weight", F.round("weight", 6))
+
+
+@register("tfidf_top10k")
+def q_tfidf_top10k(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    return FT.tfidf(docs, min_df=1, max_features=10000, sublinear=False).withColumn(
+        "weight", F.round("weight", 6))
+
+
+def _labelled_split(spark, sf):
+    lab = read_table(spark, sf, "labels")
+    return SM.stratified_split(lab, "quality", "doc_id", 0.2, 42)
+
+
+@register("majority_baseline")
+def q_majority_baseline(spark, sf):
+    sp = _labelled_split(spark, sf)
+    return MD.majority_baseline(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test"),
+                                "quality").select("doc_id", "quality", "prediction")
+
+
+@register("tfidf_logreg")
+def q_tfidf_logreg(spark, sf):
+    """L2/L3: rows-only check (a fitted model has no SQL form)."""
+    sp = _labelled_split(spark, sf).join(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    pred = MD.tfidf_logreg(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test"),
+                           "quality", max_iter=200)
+    return pred.select("doc_id", "quality", "prediction")
+
+
+# ---------------------------------------------------------------- review and flags (P, B8-B12, F13, G5)
+from supportflow.operators import review as RV  # noqa: E402
+
+
+def _docs_and_labels(spark, sf):
+    return read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+
+
+@register("review_queue")
+def q_review_queue(spark, sf):
+    docs, lab = _docs_and_labels(spark, sf)
+    return RV.review_queue(docs.select("doc_id", "text"), lab, "doc_id",
+                           L.first_match_label("text", L.STAND_IN_WEAK)).select("doc_id", "suggested_label")
+
+
+@register("next_review")
+def q_next_review(spark, sf):
+    docs, lab = _docs_and_labels(spark, sf)
+    q = RV.review_queue(docs.select("doc_id", "text"), lab, "doc_id",
+                        L.first_match_label("text", L.STAND_IN_WEAK))
+    return RV.next_items(q, "doc_id", 5).select("doc_id", "suggested_label")
+
+
+@register("review_progress")
+def q_review_progress(spark, sf):
+    docs, lab = _docs_and_labels(spark, sf)
+    return RV.review_progress(docs, lab, "doc_id")
+
+
+def review_decisions(spark, sf) -> DataFrame:
+    """Stand-in decisions from ``labels``: a first pass for every labelled document, a later
+    second pass for low-quality ones (the later one wins)."""
+    lab = read_table(spark, sf, "labels")
+    t0 = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id"))
+    first = lab.select("doc_id", t0.alias("decided_at"), F.lit("general_support").alias("intent"),
+                       (F.col("toxic") == 1).alias("escalate"), F.lit("first pass").alias("escalation_reason"))
+    second = (lab.filter(F.col("quality") == 0)
+              .select("doc_id", (t0 + F.expr("INTERVAL 1 DAY")).alias("decided_at"),
+                      F.when(F.col("toxic") == 1, F.lit("account_purchase_issue"))
+                      .otherwise(F.lit("not_a_label")).alias("intent"),
+                      (F.col("toxic") == 1).alias("escalate"), F.lit("second pass").alias("escalation_reason")))
+    return first.unionByName(second)
+
+
+@register("apply_reviews")
+def q_apply_reviews(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    golden = docs.select("doc_id", L.first_match_label("text", L.STAND_IN_WEAK).alias("intent"),
+                         F.lit(False).alias("escalate"), F.lit("").alias("escalation_reason"),
+                         F.lit(False).alias("reviewed"))
+    return RV.apply_reviews(golden, review_decisions(spark, sf), "doc_id")
+
+
+@register("append_ratings")
+def q_append_ratings(spark, sf):
+    lab = read_table(spark, sf, "labels")
+    old = lab.select("doc_id", (F.lit(1) + 2 * F.col("quality") + 2 * (F.lit(1) - F.col("toxic"))).alias("rating"),
+                     F.lit(1).alias("rated_at"))
+    new = lab.filter(F.col("toxic") == 1).select("doc_id", F.lit(1).alias("rating"), F.lit(2).alias("rated_at"))
+    return RV.append_ratings(old, new, "doc_id", "rated_at")
+
+
+@register("fill_defaults")
+def q_fill_defaults(spark, sf):
+    docs, lab = _docs_and_labels(spark, sf)
+    j = docs.select("doc_id", "text").join(lab, "doc_id", "left")
+    j = RV.with_default(RV.with_default(RV.with_default(j, "quality", -1), "toxic", 0), "reviewed", False)
+    return j.select("doc_id", "quality", "toxic", "reviewed",
+                    F.length(F.coalesce("text", F.lit(""))).alias("text_len"))
+
+
+@register("normalise_flags")
+def q_normalise_flags(spark, sf):
+    from supportflow.functions.text import truthy
+    lab = read_table(spark, sf, "labels")
+    return lab.select("doc_id", truthy(F.col("toxic").cast("string")).alias("toxic_flag"),
+                      truthy(F.when(F.col("quality") == 1, F.lit(" Yes ")).otherwise(F.lit("no"))).alias("quality_flag"),
+                      RV.decision_flag(F.when(F.col("toxic") == 1, F.lit("ESCALATE"))
+                                       .otherwise(F.lit("AUTO-HANDLE"))).alias("escalate_flag"))
+
+
+@register("split_valid_failed")
+def q_split_valid_failed(spark, sf):
+    six = J.score_six(W.judge_raw_six(spark, sf))
+    one = J.score_one(W.judge_raw_one(spark, sf))
+    a = six.groupBy(F.when(F.col("overall") > 0, "valid").otherwise("failed").alias("status")).agg(
+        F.count(F.lit(1)).alias("n")).withColumn("judge", F.lit("six"))
+    b = one.groupBy(F.when(F.col("llm_overall").isNotNull(), "valid").otherwise("failed").alias("status")).agg(
+        F.count(F.lit(1)).alias("n")).withColumn("judge", F.lit("one"))
+    return a.unionByName(b)
