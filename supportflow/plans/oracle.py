@@ -391,3 +391,16 @@ SELECT CASE WHEN overall > 0 THEN 'valid' ELSE 'failed' END AS status, count(*):
 FROM six GROUP BY ALL
 UNION ALL
 SELECT CASE WHEN llm_overall IS NOT NULL THEN 'valid' ELSE 'failed' END, count(*)::BIGINT, 'one' FROM one GROUP BY ALL"""
+
+
+# ---------------------------------------------------------------- streaming
+from supportflow.streaming.scoring import text_rules as _text_rules  # noqa: E402
+
+_tp = _text_rules(P.stand_in_v2())
+_trid = G.decide_sql(_tp, G.norm("text"), "confidence", "NULL", "NULL")
+ORACLES["stream_scoring"] = sql_with(MS) + f"""
+SELECT tweet_id, intent, confidence, rule_id, {G.rule_lookup_sql(_tp, 'rule_id', 'decision')} AS decision
+FROM (SELECT c.*, m.text, {_trid.replace('text', 'm.text')} AS rule_id
+      FROM ({_cls}) c JOIN messages m USING (tweet_id)
+      WHERE {G.strip("coalesce(m.text, '')")} <> '')"""
+ORACLES["stream_agent"] = ORACLES["agent_batch"]

@@ -535,3 +535,37 @@ def q_split_valid_failed(spark, sf):
     b = one.groupBy(F.when(F.col("llm_overall").isNotNull(), "valid").otherwise("failed").alias("status")).agg(
         F.count(F.lit(1)).alias("n")).withColumn("judge", F.lit("one"))
     return a.unionByName(b)
+
+
+# ---------------------------------------------------------------- streaming
+from supportflow.streaming import scoring as ST  # noqa: E402
+
+
+def _conv_stream(spark, sf):
+    return ST.conversation_stream(spark, sf, "conversations.parquet")
+
+
+@register("stream_scoring")
+def q_stream_scoring(spark, sf):
+    out = ST.run_scoring_stream(spark, _conv_stream(spark, sf), L.STAND_IN, P.stand_in_v2())
+    return spark.read.parquet(out)
+
+
+@register("stream_agent")
+def q_stream_agent(spark, sf):
+    """Per micro-batch, the whole agent against static corpus tables; equals the batch job."""
+    positions = W.messages(spark, sf).select("tweet_id", "n")
+    cs = W.cases(spark, sf)
+    cv = W.case_vectors(spark, sf, cs)
+    raw = W.raw_replies(spark, sf)
+
+    def batch_fn(batch):
+        msgs = (batch.filter(F.col("role") == "user")
+                .select((F.col("conv_id") * 1000 + F.col("turn")).alias("tweet_id"), "text")
+                .join(positions, "tweet_id"))
+        hs = R.top_k(W.message_vectors(spark, sf, msgs), cv, k=W.K)
+        return RP.agent_batch(msgs.select("tweet_id", "text"), hs, cs, raw, BRAND, L.STAND_IN, P.stand_in_v2())
+
+    out = ST.run_agent_stream(spark, _conv_stream(spark, sf), batch_fn)
+    return (spark.read.parquet(out).drop("batch_id", "text")
+            .withColumn("top_similarity", F.round("top_similarity", 6)))
