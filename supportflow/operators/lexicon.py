@@ -261,6 +261,8 @@ def lexicon_table(spark: SparkSession, lex: Lexicon) -> DataFrame:
         for ti, t in enumerate(r.terms):
             rows.append((lex.version, r.label, li, ti, t.term, t.kind, t.weight, r.boost,
                          r.gate_word, r.priority))
+        if not r.terms:                       # a label without terms (the fallback) keeps a row
+            rows.append((lex.version, r.label, li, 0, None, None, None, r.boost, r.gate_word, r.priority))
     return spark.createDataFrame(rows, "version string, label string, label_ord int, ord int, term string, "
                                        "match_kind string, weight int, boost int, gate_word string, "
                                        "priority int")
