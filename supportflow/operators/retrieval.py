@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportflow.functions.text import fmt_fixed, py_strip
+from supportflow.session import ensure_checkpoint_dir
 
 HITS_SCHEMA = "qid long, rank int, case_id long, score double"
 
@@ -89,11 +90,14 @@ def _block_topk(k: int, chunk: int = 512):
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, block_rows: int = 50000,
-          query_blocks: int | None = None, corpus_blocks: int | None = None) -> DataFrame:
+          query_blocks: int | None = None, corpus_blocks: int | None = None,
+          materialize: bool = True) -> DataFrame:
     """``queries(qid, qvec)`` x ``corpus(case_id, vec)`` -> ``qid, rank, case_id, score``.
 
     Fewer than ``k`` corpus rows give fewer hits (no padding). Block counts default to
-    ``ceil(rows / block_rows)`` from two counts of the inputs.
+    ``ceil(rows / block_rows)`` from two counts of the inputs. The hits (``k`` rows per
+    query) are checkpointed into the cluster's checkpoint folder unless ``materialize`` is
+    off: every consumer then reads them instead of re-running the all-pairs step.
     """
     bq = query_blocks or max(1, math.ceil(queries.count() / block_rows))
     bc = corpus_blocks or max(1, math.ceil(corpus.count() / block_rows))
@@ -106,10 +110,14 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, block_rows: int = 5
     partial = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
                .applyInPandas(_block_topk(k), HITS_SCHEMA))
     if bc == 1:
-        return partial
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("case_id"))
-    return (partial.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+        out = partial
+    else:
+        w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("case_id"))
+        out = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if materialize:
+        ensure_checkpoint_dir(out.sparkSession)
+        out = out.checkpoint()
+    return out
 
 
 def hit_summary(queries: DataFrame, hits: DataFrame, key: str = "qid") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from supportflow.operators import cases as C
 from supportflow.operators import retrieval as R
 from supportflow.operators.sampling import with_position
+from supportflow.session import ensure_checkpoint_dir
 from supportflow.sources.adapters import BRAND, customer_messages, tweets_from_conversations
 from supportflow.sources.tables import read_table
 
@@ -30,18 +31,25 @@ def tweets(spark: SparkSession, sf: str) -> DataFrame:
     return tweets_from_conversations(read_table(spark, sf, "conversations"), BRAND)
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """A table several consumers read: written once to the shared checkpoint folder
+    (as a pipeline writes its case table) instead of being rebuilt per consumer."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """``tweet_id, conv_id, turn, text, n``."""
-    return with_position(customer_messages(read_table(spark, sf, "conversations")),
-                         ["conv_id", "turn"], name="n")
+    return _materialize(with_position(customer_messages(read_table(spark, sf, "conversations")),
+                                      ["conv_id", "turn"], name="n"))
 
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
     """Case corpus with ``case_id``."""
     tw = tweets(spark, sf)
     cs = C.build_cases(C.linked_messages(tw, BRAND), tw, BRAND)
-    return (with_position(cs, ["customer_tweet_id"], name="m")
-            .withColumn("case_id", F.col("m") + F.lit(CORPUS_FROM)).drop("m"))
+    return _materialize(with_position(cs, ["customer_tweet_id"], name="m")
+                        .withColumn("case_id", F.col("m") + F.lit(CORPUS_FROM)).drop("m"))
 
 
 GOLDEN_N = 50
