@@ -22,22 +22,27 @@ def pair_counts(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 
 def accuracy(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """F8: ``n, accuracy``."""
+    """F8: ``n, accuracy``; a null label or prediction is never correct."""
     return df.agg(F.count(F.lit(1)).alias("n"),
-                  F.round(F.avg((F.col(truth).cast("string") == F.col(pred).cast("string")).cast("double")), 4)
+                  F.round(F.avg(F.coalesce(F.col(truth).cast("string") == F.col(pred).cast("string"),
+                                           F.lit(False)).cast("double")), 4)
                   .alias("accuracy"))
 
 
 def per_label(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """``label, tp, fp, fn, support, precision, recall, f1`` for labels in truth ∪ prediction."""
+    """``label, tp, fp, fn, support, precision, recall, f1`` for labels in truth ∪ prediction.
+
+    A null prediction is a miss for its true label and a null truth a false positive for
+    the predicted one, so ``tp + fn = support`` always holds."""
     pc = pair_counts(df, truth, pred)
+    miss = ~F.col("y").eqNullSafe(F.col("p"))
     as_truth = pc.select(F.col("y").alias("label"),
                          F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("tp"),
                          F.lit(0).cast("long").alias("fp"),
-                         F.when(F.col("y") != F.col("p"), F.col("n")).otherwise(0).alias("fn"),
+                         F.when(miss, F.col("n")).otherwise(0).alias("fn"),
                          F.col("n").alias("support"))
     as_pred = pc.select(F.col("p").alias("label"), F.lit(0).cast("long").alias("tp"),
-                        F.when(F.col("y") != F.col("p"), F.col("n")).otherwise(0).alias("fp"),
+                        F.when(miss, F.col("n")).otherwise(0).alias("fp"),
                         F.lit(0).cast("long").alias("fn"), F.lit(0).cast("long").alias("support"))
     s = (as_truth.unionByName(as_pred).filter(F.col("label").isNotNull())
          .groupBy("label").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "support")]))

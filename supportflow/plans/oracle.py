@@ -168,9 +168,9 @@ _PL = """pairs AS (SELECT true_label AS y, pred_label AS p, count(*) AS n FROM k
 per_label AS (
   SELECT label, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(support)::BIGINT AS support
   FROM (SELECT y AS label, CASE WHEN y = p THEN n ELSE 0 END AS tp, 0 AS fp,
-               CASE WHEN y <> p THEN n ELSE 0 END AS fn, n AS support FROM pairs
+               CASE WHEN y IS DISTINCT FROM p THEN n ELSE 0 END AS fn, n AS support FROM pairs
         UNION ALL
-        SELECT p, 0, CASE WHEN y <> p THEN n ELSE 0 END, 0, 0 FROM pairs) GROUP BY label),
+        SELECT p, 0, CASE WHEN y IS DISTINCT FROM p THEN n ELSE 0 END, 0, 0 FROM pairs) GROUP BY label),
 pl AS (
   SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision,
             CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall,
