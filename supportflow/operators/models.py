@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer,
@@ -35,10 +37,14 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def tfidf_logreg(train: DataFrame, test: DataFrame, label: str, text_col: str = "text",
                  min_df: int = 2, max_features: int = 100000, max_iter: int = 2000,
-                 C: float = 1.0, balanced: bool = True) -> DataFrame:
+                 C: float = 1.0, balanced: bool = True, rows_per_task: int = 100000) -> DataFrame:
     """L1 + L2 + L3: unigram+bigram TF-IDF (smoothed idf ``ln((1+n)/(1+df)) + 1``, L2 rows),
     multinomial logistic regression with L2 penalty ``1/(C*n)`` and balanced weights.
-    Vocabulary and idf come from the train split only. Returns test rows + ``prediction``."""
+    Vocabulary and idf come from the train split only. Returns test rows + ``prediction``.
+
+    Every optimizer iteration is one distributed gradient pass over the training rows, so
+    they are spread over ``ceil(n / rows_per_task)`` partitions: enough tasks for a large
+    training set, and no per-iteration cost of many near-empty tasks for a small one."""
     n = train.count()
     tok = RegexTokenizer(inputCol=text_col, outputCol="__uni", pattern=TOKEN_RE, gaps=False,
                          toLowercase=True, minTokenLength=2)
@@ -61,7 +67,7 @@ def tfidf_logreg(train: DataFrame, test: DataFrame, label: str, text_col: str =
     tr_f = head.fit(pm.transform(tr)).transform(pm.transform(tr)).withColumn("__y", F.col(label).cast("double"))
     if balanced:
         tr_f = class_weights(tr_f, label)
-    model = lr.fit(tr_f)
+    model = lr.fit(tr_f.repartition(max(1, math.ceil(n / rows_per_task))))
     te_f = head.fit(pm.transform(tr)).transform(pm.transform(te)).withColumn("__y", F.col(label).cast("double"))
     pred = model.transform(te_f)
     keep = [c for c in test.columns]

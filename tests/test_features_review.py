@@ -112,3 +112,13 @@ def test_defaults_and_flags(spark):
     assert rows == {1: ("AUTO-HANDLE", False), 2: ("ESCALATE", False), 3: ("AUTO-HANDLE", False)}
     flags = [r.f for r in df.orderBy("id").select(RV.decision_flag("decision").alias("f")).collect()]
     assert flags == [False, True, False]
+
+
+def test_tfidf_logreg_separable(spark):
+    rows = [(i, f"screen broken crack glass {i}", 1) for i in range(12)] + \
+           [(100 + i, f"battery drains charger slow {i}", 0) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    train = df.filter(F.col("doc_id") % 4 != 0)
+    test = df.filter(F.col("doc_id") % 4 == 0)
+    got = {r.doc_id: (r.y, r.prediction) for r in MD.tfidf_logreg(train, test, "y", max_iter=50).collect()}
+    assert len(got) == test.count() and all(y == p for y, p in got.values())
