@@ -135,7 +135,7 @@ def _six_numbers_patterns() -> list[str]:
 
 
 def parse_judge_six(df: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """H19-H23 cascade: JSON object (whole text, after ``</think>``, then candidates from
+    """H19-H23 cascade (H21 six labelled scores, H22 six-number sequences): JSON object (whole text, after ``</think>``, then candidates from
     the end) with all six keys and every score 1-5 -> labelled scores -> six-number
     sequence -> unparsed. Adds the six metric columns (0 when unparsed), ``parsed`` and
     ``method``."""

@@ -52,7 +52,7 @@ def build_cases(linked: DataFrame, tweets: DataFrame, brand: str,
     Keys are compared as text (B7) like the exchange files; a comma list of reply ids
     matches nothing unless ``explode_ids`` (C1x) is on.
     """
-    cases = linked.select(
+    cases = linked.select(                                   # B2: exchange column names
         F.col("tweet_id").alias("customer_tweet_id"), "created_at",
         F.col("text").alias("customer_text"),
         F.col("response_tweet_id").cast("string").alias("brand_reply_id"))

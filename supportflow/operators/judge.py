@@ -73,7 +73,7 @@ def retry_first_success(scored: DataFrame, key: str = "id", attempt: str = "atte
 
 
 def summary_six(scored: DataFrame) -> DataFrame:
-    """Counts, per-metric means over valid rows (overall > 0), share with overall >= 4."""
+    """Counts, per-metric means over valid rows (overall > 0), share with overall >= 4."""
     valid = F.col("overall") > 0
     aggs = [F.count(F.lit(1)).alias("n_total"), F.count_if(valid).alias("n_valid"),
             F.count_if(~valid).alias("n_failed")]

@@ -21,7 +21,7 @@ GENERAL = "general_support"
 @dataclass(frozen=True)
 class Term:
     term: str
-    kind: str  # 'phrase' | 'word'
+    kind: str  # 'phrase' | 'word' (K2: strong-signal bonuses are 'word' terms of their own weight)
     weight: int
 
 
@@ -39,8 +39,8 @@ class Lexicon:
     version: str
     labels: tuple[LabelRule, ...]   # declared order = argmax tie order
     fallback: str = GENERAL
-    fallback_confidence: float = 0.40
-    base: float = 0.55
+    fallback_confidence: float = 0.40    # K5: no match -> (fallback, 0.40)
+    base: float = 0.55                   # K5: min(cap, base + step * score)
     step: float = 0.08
     cap: float = 0.95
 

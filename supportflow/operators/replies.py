@@ -49,7 +49,7 @@ PROMPT_RULES = [
     "Do not explain your reasoning.",
     "Return ONLY the customer-facing reply.",
 ]
-HANDLE_RE = r"^@[A-Za-z0-9_]+[\t\n\x0B\f\r ]*"
+HANDLE_RE = r"^@[A-Za-z0-9_]+[\t\n\x0B\f\r ]*"    # H12: leading @handle
 
 
 def prompt_template(brand: str, company: str) -> str:

@@ -72,6 +72,18 @@ def with_default(df: DataFrame, col: str, value) -> DataFrame:
     return df.withColumn(col, F.lit(value))
 
 
+def error_split(df: DataFrame, col: str = "intent", error_value: str = "ERROR") -> DataFrame:
+    """``status`` ('valid' / 'error') and ``n``: rows whose ``col`` is the error marker
+    are failed rows; the rest are the valid rows a report is computed on."""
+    status = F.when(F.coalesce(F.col(col) == F.lit(error_value), F.lit(False)), F.lit("error")).otherwise(F.lit("valid"))
+    return df.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def valid_rows(df: DataFrame, col: str = "intent", error_value: str = "ERROR") -> DataFrame:
+    """The rows that are not error rows."""
+    return df.filter(~F.coalesce(F.col(col) == F.lit(error_value), F.lit(False)))
+
+
 def decision_flag(decision) -> Column:
     """``decision == 'ESCALATE'``."""
     c = F.col(decision) if isinstance(decision, str) else decision

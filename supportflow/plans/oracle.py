@@ -392,6 +392,10 @@ FROM six GROUP BY ALL
 UNION ALL
 SELECT CASE WHEN llm_overall IS NOT NULL THEN 'valid' ELSE 'failed' END, count(*)::BIGINT, 'one' FROM one GROUP BY ALL"""
 
+ORACLES["agent_error_split"] = """
+SELECT CASE WHEN text IS NULL THEN 'error' ELSE 'valid' END AS status, count(*)::BIGINT AS n
+FROM conversations WHERE role = 'user' GROUP BY ALL"""
+
 
 # ---------------------------------------------------------------- streaming
 from supportflow.streaming.scoring import text_rules as _text_rules  # noqa: E402

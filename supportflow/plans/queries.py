@@ -537,6 +537,15 @@ def q_split_valid_failed(spark, sf):
     return a.unionByName(b)
 
 
+@register("agent_error_split")
+def q_agent_error_split(spark, sf):
+    """Agent output rows split into valid and error rows (message text missing)."""
+    msgs, _, hs, cs = _agent_inputs(spark, sf)
+    out = RP.agent_batch(msgs.select("tweet_id", "text"), hs, cs, W.raw_replies(spark, sf), BRAND,
+                         L.STAND_IN, P.stand_in_v2())
+    return RV.error_split(out, "intent")
+
+
 # ---------------------------------------------------------------- streaming
 from supportflow.streaming import scoring as ST  # noqa: E402
 

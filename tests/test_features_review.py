@@ -122,3 +122,9 @@ def test_tfidf_logreg_separable(spark):
     test = df.filter(F.col("doc_id") % 4 == 0)
     got = {r.doc_id: (r.y, r.prediction) for r in MD.tfidf_logreg(train, test, "y", max_iter=50).collect()}
     assert len(got) == test.count() and all(y == p for y, p in got.values())
+
+
+def test_error_split(spark):
+    df = spark.createDataFrame([(1, "ERROR"), (2, "app_media_issue"), (3, None), (4, "ERROR")], "id long, intent string")
+    assert {r.status: r.n for r in RV.error_split(df).collect()} == {"error": 2, "valid": 2}
+    assert sorted(r.id for r in RV.valid_rows(df).collect()) == [2, 3]
