@@ -167,15 +167,20 @@ def parse_judge_six(df: DataFrame, raw_col: str = "raw") -> DataFrame:
         json_ok = json_ok & (F.col(f"__j_{m}") > 0)
     # labelled form: text after </think> when something follows it, else the whole text
     raw_after = after_first("__raw", "</think>")
-    out = out.withColumn("__tl", F.when(F.col("__raw").contains("</think>") & (py_strip(raw_after) != ""),
-                                        raw_after).otherwise(F.col("__raw")))
+    # later stages only look at rows the earlier ones left unparsed (null text otherwise)
+    out = out.withColumn("__json_ok", json_ok)
+    out = out.withColumn("__tl", F.when(F.col("__json_ok"), F.lit(None).cast("string"))
+                         .when(F.col("__raw").contains("</think>") & (py_strip(raw_after) != ""), raw_after)
+                         .otherwise(F.col("__raw")))
     out = out.withColumns({f"__l_{m}": F.regexp_extract("__tl", f"(?i){p}{SP}*[:=\\-]{SP}*([1-5])", 1)
                            for m, p in LABEL_PATTERNS.items()})
     lab_ok = None
     for m in JUDGE_METRICS:
         e = F.col(f"__l_{m}") != ""
         lab_ok = e if lab_ok is None else lab_ok & e
-    out = out.withColumn("__t3", F.when(F.col("__has_end") & (F.col("__after") != ""), F.col("__after"))
+    out = out.withColumn("__lab_ok", F.coalesce(lab_ok, F.lit(False)))
+    out = out.withColumn("__t3", F.when(F.col("__json_ok") | F.col("__lab_ok"), F.lit(None).cast("string"))
+                         .when(F.col("__has_end") & (F.col("__after") != ""), F.col("__after"))
                          .otherwise(F.col(t)))
     pats = _six_numbers_patterns()
     for pi, p in enumerate(pats):
@@ -188,7 +193,7 @@ def parse_judge_six(df: DataFrame, raw_col: str = "raw") -> DataFrame:
         seq = val if seq is None else F.coalesce(seq, val)
     out = out.withColumn("__seq", seq)
     method = (F.when(F.col("__raw") == "", F.lit(None))
-              .when(json_ok, "json").when(lab_ok, "labelled")
+              .when(F.col("__json_ok"), "json").when(F.col("__lab_ok"), "labelled")
               .when(F.col("__seq").isNotNull(), "sequence"))
     out = out.withColumn("method", method)
     cols = {}
