@@ -33,11 +33,12 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from supportflow.plans.queries import queries
-    from supportflow.session import ensure_checkpoint_dir, get_spark
+    from supportflow.session import ensure_checkpoint_dir, get_spark, ship_package
 
     spark = get_spark(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")),
                       app="supportflow-bench")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     qs = queries()
     names = sys.argv[1:] or HEADLINE
     qs["head_n"](spark, sf_dir).write.format("noop").mode("overwrite").save()   # warm-up

@@ -77,10 +77,11 @@ def compare(spark, sf_dir: str, names: list[str] | None = None, verbose: bool =
 
 
 if __name__ == "__main__":
-    from supportflow.session import ensure_checkpoint_dir, get_spark
+    from supportflow.session import ensure_checkpoint_dir, get_spark, ship_package
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_spark(8)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     res = compare(spark, sf, sys.argv[2:] or None)
     bad = [k for k, v in res.items() if v.get("error") or (v.get("oracle") and not v.get("match"))]
     print("FAILED:", bad if bad else "none", f"({len(res)} queries)")

@@ -11,7 +11,8 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from supportflow.session import ensure_checkpoint_dir, get_spark
+    from supportflow.session import ensure_checkpoint_dir, get_spark, ship_package
     s = get_spark("*", shuffle_partitions=8)
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
