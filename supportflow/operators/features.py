@@ -18,7 +18,9 @@ more than the second tokenization.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportflow.functions.text import WORD
@@ -54,3 +56,35 @@ def tfidf(docs: DataFrame, min_df: int = 2, max_features: int = 100000, sublinea
     w = tf.join(F.broadcast(vocab), "term").withColumn("w", tfw * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return w.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
+
+
+# ------------------------------------------------------------------------------------------
+# Text -> dense vector (the stand-in for a sentence encoder)
+# ------------------------------------------------------------------------------------------
+VECTOR_DIM = 256
+
+
+def token_buckets(text: Column, dim: int = VECTOR_DIM) -> Column:
+    """The bucket of every token of a text: the first 32 bits of the token's md5, mod ``dim``
+    (md5 so that any SQL engine can reproduce the vector)."""
+    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_RE), 0)
+    return F.transform(toks, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"),
+                                              F.lit(dim)).cast("int"))
+
+
+def _bincount(dim: int):
+    @F.pandas_udf("array<double>")
+    def count(b: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount(np.asarray(x, dtype=np.int64), minlength=dim).astype(np.float64)
+                          for x in b])
+    return count
+
+
+def text_vectors(df: DataFrame, text_col: str, out_col: str, dim: int = VECTOR_DIM) -> DataFrame:
+    """``out_col`` = token counts over ``dim`` hashed buckets (not normalised; J2 does).
+
+    A projection, no shuffle: bucket ids are computed in the JVM, and one Arrow-batched
+    ``bincount`` per batch turns them into dense vectors (counting per bucket with SQL
+    higher-order functions would hash every token ``dim`` times)."""
+    return (df.withColumn("__b", token_buckets(F.col(text_col), dim))
+            .withColumn(out_col, _bincount(dim)(F.col("__b"))).drop("__b"))

@@ -62,7 +62,7 @@ def _topk_rows(S: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _block_topk(k: int, chunk: int = 512):
+def _block_topk(k: int, chunk: int = 512, exclude_self: bool = False):
     empty = {"qid": pd.Series([], dtype="int64"), "rank": pd.Series([], dtype="int32"),
              "case_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")}
 
@@ -78,26 +78,30 @@ def _block_topk(k: int, chunk: int = 512):
         for s in range(0, len(q), chunk):          # bounded memory: chunk x |corpus block|
             Q = np.stack(qv[s:s + chunk]).astype(np.float64, copy=False)
             S = Q @ C.T
+            if exclude_self:                       # a row never retrieves itself
+                S[qids[s:s + chunk, None] == ids[None, :]] = -np.inf
             top = _topk_rows(S, ids, kk)
-            out.append(pd.DataFrame({
+            part = pd.DataFrame({
                 "qid": np.repeat(qids[s:s + chunk], kk),
                 "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(Q)),
                 "case_id": ids[top].reshape(-1),
                 "score": np.take_along_axis(S, top, axis=1).reshape(-1),
-            }))
+            })
+            out.append(part[np.isfinite(part["score"].to_numpy())] if exclude_self else part)
         return pd.concat(out, ignore_index=True)
     return run
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, block_rows: int = 50000,
           query_blocks: int | None = None, corpus_blocks: int | None = None,
-          materialize: bool = True) -> DataFrame:
+          materialize: bool = True, exclude_self: bool = False) -> DataFrame:
     """``queries(qid, qvec)`` x ``corpus(case_id, vec)`` -> ``qid, rank, case_id, score``.
 
     Fewer than ``k`` corpus rows give fewer hits (no padding). Block counts default to
     ``ceil(rows / block_rows)`` from two counts of the inputs. The hits (``k`` rows per
     query) are checkpointed into the cluster's checkpoint folder unless ``materialize`` is
-    off: every consumer then reads them instead of re-running the all-pairs step.
+    off: every consumer then reads them instead of re-running the all-pairs step. With
+    ``exclude_self`` a query never retrieves the corpus row of the same id (leave-one-out).
     """
     bq = query_blocks or max(1, math.ceil(queries.count() / block_rows))
     bc = corpus_blocks or max(1, math.ceil(corpus.count() / block_rows))
@@ -108,7 +112,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, block_rows: int = 5
          .withColumn("cb", F.pmod(F.xxhash64("case_id"), F.lit(bc)))
          .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bq - 1).cast("long")))))
     partial = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-               .applyInPandas(_block_topk(k), HITS_SCHEMA))
+               .applyInPandas(_block_topk(k, exclude_self=exclude_self), HITS_SCHEMA))
     if bc == 1:
         out = partial
     else:

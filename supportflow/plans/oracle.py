@@ -126,7 +126,8 @@ ORACLES["row_level_holdout"] = sql_with(*_HOLD, recursive=True) + """
 SELECT case_id, customer_tweet_id FROM cases WHERE customer_tweet_id NOT IN (SELECT tweet_id FROM golden)"""
 
 _QV_SAFE = QV.replace("qvec AS (", "qvec_g AS (").replace(
-    "WHERE m.n <", "WHERE m.tweet_id IN (SELECT tweet_id FROM golden) AND m.n <")
+    "FROM messages m)", "FROM messages m WHERE m.tweet_id IN (SELECT tweet_id FROM golden))")
+assert _QV_SAFE.count("golden") == 1
 _CV_SAFE = CV.replace("cvec AS (", "cvec_s AS (").replace("FROM cases c", "FROM safe c")
 _HT_SAFE = HT.replace("hits AS (", "hits_s AS (").replace("FROM qvec q, cvec c", "FROM qvec_g q, cvec_s c")
 ORACLES["topk_safe"] = sql_with(*_HOLD, _QV_SAFE, _CV_SAFE, _HT_SAFE, recursive=True) + \
@@ -158,12 +159,12 @@ FROM (SELECT m.tweet_id, coalesce(max(h.score), 0.0) AS ts FROM messages m
       LEFT JOIN hits h ON h.qid = m.tweet_id GROUP BY m.tweet_id)"""
 
 # ---------------------------------------------------------------- metrics
-_HT1 = HT.replace("hits AS (", "hits1 AS (").replace(f"rank <= {Wd.K}", "rank <= 1")
-_KNN = _HT1 + """,
+_KNN = f"""evec AS (SELECT vec_id, label, {Wd._norm_vec('embedding')} AS v FROM embeddings),
 knn AS (
-  SELECT h.qid, CAST(et.label AS VARCHAR) AS true_label, CAST(ep.label AS VARCHAR) AS pred_label
-  FROM hits1 h JOIN messages m ON m.tweet_id = h.qid
-  JOIN embeddings et ON et.vec_id = m.n JOIN embeddings ep ON ep.vec_id = h.case_id)"""
+  SELECT qid, CAST(tl AS VARCHAR) AS true_label, CAST(pl AS VARCHAR) AS pred_label FROM (
+    SELECT q.vec_id AS qid, q.label AS tl, c.label AS pl,
+           row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rn
+    FROM evec q, evec c WHERE q.vec_id <> c.vec_id) WHERE rn = 1)"""
 _PL = """pairs AS (SELECT true_label AS y, pred_label AS p, count(*) AS n FROM knn GROUP BY ALL),
 per_label AS (
   SELECT label, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(support)::BIGINT AS support
@@ -176,7 +177,7 @@ pl AS (
             CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall,
             CASE WHEN 2 * tp + fp + fn > 0 THEN (2 * tp)::DOUBLE / (2 * tp + fp + fn) ELSE 0.0 END AS f1
   FROM per_label)"""
-_MET = (*_WORLD[:-1], _KNN, _PL)
+_MET = (_KNN, _PL)
 ORACLES["accuracy"] = sql_with(*_MET) + \
     "\nSELECT count(*)::BIGINT AS n, round(avg(CASE WHEN true_label = pred_label THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM knn"
 ORACLES["macro_f1"] = sql_with(*_MET) + \

@@ -246,16 +246,16 @@ from supportflow.operators import metrics as MT  # noqa: E402
 
 
 def _knn_predictions(spark, sf) -> DataFrame:
-    """Message vector label (truth) vs label of its nearest case vector (prediction)."""
-    msgs = W.messages(spark, sf)
-    emb = W.embeddings(spark, sf).select("vec_id", "label")
-    top1 = W.hits(spark, sf, k=1, msgs=msgs)
-    truth = msgs.select(F.col("tweet_id").alias("qid"), "n").join(
-        emb.withColumnRenamed("vec_id", "n").withColumnRenamed("label", "true_label"), "n")
-    pred = emb.select(F.col("vec_id").alias("case_id"), F.col("label").alias("pred_label"))
-    return (top1.join(truth, "qid").join(pred, "case_id")
-            .select("qid", F.col("true_label").cast("string").alias("true_label"),
-                    F.col("pred_label").cast("string").alias("pred_label")))
+    """Leave-one-out nearest neighbour over the whole ``embeddings`` table: a vector's label
+    (truth) against the label of its nearest other vector (prediction)."""
+    emb = R.l2_normalise(W.embeddings(spark, sf), "embedding", "unit")
+    top1 = R.top_k(emb.select(F.col("vec_id").alias("qid"), F.col("unit").alias("qvec")),
+                   emb.select(F.col("vec_id").alias("case_id"), F.col("unit").alias("vec")),
+                   k=1, exclude_self=True)
+    lab = emb.select("vec_id", F.col("label").cast("string").alias("label"))
+    return (top1.join(lab.select(F.col("vec_id").alias("qid"), F.col("label").alias("true_label")), "qid")
+            .join(lab.select(F.col("vec_id").alias("case_id"), F.col("label").alias("pred_label")), "case_id")
+            .select("qid", "true_label", "pred_label"))
 
 
 @register("accuracy")

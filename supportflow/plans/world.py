@@ -4,8 +4,10 @@
 * messages: user turns; message number ``n`` in (conv_id, turn) order, from 0.
 * cases: the case corpus built from the tweets; ``case_id = CORPUS_FROM + m`` where ``m``
   is the case's position in ``customer_tweet_id`` order.
-* vectors: message ``n`` uses embedding ``vec_id = n`` when ``n < CORPUS_FROM`` (else none);
-  case ``case_id`` uses embedding ``vec_id = case_id``. Both are L2-normalised (J2).
+* vectors: every message and every case gets the J1 text vector of its (customer) text,
+  L2-normalised (J2), so retrieval covers all messages against the whole corpus. (The
+  ``embeddings`` table is too small to give each message and case a vector of its own; it
+  feeds J2 and the leave-one-out neighbour metrics instead.)
 * hits: exact top-``K`` of message vectors against case vectors (J4).
 
 Each function mirrors a SQL CTE in ``SQL_*`` below, used by the DuckDB oracles.
@@ -17,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supportflow.operators import cases as C
+from supportflow.operators import features as FT
 from supportflow.operators import retrieval as R
 from supportflow.operators.sampling import with_position
 from supportflow.session import ensure_checkpoint_dir
 from supportflow.sources.adapters import BRAND, customer_messages, tweets_from_conversations
 from supportflow.sources.tables import read_table
 
-CORPUS_FROM = 250
+CORPUS_FROM = 250          # case ids start here
 K = 5
 
 
@@ -68,22 +71,17 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def message_vectors(spark: SparkSession, sf: str, msgs: DataFrame | None = None) -> DataFrame:
-    """``qid`` (= tweet_id), ``qvec`` for messages that have a vector."""
+    """``qid`` (= tweet_id), ``qvec``: the unit text vector of every message (J1 + J2)."""
     msgs = msgs if msgs is not None else messages(spark, sf)
-    emb = embeddings(spark, sf).filter(F.col("vec_id") < CORPUS_FROM)
-    q = (msgs.filter(F.col("n") < CORPUS_FROM)
-         .join(emb, msgs["n"] == emb["vec_id"])
-         .select(F.col("tweet_id").alias("qid"), F.col("embedding").alias("qvec")))
-    return R.l2_normalise(q, "qvec")
+    q = FT.text_vectors(msgs.select(F.col("tweet_id").alias("qid"), "text"), "text", "qvec")
+    return R.l2_normalise(q.select("qid", "qvec"), "qvec")
 
 
 def case_vectors(spark: SparkSession, sf: str, cs: DataFrame | None = None) -> DataFrame:
-    """``case_id, vec`` for cases that have a vector."""
+    """``case_id, vec``: the unit text vector of every case's customer text (J1 + J2, J3)."""
     cs = cs if cs is not None else cases(spark, sf)
-    emb = embeddings(spark, sf).filter(F.col("vec_id") >= CORPUS_FROM)
-    v = (cs.select("case_id").join(emb, cs["case_id"] == emb["vec_id"])
-         .select("case_id", F.col("embedding").alias("vec")))
-    return R.l2_normalise(v, "vec")
+    v = FT.text_vectors(cs.select("case_id", "customer_text"), "customer_text", "vec")
+    return R.l2_normalise(v.select("case_id", "vec"), "vec")
 
 
 def hits(spark: SparkSession, sf: str, k: int = K, msgs: DataFrame | None = None,
@@ -141,13 +139,27 @@ SQL_MESSAGES = """messages AS (
          row_number() OVER (ORDER BY conv_id, turn) - 1 AS n
   FROM conversations WHERE role = 'user')"""
 
+def _buckets(text: str) -> str:
+    """J1 in SQL, step 1: the md5 bucket of every token."""
+    tok = FT.TOKEN_RE.replace("'", "''")
+    return (f"list_transform(regexp_extract_all(lower(coalesce({text}, '')), '{tok}'), "
+            f"lambda t: (('0x' || substr(md5(t), 1, 8))::BIGINT % {FT.VECTOR_DIM})::INTEGER)")
+
+
+def _counts(b: str) -> str:
+    """J1 in SQL, step 2: counts per bucket of the bucket list ``b``."""
+    return f"list_transform(range({FT.VECTOR_DIM}), lambda i: len(list_filter({b}, lambda x: x = i))::DOUBLE)"
+
+
 SQL_QVEC = f"""qvec AS (
-  SELECT m.tweet_id AS qid, {_norm_vec('e.embedding')} AS v
-  FROM messages m JOIN embeddings e ON e.vec_id = m.n WHERE m.n < {CORPUS_FROM})"""
+  SELECT qid, {_norm_vec('raw_v')} AS v
+  FROM (SELECT qid, {_counts('b')} AS raw_v
+        FROM (SELECT m.tweet_id AS qid, {_buckets('m.text')} AS b FROM messages m)))"""
 
 SQL_CVEC = f"""cvec AS (
-  SELECT c.case_id, {_norm_vec('e.embedding')} AS v
-  FROM cases c JOIN embeddings e ON e.vec_id = c.case_id WHERE e.vec_id >= {CORPUS_FROM})"""
+  SELECT case_id, {_norm_vec('raw_v')} AS v
+  FROM (SELECT case_id, {_counts('b')} AS raw_v
+        FROM (SELECT c.case_id, {_buckets('c.customer_text')} AS b FROM cases c)))"""
 
 SQL_HITS = f"""hits AS (
   SELECT qid, rank, case_id, score FROM (

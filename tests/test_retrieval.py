@@ -52,3 +52,38 @@ def test_normalise_keeps_zero_vector(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id int, v array<float>")
     out = {r.id: r.v for r in R.l2_normalise(df, "v").collect()}
     assert out[1] == pytest.approx([0.6, 0.8]) and out[2] == [0.0, 0.0]
+
+
+def test_text_vectors_match_python(spark):
+    import hashlib
+
+    import regex
+
+    from supportflow.operators import features as FT
+    rows = [(1, "Hello hello World!"), (2, None), (3, "a b c"), (4, "Élan vital, élan")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r.v for r in FT.text_vectors(df, "text", "v", dim=16).collect()}
+    for i, t in rows:
+        toks = regex.findall(r"[\p{L}\p{N}_]{2,}", (t or "").lower())
+        want = np.bincount([int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % 16 for x in toks],
+                           minlength=16).astype(float)
+        assert got[i] == list(want)
+    assert sum(got[1]) == 3 and sum(got[2]) == 0 and sum(got[4]) == 3
+
+
+@pytest.mark.parametrize("blocks", [(1, 1), (2, 3)])
+def test_exclude_self_leave_one_out(spark, blocks):
+    rng = np.random.default_rng(11)
+    V = rng.normal(size=(30, 6))
+    V /= np.linalg.norm(V, axis=1, keepdims=True)
+    ids = list(range(30))
+    q = _frame(spark, ids, V, "qid", "qvec")
+    c = _frame(spark, ids, V, "case_id", "vec")
+    hits = R.top_k(q, c, k=2, query_blocks=blocks[0], corpus_blocks=blocks[1], exclude_self=True).collect()
+    got = {}
+    for h in sorted(hits, key=lambda h: (h.qid, h.rank)):
+        got.setdefault(h.qid, []).append(h.case_id)
+    for i in ids:
+        s = V @ V[i]
+        order = [j for j in sorted(ids, key=lambda j: (-s[j], j)) if j != i][:2]
+        assert got[i] == order
