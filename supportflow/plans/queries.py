@@ -315,7 +315,7 @@ def q_head_n(spark, sf):
 
 @register("message_positions")
 def q_message_positions(spark, sf):
-    return W.messages(spark, sf).select("tweet_id", "n")
+    return W.message_positions(spark, sf)
 
 
 # ---------------------------------------------------------------- replies and agent
@@ -563,15 +563,13 @@ def q_stream_scoring(spark, sf):
 @register("stream_agent")
 def q_stream_agent(spark, sf):
     """Per micro-batch, the whole agent against static corpus tables; equals the batch job."""
-    positions = W.messages(spark, sf).select("tweet_id", "n")
     cs = W.cases(spark, sf)
     cv = W.case_vectors(spark, sf, cs)
     raw = W.raw_replies(spark, sf)
 
     def batch_fn(batch):
         msgs = (batch.filter(F.col("role") == "user")
-                .select((F.col("conv_id") * 1000 + F.col("turn")).alias("tweet_id"), "text")
-                .join(positions, "tweet_id"))
+                .select((F.col("conv_id") * 1000 + F.col("turn")).alias("tweet_id"), "text"))
         hs = R.top_k(W.message_vectors(spark, sf, msgs), cv, k=W.K)
         return RP.agent_batch(msgs.select("tweet_id", "text"), hs, cs, raw, BRAND, L.STAND_IN, P.stand_in_v2())
 

@@ -1,9 +1,10 @@
 """Derived tables shared by the registered queries (stand-in mapping of SURVEY §7.4).
 
 * tweets: ``conversations`` as a tweet dump (``sources.adapters``).
-* messages: user turns; message number ``n`` in (conv_id, turn) order, from 0.
-* cases: the case corpus built from the tweets; ``case_id = CORPUS_FROM + m`` where ``m``
-  is the case's position in ``customer_tweet_id`` order.
+* messages: user turns (a pruned, filtered scan; cheaper to re-read than to write out).
+  Their number ``n`` in (conv_id, turn) order is the G4 query ``message_positions`` only.
+* cases: the case corpus built from the tweets, keyed by ``case_id = customer_tweet_id``
+  (unique after keep-first), so no global ordering is needed to key it.
 * vectors: every message and every case gets the J1 text vector of its (customer) text,
   L2-normalised (J2), so retrieval covers all messages against the whole corpus. (The
   ``embeddings`` table is too small to give each message and case a vector of its own; it
@@ -26,7 +27,6 @@ from supportflow.session import ensure_checkpoint_dir
 from supportflow.sources.adapters import BRAND, customer_messages, tweets_from_conversations
 from supportflow.sources.tables import read_table
 
-CORPUS_FROM = 250          # case ids start here
 K = 5
 
 
@@ -42,17 +42,20 @@ def _materialize(df: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """``tweet_id, conv_id, turn, text, n``."""
-    return _materialize(with_position(customer_messages(read_table(spark, sf, "conversations")),
-                                      ["conv_id", "turn"], name="n"))
+    """``tweet_id, conv_id, turn, text``."""
+    return customer_messages(read_table(spark, sf, "conversations"))
+
+
+def message_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """``tweet_id, n``: message number in (conv_id, turn) order, from 0."""
+    return with_position(messages(spark, sf), ["conv_id", "turn"], name="n").select("tweet_id", "n")
 
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
-    """Case corpus with ``case_id``."""
+    """Case corpus with ``case_id`` (written once: several consumers read it)."""
     tw = tweets(spark, sf)
     cs = C.build_cases(C.linked_messages(tw, BRAND), tw, BRAND)
-    return _materialize(with_position(cs, ["customer_tweet_id"], name="m")
-                        .withColumn("case_id", F.col("m") + F.lit(CORPUS_FROM)).drop("m"))
+    return _materialize(cs.withColumn("case_id", F.col("customer_tweet_id")))
 
 
 GOLDEN_N = 50
@@ -131,7 +134,7 @@ SQL_CASES_RAW = f"""cases_raw AS (
   WHERE rn = 1)"""
 
 SQL_CASES = f"""cases AS (
-  SELECT *, {CORPUS_FROM} + row_number() OVER (ORDER BY customer_tweet_id) - 1 AS case_id
+  SELECT *, customer_tweet_id AS case_id
   FROM cases_raw WHERE customer_text <> '' AND brand_reply <> '')"""
 
 SQL_MESSAGES = """messages AS (
