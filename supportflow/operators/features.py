@@ -10,7 +10,8 @@ Plan: documents are hash-partitioned by ``doc_id`` once (shuffling text is cheap
 shuffling term rows), so counting ``(doc_id, term)`` and the per-document norm need no
 further exchange; document frequency is one map-side-combined aggregation by term (a very
 common term costs one partial row per task); the vocabulary, at most ``max_features``
-rows, is broadcast. The ``(doc_id, term)`` counts feed both the vocabulary and the weights,
+rows and cut exactly by ``top_terms`` (never a global ``orderBy().limit()``), is broadcast.
+The ``(doc_id, term)`` counts feed both the vocabulary and the weights,
 so tokenization runs in both branches over one reused text exchange; measured at sf0.1,
 checkpointing the counts (8M rows) or a separate distinct-term vocabulary pass both cost
 more than the second tokenization.
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportflow.functions.text import WORD
+from supportflow.operators.sampling import with_position
+from supportflow.session import ensure_checkpoint_dir
 
 TOKEN_RE = f"[{WORD}]{{2,}}"
 
@@ -42,14 +45,38 @@ def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bigrams, F.array().cast("array<string>")))).alias("term"))
 
 
+def top_terms(stats: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of ``stats(term, total, ...)`` with the largest ``total`` (ties: smaller
+    ``term``); all rows when there are fewer.
+
+    Exact, and no task ever holds ``n`` rows from every partition (``orderBy().limit(n)``
+    funnels ``n`` rows per partition into one task): terms are counted per distinct total,
+    a running count over that table gives each total the number of terms above it, and only
+    the one total that straddles ``n`` is ranked by term, through distributed positions. The
+    per-total table is small by construction: d distinct totals need at least
+    1 + 2 + ... + d occurrences, so d <= sqrt(2 * occurrences).
+    """
+    per_total = stats.groupBy("total").agg(F.count(F.lit(1)).alias("__c"))
+    above = per_total.withColumn("__above", F.coalesce(F.sum("__c").over(
+        Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    j = stats.join(above, "total")
+    whole = j.filter(F.col("__above") + F.col("__c") <= n)
+    edge = j.filter((F.col("__above") < n) & (F.col("__above") + F.col("__c") > n))
+    cut = (with_position(edge, ["term"], name="__p")
+           .filter(F.col("__p") < F.lit(n) - F.col("__above")).drop("__p"))
+    return whole.unionByName(cut).drop("__c", "__above")
+
+
 def tfidf(docs: DataFrame, min_df: int = 2, max_features: int = 100000, sublinear: bool = True,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, term, weight`` for vocabulary terms (documents without one give no rows)."""
     n_docs = docs.count()
     tf = terms(docs, id_col, text_col).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    vocab = (stats.filter(F.col("df") >= min_df)
-             .orderBy(F.desc("total"), F.asc("term")).limit(max_features)
+    # one row per kept term (far fewer than (doc, term) rows), read by every step of the cut
+    ensure_checkpoint_dir(docs.sparkSession)
+    kept = stats.filter(F.col("df") >= min_df).checkpoint()
+    vocab = (top_terms(kept, max_features)
              .select("term", (F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df")))
                               + F.lit(1.0)).alias("idf")))
     tfw = F.lit(1.0) + F.log(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")

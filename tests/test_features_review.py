@@ -128,3 +128,12 @@ def test_error_split(spark):
     df = spark.createDataFrame([(1, "ERROR"), (2, "app_media_issue"), (3, None), (4, "ERROR")], "id long, intent string")
     assert {r.status: r.n for r in RV.error_split(df).collect()} == {"error": 2, "valid": 2}
     assert sorted(r.id for r in RV.valid_rows(df).collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 7, 50])
+def test_top_terms_exact_with_ties(spark, n):
+    rows = [("a", 5), ("b", 3), ("c", 3), ("d", 3), ("e", 1), ("f", 1), ("g", 9)]
+    stats = spark.createDataFrame(rows, "term string, total long").repartition(3)
+    got = sorted(r.term for r in FT.top_terms(stats, n).collect())
+    want = sorted(t for t, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:n])
+    assert got == want
