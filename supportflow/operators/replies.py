@@ -122,6 +122,25 @@ def first_response(raw_responses: DataFrame) -> DataFrame:
             .agg(F.min_by("raw", "attempt").alias("raw")))
 
 
+def hit_features(hits: DataFrame, cases: DataFrame, brand: str) -> DataFrame:
+    """Per query, from one join of the hits with their cases and one aggregation: ``qid,
+    n_hits, top_score`` (J8 / F15), ``n_cases, n_blocks`` (N1), ``top_reply`` (the rank-1
+    case's reply) and ``evidence`` (F14). The same values as ``hit_summary``,
+    ``prompt_table`` and ``evidence_strings``, for the agent that needs them all: the hits
+    are shuffled once instead of four times (at most k rows per query are collected)."""
+    hc = hits.join(cases.select("case_id", "customer_text", "brand_reply")
+                   .withColumn("__in", F.lit(True)), "case_id", "left")
+    matched = F.col("__in").isNotNull()
+    br = py_strip(F.coalesce("brand_reply", F.lit("")))
+    return hc.groupBy("qid").agg(
+        F.count(F.lit(1)).alias("n_hits"), F.max("score").alias("top_score"),
+        F.count_if(matched).alias("n_cases"), F.count_if(matched & (br != "")).alias("n_blocks"),
+        F.max(F.when(matched & (F.col("rank") == 1), F.col("brand_reply"))).alias("top_reply"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(
+            F.when(matched, F.struct(F.col("rank"), R.evidence_line(brand).alias("e"))))),
+            lambda s: s["e"]), " || ").alias("evidence"))
+
+
 def agent_batch(messages: DataFrame, hits: DataFrame, cases: DataFrame, raw_responses: DataFrame,
                 brand: str, lex: L.Lexicon, policy: P.Policy, key: str = "tweet_id") -> DataFrame:
     """N4 + N5: the whole agent over a message table, one output row per input row.
@@ -132,15 +151,11 @@ def agent_batch(messages: DataFrame, hits: DataFrame, cases: DataFrame, raw_resp
     ``ERROR`` rows: intent and decision 'ERROR', confidence 0, reply '').
     """
     cl = L.classify(messages.select(key, "text"), "text", lex)
-    summ = R.hit_summary(cl, hits, key=key)
-    top1 = (hits.filter(F.col("rank") == 1).join(cases.select("case_id", "brand_reply"), "case_id")
-            .select(F.col("qid").alias(key), F.col("brand_reply").alias("top_reply")))
-    prompts = prompt_table(cl, hits, cases, brand, key=key).select(key, "n_cases", "n_blocks")
+    feats = hit_features(hits, cases, brand).withColumnRenamed("qid", key)
     cleaned = clean_replies(first_response(raw_responses).withColumnRenamed("id", key), "raw", brand)
-    ev = R.evidence_strings(hits, cases, brand).withColumnRenamed("qid", key)
-    base = (summ.join(prompts, key, "left").join(top1, key, "left")
-            .join(cleaned.select(key, "reply"), key, "left")
-            .join(ev.select(key, "evidence"), key, "left"))
+    base = (cl.join(feats, key, "left")
+            .withColumn("n_hits", F.coalesce(F.col("n_hits"), F.lit(0)))
+            .join(cleaned.select(key, "reply"), key, "left"))
     base = grounded_reply(base, brand)
     dec = P.decide(base, policy)
     ok = F.col("text").isNotNull()

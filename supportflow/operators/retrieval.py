@@ -131,15 +131,19 @@ def hit_summary(queries: DataFrame, hits: DataFrame, key: str = "qid") -> DataFr
             .withColumn("n_hits", F.coalesce(F.col("n_hits"), F.lit(0))))
 
 
+def evidence_line(brand: str) -> Column:
+    """``Similarity s | Customer: ... | <brand>: ...`` of a hit row joined to its case."""
+    return F.format_string(f"Similarity %s | Customer: %s | {brand.replace('%', '%%')}: %s",
+                           fmt_fixed("score", 4), py_strip(F.coalesce("customer_text", F.lit(""))),
+                           py_strip(F.coalesce("brand_reply", F.lit(""))))
+
+
 def evidence_strings(hits: DataFrame, cases: DataFrame, brand: str) -> DataFrame:
     """J9 + C7 + F14: hit rows joined to case text by ``case_id`` (never by position), one
     ``Similarity s | Customer: ... | <brand>: ...`` string per hit, and the ordered
     ``" || "`` join per query (at most k strings per query)."""
     ev = (hits.join(cases.select("case_id", "customer_text", "brand_reply"), "case_id")
-          .withColumn("evidence", F.format_string(
-              f"Similarity %s | Customer: %s | {brand.replace('%', '%%')}: %s",
-              fmt_fixed("score", 4), py_strip(F.coalesce("customer_text", F.lit(""))),
-              py_strip(F.coalesce("brand_reply", F.lit(""))))))
+          .withColumn("evidence", evidence_line(brand)))
     return (ev.groupBy("qid")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "evidence"))),
                                           lambda s: s["evidence"]), " || ").alias("evidence"),
