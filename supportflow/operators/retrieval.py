@@ -62,7 +62,7 @@ def _topk_rows(S: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _block_topk(k: int, chunk: int = 512, exclude_self: bool = False):
+def _block_topk(k: int, chunk: int = 128, exclude_self: bool = False):
     empty = {"qid": pd.Series([], dtype="int64"), "rank": pd.Series([], dtype="int32"),
              "case_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")}
 
@@ -75,7 +75,7 @@ def _block_topk(k: int, chunk: int = 512, exclude_self: bool = False):
         qv = q["qvec"].to_numpy()
         kk = min(k, len(ids))
         out = []
-        for s in range(0, len(q), chunk):          # bounded memory: chunk x |corpus block|
+        for s in range(0, len(q), chunk):          # scores: chunk x |corpus block| doubles (50 MB at 50k)
             Q = np.stack(qv[s:s + chunk]).astype(np.float64, copy=False)
             S = Q @ C.T
             if exclude_self:                       # a row never retrieves itself

@@ -21,6 +21,35 @@ BASE_CONF = {
 }
 
 
+def cluster_settings(input_bytes: int, executor_cores: int = 1000 * 4) -> dict:
+    """Settings for a cluster run over ``input_bytes`` of input (pass them to the session
+    builder or spark-submit; ``spark.checkpoint.dir`` must name a shared folder as well).
+
+    Scan splits of 512 MB; about one shuffle partition per 2 GB of input, at least two waves
+    of tasks and at most 50,000 partitions (the map x reduce block count grows with the
+    product, and AQE splits what turns out skewed); AQE coalesces small partitions
+    towards 128 MB at run time and splits skewed join partitions (five times the median and
+    over 512 MB). Broadcasts stay behind the planner's size check (10 MB); the library only
+    forces a broadcast for tables with a stated bound.
+    """
+    parts = min(50000, max(2 * executor_cores, -(-input_bytes // (2 << 30))))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(512 << 20),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(10 << 20),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+
+
 def get_spark(cpus: int | str = "*", shuffle_partitions: int | None = None,
               app: str = "supportflow", extra: dict | None = None) -> SparkSession:
     """Local session for tests and the bench; on a cluster use the cluster's session."""
