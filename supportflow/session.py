@@ -70,23 +70,32 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``supportflow`` importable on every executor's Python workers (the pandas steps
-    run library code there): the package is zipped once per application and added with
-    ``addPyFile``, the same as ``--py-files``. The zip is a driver-side artifact; Spark's
-    file server hands it to the executors."""
+    run library code there): the package is zipped in memory once per application, written
+    into the shared checkpoint folder and added with ``addPyFile``, as ``--py-files`` would."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    import io
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    out = os.path.join(tempfile.mkdtemp(prefix="supportflow-pyfiles-"), "supportflow.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(pkg):
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(folder, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(out)
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pyfiles/supportflow.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
 
 
