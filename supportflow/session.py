@@ -68,10 +68,21 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int | None = None,
 _SHIPPED: set[str] = set()
 
 
+def _workers_see_package(sc, root: str) -> bool:
+    """Local mode only: workers start in the driver's working folder with its PYTHONPATH."""
+    if not sc.master.startswith("local"):
+        return False
+    paths = [os.getcwd()] + [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    return any(os.path.realpath(p) == os.path.realpath(root) for p in paths)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``supportflow`` importable on every executor's Python workers (the pandas steps
-    run library code there): the package is zipped in memory once per application, written
-    into the shared checkpoint folder and added with ``addPyFile``, as ``--py-files`` would."""
+    run library code there). On a cluster, and in local mode when the workers' folder and
+    path do not hold the package, it is zipped in memory, written into the shared checkpoint
+    folder and added with ``addPyFile``, as ``--py-files`` would. (A local run from the
+    repository skips it: imports from a zip cannot cache compiled modules.) Once per
+    application."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -79,6 +90,9 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
+    if _workers_see_package(sc, root):
+        _SHIPPED.add(sc.applicationId)
+        return
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(pkg):
