@@ -98,13 +98,17 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, block_rows: int = 5
     """``queries(qid, qvec)`` x ``corpus(case_id, vec)`` -> ``qid, rank, case_id, score``.
 
     Fewer than ``k`` corpus rows give fewer hits (no padding). Block counts default to
-    ``ceil(rows / block_rows)`` from two counts of the inputs. The hits (``k`` rows per
+    ``ceil(rows / block_rows)`` from one counting job over both inputs. The hits (``k`` rows per
     query) are checkpointed into the cluster's checkpoint folder unless ``materialize`` is
     off: every consumer then reads them instead of re-running the all-pairs step. With
     ``exclude_self`` a query never retrieves the corpus row of the same id (leave-one-out).
     """
-    bq = query_blocks or max(1, math.ceil(queries.count() / block_rows))
-    bc = corpus_blocks or max(1, math.ceil(corpus.count() / block_rows))
+    if query_blocks is None or corpus_blocks is None:      # both sizes from one job
+        sizes = {r["side"]: r["n"] for r in (
+            queries.select(F.lit("q").alias("side")).unionByName(corpus.select(F.lit("c").alias("side")))
+            .groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect())}
+    bq = query_blocks or max(1, math.ceil(sizes.get("q", 0) / block_rows))
+    bc = corpus_blocks or max(1, math.ceil(sizes.get("c", 0) / block_rows))
     q = (queries.select(F.col("qid").cast("long"), F.col("qvec"))
          .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq)))
          .withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bc - 1).cast("long")))))
