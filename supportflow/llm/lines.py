@@ -129,14 +129,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the stretches cut out of the texts and ``removed`` (array of ``start, end``
-    in the original text). The rows are written once with a number of their own, so that the
+                   min_words: int = MIN_WORDS, prefix: str = "") -> DataFrame:
+    """``docs`` with the stretches cut out of the texts and ``removed`` (after ``prefix``; array
+    of ``start, end`` in the original text). The rows are written once with a number of their own, so that the
     stretches find their row again whatever its id."""
     prepare(docs.sparkSession)
     numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     cut = (repeats(units(numbered, id_col, text_col, "__row"), min_words).groupBy(F.col("row").alias("__r"))
-           .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed")))
+           .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut")))
     out = numbered.join(cut, F.col("__row") == F.col("__r"), "left")
 
     @F.pandas_udf("string")
@@ -153,7 +153,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return "".join([*pieces, t[at:]])
         return pd.Series([one(t, s) for t, s in zip(texts, stretches)], dtype=object)
 
-    text = F.when(F.col("removed").isNotNull(), without(F.col(text_col), F.col("removed"))).otherwise(F.col(text_col))
+    text = F.when(F.col("__cut").isNotNull(), without(F.col(text_col), F.col("__cut"))).otherwise(F.col(text_col))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return out.withColumn("__new", text).select(
         *[F.col("__new").alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed"))
+        F.coalesce("__cut", none).alias(prefix + "removed"))

@@ -1,0 +1,498 @@
+"""Operators against brute force, held-out accuracy and exact round trips, on small tables and
+with bounds small enough that the paths for large groups run too."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from cases import docs, prose
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from supportflow.llm import (common, decontaminate, language, licenses, lines, mixing, near_dedup, pii, quality,
+                             sharding, warc)
+from supportflow.llm import textkit as K
+from supportflow.plans import check
+
+SF = "/root/testdata/sf0.001"
+SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def table_of(spark, texts, sources=None):
+    return docs(spark, [(i, t, None, (sources or {}).get(i, f"s{i % 3}"), None) for i, t in enumerate(texts)])
+
+
+# -- registered queries against their SQL -------------------------------------------------------
+
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_warc", "op3_sharding", "op5_decontamination", "op6_licenses"])
+def test_query_matches_oracle(spark, name):
+    from supportflow.llm.oracle import oracle_sql
+    from supportflow.llm.queries import queries
+    out = queries()[name](spark, SF)
+    res = check.duck(SF).execute(oracle_sql()[name])
+    cols = [c[0] for c in res.description]
+    assert sorted(cols) == sorted(out.columns)
+    assert check._rows(out.columns, [tuple(r) for r in out.collect()]) == check._rows(cols, res.fetchall())
+
+
+# -- text kit -----------------------------------------------------------------------------------
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB éß1.\n\t日", max_size=30)), max_size=6))
+def test_words_are_those_of_the_pattern(texts):
+    data, offsets = K.text_bytes(pa.array(texts, pa.string()))
+    for word, pattern in ((K.NON_SPACE, SPACE_WORD), (K.ALNUM, ALNUM_WORD)):
+        w = K.Words(data, offsets, word, lower=True)
+        got = [[] for _ in texts]
+        for r, s, e in zip(w.row, w.start, w.end):
+            got[r].append(w.data[s:e].tobytes().decode())
+        assert got == [pattern.findall((t or "").translate(AZ)) for t in texts]
+        h = w.hashes()
+        names = [x for row in got for x in row]
+        assert len(set(zip(names, h.tolist()))) == len(set(names)) == len(set(h.tolist()))
+
+
+# -- 1 mixing -----------------------------------------------------------------------------------
+
+def test_mixing_targets_and_repeats(spark):
+    texts = [" ".join(["w"] * n) for n in random.Random(1).choices(range(0, 40), k=600)]
+    sources = {i: None if i % 11 == 0 else ("hot" if i % 2 else f"s{i % 5}") for i in range(600)}
+    d = table_of(spark, texts, sources)
+    rows = mixing.taken_words(d).collect()
+    assert len(rows) == 600 and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    taken, target, size = Counter(), {}, Counter()
+    for r in rows:
+        s = sources[r["doc_id"]]
+        taken[s] += r["taken"]
+        size[s] += r["size"]
+        target[s] = r["target"]
+        assert r["size"] == len(SPACE_WORD.findall(texts[r["doc_id"]]))
+    assert all(taken[s] == int(target[s]) and target[s] <= 2 * size[s] for s in target)
+    assert sum(target.values()) == pytest.approx(1.5 * sum(size.values()))
+    assert sorted(map(tuple, mixing.taken_words(d.repartition(7)).collect())) == sorted(map(tuple, rows))
+    whole = Counter(r["doc_id"] for r in mixing.mix_documents(d).collect())
+    assert {i: n for i, n in whole.items()} == {r["doc_id"]: -(-r["taken"] // r["size"]) for r in rows if r["taken"]}
+    served = [r["finish"] for r in mixing.mix(d).collect()]
+    assert served == sorted(served)
+
+
+def test_running_sums_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES_IN_ONE_TASK", 3)
+    d = table_of(spark, ["a b c"] * 90, {i: f"s{i % 30:02d}" for i in range(90)})
+    sizes = mixing.sizes_of(d)
+    many = mixing.source_targets(sizes).collect()
+    monkeypatch.setattr(mixing, "SOURCES_IN_ONE_TASK", 100)
+    assert sorted(map(tuple, many)) == sorted(map(tuple, mixing.source_targets(sizes).collect()))
+    run = common.running_sums(spark.range(50_000).select(F.col("id").alias("k"), F.lit(1).alias("one"), F.lit("x").alias("more")),
+                              ["k"], {"p": "one"})
+    assert run.filter("p != k + 1").count() == 0 and run.count() == 50_000
+
+
+# -- 2 WARC -------------------------------------------------------------------------------------
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 20), max_size=12).map(sorted), max_size=9))
+def test_loser_tree_merges(runs):
+    assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
+
+
+def test_index_is_globally_ordered_and_archives_are_plain_warc(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    path = f"{tmp_path}/archive"
+    warcinfo = warc.write_archives(pages, path)
+    records = common.stored(warc.read_archives(spark, path, warcinfo))
+    index = warc.capture_index(records).collect()
+    keys = [(r["url_key"], r["captured"]) for r in index]
+    assert len(keys) == pages.count() and keys == sorted(keys) and all(r["intact"] for r in index)
+    assert {r["page_id"]: r["payload"] for r in records.collect()} == {r["page_id"]: r["html"] for r in pages.collect()}
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "archive").glob("part-*")))
+    at = n = 0
+    while at < len(raw):                                # read as the WARC standard says
+        head, _, rest = raw[at:].partition(b"\r\n\r\n")
+        assert head.startswith(b"WARC/1.1\r\n")
+        length = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
+        assert rest[length:length + 4] == b"\r\n\r\n"
+        at, n = at + len(head) + length + 8, n + 1
+    assert n == pages.count()
+
+
+def test_many_equal_payloads(spark):
+    rows = [(i, f"http://h.example/{i % 7}", "same" if i % 3 else f"own {i}") for i in range(300)] * 2
+    out = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    first = {}
+    for i, _, h in sorted(rows):
+        first.setdefault(h, i)
+    assert len(out) == 600 and sum(r["record_type"] == "response" for r in out) == len(first)
+    html = {i: h for i, _, h in rows}
+    assert all(r["refers_to"] == (None if r["record_type"] == "response" else first[html[r["page_id"]]]) for r in out)
+
+
+# -- 3 sharding ---------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("limit", [50, 400, 5_000, 10**9])
+def test_sharding_splits_only_what_is_too_large(spark, limit):
+    texts = prose(400, 3) + ["x" * 3000, "same text"] + ["copies"] * 40
+    d = table_of(spark, texts)
+    rows = [(r["shard"], r["bytes"], r["shard_bytes"], r["oversized"]) for r in sharding.with_shard(d, limit).collect()]
+    size = Counter()
+    for s, b, _, _ in rows:
+        size[s] += b
+    assert len(rows) == len(texts) and all(size[s] == b and over == (b > limit) for s, _, b, over in rows)
+    names = set(size)
+    assert not any(a != b and b.startswith(a) for a in names for b in names)
+    parents = {s[:-1] for s in names if s}
+    assert all(sum(b for s, b in size.items() if s.startswith(p)) > limit for p in parents)
+    assert all(b <= limit or len(s) == sharding.BITS for s, b in size.items())
+
+
+def test_written_shards_hold_every_row(spark, tmp_path):
+    d = table_of(spark, prose(200, 4))
+    path = sharding.write_shards(d, f"{tmp_path}/shards", 4_000)
+    assert sorted(map(str, spark.read.parquet(path).select(*d.columns).collect())) == sorted(map(str, d.collect()))
+    assert all(len(list(p.glob("part-*"))) == 1 for p in (tmp_path / "shards").glob("shard=*"))
+
+
+# -- 4 personal data ----------------------------------------------------------------------------
+
+PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+            ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in PATTERNS:
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(d) <= 19 and sum(
+                    sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.one_of(st.text(alphabet="a1@.+-_ (0é%2345", max_size=60), st.lists(st.sampled_from(
+    ["a.b@c-d.org", "@", "x@y", "10.0.255.1", "256.1.1.1", ".7", "4111 1111 1111 1111", "-1", "+1 (555) 123-4567", " ", "é"]),
+    max_size=8).map("".join)))
+def test_base_spans(text):
+    assert pii.base_spans(text) == brute_spans(text)
+
+
+def leaky():
+    """An address that goes with a code word in changing contexts, and one that does not."""
+    rng = random.Random(5)
+    out = []
+    for i in range(60):
+        filler = [rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(rng.randint(0, 9)) for _ in range(12)]
+        if i % 4 == 0:
+            filler[rng.randint(2, 9)] = "Zanzibar"
+            filler.append("boss@corp.example")
+        elif i % 4 == 1:
+            filler.append("info@corp.example")
+        out.append(" ".join(filler))
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [200_000, 2])
+def test_disclosed_terms_by_brute_force(spark, block_rows):
+    texts = leaky() + [None, ""]
+    d = table_of(spark, texts)
+    n = len(texts)
+    n_t, n_e, n_te, ctx = Counter(), Counter(), Counter(), defaultdict(set)
+    for t in texts:
+        spans = brute_spans(t or "")
+        own = {f"{k}:{t[s:e].lower()}" for k, s, e in spans}
+        words = [m[0] for m in ALNUM_WORD.finditer((t or "").translate(AZ))]
+        outside = [w for w, _, _ in pii.outside(t or "", spans)]
+        n_t.update(set(words))
+        n_e.update(own)
+        for e in own:
+            n_te.update({(e, w) for w in outside})
+            for a, w, b in zip(["", *outside], outside, [*outside[1:], ""]):
+                ctx[e, w].add((a, b))
+    want = {}
+    for (e, w), c in n_te.items():
+        if n_e[e] >= 3 and len(ctx[e, w]) >= 3:
+            share = np.log(n * c / (n_t[w] * n_e[e])) / np.log(n / n_e[e])
+            if share >= 0.7:
+                want[e, w] = round(share, 9)
+    found = pii.disclosures(d)
+    assert {(r["entity"], r["term"]): round(r["disclosed"], 9) for r in found.collect()} == want
+    assert ("email:boss@corp.example", "zanzibar") in want
+    rows = {r["doc_id"]: r for r in pii.find(d, found, block_rows=block_rows).collect()}
+    for i, t in enumerate(texts):
+        base = brute_spans(t or "")
+        terms = {w for e in {f"{k}:{t[s:x].lower()}" for k, s, x in base} for (y, w) in want if y == e}
+        extra = [f"term:{s}:{e}" for w, s, e in pii.outside(t or "", base) if w in terms]
+        assert rows[i]["spans"] == ",".join([f"{k}:{s}:{e}" for k, s, e in base] + extra)
+        assert rows[i]["base"] == ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        if i % 4 == 0 and i < 60:
+            assert "Zanzibar" not in rows[i]["sanitised"] and "[EMAIL]" in rows[i]["sanitised"]
+        elif not base:
+            assert rows[i]["sanitised"] == t
+
+
+def test_long_runs_are_linear(spark):
+    for t in ("a" * 300_000, "1" * 300_000, "+1" + "(" * 300_000, "1." * 100_000, "a@" * 100_000):
+        pii.base_spans(t)
+
+
+# -- 5 decontamination --------------------------------------------------------------------------
+
+def brute_hits(texts, items):
+    windows = defaultdict(set)
+    for k, t in items:
+        w = ALNUM_WORD.findall((t or "").translate(AZ))
+        for i in range(max(0, len(w) - 9) or bool(w)):
+            windows[tuple(w[i:i + 10])].add(k)
+    out = []
+    for t in texts:
+        w = ALNUM_WORD.findall((t or "").translate(AZ))
+        hit, own = set(), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i:i + n]) in windows:
+                    hit.update(range(i, i + n))
+                    own |= windows[tuple(w[i:i + n])]
+        out.append((len(w), len(hit), sorted(own)))
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [500_000, 7])
+def test_benchmark_hits(spark, block_rows):
+    texts = prose(60, 8)
+    items = [(str(i), t) for i, t in enumerate([texts[3][40:220], texts[9][:90], "Lone", "two words", "", texts[3][40:220], texts[20]])]
+    texts += [f"{texts[3][40:220].upper() if i % 2 else texts[3][40:220]} lone {i}" for i in range(5)]
+    d = table_of(spark, texts)
+    found = decontaminate.scan(d, spark.createDataFrame(items, "item_id string, text string"), block_rows=block_rows)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in found.collect()}
+    assert got == dict(enumerate(brute_hits(texts, items)))
+    cut = decontaminate.decontaminate(d, spark.createDataFrame(items, "item_id string, text string"), mode="span")
+    cut = {r["doc_id"]: r["text"] for r in cut.collect()}
+    for i, t in enumerate(texts):
+        assert (cut[i] == t) == (got[i][1] == 0)
+        assert len(ALNUM_WORD.findall(cut[i].translate(AZ))) == got[i][0] - got[i][1]
+
+
+# -- 6 licences ---------------------------------------------------------------------------------
+
+def test_license_texts_survive_layout_case_and_spelling(spark):
+    from supportflow.llm.license_texts import LICENSES
+    mit = LICENSES["MIT"].replace("<year> <copyright holders>", "1999 Someone Else")
+    texts = [mit, mit.upper(), "# " + mit.replace("\n", "\n# "), LICENSES["ISC"].replace("license", "licence").replace("License", "Licence"),
+             mit + " and more", "Intro.\n Released under the MIT Licence!\nEnd.", "© 2020 X\nlicensed under CC BY 4.0", ""]
+    rows = {r["doc_id"]: (r["license"], r["line_licenses"]) for r in licenses.scan(table_of(spark, texts), licenses.known_licenses(spark)).collect()}
+    assert [rows[i][0] for i in range(8)] == ["MIT", "MIT", "MIT", "ISC", None, None, "CC-BY-4.0-notice", None]
+    assert rows[5][1] == "MIT-notice" and rows[7][1] == ""
+
+
+# -- 7 language ---------------------------------------------------------------------------------
+
+def test_language_on_held_out_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    d = d.withColumn("held_out", language.is_held_out(F.col("doc_id")))
+    rows = language.predict(d, language.train(d.filter(~F.col("held_out")))).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    assert np.mean([r["lang_pred"] == r["lang"] for r in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    calibration = abs(np.mean([r["score"] for r in held]) - np.mean([r["lang_pred"] == r["lang"] for r in held]))
+    assert calibration < 0.05
+
+
+def test_counts_of_pieces_and_batches_agree(monkeypatch):
+    texts = [t for t in prose(30, 9) if t] + ["ÀÉ", "a"]
+    whole = [dict(zip(*map(list, c))) for c in language.all_counts(texts)]
+    assert whole == [dict(zip(*map(list, next(language.all_counts([t]))))) for t in texts]
+    monkeypatch.setattr(language, "PIECE", 7)
+    assert whole == [dict(zip(*map(list, c))) for c in language.all_counts(texts)]
+
+
+def test_no_language_known(spark):
+    assert [tuple(r) for r in language.predict(table_of(spark, ["some text", "123", None]), language.train(
+        table_of(spark, ["x"]))).select("lang_pred", "score").collect()] == [("und", 0.0)] * 3
+
+
+# -- 8 near duplicates --------------------------------------------------------------------------
+
+def shingles(text):
+    w = SPACE_WORD.findall((text or "").translate(AZ))
+    return {tuple(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+
+
+def brute_components(ids, texts):
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(ids)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a in range(len(ids)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)), key=lambda i: ids[i])
+                parent[y] = x
+    return [(len(sets[i]), ids[root(i)]) for i in range(len(ids))]
+
+
+def cloud(seed=11, n=64):
+    """Originals with copies that differ by growing numbers of words, chains among them."""
+    rng = random.Random(seed)
+    out = []
+    for base in prose(4, seed, 90):
+        words = base.split()
+        for k in range(n // 4):
+            own = list(words)
+            for _ in range(rng.randint(0, 5)):
+                if own:
+                    own[rng.randrange(len(own))] = f"new{rng.randint(0, 3)}"
+            out.append(" ".join(own))
+            if k % 3 == 0:
+                words = own
+    return out + prose(25, seed + 1) + ["one two", "One  two", "", None, "one"]
+
+
+@pytest.mark.parametrize("block,hubs", [(2048, 64), (5, 2)])
+def test_components_by_brute_force(spark, block, hubs):
+    texts = cloud()
+    order = list(range(len(texts)))
+    random.Random(2).shuffle(order)
+    d = docs(spark, [(i, texts[i], None, None, None) for i in order]).repartition(6)
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(d, block=block, hubs=hubs).collect()}
+    want = dict(enumerate(brute_components(list(range(len(texts))), texts)))
+    assert got == want
+    assert len({c for _, c in want.values()}) < len(texts) - 20
+    kept = sorted(r["doc_id"] for r in near_dedup.dedup(d, block=block, hubs=hubs).collect())
+    assert kept == sorted(i for i in want if want[i][1] == i)
+
+
+def test_driver_table_by_brute_force(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in d.collect())
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(d).collect()}
+    assert got == dict(zip([i for i, _ in rows], brute_components([i for i, _ in rows], [t for _, t in rows])))
+
+
+def test_components_of_paths_and_stars(spark):
+    links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(300, 340)] + [(7, 5), (160, 7), (900, 901)]
+    got = {r["v"]: r["c"] for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {got[v] for a, b in links[:-1] for v in (a, b)} == {5} and got[901] == got[900] == 900
+
+
+# -- 9 line dedup -------------------------------------------------------------------------------
+
+def brute_units(text):
+    out, at = [], 0
+    for m in re.finditer(r"(?s).*?(?:\n|[.!?](?=[ \t\n\x0b\x0c\r])|\Z)", text or ""):
+        words = ALNUM_WORD.findall(m[0].translate(AZ))
+        if words:
+            out.append(tuple(words))
+    return out
+
+
+def test_line_dedup_by_brute_force(spark):
+    shared = "This passage is shared by many documents and has well over twenty words in it. It goes on for a while, then it ends here at last."
+    texts = prose(50, 13) + [f"Own start {i}. {shared.upper() if i % 2 else shared}\nOwn end {i}." for i in range(6)]
+    texts += [f"prefix {i}\nshort line shared\nmore {i}" for i in range(4)] + [f"{shared} {shared}", None, ""]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        run, n = [], 0
+        for k, u in enumerate(brute_units(t)):
+            again = u in seen
+            seen.add(u)
+            if again:
+                run.append(u)
+                n += len(u)
+            if (not again or k == len(brute_units(t)) - 1) and run:
+                if n >= 20:
+                    want.setdefault(i, []).append([w for x in run for w in x])
+                run, n = [], 0
+    found = lines.repeated_passages(table_of(spark, texts)).collect()
+    got = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r["id"], r["start"])):
+        got[r["id"]].append(ALNUM_WORD.findall(texts[r["id"]][r["start"]:r["end"]].translate(AZ)))
+        assert r["n_words"] == len(got[r["id"]][-1])
+    assert got == want and len(want) >= 6
+    cut = {r["doc_id"]: r["text"] for r in lines.remove_repeats(table_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert cut[i] == t if i not in want else shared.lower() not in cut[i].lower()
+    assert cut[51].startswith("Own start 1. ") and cut[51].endswith("Own end 1.")
+
+
+# -- 10 quality ---------------------------------------------------------------------------------
+
+def brute_counts(text):
+    t = text or ""
+    w = SPACE_WORD.findall(t)
+    at = defaultdict(list)
+    for i in range(len(w) - 4):
+        at[tuple(w[i:i + 5])].append(i)
+    hit = {i + k for x in at.values() if len(x) > 1 for i in x for k in range(5)}
+    seen, dups = set(), 0
+    for line in t.split("\n"):
+        if SPACE_WORD.search(line):
+            dups += line in seen
+            seen.add(line)
+    return [len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), dups, len(hit)]
+
+
+def test_counts_by_brute_force():
+    rng = random.Random(21)
+    texts = [None, "", "a a a a a a", " x\n x\nx\n\n", "日本 # é é\n" * 3] + prose(40, 22)
+    texts += ["".join(rng.choice("ab #\n|é") for _ in range(rng.randint(0, 200))) for _ in range(200)]
+    got = quality.batch_statistics(pa.array(texts, pa.string()))[:, :5].astype(int).tolist()
+    assert got == [brute_counts(t) for t in texts]
+
+
+def test_trees_learn_and_respect_the_order():
+    rng = np.random.default_rng(3)
+    x = rng.random((4000, 3))
+    y = ((x[:, 0] + 0.3 * np.sin(9 * x[:, 1]) < 0.6) ^ (rng.random(4000) < 0.05)).astype(float)
+    m = quality.fit(x[:3000], y[:3000], [-1, 0, 0])
+    assert np.mean((m.score(x[3000:]) > 0.5) == y[3000:]) > 0.9
+    grid = np.repeat(x[3000:3100], 50, axis=0)
+    grid[:, 0] = np.tile(np.linspace(0, 1, 50), 100)
+    assert (np.diff(m.score(grid).reshape(100, 50), axis=1) <= 1e-9).all()
+
+
+def test_quality_on_labelled_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    even, odd = labels.filter("doc_id % 2 = 0"), {r["doc_id"]: r["quality"] for r in labels.filter("doc_id % 2 = 1").collect()}
+    rows = quality.quality_rules(d, even).collect()
+    assert np.mean([r["quality_score"] >= 0.5 if odd[r["doc_id"]] else r["quality_score"] < 0.5 for r in rows if r["doc_id"] in odd]) > 0.95
+    assert all(not (r["kept"] and r["base_failed"]) for r in rows)
+
+
+# -- the pipeline -------------------------------------------------------------------------------
+
+def test_pipeline_by_stages(spark):
+    import corpus_pipeline
+    docs_ = spark.read.parquet(f"{SF}/documents.parquet")
+    inputs, states = docs_, []
+    for _, stage in corpus_pipeline.STAGES:
+        inputs = common.stored(stage(spark, inputs, SF))
+        states.append(inputs)
+    rows = lambda d: sorted(tuple(r) for r in d.select("doc_id", "text").collect())
+    first, second, third, fourth, last = map(rows, states)
+    assert set(first) <= set(rows(docs_)) and len(first) >= 0.99 * docs_.count()
+    parts = brute_components([i for i, _ in first], [t for _, t in first])
+    assert [i for i, _ in second] == sorted({c for _, c in parts})
+    items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert third == [r for r, h in zip(second, brute_hits([t for _, t in second], items)) if not h[1]]
+    assert set(fourth) <= set(third) and max(Counter(fourth).values()) <= 2 and last == fourth
+    assert hashlib.md5(str(rows(corpus_pipeline.run(spark, SF))).encode()).hexdigest() == hashlib.md5(str(last).encode()).hexdigest()
