@@ -9,7 +9,7 @@ duplicated key do not parse (they are treated as malformed). Regexes avoid ``\\b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supportflow.functions.text import WORD, after_first, length_between, py_strip, strip_prefixes
@@ -58,6 +58,11 @@ def json_object(x) -> Column:
     return F.when(c.startswith("{") & c.endswith("}"), F.try_parse_json(c))
 
 
+def last_key_wins(spark: SparkSession) -> None:
+    """Let a JSON object with a repeated key parse, keeping the last value."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def json_field(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", "string")
 
@@ -72,11 +77,12 @@ def has_field(v: Column, key: str) -> Column:
 def clean_replies(df: DataFrame, raw_col: str = "raw", brand: str = "AppleSupport") -> DataFrame:
     """N2 on a raw-response table: adds ``reply`` (null when rejected) and ``reject_reason``.
 
-    Order: strip -> JSON object (H17; object without a reply is rejected) -> otherwise text
+    A repeated JSON key keeps its last value. Order: strip -> JSON object (H17; object without a reply is rejected) -> otherwise text
     after ``</think>`` then after ``<think>`` (H13) -> last embedded ``{... "reply": ...}``
     (H18) -> prefixes (H9) -> bad starts / ``{`` / ``[`` (H10) -> markers (H11) -> length
     10..1000 (H8) -> second prefix pass; an empty result is null.
     """
+    last_key_wins(df.sparkSession)
     bad_start = None
     for b in BAD_STARTS:
         e = F.col("__r1").startswith(F.lit(b))
@@ -139,6 +145,7 @@ def parse_judge_six(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     the end) with all six keys and every score 1-5 -> labelled scores -> six-number
     sequence -> unparsed. Adds the six metric columns (0 when unparsed), ``parsed`` and
     ``method``."""
+    last_key_wins(df.sparkSession)
     t = "__t"
     cands = F.reverse(F.regexp_extract_all(F.col("__t2"), F.lit(ANY_OBJECT_RE), 0))
     out = (df

@@ -28,8 +28,14 @@ def linked_messages(tweets: DataFrame, brand: str) -> DataFrame:
 
 def explode_reply_ids(df: DataFrame, col: str = "brand_reply_id") -> DataFrame:
     """C1x (extension): one row per id of a comma list in ``col`` (ids trimmed)."""
-    return (df.withColumn(col, F.explode_outer(F.split(F.col(col), ",")))
-            .withColumn(col, F.trim(F.col(col))))
+    return with_list_position(df, col).drop("__at")
+
+
+def with_list_position(df: DataFrame, col: str) -> DataFrame:
+    """C1x with ``__at``, the id's place in its list."""
+    rest = [c for c in df.columns if c != col]
+    return (df.select(*rest, F.posexplode_outer(F.split(F.col(col), ",")).alias("__at", "__one"))
+            .withColumn(col, F.trim(F.col("__one"))).select(*df.columns, "__at"))
 
 
 def keep_first(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
@@ -56,14 +62,15 @@ def build_cases(linked: DataFrame, tweets: DataFrame, brand: str,
         F.col("tweet_id").alias("customer_tweet_id"), "created_at",
         F.col("text").alias("customer_text"),
         F.col("response_tweet_id").cast("string").alias("brand_reply_id"))
-    if explode_ids:
-        cases = explode_reply_ids(cases)
+    cases = with_list_position(cases, "brand_reply_id") if explode_ids else cases.withColumn("__at", F.lit(0))
     replies = brand_replies(tweets, brand).select(
         F.col("tweet_id").cast("string").alias("brand_reply_id"),
         F.col("text").alias("brand_reply"))
     joined = (cases.join(replies, "brand_reply_id", "inner")
               .dropna(subset=["customer_text", "brand_reply"]))
-    first = keep_first(joined, "customer_tweet_id", ["brand_reply_id", "brand_reply"])
+    # The first id of the list, then the smaller id as a number
+    joined = joined.withColumn("__number", F.col("brand_reply_id").try_cast("decimal(38,0)"))
+    first = keep_first(joined, "customer_tweet_id", ["__at", "__number", "brand_reply_id", "brand_reply"])
     return (first
             .withColumn("customer_text", py_strip("customer_text"))
             .withColumn("brand_reply", py_strip("brand_reply"))

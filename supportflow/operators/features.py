@@ -6,43 +6,63 @@ unigrams and bigrams of neighbouring tokens. ``idf = ln((1 + n) / (1 + df)) + 1`
 vocabulary keeps terms in at least ``min_df`` documents, then the ``max_features`` most
 frequent (total count desc, term asc).
 
-Plan: documents are hash-partitioned by ``doc_id`` once (shuffling text is cheaper than
-shuffling term rows), so counting ``(doc_id, term)`` and the per-document norm need no
-further exchange; document frequency is one map-side-combined aggregation by term (a very
-common term costs one partial row per task); the vocabulary, at most ``max_features``
-rows and cut exactly by ``top_terms`` (never a global ``orderBy().limit()``), is broadcast.
-The ``(doc_id, term)`` counts feed both the vocabulary and the weights,
-so tokenization runs in both branches over one reused text exchange; measured at sf0.1,
-checkpointing the counts (8M rows) or a separate distinct-term vocabulary pass both cost
-more than the second tokenization.
+Plan: a document is one row, so its terms are counted inside the row and no text is ever
+shuffled. The first pass sums document frequency and total per term and task and shuffles
+only those sums; the second weighs each document's terms against the vocabulary, which is
+sent to the tasks while it has at most ``VOCABULARY_ROWS`` rows. Beyond that the terms are
+joined to it instead, and norms are taken per row number.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportflow.functions.text import WORD
 from supportflow.operators.sampling import with_position
-from supportflow.session import ensure_checkpoint_dir
+from supportflow.session import written
 
 TOKEN_RE = f"[{WORD}]{{2,}}"
+VOCABULARY_ROWS = 1_000_000
+FLUSH = 500_000
+
+
+def tokens(text: Column) -> Column:
+    """The tokens of a text, one per line (a token holds no line feed)."""
+    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_RE), 0), "\n")
+
+
+def _grams(joined: str) -> list[str]:
+    t = joined.split("\n") if joined else []
+    return t + [f"{a} {b}" for a, b in zip(t, t[1:])]
+
+
+def term_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``term, df, total`` over whole texts, summed per task before the shuffle."""
+    def run(batches):
+        df, total = Counter(), Counter()
 
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()),
+                                               pa.array([df[t] for t in total], pa.int64()),
+                                               pa.array(list(total.values()), pa.int64())], names=["term", "df", "total"])
+        for b in batches:
+            for joined in b.column(0).to_pylist():
+                g = _grams(joined)
+                df.update(set(g))
+                total.update(g)
+            if len(total) > FLUSH:
+                yield out()
+                df, total = Counter(), Counter()
+        yield out()
 
-def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          partitions: int | None = None) -> DataFrame:
-    """``doc_id, term``: one row per unigram and bigram occurrence (whole texts)."""
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tok = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-           .repartition(n, "doc_id")
-           .select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))),
-                                                  F.lit(TOKEN_RE), 0).alias("t")))
-    bigrams = F.when(F.size("t") >= 2, F.transform(F.sequence(F.lit(1), F.size("t") - 1),
-                                                   lambda i: F.concat(F.col("t")[i - 1], F.lit(" "), F.col("t")[i])))
-    return tok.select("doc_id", F.explode(F.concat(F.col("t"), F.coalesce(
-        bigrams, F.array().cast("array<string>")))).alias("term"))
+    return (docs.select(tokens(F.col(text_col))).mapInArrow(run, "term string, df long, total long")
+            .groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")))
 
 
 def top_terms(stats: DataFrame, n: int) -> DataFrame:
@@ -50,41 +70,109 @@ def top_terms(stats: DataFrame, n: int) -> DataFrame:
     ``term``); all rows when there are fewer.
 
     Exact, and no task ever holds ``n`` rows from every partition (``orderBy().limit(n)``
-    funnels ``n`` rows per partition into one task): terms are counted per distinct total,
-    a running count over that table gives each total the number of terms above it, and only
-    the one total that straddles ``n`` is ranked by term, through distributed positions. The
-    per-total table is small by construction: d distinct totals need at least
-    1 + 2 + ... + d occurrences, so d <= sqrt(2 * occurrences).
+    funnels ``n`` rows per partition into one task): terms are counted per distinct total, a
+    running count over that table finds the one total that straddles ``n``, and only its terms
+    are ranked, through distributed positions. The per-total table is small by construction:
+    d distinct totals need at least 1 + 2 + ... + d occurrences, so d <= sqrt(2 * occurrences).
     """
-    per_total = stats.groupBy("total").agg(F.count(F.lit(1)).alias("__c"))
-    above = per_total.withColumn("__above", F.coalesce(F.sum("__c").over(
+    per_total = stats.groupBy("total").agg(F.count(F.lit(1)).alias("c"))
+    above = per_total.withColumn("above", F.coalesce(F.sum("c").over(
         Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    j = stats.join(above, "total")
-    whole = j.filter(F.col("__above") + F.col("__c") <= n)
-    edge = j.filter((F.col("__above") < n) & (F.col("__above") + F.col("__c") > n))
-    cut = (with_position(edge, ["term"], name="__p")
-           .filter(F.col("__p") < F.lit(n) - F.col("__above")).drop("__p"))
-    return whole.unionByName(cut).drop("__c", "__above")
+    last = above.filter(F.col("above") < n).orderBy("total").first()
+    if last is None:
+        return stats.limit(0)
+    if last["above"] + last["c"] <= n:
+        return stats.filter(F.col("total") >= last["total"])
+    cut = (with_position(stats.filter(F.col("total") == last["total"]), ["term"], name="__p")
+           .filter(F.col("__p") < n - last["above"]).drop("__p"))
+    return stats.filter(F.col("total") > last["total"]).unionByName(cut)
+
+
+def vocabulary(docs: DataFrame, min_df: int, max_features: int, text_col: str = "text") -> DataFrame:
+    """Written: ``term, df, total, idf`` of the kept terms."""
+    n_docs = docs.count()
+    kept = written(term_stats(docs, text_col).filter(F.col("df") >= min_df), "terms")
+    idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    return written(top_terms(kept, max_features).withColumn("idf", idf), "vocabulary")
+
+
+def _tf(n, sublinear: bool):
+    return 1.0 + np.log(n) if sublinear else n
 
 
 def tfidf(docs: DataFrame, min_df: int = 2, max_features: int = 100000, sublinear: bool = True,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, term, weight`` for vocabulary terms (documents without one give no rows)."""
-    n_docs = docs.count()
-    tf = terms(docs, id_col, text_col).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    # one row per kept term (far fewer than (doc, term) rows), read by every step of the cut
-    ensure_checkpoint_dir(docs.sparkSession)
-    kept = stats.filter(F.col("df") >= min_df).checkpoint()
-    vocab = (top_terms(kept, max_features)
-             .select("term", (F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df")))
-                              + F.lit(1.0)).alias("idf")))
-    tfw = F.lit(1.0) + F.log(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")
-    w = tf.join(F.broadcast(vocab), "term").withColumn("w", tfw * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    vocab = vocabulary(docs, min_df, max_features, text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("t"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, term string, weight double"
+    if vocab.count() > VOCABULARY_ROWS:
+        return _tfidf_by_join(rows, vocab, sublinear, schema)
+    idf = docs.sparkSession.sparkContext.broadcast({r["term"]: r["idf"] for r in vocab.select("term", "idf").collect()})
+
+    def run(batches):
+        known = idf.value
+        for b in batches:
+            at, terms, weights = [], [], []
+            for i, joined in enumerate(b.column(1).to_pylist()):
+                c = [(t, n) for t, n in Counter(_grams(joined)).items() if t in known]
+                if c:
+                    w = _tf(np.array([n for _, n in c], float), sublinear) * np.array([known[t] for t, _ in c])
+                    at += [i] * len(c)
+                    terms += [t for t, _ in c]
+                    weights.append(w / np.sqrt(w @ w))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()),
+                 pa.array(np.concatenate(weights) if weights else np.zeros(0))], names=["doc_id", "term", "weight"])
+    return rows.mapInArrow(run, schema)
+
+
+def _tfidf_by_join(rows: DataFrame, vocab: DataFrame, sublinear: bool, schema: str) -> DataFrame:
+    """The same for a vocabulary too large to send: one row per document and term, joined."""
+    def run(batches):
+        for b in batches:
+            at, terms, n = [], [], []
+            for i, joined in enumerate(b.column(2).to_pylist()):
+                c = Counter(_grams(joined))
+                at += [i] * len(c)
+                terms += list(c)
+                n += list(c.values())
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(terms, pa.string()),
+                                              pa.array(n, pa.int64())], names=["doc_id", "row", "term", "n"])
+    counts = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "t").mapInArrow(
+        run, schema.replace("term string, weight double", "row long, term string, n long"))
+    tf = F.lit(1.0) + F.log(F.col("n").cast("double")) if sublinear else F.col("n").cast("double")
+    w = counts.join(vocab.select("term", "idf"), "term").withColumn("w", tf * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("row")))
     return w.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
 
 
+def sparse_rows(docs: DataFrame, vocab: dict[str, tuple[int, float]], sublinear: bool, text_col: str,
+                keep: list[str]) -> DataFrame:
+    """``keep`` with ``idx`` (ascending) and ``val``: the TF-IDF row of each document against a
+    vocabulary ``term -> (number, idf)`` of at most ``VOCABULARY_ROWS`` terms."""
+    if len(vocab) > VOCABULARY_ROWS:
+        raise ValueError(f"a vocabulary of {len(vocab)} terms is too large to send to every task")
+    rows = docs.select(*keep, tokens(F.col(text_col)).alias("__t"))
+    known = docs.sparkSession.sparkContext.broadcast(vocab)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+
+    def run(batches):
+        terms = known.value
+        for b in batches:
+            idx, val = [], []
+            for joined in b.column(len(keep)).to_pylist():
+                c = sorted((terms[t][0], n, terms[t][1]) for t, n in Counter(_grams(joined)).items() if t in terms)
+                w = _tf(np.array([n for _, n, _ in c], float), sublinear) * np.array([x for _, _, x in c])
+                idx.append([i for i, _, _ in c])
+                val.append(list(w / np.sqrt(w @ w)) if c else [])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:len(keep)], pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float64()))],
+                names=[*keep, "idx", "val"])
+    return rows.mapInArrow(run, f"{schema}, idx array<int>, val array<double>")
+
+
 # ------------------------------------------------------------------------------------------
 # Text -> dense vector (the stand-in for a sentence encoder)
 # ------------------------------------------------------------------------------------------

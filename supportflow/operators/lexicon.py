@@ -123,7 +123,7 @@ CLASSIFIER = Lexicon("classifier_v2", (
     LabelRule(GENERAL),
 ))
 
-# Weak labeller for training data: first match in this order.
+# Weak labeller for training data, first match in this order.
 WEAK_LABELS = FirstMatch("weak_v1", (
     (KEYBOARD, ("keyboard", "typing", "autocorrect", "keypad", "predictive", "question mark",
                 "question marks", "letter i", "replace my i")),
@@ -141,7 +141,7 @@ WEAK_LABELS = FirstMatch("weak_v1", (
            "facetime", "safari", "app store", "pages", "backup")),
 ))
 
-# Golden-set relabeller: other terms, and apps/media before update.
+# Golden-set relabeller, other terms, and apps/media before update.
 RELABEL = FirstMatch("relabel_v2", (
     (KEYBOARD, ("keyboard", "autocorrect", "auto correct", "typing", "type", "letter",
                 "predictive text", "capitalizing", "question mark", '"i"', " i ")),

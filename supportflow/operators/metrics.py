@@ -94,15 +94,28 @@ def classification_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
                     F.col("support").cast("long").alias("support")))
 
 
-def confusion_pairs(df: DataFrame, truth: str, pred: str, labels: list[str]) -> DataFrame:
-    """F12 (long form): every (truth, pred) pair of the fixed label list with its count,
-    zeros kept. Pairs outside the list are dropped, as a fixed-order matrix does."""
-    lab = [str(x) for x in labels]
-    spark = df.sparkSession
-    grid = (spark.range(1)
-            .select(F.explode(F.array(*[F.lit(x) for x in lab])).alias("true_label"))
-            .select("true_label", F.explode(F.array(*[F.lit(x) for x in lab])).alias("pred_label")))
-    pc = pair_counts(df, truth, pred).withColumnRenamed("y", "true_label").withColumnRenamed("p", "pred_label")
+def confusion_pairs(df: DataFrame, truth: str, pred: str, labels: list[str] | None = None) -> DataFrame:
+    """F12 (long form): every (truth, pred) pair of the labels with its count, zeros kept.
+
+    Without ``labels``, all labels in truth or prediction. A label outside a given list is an
+    error, never dropped; rows with a null label or prediction are left out (a matrix has no
+    cell for them)."""
+    pc = (pair_counts(df, truth, pred).dropna()
+          .withColumnRenamed("y", "true_label").withColumnRenamed("p", "pred_label"))
+    if labels is None:                                   # one row: the sorted label list
+        known = (pc.select(F.explode(F.array("true_label", "pred_label")).alias("l"))
+                 .agg(F.sort_array(F.collect_set("l")).alias("ls")))
+    else:
+        lab = F.array(*[F.lit(str(x)) for x in labels])
+        known = df.sparkSession.range(1).select(lab.alias("ls"))
+        inside = F.array_contains(lab, F.col("true_label")) & F.array_contains(lab, F.col("pred_label"))
+        pc = pc.withColumn("n", F.when(inside, F.col("n")).otherwise(
+            F.raise_error(F.lit("a label outside the given list")).cast("long")))
+    grid = (known.select("ls", F.explode("ls").alias("true_label"))
+            .select("true_label", F.explode("ls").alias("pred_label")))
+    if labels is not None:
+        return (grid.join(pc, ["true_label", "pred_label"], "full")
+                .select("true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
     return (grid.join(pc, ["true_label", "pred_label"], "left")
             .select("true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
@@ -118,7 +131,3 @@ def binary_confusion(df: DataFrame, truth: Column, pred: Column) -> DataFrame:
         F.struct(F.lit(True).alias("truth"), F.col("tf").alias("pred_false"),
                  F.col("tt").alias("pred_true")))).alias("r")).select("r.*")
 
-
-def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """F2."""
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer,
-                                RegexTokenizer, SQLTransformer)
-from pyspark.ml.linalg import Vectors
+from dataclasses import dataclass
+
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportflow.operators.features import TOKEN_RE
+from supportflow.operators import features as FT
+from supportflow.session import small_side, written
 
 
 def majority_baseline(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
@@ -32,43 +33,75 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     tot = counts.agg(F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__k"))
     wt = (counts.withColumn("__one", F.lit(1)).join(F.broadcast(tot.withColumn("__one", F.lit(1))), "__one")
           .select(label, (F.col("__n") / (F.col("__k") * F.col("__c"))).alias("w")))
-    return df.join(F.broadcast(wt), label)
+    return df.join(small_side(wt), label)
+
+
+@dataclass
+class LogReg:
+    """A fitted L1 + L2 baseline: the model, its vocabulary and the weighted training rows."""
+
+    model: LogisticRegressionModel
+    vocab: dict[str, tuple[int, float]]
+    train: DataFrame
+    reg: float
+    sublinear: bool
+
+    def predict(self, rows: DataFrame, text_col: str = "text") -> DataFrame:
+        """L3: ``rows`` with ``prediction``."""
+        keep = rows.columns
+        out = self.model.transform(_with_features(FT.sparse_rows(rows, self.vocab, self.sublinear, text_col, keep),
+                                                  len(self.vocab)))
+        return out.select(*keep, F.col("prediction").cast("int").alias("prediction"))
 
+    def gradient(self) -> float:
+        """The largest entry of the objective's gradient at the fitted weights, from one pass
+        over the training rows and one row per term."""
+        k, total = self.model.numClasses, self.train.agg(F.sum("w")).first()[0]
+        p = vector_to_array("probability")
+        scored = self.model.transform(self.train).select("idx", "val", *[
+            ((p[c] - F.when(F.col("__y") == c, 1.0).otherwise(0.0)) * F.col("w") / total).alias(f"r{c}") for c in range(k)])
+        bias = scored.agg(*[F.sum(f"r{c}").alias(f"b{c}") for c in range(k)]).first()
+        terms = (scored.withColumn("e", F.explode(F.arrays_zip("idx", "val")))
+                 .groupBy(F.col("e.idx").alias("j")).agg(*[F.sum(F.col("e.val") * F.col(f"r{c}")).alias(f"g{c}") for c in range(k)]))
+        coef = self.model.coefficientMatrix.toArray()
+        known = self.train.sparkSession.createDataFrame(
+            [(j, *map(float, coef[:, j])) for j in range(coef.shape[1])],
+            "j int, " + ", ".join(f"w{c} double" for c in range(k)))
+        worst = known.join(terms, "j", "left").agg(*[F.max(F.abs(
+            F.coalesce(f"g{c}", F.lit(0.0)) + self.reg * F.col(f"w{c}"))).alias(f"m{c}") for c in range(k)]).first()
+        return max([abs(b) for b in bias] + [m or 0.0 for m in worst])
 
-def tfidf_logreg(train: DataFrame, test: DataFrame, label: str, text_col: str = "text",
-                 min_df: int = 2, max_features: int = 100000, max_iter: int = 2000,
-                 C: float = 1.0, balanced: bool = True, rows_per_task: int = 100000) -> DataFrame:
-    """L1 + L2 + L3: unigram+bigram TF-IDF (smoothed idf ``ln((1+n)/(1+df)) + 1``, L2 rows),
-    multinomial logistic regression with L2 penalty ``1/(C*n)`` and balanced weights.
-    Vocabulary and idf come from the train split only. Returns test rows + ``prediction``.
+
+def _with_features(rows: DataFrame, size: int) -> DataFrame:
+    @F.udf(VectorUDT())
+    def sparse(idx, val):
+        return Vectors.sparse(size, idx, val)
+    return rows.withColumn("features", sparse("idx", "val"))
+
+
+def fit_logreg(train: DataFrame, label: str, text_col: str = "text", min_df: int = 2, max_features: int = 100000,
+               max_iter: int = 2000, C: float = 1.0, balanced: bool = True, sublinear: bool = True,
+               rows_per_task: int = 100000) -> LogReg:
+    """L1 + L2: unigram and bigram TF-IDF (sublinear tf, smoothed idf, unit rows; vocabulary and
+    idf from the training split only, cut and numbered as in L1), multinomial logistic
+    regression with L2 penalty ``1/(C*n)`` and balanced weights.
 
     Every optimizer iteration is one distributed gradient pass over the training rows, so
     they are spread over ``ceil(n / rows_per_task)`` partitions: enough tasks for a large
     training set, and no per-iteration cost of many near-empty tasks for a small one."""
+    terms = FT.vocabulary(train, min_df, max_features, text_col).orderBy(F.desc("total"), "term").collect()
+    vocab = {r["term"]: (i, r["idf"]) for i, r in enumerate(terms)}      # at most max_features rows
     n = train.count()
-    tok = RegexTokenizer(inputCol=text_col, outputCol="__uni", pattern=TOKEN_RE, gaps=False,
-                         toLowercase=True, minTokenLength=2)
-    bi = NGram(n=2, inputCol="__uni", outputCol="__bi")
-    both = SQLTransformer(statement="SELECT *, concat(__uni, __bi) AS __terms FROM __THIS__")
-    cv = CountVectorizer(inputCol="__terms", outputCol="__tf", minDF=float(min_df), vocabSize=max_features)
-    idf = IDF(inputCol="__tf", outputCol="__idf_unused")
-    prep = Pipeline(stages=[tok, bi, both, cv, idf])
-    tr = train.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    te = test.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    pm = prep.fit(tr)
-    # Spark's idf is ln((n+1)/(df+1)); the smoothed form adds 1 (bounded by the vocabulary)
-    smooth = Vectors.dense([x + 1.0 for x in pm.stages[-1].idf.toArray()])
-    scale = ElementwiseProduct(scalingVec=smooth, inputCol="__tf", outputCol="__tfidf")
-    normal = Normalizer(inputCol="__tfidf", outputCol="features", p=2.0)
-    lr = LogisticRegression(featuresCol="features", labelCol="__y", family="multinomial",
-                            regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False,
-                            maxIter=max_iter, weightCol="w" if balanced else None)
-    head = Pipeline(stages=[scale, normal])
-    tr_f = head.fit(pm.transform(tr)).transform(pm.transform(tr)).withColumn("__y", F.col(label).cast("double"))
-    if balanced:
-        tr_f = class_weights(tr_f, label)
-    model = lr.fit(tr_f.repartition(max(1, math.ceil(n / rows_per_task))))
-    te_f = head.fit(pm.transform(tr)).transform(pm.transform(te)).withColumn("__y", F.col(label).cast("double"))
-    pred = model.transform(te_f)
-    keep = [c for c in test.columns]
-    return pred.select(*keep, F.col("prediction").cast("int").alias("prediction"))
+    rows = FT.sparse_rows(train, vocab, sublinear, text_col, [label])
+    rows = class_weights(rows, label) if balanced else rows.withColumn("w", F.lit(1.0))
+    rows = written(rows.repartition(max(1, math.ceil(n / rows_per_task))), "training")
+    rows = _with_features(rows, len(vocab)).withColumn("__y", F.col(label).cast("double"))
+    reg = 1.0 / (C * max(n, 1))
+    lr = LogisticRegression(featuresCol="features", labelCol="__y", family="multinomial", regParam=reg,
+                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, weightCol="w", tol=1e-9)
+    return LogReg(lr.fit(rows), vocab, rows, reg, sublinear)
+
+
+def tfidf_logreg(train: DataFrame, test: DataFrame, label: str, text_col: str = "text", **options) -> DataFrame:
+    """L1 + L2 + L3: test rows + ``prediction``."""
+    return fit_logreg(train, label, text_col, **options).predict(test, text_col)

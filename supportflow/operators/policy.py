@@ -185,11 +185,11 @@ V1_REASONS = {
            "more information is available."),
     "V5": ("The intent confidence is low and the customer describes a concrete technical "
            "problem that may require human review."),
-    "V6": "No relevant historical AppleSupport evidence was retrieved.",
+    "V6": "No relevant historical {brand} evidence was retrieved.",
     "V7": "The most similar historical cases have low similarity to the customer's issue.",
     "V8": ("The customer describes a potentially serious device failure that should be "
            "reviewed by a human."),
-    "V9": ("The intent is reasonably clear and relevant historical AppleSupport evidence was "
+    "V9": ("The intent is reasonably clear and relevant historical {brand} evidence was "
            "found, so the request can be auto-handled."),
 }
 
@@ -211,8 +211,8 @@ def _v2_rules(sim_gate: float, tech_count: int) -> tuple[Rule, ...]:
     )
 
 
-def _v1_rules(sim_gate: float) -> tuple[Rule, ...]:
-    R = V1_REASONS
+def _v1_rules(sim_gate: float, brand: str) -> tuple[Rule, ...]:
+    R = {k: v.replace("{brand}", brand) for k, v in V1_REASONS.items()}
     return (
         Rule("V1", "any", ESCALATE, R["V1"], ("sensitive",)),
         Rule("V2", "any", ESCALATE, R["V2"], ("repeated",)),
@@ -231,9 +231,9 @@ def policy_v2(sim_gate: float = 0.55, tech_count: int = 3) -> Policy:
     return Policy("policy_v2", _v2_rules(sim_gate, tech_count), V2_SETS)
 
 
-def policy_v1(sim_gate: float = 0.55) -> Policy:
+def policy_v1(sim_gate: float = 0.55, brand: str = "AppleSupport") -> Policy:
     """The earlier policy (short messages are auto-handled before the evidence gates)."""
-    return Policy("policy_v1", _v1_rules(sim_gate), V1_SETS)
+    return Policy("policy_v1", _v1_rules(sim_gate, brand), V1_SETS)
 
 
 # Stand-in term sets for the driver's invented text; same rule chains.
@@ -261,8 +261,8 @@ def stand_in_v2(sim_gate: float = 0.40, tech_count: int = 5) -> Policy:
     return Policy("stand_in_v2", _v2_rules(sim_gate, tech_count), STAND_IN_SETS)
 
 
-def stand_in_v1(sim_gate: float = 0.40) -> Policy:
-    return Policy("stand_in_v1", _v1_rules(sim_gate), STAND_IN_V1_SETS)
+def stand_in_v1(sim_gate: float = 0.40, brand: str = "AppleSupport") -> Policy:
+    return Policy("stand_in_v1", _v1_rules(sim_gate, brand), STAND_IN_V1_SETS)
 
 
 # ---------------------------------------------------------------------------------
@@ -310,16 +310,6 @@ def decide(df: DataFrame, policy: Policy, text_col: str = "text", confidence_col
             .drop("__d", "__t"))
 
 
-def policy_table(spark: SparkSession, policy: Policy) -> DataFrame:
-    """The FIXTURES ``policy_rules`` view of a policy (one row per rule)."""
-    rows = [(policy.name, i, r.rule_id, r.kind, ",".join(r.sets) or None,
-             None if r.threshold is None else float(r.threshold), r.min_words, r.decision, r.reason)
-            for i, r in enumerate(policy.rules)]
-    return spark.createDataFrame(rows, "policy string, ord int, rule_id string, kind string, "
-                                       "term_set string, threshold double, min_words int, "
-                                       "decision string, reason string")
-
-
 def policy_diff(old: DataFrame, new: DataFrame, key: str = "tweet_id") -> DataFrame:
     """How decisions move between two policy versions over the same messages."""
     return (old.select(key, F.col("decision").alias("old_decision"), F.col("rule_id").alias("old_rule"))

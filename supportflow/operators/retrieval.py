@@ -1,14 +1,21 @@
 """Exact vector retrieval.
 
-Top-k by inner product is a blocked all-pairs job: queries are hashed into ``Bq`` blocks
-and corpus rows into ``Bc`` blocks; every query row is copied to each of the ``Bc``
-corpus blocks and every corpus row to each of the ``Bq`` query blocks, so each
-``(qb, cb)`` group holds one query block and one corpus block, both bounded by the
-block size. A cogrouped pandas function multiplies the two blocks with numpy and keeps
-the best ``k`` per query; a final window over ``qid`` (at most ``k * Bc`` rows per
-query) picks the global top ``k``. Shuffle volume is ``|Q|*Bc + |C|*Bq`` vectors plus
-``|Q|*k*Bc`` hits; compute is the unavoidable ``|Q|*|C|*d``. Ties go to the smaller
-``case_id``. No cross join and nothing unbounded is broadcast.
+Small corpora (up to ``block_rows``) are one block that every query block meets; queries are
+dealt into enough blocks for all cores. Larger corpora are grouped around pivots (a bounded
+sample of their own vectors), so that most blocks need not be read:
+
+* every corpus vector goes to its nearest pivot; a block keeps its rows' largest angle to the
+  pivot and its extreme norms (one summary row per pivot, at most ``MAX_PIVOTS``);
+* a query's score in a block can be no better than ``|q| * norm * cos(angle(q, pivot) -
+  largest angle)``; each query first visits its most promising block and so learns a k-th
+  score that any better hit must reach;
+* it then visits just the blocks whose bound reaches that score. The result is exact.
+
+Blocks are cut into parts of at most ``block_rows``, and the queries of a block likewise, so a
+task holds one part of each; a cogrouped pandas function multiplies them with numpy and keeps
+the best ``k`` per query, and a final window over ``qid`` (at most ``k`` rows per visited part)
+picks the global top ``k``. Ties go to the smaller ``case_id``. No cross join; only the pivots
+and their summaries are sent to the tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportflow.functions.text import fmt_fixed, py_strip
-from supportflow.session import ensure_checkpoint_dir
+from supportflow.session import ensure_checkpoint_dir, written
 
 HITS_SCHEMA = "qid long, rank int, case_id long, score double"
 
@@ -92,36 +99,147 @@ def _block_topk(k: int, chunk: int = 128, exclude_self: bool = False):
     return run
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, block_rows: int = 50000,
-          query_blocks: int | None = None, corpus_blocks: int | None = None,
-          materialize: bool = True, exclude_self: bool = False) -> DataFrame:
+def _sizes(queries: DataFrame, corpus: DataFrame) -> tuple[int, int]:
+    rows = (queries.select(F.lit("q").alias("side")).unionByName(corpus.select(F.lit("c").alias("side")))
+            .groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect())
+    n = {r["side"]: r["n"] for r in rows}
+    return n.get("q", 0), n.get("c", 0)
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("case_id"))
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+class Pivots:
+    """Directions that group a corpus, with each group's bounds (numpy, sent to the tasks).
+
+    The last group holds vectors without a direction (all zeros): their score is always 0.
+    """
+
+    def __init__(self, directions: np.ndarray):
+        self.directions = directions
+        n = len(directions) + 1
+        self.angle, self.low, self.high = np.zeros(n), np.zeros(n), np.zeros(n)
+        self.parts = np.zeros(n, np.int64)                # 0: an empty group
+
+    def cosines(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        norm = np.sqrt((vectors * vectors).sum(axis=1))
+        unit = vectors / np.where(norm > 0, norm, 1)[:, None]
+        return np.clip(unit @ self.directions.T, -1, 1), norm
+
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(group, angle, norm)`` of corpus vectors."""
+        c, norm = self.cosines(vectors)
+        g = c.argmax(axis=1)
+        angle = np.arccos(c[np.arange(len(c)), g])
+        zero = norm == 0
+        return np.where(zero, len(self.directions), g), np.where(zero, 0.0, angle), norm
+
+    def bounds(self, vectors: np.ndarray) -> np.ndarray:
+        """Per query and group, a score that no row of the group exceeds."""
+        c, norm = self.cosines(vectors)
+        best = np.cos(np.maximum(0, np.arccos(c) - self.angle[:-1]))
+        best = norm[:, None] * np.where(best >= 0, best * self.high[:-1], best * self.low[:-1])
+        out = np.column_stack([best, np.zeros(len(c))]) + 1e-9
+        out[:, self.parts == 0] = -np.inf
+        return out
+
+
+MAX_PIVOTS = 4096
+
+
+def _grouped_corpus(corpus: DataFrame, n_rows: int, block_rows: int, n_pivots: int) -> tuple[DataFrame, Pivots]:
+    """The corpus with ``g, part`` (written once), and the pivots with their summaries."""
+    unit = corpus.filter(vector_norm("vec") > 0).orderBy(F.xxhash64("case_id"), "case_id").limit(n_pivots)
+    sample = [np.asarray(r["vec"], float) for r in unit.select("vec").collect()]      # at most MAX_PIVOTS rows
+    directions = np.array([v / np.sqrt(v @ v) for v in sample]) if sample else np.zeros((0, 1))
+    pivots = Pivots(directions)
+    sent = corpus.sparkSession.sparkContext.broadcast(directions)
+
+    @F.pandas_udf("g int, angle double, norm double")
+    def place(v: pd.Series) -> pd.DataFrame:
+        d = sent.value
+        x = np.stack(v.to_numpy()).astype(float)
+        if not len(d):
+            return pd.DataFrame({"g": np.zeros(len(x), int), "angle": 0.0, "norm": 0.0})
+        g, angle, norm = Pivots(d).nearest(x)
+        return pd.DataFrame({"g": g, "angle": angle, "norm": norm})
+
+    placed = written(corpus.select(F.col("case_id").cast("long"), "vec", place("vec").alias("p"))
+                     .select("case_id", "vec", "p.*"), "corpus")
+    for r in placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("a"), F.min("norm").alias("l"),
+                                     F.max("norm").alias("h")).collect():             # one row per pivot
+        pivots.angle[r["g"]], pivots.low[r["g"]], pivots.high[r["g"]] = r["a"], r["l"], r["h"]
+        pivots.parts[r["g"]] = math.ceil(r["n"] / block_rows)
+    parts = F.element_at(F.array(*[F.lit(int(max(1, x))) for x in pivots.parts]), F.col("g") + 1)
+    return placed.select("case_id", "vec", "g", F.pmod(F.xxhash64("case_id"), parts).alias("part")), pivots
+
+
+def _visit(queries: DataFrame, corpus: DataFrame, pivots: Pivots, k: int, query_parts: int,
+           exclude_self: bool) -> DataFrame:
+    """Hits of ``queries(qid, qvec, g)`` in the group ``g`` they visit, part by part."""
+    parts = F.element_at(F.array(*[F.lit(int(x)) for x in pivots.parts]), F.col("g") + 1)
+    q = (queries.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1).cast("array<bigint>")))
+         .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(query_parts))))
+    c = corpus.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)).cast("array<bigint>")))
+    return (q.groupBy("g", "part", "qb").cogroup(c.groupBy("g", "part", "qb"))
+            .applyInPandas(_block_topk(k, exclude_self=exclude_self), HITS_SCHEMA))
+
+
+def _pruned_top_k(queries: DataFrame, corpus: DataFrame, k: int, nq: int, nc: int, block_rows: int,
+                  n_pivots: int, exclude_self: bool, visits: dict | None) -> DataFrame:
+    c, pivots = _grouped_corpus(corpus, nc, block_rows, n_pivots)
+    if not pivots.parts.any():
+        return queries.sparkSession.createDataFrame([], HITS_SCHEMA)
+    sent = queries.sparkSession.sparkContext.broadcast(pivots)
+    query_parts = max(1, math.ceil(nq / block_rows))
+
+    @F.pandas_udf("int")
+    def first_group(v: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.bounds(np.stack(v.to_numpy()).astype(float)).argmax(axis=1))
+
+    @F.pandas_udf("array<int>")
+    def other_groups(v: pd.Series, g: pd.Series, least: pd.Series) -> pd.Series:
+        bounds = sent.value.bounds(np.stack(v.to_numpy()).astype(float))
+        bounds[np.arange(len(v)), g.to_numpy()] = -np.inf
+        reach = (bounds >= least.to_numpy()[:, None]) & np.isfinite(bounds)
+        return pd.Series([np.flatnonzero(r) for r in reach])
+
+    q = written(queries.select(F.col("qid").cast("long"), "qvec", first_group("qvec").alias("g")), "queries")
+    first = written(_best(_visit(q, c, pivots, k, query_parts, exclude_self), k), "hits")
+    least = first.groupBy(F.col("qid").alias("lid")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    more = (q.join(least, F.col("qid") == F.col("lid"), "left")
+            .withColumn("to", other_groups("qvec", "g", F.coalesce("least", F.lit(float("-inf")))))
+            .select("qid", "qvec", F.explode("to").alias("g")))
+    if visits is not None:
+        visits["visited"] = nq + more.count()
+        visits["all"] = nq * int((pivots.parts > 0).sum())
+    return _best(first.unionByName(_visit(more, c, pivots, k, query_parts, exclude_self)), k)
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, block_rows: int = 20000, pivots: int | None = None,
+          materialize: bool = True, exclude_self: bool = False, visits: dict | None = None) -> DataFrame:
     """``queries(qid, qvec)`` x ``corpus(case_id, vec)`` -> ``qid, rank, case_id, score``.
 
-    Fewer than ``k`` corpus rows give fewer hits (no padding). Block counts default to
-    ``ceil(rows / block_rows)`` from one counting job over both inputs. The hits (``k`` rows per
-    query) are checkpointed into the cluster's checkpoint folder unless ``materialize`` is
-    off: every consumer then reads them instead of re-running the all-pairs step. With
-    ``exclude_self`` a query never retrieves the corpus row of the same id (leave-one-out).
+    Fewer than ``k`` corpus rows give fewer hits (no padding). The hits (``k`` rows per query)
+    are checkpointed into the cluster's checkpoint folder unless ``materialize`` is off: every
+    consumer then reads them instead of re-running the search. With ``exclude_self`` a query
+    never retrieves the corpus row of the same id (leave-one-out). ``visits`` receives how many
+    (query, block) visits were made and how many there are in all.
     """
-    if query_blocks is None or corpus_blocks is None:      # both sizes from one job
-        sizes = {r["side"]: r["n"] for r in (
-            queries.select(F.lit("q").alias("side")).unionByName(corpus.select(F.lit("c").alias("side")))
-            .groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect())}
-    bq = query_blocks or max(1, math.ceil(sizes.get("q", 0) / block_rows))
-    bc = corpus_blocks or max(1, math.ceil(sizes.get("c", 0) / block_rows))
-    q = (queries.select(F.col("qid").cast("long"), F.col("qvec"))
-         .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq)))
-         .withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bc - 1).cast("long")))))
-    c = (corpus.select(F.col("case_id").cast("long"), F.col("vec"))
-         .withColumn("cb", F.pmod(F.xxhash64("case_id"), F.lit(bc)))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bq - 1).cast("long")))))
-    partial = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-               .applyInPandas(_block_topk(k, exclude_self=exclude_self), HITS_SCHEMA))
-    if bc == 1:
-        out = partial
+    nq, nc = _sizes(queries, corpus)
+    if nc > block_rows or pivots:
+        n = min(MAX_PIVOTS, pivots or 2 * math.ceil(nc / block_rows))
+        out = _pruned_top_k(queries, corpus, k, nq, nc, block_rows, n, exclude_self, visits)
     else:
-        w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("case_id"))
-        out = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        cores = queries.sparkSession.sparkContext.defaultParallelism
+        bq = max(1, math.ceil(nq / block_rows), min(2 * cores, math.ceil(nq / 256)))
+        q = queries.select(F.col("qid").cast("long"), "qvec", F.pmod(F.xxhash64("qid"), F.lit(bq)).alias("qb"))
+        c = corpus.select(F.col("case_id").cast("long"), "vec",
+                          F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<bigint>")).alias("qb"))
+        out = (q.groupBy("qb").cogroup(c.groupBy("qb"))
+               .applyInPandas(_block_topk(k, exclude_self=exclude_self), HITS_SCHEMA))
     if materialize:
         ensure_checkpoint_dir(out.sparkSession)
         out = out.checkpoint()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from supportflow.session import ensure_checkpoint_dir, small_side
+
 
 def with_position(df: DataFrame, order_cols: list[str], name: str = "pos", start: int = 0,
                   num_partitions: int | None = None) -> DataFrame:
@@ -13,13 +15,17 @@ def with_position(df: DataFrame, order_cols: list[str], name: str = "pos", start
     Distributed: range-partition and sort, number rows inside each partition with
     ``monotonically_increasing_id`` (partition id in the high bits, record number in the
     low 33), then add each partition's offset from a table with one row per partition
-    (bounded by the partition count, so its broadcast is safe).
+    (bounded by the partition count, so its broadcast is safe). The numbered rows are
+    checkpointed: range bounds are sampled, so rows and offsets must come from the same
+    partitioning, not from two that may differ.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__local", F.monotonically_increasing_id()
-                          - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+                          - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+              .checkpoint())
     sizes = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select(
         "__pid",
@@ -59,7 +65,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.
     pos = with_position(df.withColumn("__k", md5_rank_key(F.col(key), seed)),
                         [label, "__k", key], name="__pos")
     per_label = pos.groupBy(label).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    return (pos.join(F.broadcast(per_label), label)
+    return (pos.join(small_side(per_label), label)
             .withColumn("split", F.when(F.col("__pos") - F.col("__first") < F.round(F.col("__n") * F.lit(test_share)),
                                         "test").otherwise("train"))
             .drop("__k", "__n", "__pos", "__first"))

@@ -33,37 +33,39 @@ def reply_edges(tweets: DataFrame, id_col: str = "tweet_id",
             .groupBy("id").agg(F.min("parent").alias("parent")))
 
 
-def conversation_roots(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """``id, root`` for every id of ``edges(id, parent)``."""
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
+def conversation_roots(edges: DataFrame) -> DataFrame:
+    """``id, root`` for every id of ``edges(id, parent)``.
+
+    Finished rows are written once, in the round that finishes them, and never again: each
+    round writes only the rows that are still open."""
+    ensure_checkpoint_dir(edges.sparkSession)
     known = edges.select(F.col("id").alias("pid"))
-    st = (edges.join(known, edges["parent"] == known["pid"], "left")
-          .select("id",
-                  F.coalesce("parent", "id").alias("nxt"),
-                  (F.col("parent").isNull() | F.col("pid").isNull()).alias("done"),
-                  F.least("id", F.coalesce("parent", "id")).alias("mn"))
-          .checkpoint())
-    n = st.count()
-    limit = max_rounds or (max(1, n).bit_length() + 1)
-    for _ in range(limit):
-        if st.filter(~F.col("done")).limit(1).count() == 0:
+    start = (edges.join(known, edges["parent"] == known["pid"], "left")
+             .select("id",
+                     F.coalesce("parent", "id").alias("nxt"),
+                     (F.col("parent").isNull() | F.col("pid").isNull()).alias("done"),
+                     F.least("id", F.coalesce("parent", "id")).alias("mn"))
+             .checkpoint())
+    finished, opened = start.filter(F.col("done")), start.filter(~F.col("done"))
+    n = opened.count()                                   # a chain or cycle holds open rows only
+    for _ in range(max(1, n).bit_length() + 1):
+        if not opened.head(1):
             break
-        # only open rows move; finished rows skip the shuffle
-        partner = st.select(F.col("id").alias("p_id"), F.col("nxt").alias("p_nxt"),
-                            F.col("done").alias("p_done"), F.col("mn").alias("p_mn"))
-        opened = st.filter(~F.col("done"))
+        partner = finished.unionByName(opened).select(
+            F.col("id").alias("p_id"), F.col("nxt").alias("p_nxt"), F.col("done").alias("p_done"),
+            F.col("mn").alias("p_mn"))
         moved = (opened.join(partner, opened["nxt"] == partner["p_id"], "left")
                  .select("id", F.coalesce("p_nxt", "nxt").alias("nxt"),
                          F.coalesce("p_done", F.lit(True)).alias("done"),
-                         F.least("mn", F.coalesce("p_mn", "mn")).alias("mn")))
-        st = st.filter(F.col("done")).unionByName(moved).checkpoint()
-    finished = st.filter(F.col("done")).select("id", F.col("nxt").alias("root"))
-    cyc = st.select(F.col("id").alias("c_id"), F.col("mn").alias("c_mn"))
-    on_cycle = st.filter(~F.col("done"))
-    cycled = (on_cycle.join(cyc, on_cycle["nxt"] == cyc["c_id"], "left")
+                         F.least("mn", F.coalesce("p_mn", "mn")).alias("mn"))
+                 .checkpoint())
+        finished = finished.unionByName(moved.filter(F.col("done")))
+        opened = moved.filter(~F.col("done"))
+    # what is open now lies on a cycle or leads into one: nxt is on the cycle
+    cyc = opened.select(F.col("id").alias("c_id"), F.col("mn").alias("c_mn"))
+    cycled = (opened.join(cyc, opened["nxt"] == cyc["c_id"], "left")
               .select("id", F.col("c_mn").alias("root")))
-    return finished.unionByName(cycled)
+    return finished.select("id", F.col("nxt").alias("root")).unionByName(cycled)
 
 
 def with_conversation_root(tweets: DataFrame, roots: DataFrame, id_col: str = "tweet_id") -> DataFrame:

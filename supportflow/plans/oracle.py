@@ -28,13 +28,16 @@ SELECT customer_tweet_id, created_at, customer_text, brand_reply_id, brand_reply
 WHERE customer_text <> '' AND brand_reply <> ''"""
 
 ORACLES["explode_reply_ids"] = sql_with(T.replace(
-    "CAST(lead(conv_id * 1000 + turn) OVER w AS VARCHAR) AS response_tweet_id",
-    "concat_ws(',', CAST(lead(conv_id * 1000 + turn) OVER w AS VARCHAR), "
-    "CAST(lead(conv_id * 1000 + turn, 3) OVER w AS VARCHAR)) AS response_tweet_id"), LK) + """
+    "CAST(lead(conv_id * 1048576 + turn) OVER w AS VARCHAR) AS response_tweet_id",
+    "concat_ws(',', CAST(lead(conv_id * 1048576 + turn) OVER w AS VARCHAR), "
+    "CAST(lead(conv_id * 1048576 + turn, 3) OVER w AS VARCHAR)) AS response_tweet_id"), LK) + """
 SELECT trim(u.rid) AS brand_reply_id, l.tweet_id AS customer_tweet_id, r.text AS brand_reply
 FROM linked l, unnest(string_split(l.response_tweet_id, ',')) AS u(rid)
 JOIN tweets r ON CAST(r.tweet_id AS VARCHAR) = trim(u.rid) AND r.author_id = 'Brand' AND NOT r.inbound"""
 
+ORACLES["csv_exchange"] = sql_with(T) + """
+SELECT tweet_id, author_id, inbound, created_at, text, response_tweet_id, in_response_to_tweet_id FROM tweets"""
+
 ORACLES["corpus_audit"] = sql_with(T, LK, CR) + """
 SELECT 'total_tweets' AS stage, count(*)::BIGINT AS rows FROM tweets
 UNION ALL SELECT 'inbound_tweets', count(*) FILTER (WHERE inbound) FROM tweets
@@ -96,6 +99,27 @@ SELECT {G.rule_lookup_sql(P.stand_in_v1(), 'r1', 'decision')} AS old_decision,
 FROM (SELECT {_v1} AS r1, {_v2} AS r2 FROM scored) GROUP BY ALL"""
 
 
+from supportflow.plans.woven import SQL_WOVEN  # noqa: E402
+
+ORACLES["classify_real"] = sql_with(SQL_WOVEN) + f"""
+SELECT c.id, c.intent, c.confidence, {G.first_match_sql('c.text', L.WEAK_LABELS)} AS weak_label,
+       {G.first_match_sql('c.text', L.RELABEL)} AS relabelled
+FROM """ + G.classify_sql("woven", "text", L.CLASSIFIER, True, ["id", "text"]) + " c"
+
+
+def _real_sql(policy: P.Policy) -> str:
+    rid = G.decide_sql(policy, G.norm("text"), "confidence", "n_hits", "top_score")
+    return sql_with(SQL_WOVEN) + f"""
+SELECT id, intent, rule_id, {G.rule_lookup_sql(policy, 'rule_id', 'decision')} AS decision,
+       {G.rule_lookup_sql(policy, 'rule_id', 'reason')} AS reason
+FROM (SELECT *, {rid} AS rule_id FROM """ + G.classify_sql(
+        "woven", "text", L.CLASSIFIER, True, ["id", "text", "n_hits", "top_score"]) + ")"
+
+
+ORACLES["escalation_real"] = _real_sql(P.policy_v2())
+ORACLES["escalation_real_v1"] = _real_sql(P.policy_v1())
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
@@ -143,6 +167,9 @@ SELECT vec_id, label, len(embedding)::INTEGER AS dim,
 FROM (SELECT *, {_unit} AS u FROM embeddings)"""
 
 _WORLD = (T, LK, CR, CS, MS, QV, CV, HT)
+ORACLES["case_vectors"] = sql_with(T, LK, CR, CS, CV) + """
+SELECT case_id, len(v)::INTEGER AS dim, round(sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) AS norm,
+       round(list_sum(v), 6) AS checksum FROM cvec"""
 ORACLES["topk_retrieval"] = sql_with(*_WORLD) + "\nSELECT qid, rank, case_id, round(score, 6) AS score FROM hits"
 
 ORACLES["evidence_strings"] = sql_with(*_WORLD) + f"""
@@ -152,6 +179,9 @@ SELECT qid, string_agg(ev, ' || ' ORDER BY rank) AS evidence, count(*)::BIGINT A
                 {G.strip("coalesce(c.customer_text, '')")}, {G.strip("coalesce(c.brand_reply, '')")}) AS ev
   FROM hits h JOIN cases c USING (case_id)) GROUP BY qid"""
 
+ORACLES["evidence_scores"] = sql_with(*_WORLD) + """
+SELECT h.qid, CAST(printf('%.4f', max(h.score) FILTER (WHERE h.rank = 1)) AS DOUBLE) AS similarity
+FROM hits h JOIN cases c USING (case_id) GROUP BY h.qid"""
 ORACLES["top_score_stats"] = sql_with(*_WORLD) + """
 SELECT round(avg(ts), 4) AS mean_top, round(min(ts), 4) AS min_top, round(max(ts), 4) AS max_top,
        count(*)::BIGINT AS n_queries
@@ -190,9 +220,9 @@ UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support),
                  round(sum(recall * support) / sum(support), 4), round(sum(f1 * support) / sum(support), 4),
                  sum(support)::BIGINT FROM pl"""
 ORACLES["confusion_matrix"] = sql_with(*_MET) + """
-SELECT CAST(a.x AS VARCHAR) AS true_label, CAST(b.x AS VARCHAR) AS pred_label, coalesce(p.n, 0)::BIGINT AS n
-FROM range(10) a(x) CROSS JOIN range(10) b(x)
-LEFT JOIN pairs p ON p.y = CAST(a.x AS VARCHAR) AND p.p = CAST(b.x AS VARCHAR)"""
+SELECT a.x AS true_label, b.x AS pred_label, coalesce(p.n, 0)::BIGINT AS n
+FROM (SELECT y AS x FROM pairs UNION SELECT p FROM pairs) a CROSS JOIN (SELECT y AS x FROM pairs UNION SELECT p FROM pairs) b
+LEFT JOIN pairs p ON p.y = a.x AND p.p = b.x"""
 ORACLES["binary_f1"] = """
 SELECT tp, fp, fn, tn, round(CASE WHEN 2 * tp + fp + fn > 0 THEN (2 * tp)::DOUBLE / (2 * tp + fp + fn) ELSE 0.0 END, 4) AS f1
 FROM (SELECT count(*) FILTER (WHERE y AND p)::BIGINT AS tp, count(*) FILTER (WHERE NOT y AND p)::BIGINT AS fp,
@@ -320,7 +350,7 @@ FROM (SELECT s.overall AS j, 1 + 2 * l.quality + 2 * (1 - l.toxic) AS h
 
 
 # ---------------------------------------------------------------- features and baselines
-from supportflow.operators.features import TOKEN_RE as _TOK  # noqa: E402
+_TOK = G.TERM_TOKEN
 
 
 def _tfidf_sql(min_df: int, max_features: int, sublinear: bool) -> str:
@@ -340,11 +370,24 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 
 ORACLES["tfidf"] = _tfidf_sql(2, 100000, True)
 ORACLES["tfidf_top10k"] = _tfidf_sql(1, 10000, False)
+ORACLES["tfidf_100k"] = _tfidf_sql(2, 100000, False)
 
 _SPLIT = """split AS (
   SELECT doc_id, quality, toxic, CASE WHEN r <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split
   FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) AS r,
                count(*) OVER (PARTITION BY quality) AS n FROM labels))"""
+ORACLES["tfidf_logreg_check"] = "WITH " + _SPLIT + f""",
+toks AS (SELECT d.doc_id, regexp_extract_all(lower(coalesce(d.text, '')), {G.lit(_TOK)}) AS t
+         FROM documents d JOIN split s ON s.doc_id = d.doc_id WHERE s.split = 'train'),
+grams AS (SELECT doc_id, unnest(t) AS term FROM toks
+          UNION ALL
+          SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM toks
+          WHERE len(t) >= 2),
+vocab AS (SELECT term FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 2)
+SELECT (SELECT count(*) FROM toks)::BIGINT AS n_train,
+       (SELECT count(*) FROM split JOIN documents USING (doc_id) WHERE split = 'test')::BIGINT AS n_test,
+       least((SELECT count(*) FROM vocab), 100000)::BIGINT AS n_terms,
+       true AS gradient_vanishes, true AS beats_majority_loss, true AS predicts_labels"""
 ORACLES["majority_baseline"] = "WITH " + _SPLIT + """
 SELECT doc_id, quality, (SELECT quality FROM split WHERE split = 'train' GROUP BY quality
                          ORDER BY count(*) DESC, quality LIMIT 1) AS prediction

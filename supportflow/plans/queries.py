@@ -7,7 +7,10 @@ where the limit is the feature (``head_n``, ``seeded_sample``). Oracles are in
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +20,9 @@ from supportflow.operators import lexicon as L
 from supportflow.operators import policy as P
 from supportflow.operators import retrieval as R
 from supportflow.plans import world as W
-from supportflow.sources.adapters import BRAND
+from supportflow.sources.adapters import BRAND, tweet_id
+from supportflow.session import delete_on_exit, ensure_checkpoint_dir
+from supportflow.sources import tables as TB
 from supportflow.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +50,7 @@ def q_linked_messages(spark, sf):
 
 @register("build_cases")
 def q_build_cases(spark, sf):
-    tw = W.tweets(spark, sf)
+    tw = W._materialize(W.tweets(spark, sf))             # read three times
     return C.build_cases(C.linked_messages(tw, BRAND), tw, BRAND)
 
 
@@ -53,8 +58,8 @@ def _multi_id_tweets(spark, sf) -> DataFrame:
     """Tweets whose reply list also names the turn three ahead, e.g. ``'1,3'`` (C1x input)."""
     conv = read_table(spark, sf, "conversations")
     ahead3 = (conv.filter(F.col("turn") >= 3)
-              .select((F.col("conv_id") * 1000 + F.col("turn") - 3).alias("tweet_id"),
-                      (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("r3")))
+              .select((tweet_id() - 3).alias("tweet_id"),
+                      tweet_id().cast("string").alias("r3")))
     return (W.tweets(spark, sf).join(ahead3, "tweet_id", "left")
             .withColumn("response_tweet_id", F.concat_ws(",", "response_tweet_id", "r3"))
             .drop("r3"))
@@ -70,9 +75,21 @@ def q_explode_reply_ids(spark, sf):
     return C.explode_reply_ids(linked).join(replies, "brand_reply_id")
 
 
+@register("csv_exchange")
+def q_csv_exchange(spark, sf):
+    """The tweets written as a CSV exchange file (whole result, replaced on a second
+    write), required columns checked, read back with the fixed schema."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exchange-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    tw = W.tweets(spark, sf).select(*TB.RAW_TWEETS.fieldNames())
+    TB.write_table(tw, path, fmt="csv")
+    TB.write_table(tw, path, fmt="csv")
+    return TB.require_columns(TB.read_csv(spark, path, TB.RAW_TWEETS), ["tweet_id", "text"])
+
+
 @register("corpus_audit")
 def q_corpus_audit(spark, sf):
-    tw = W.tweets(spark, sf)
+    tw = W._materialize(W.tweets(spark, sf))             # read by every stage of the audit
     return C.corpus_audit(tw, BRAND, C.build_cases(C.linked_messages(tw, BRAND), tw, BRAND))
 
 
@@ -152,6 +169,33 @@ def q_policy_diff(spark, sf):
     return P.policy_diff(P.decide(base, P.stand_in_v1()), P.decide(base, P.stand_in_v2()))
 
 
+# ---------------------------------------------------------------- the real lexicon and policies
+from supportflow.plans import woven as WV  # noqa: E402
+
+
+@register("classify_real")
+def q_classify_real(spark, sf):
+    m = WV.messages(spark, sf)
+    return L.classify(m, "text", L.CLASSIFIER).select(
+        "id", "intent", "confidence", L.first_match_label("text", L.WEAK_LABELS).alias("weak_label"),
+        L.first_match_label("text", L.RELABEL).alias("relabelled"))
+
+
+def _real_decisions(spark, sf, policy) -> DataFrame:
+    m = L.classify(WV.messages(spark, sf), "text", L.CLASSIFIER)
+    return P.decide(m, policy).select("id", "intent", "rule_id", "decision", "reason")
+
+
+@register("escalation_real")
+def q_escalation_real(spark, sf):
+    return _real_decisions(spark, sf, P.policy_v2())
+
+
+@register("escalation_real_v1")
+def q_escalation_real_v1(spark, sf):
+    return _real_decisions(spark, sf, P.policy_v1())
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
@@ -169,49 +213,77 @@ def q_conversation_roots(spark, sf):
     return _roots(spark, sf).select(F.col("id").alias("tweet_id"), F.col("root").alias("conversation_root"))
 
 
-def _holdout(spark, sf):
-    tw = W.tweets(spark, sf)
-    roots = TH.conversation_roots(TH.reply_edges(tw))
-    twr = TH.with_conversation_root(tw, roots)
-    msgs = W.messages(spark, sf)
-    gold = W.golden(spark, sf, msgs)
-    groots = TH.golden_roots(gold, roots)
-    held = TH.held_out_tweets(twr, groots)
-    cs = W.cases(spark, sf)
-    return dict(tweets=twr, msgs=msgs, golden=gold, groots=groots, held=held, cases=cs,
-                safe=TH.leakage_safe_cases(cs, held))
+class _Holdout:
+    """The hold-out tables, each built when first used: a query pays only for what it reads."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def tweets(self):
+        return TH.with_conversation_root(W.tweets(self.spark, self.sf), self.roots)
+
+    @cached_property
+    def roots(self):
+        return _roots(self.spark, self.sf)
+
+    @cached_property
+    def msgs(self):
+        return W.messages(self.spark, self.sf)
+
+    @cached_property
+    def golden(self):
+        return W.golden(self.spark, self.sf, self.msgs)
+
+    @cached_property
+    def groots(self):
+        return TH.golden_roots(self.golden, self.roots)
+
+    @cached_property
+    def held(self):
+        return TH.held_out_tweets(self.tweets, self.groots)
+
+    @cached_property
+    def cases(self):
+        return W.cases(self.spark, self.sf)
+
+    @cached_property
+    def safe(self):
+        return TH.leakage_safe_cases(self.cases, self.held)
 
 
 @register("holdout_expand")
 def q_holdout_expand(spark, sf):
-    return _holdout(spark, sf)["held"].select("tweet_id", "conversation_root")
+    return _Holdout(spark, sf).held.select("tweet_id", "conversation_root")
 
 
 @register("leakage_safe_cases")
 def q_leakage_safe_cases(spark, sf):
-    return _holdout(spark, sf)["safe"].select("case_id", "customer_tweet_id", "brand_reply_id")
+    return _Holdout(spark, sf).safe.select("case_id", "customer_tweet_id", "brand_reply_id")
 
 
 @register("holdout_audit")
 def q_holdout_audit(spark, sf):
-    h = _holdout(spark, sf)
-    return TH.holdout_audit(h["tweets"], h["groots"], h["held"], h["cases"], h["safe"])
+    h = _Holdout(spark, sf)
+    held = W._materialize(h.held.select("tweet_id", "conversation_root"))
+    return TH.holdout_audit(h.tweets, h.groots, held, h.cases, TH.leakage_safe_cases(h.cases, held))
 
 
 @register("row_level_holdout")
 def q_row_level_holdout(spark, sf):
-    h = _holdout(spark, sf)
-    return TH.row_level_holdout(h["cases"], h["golden"]).select("case_id", "customer_tweet_id")
+    h = _Holdout(spark, sf)
+    return TH.row_level_holdout(h.cases, h.golden).select("case_id", "customer_tweet_id")
 
 
 @register("topk_safe")
 def q_topk_safe(spark, sf):
-    """Golden messages retrieved against the leakage-safe corpus (vectors reused, re-normalised)."""
-    h = _holdout(spark, sf)
-    qv = W.message_vectors(spark, sf, h["msgs"]).join(
-        h["golden"].select(F.col("tweet_id").alias("qid")), "qid", "left_semi")
-    cv = W.case_vectors(spark, sf, h["safe"])
-    return R.top_k(qv, cv, k=W.K).select("qid", "rank", "case_id", F.round("score", 6).alias("score"))
+    """Golden messages retrieved against the leakage-safe corpus, whose vectors are those of
+    the stored table (A5), not vectorised again."""
+    h = _Holdout(spark, sf)
+    stored = W.stored_case_vectors(spark, sf, h.cases)
+    cv = stored.join(h.safe.select("case_id"), "case_id", "left_semi")
+    return R.top_k(W.message_vectors(spark, sf, h.golden), cv, k=W.K).select(
+        "qid", "rank", "case_id", F.round("score", 6).alias("score"))
 
 
 # ---------------------------------------------------------------- retrieval
@@ -224,6 +296,14 @@ def q_vector_normalise(spark, sf):
                       F.round(F.aggregate("unit", F.lit(0.0), lambda a, x: a + x), 6).alias("checksum"))
 
 
+@register("case_vectors")
+def q_case_vectors(spark, sf):
+    """The stored vector table, written and read back."""
+    v = W.stored_case_vectors(spark, sf, W.cases(spark, sf))
+    return v.select("case_id", F.size("vec").alias("dim"), F.round(R.vector_norm("vec"), 6).alias("norm"),
+                    F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("checksum"))
+
+
 @register("topk_retrieval")
 def q_topk_retrieval(spark, sf):
     return W.hits(spark, sf).select("qid", "rank", "case_id", F.round("score", 6).alias("score"))
@@ -231,7 +311,16 @@ def q_topk_retrieval(spark, sf):
 
 @register("evidence_strings")
 def q_evidence_strings(spark, sf):
-    return R.evidence_strings(W.hits(spark, sf), W.cases(spark, sf), BRAND)
+    cs = W.cases(spark, sf)
+    return R.evidence_strings(W.hits(spark, sf, cs=cs), cs, BRAND)
+
+
+@register("evidence_scores")
+def q_evidence_scores(spark, sf):
+    """The best similarity, read back from the first evidence string."""
+    cs = W.cases(spark, sf)
+    ev = R.evidence_strings(W.hits(spark, sf, cs=cs), cs, BRAND)
+    return ev.select("qid", R.similarity_from_evidence("evidence").alias("similarity"))
 
 
 @register("top_score_stats")
@@ -275,8 +364,7 @@ def q_classification_report(spark, sf):
 
 @register("confusion_matrix")
 def q_confusion_matrix(spark, sf):
-    return MT.confusion_pairs(_knn_predictions(spark, sf), "true_label", "pred_label",
-                              [str(i) for i in range(10)])
+    return MT.confusion_pairs(_knn_predictions(spark, sf), "true_label", "pred_label")
 
 
 @register("binary_f1")
@@ -332,7 +420,8 @@ def q_clean_replies(spark, sf):
 def _agent_inputs(spark, sf):
     msgs = W.messages(spark, sf)
     cl = L.classify(msgs.select("tweet_id", "text"), "text", L.STAND_IN)
-    return msgs, cl, W.hits(spark, sf, msgs=msgs), W.cases(spark, sf)
+    cs = W.cases(spark, sf)                              # built and written once
+    return msgs, cl, W.hits(spark, sf, msgs=msgs, cs=cs), cs
 
 
 @register("prompt_table")
@@ -436,13 +525,40 @@ def q_majority_baseline(spark, sf):
                                 "quality").select("doc_id", "quality", "prediction")
 
 
+def _split_texts(spark, sf):
+    sp = W._materialize(_labelled_split(spark, sf).join(
+        read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id"))
+    return sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
+
+
 @register("tfidf_logreg")
 def q_tfidf_logreg(spark, sf):
-    """L2/L3: rows-only check (a fitted model has no SQL form)."""
-    sp = _labelled_split(spark, sf).join(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    pred = MD.tfidf_logreg(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test"),
-                           "quality", max_iter=200)
-    return pred.select("doc_id", "quality", "prediction")
+    """L2/L3: rows-only check (a fitted model has no SQL form); see ``tfidf_logreg_check``."""
+    train, test = _split_texts(spark, sf)
+    return MD.tfidf_logreg(train, test, "quality", max_iter=2000).select("doc_id", "quality", "prediction")
+
+
+@register("tfidf_logreg_check")
+def q_tfidf_logreg_check(spark, sf):
+    """L2/L3: what must hold of any right fit: sizes, a vanishing gradient, a loss below that of
+    the balanced majority model (``ln k``), and predictions that are labels."""
+    train, test = _split_texts(spark, sf)
+    fit = MD.fit_logreg(train, "quality", max_iter=2000)
+    k, loss = fit.model.numClasses, fit.model.summary.objectiveHistory[-1]
+    pred = fit.predict(test.select("doc_id", "quality", "text"))
+    return pred.agg(
+        F.lit(train.count()).alias("n_train"), F.count(F.lit(1)).alias("n_test"),
+        F.lit(len(fit.vocab)).cast("long").alias("n_terms"), F.lit(bool(fit.gradient() < 1e-3)).alias("gradient_vanishes"),
+        F.lit(bool(loss < math.log(k))).alias("beats_majority_loss"),
+        F.coalesce(F.bool_and(F.col("prediction").isin(0, 1)), F.lit(True)).alias("predicts_labels"))
+
+
+@register("tfidf_100k")
+def q_tfidf_100k(spark, sf):
+    """L1, third setting: minimum document frequency 2, 100,000 terms, raw counts."""
+    docs = read_table(spark, sf, "documents")
+    return FT.tfidf(docs, min_df=2, max_features=100000, sublinear=False).withColumn(
+        "weight", F.round("weight", 6))
 
 
 # ---------------------------------------------------------------- review and flags (P, B8-B12, F13, G5)
@@ -564,12 +680,12 @@ def q_stream_scoring(spark, sf):
 def q_stream_agent(spark, sf):
     """Per micro-batch, the whole agent against static corpus tables; equals the batch job."""
     cs = W.cases(spark, sf)
-    cv = W.case_vectors(spark, sf, cs)
+    cv = W.stored_case_vectors(spark, sf, cs)            # every micro-batch reads the stored table
     raw = W.raw_replies(spark, sf)
 
     def batch_fn(batch):
         msgs = (batch.filter(F.col("role") == "user")
-                .select((F.col("conv_id") * 1000 + F.col("turn")).alias("tweet_id"), "text"))
+                .select(tweet_id().alias("tweet_id"), "text"))
         hs = R.top_k(W.message_vectors(spark, sf, msgs), cv, k=W.K)
         return RP.agent_batch(msgs.select("tweet_id", "text"), hs, cs, raw, BRAND, L.STAND_IN, P.stand_in_v2())
 

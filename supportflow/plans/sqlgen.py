@@ -1,16 +1,37 @@
 """SQL text for the DuckDB oracles, generated from the same lexicon / policy data.
 
 The oracle is an independent formulation in SQL (RE2 regexes, CASE chains, window
-functions); only the term tables are shared with the Spark side.
+functions); only the term tables and the lists of fixed texts are shared with the Spark
+side. The patterns below are written anew, in RE2's own classes.
 """
 
 from __future__ import annotations
 
-from supportflow.functions.text import STRIP_RE, TOKEN_RE, WORD, quote_re
+import re
+
 from supportflow.operators.lexicon import FirstMatch, Lexicon
 from supportflow.operators.policy import Policy
 
 
+BLANK = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"      # what Python's str.strip() and split() cut at
+SOLID = r"[^\s\x0B\x1C-\x1F\x{85}\pZ]"
+WORD = r"_\pL\pN"                          # inside a class
+GAP = r"[\s\x0B]"                          # ASCII blanks
+TERM_TOKEN = r"[_\pL\pN][_\pL\pN]+"       # two or more word characters
+STRIP_RE = f"^{BLANK}+|{BLANK}+$"
+LABELS = {"correctness": "correctness", "groundedness": "groundedness", "helpfulness": "helpfulness",
+          "brand_consistency": "brand(?:[ _]?consistency)?", "safety": "safety", "overall": "overall"}
+
+
+def quoted(term: str) -> str:
+    """A literal inside a pattern: every ASCII character that is no letter or digit escaped."""
+    return re.sub(r"([^A-Za-z0-9\x80-\U0010ffff])", r"\\\1", term)
+
+
+def prefixes(texts) -> str:
+    return "^" + "".join(f"({quoted(t)}{BLANK}*)?" for t in texts)
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -25,11 +46,11 @@ def norm(x: str, do_strip: bool = True) -> str:
 
 
 def word_count(x: str) -> str:
-    return f"len(regexp_extract_all({x}, {lit(TOKEN_RE)}))"
+    return f"len(regexp_extract_all({x}, {lit(SOLID + '+')}))"
 
 
 def has_word(x: str, w: str) -> str:
-    return f"regexp_matches({x}, {lit(f'(^|[^{WORD}]){quote_re(w)}([^{WORD}]|$)')})"
+    return f"regexp_matches({x}, {lit(f'(^|[^{WORD}]){quoted(w)}([^{WORD}]|$)')})"
 
 
 def any_of(x: str, terms) -> str:
@@ -134,9 +155,8 @@ def _jstr(x: str, key: str) -> str:
 
 def clean_replies_ctes(src: str, brand: str, out: str = "cleaned") -> str:
     """CTEs ending in ``out(id, reply, reject_reason)`` from ``src(id, raw)``."""
-    from supportflow.functions.parsing import (BAD_STARTS, FINAL_PREFIXES, REPLY_OBJECT_RE,
-                                               REPLY_PREFIXES, reasoning_markers)
-    from supportflow.functions.text import prefixes_regex
+    from supportflow.functions.parsing import BAD_STARTS, FINAL_PREFIXES, REPLY_PREFIXES, reasoning_markers
+    reply_object = f'(?s:{{{{.*?"reply"{GAP}*:{GAP}*".*?"{GAP}*}}}})'.replace("{{", r"\{").replace("}}", r"\}")
     bad = " OR ".join(f"starts_with(r1, {lit(b)})" for b in BAD_STARTS)
     mk = " OR ".join(f"contains(r1, {lit(m)})" for m in reasoning_markers(brand))
     return f"""{out}_a AS (SELECT id, {strip("coalesce(raw, '')")} AS raw FROM {src}),
@@ -144,10 +164,10 @@ def clean_replies_ctes(src: str, brand: str, out: str = "cleaned") -> str:
        CASE WHEN contains(raw, '</think>') THEN {strip(_after('raw', '</think>'))} ELSE raw END AS c1 FROM {out}_a),
 {out}_c AS (SELECT *, CASE WHEN is_obj THEN {_jstr('raw', 'reply')} END AS jr,
        CASE WHEN contains(c1, '<think>') THEN {strip(_after('c1', '<think>'))} ELSE c1 END AS c2 FROM {out}_b),
-{out}_d AS (SELECT *, regexp_extract_all(c2, {lit(REPLY_OBJECT_RE)})[-1] AS cand FROM {out}_c),
+{out}_d AS (SELECT *, regexp_extract_all(c2, {lit(reply_object)})[-1] AS cand FROM {out}_c),
 {out}_e AS (SELECT *, CASE WHEN {_is_obj('cand')} THEN {_jstr('cand', 'reply')} END AS cr FROM {out}_d),
 {out}_f AS (SELECT *, regexp_replace({strip("coalesce(CASE WHEN is_obj THEN jr WHEN coalesce(cr, '') <> '' THEN cr ELSE c2 END, '')")},
-                                 {lit(prefixes_regex(REPLY_PREFIXES))}, '') AS r1 FROM {out}_e),
+                                 {lit(prefixes(REPLY_PREFIXES))}, '') AS r1 FROM {out}_e),
 {out}_g AS (SELECT *, CASE WHEN raw = '' THEN 'empty'
                       WHEN is_obj AND coalesce(jr, '') = '' THEN 'json_without_reply'
                       WHEN starts_with(r1, '{{') OR starts_with(r1, '[') THEN 'structured'
@@ -155,15 +175,15 @@ def clean_replies_ctes(src: str, brand: str, out: str = "cleaned") -> str:
                       WHEN {mk} THEN 'reasoning_marker'
                       WHEN length(r1) < 10 THEN 'too_short'
                       WHEN length(r1) > 1000 THEN 'too_long' END AS rr,
-                 regexp_replace(r1, {lit(prefixes_regex(FINAL_PREFIXES))}, '') AS r2 FROM {out}_f),
+                 regexp_replace(r1, {lit(prefixes(FINAL_PREFIXES))}, '') AS r2 FROM {out}_f),
 {out} AS (SELECT id, CASE WHEN rr IS NULL AND r2 <> '' THEN r2 END AS reply,
                  CASE WHEN rr IS NULL AND r2 = '' THEN 'empty' ELSE rr END AS reject_reason FROM {out}_g)"""
 
 
 def judge_six_ctes(src: str, out: str = "six") -> str:
     """CTEs ending in ``out(id, six metrics, method, parsed)`` from ``src(id, raw)``."""
-    from supportflow.functions.parsing import JUDGE_METRICS, LABEL_PATTERNS, SP
-    from supportflow.functions.text import WORD
+    from supportflow.functions.parsing import JUDGE_METRICS
+    SP = GAP
     nb, na = f"(?:^|[^{WORD}])", f"(?:[^{WORD}]|$)"
 
     def first_score(v):
@@ -175,7 +195,7 @@ def judge_six_ctes(src: str, out: str = "six") -> str:
     keys = " AND ".join(f"coalesce(json_exists(TRY_CAST(js AS JSON), '$.{m}'), false)" for m in JUDGE_METRICS)
     jcols = ", ".join(f"{first_score(_jstr('js', m))} AS j_{m}" for m in JUDGE_METRICS)
     lcols = ", ".join(f"regexp_extract(tl, {lit(f'(?i){p}{SP}*[:=\\-]{SP}*([1-5])')}, 1) AS l_{m}"
-                      for m, p in LABEL_PATTERNS.items())
+                      for m, p in LABELS.items())
     scols = ", ".join(f"regexp_extract(t3, {lit(p)}, {i + 1}) AS s{pi}_{i}" for pi, p in enumerate(pats)
                       for i in range(6))
     json_ok = keys + " AND " + " AND ".join(f"j_{m} > 0" for m in JUDGE_METRICS)
@@ -206,8 +226,7 @@ def judge_six_ctes(src: str, out: str = "six") -> str:
 
 
 def last_score_sql(x: str) -> str:
-    from supportflow.functions.parsing import LAST_SCORE_RE
     a = strip(f"coalesce({x}, '')")
     a2 = f"CASE WHEN contains({a}, '<think>') AND contains({a}, '</think>') THEN {strip(_after(a, '</think>'))} ELSE {a} END"
-    d = f"regexp_extract({a2}, {lit(LAST_SCORE_RE)}, 1)"
-    return f"CASE WHEN {d} <> '' THEN CAST({d} AS INTEGER) END"
+    runs = f"regexp_extract_all({a2}, '[0-9]+')"
+    return f"CAST(list_filter({runs}, lambda r: r IN ('1', '2', '3', '4', '5'))[-1] AS INTEGER)"

@@ -16,6 +16,8 @@ Each function mirrors a SQL CTE in ``SQL_*`` below, used by the DuckDB oracles.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,9 @@ from supportflow.operators import cases as C
 from supportflow.operators import features as FT
 from supportflow.operators import retrieval as R
 from supportflow.operators.sampling import with_position
-from supportflow.session import ensure_checkpoint_dir
-from supportflow.sources.adapters import BRAND, customer_messages, tweets_from_conversations
-from supportflow.sources.tables import read_table
+from supportflow.session import delete_on_exit, ensure_checkpoint_dir
+from supportflow.sources.adapters import BRAND, customer_messages, tweet_id, tweets_from_conversations
+from supportflow.sources.tables import read_table, read_vectors, write_vectors
 
 K = 5
 
@@ -53,7 +55,7 @@ def message_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
     """Case corpus with ``case_id`` (written once: several consumers read it)."""
-    tw = tweets(spark, sf)
+    tw = _materialize(tweets(spark, sf))                 # read three times below
     cs = C.build_cases(C.linked_messages(tw, BRAND), tw, BRAND)
     return _materialize(cs.withColumn("case_id", F.col("customer_tweet_id")))
 
@@ -87,6 +89,14 @@ def case_vectors(spark: SparkSession, sf: str, cs: DataFrame | None = None) -> D
     return R.l2_normalise(v.select("case_id", "vec"), "vec")
 
 
+def stored_case_vectors(spark: SparkSession, sf: str, cs: DataFrame) -> DataFrame:
+    """The vector table of a corpus (J3), written once to the shared folder and read (A5)."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    write_vectors(case_vectors(spark, sf, cs), path)
+    return read_vectors(spark, path)
+
+
 def hits(spark: SparkSession, sf: str, k: int = K, msgs: DataFrame | None = None,
          cs: DataFrame | None = None) -> DataFrame:
     return R.top_k(message_vectors(spark, sf, msgs), case_vectors(spark, sf, cs), k=k)
@@ -101,13 +111,13 @@ def _norm_vec(v: str) -> str:
 
 
 SQL_TWEETS = """tweets AS (
-  SELECT conv_id * 1000 + turn AS tweet_id,
+  SELECT conv_id * 1048576 + turn AS tweet_id,
          CASE WHEN role = 'assistant' THEN 'Brand' ELSE 'user_' || CAST(conv_id AS VARCHAR) END AS author_id,
          role <> 'assistant' AS inbound,
          CAST(NULL AS VARCHAR) AS created_at,
          text,
-         CAST(lead(conv_id * 1000 + turn) OVER w AS VARCHAR) AS response_tweet_id,
-         CAST(lag(conv_id * 1000 + turn) OVER w AS VARCHAR) AS in_response_to_tweet_id
+         CAST(lead(conv_id * 1048576 + turn) OVER w AS VARCHAR) AS response_tweet_id,
+         CAST(lag(conv_id * 1048576 + turn) OVER w AS VARCHAR) AS in_response_to_tweet_id
   FROM conversations
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
 
@@ -138,13 +148,13 @@ SQL_CASES = f"""cases AS (
   FROM cases_raw WHERE customer_text <> '' AND brand_reply <> '')"""
 
 SQL_MESSAGES = """messages AS (
-  SELECT conv_id * 1000 + turn AS tweet_id, conv_id, turn, text,
+  SELECT conv_id * 1048576 + turn AS tweet_id, conv_id, turn, text,
          row_number() OVER (ORDER BY conv_id, turn) - 1 AS n
   FROM conversations WHERE role = 'user')"""
 
 def _buckets(text: str) -> str:
     """J1 in SQL, step 1: the md5 bucket of every token."""
-    tok = FT.TOKEN_RE.replace("'", "''")
+    from supportflow.plans.sqlgen import TERM_TOKEN as tok
     return (f"list_transform(regexp_extract_all(lower(coalesce({text}, '')), '{tok}'), "
             f"lambda t: (('0x' || substr(md5(t), 1, 8))::BIGINT % {FT.VECTOR_DIM})::INTEGER)")
 
@@ -186,7 +196,7 @@ roots AS (SELECT id, arg_max(cur, depth) AS root FROM walk GROUP BY id)"""
 
 
 def sql_with(*parts: str, recursive: bool = False) -> str:
-    from supportflow.functions.text import STRIP_RE
+    from supportflow.plans.sqlgen import STRIP_RE
     body = ",\n".join(parts).replace("{strip}", STRIP_RE.replace("'", "''"))
     return ("WITH RECURSIVE " if recursive else "WITH ") + body
 
@@ -218,7 +228,7 @@ def raw_replies(spark: SparkSession, sf: str) -> DataFrame:
            .when(shape == 5, F.concat(F.lit('{"reply": "'), e, F.lit('"} Hope this helps')))
            .when(shape == 6, F.concat(F.lit("We need to reply. "), a))
            .otherwise(a))
-    return conv.select((F.col("conv_id") * 1000 + F.col("turn") - 1).alias("id"),
+    return conv.select((tweet_id() - 1).alias("id"),
                        F.lit(1).alias("attempt"), raw.alias("raw"))
 
 
@@ -227,8 +237,8 @@ def _scores(i: int):
 
 
 def judge_raw_six(spark: SparkSession, sf: str) -> DataFrame:
-    """Six-metric judgements for each document, spelled six ways by ``doc_id % 6``; two of
-    the ways carry the whole document text."""
+    """Six-metric judgements for each document, spelled six ways by ``doc_id % 6``; every
+    way carries the whole document text (as reasoning, before the scores, or alone)."""
     docs = read_table(spark, sf, "documents")
     s = [_scores(i) for i in range(6)]
     names = ["correctness", "groundedness", "helpfulness", "brand_consistency", "safety", "overall"]
@@ -238,29 +248,32 @@ def judge_raw_six(spark: SparkSession, sf: str) -> DataFrame:
         ["Correctness", "Groundedness", "Helpfulness", "Brand consistency", "Safety", "Overall"])], []))
     way = F.pmod(F.col("doc_id"), F.lit(6))
     text = F.coalesce(F.col("text"), F.lit(""))
-    raw = (F.when(way == 0, js)
-           .when(way == 1, F.concat(F.lit("<think>"), text, F.lit("</think>"), js))
-           .when(way == 2, labelled)
-           .when(way == 3, F.concat_ws(" ", *s))
-           .when(way == 4, F.concat_ws(", ", *s))
+    think = F.concat(F.lit("<think>"), text, F.lit("</think>"))
+    raw = (F.when(way == 0, F.concat(text, F.lit("\n"), js))
+           .when(way == 1, F.concat(think, js))
+           .when(way == 2, F.concat(think, labelled))
+           .when(way == 3, F.concat(think, F.concat_ws(" ", *s)))
+           .when(way == 4, F.concat(think, F.concat_ws(", ", *s)))
            .otherwise(text))
     return docs.select(F.col("doc_id").alias("id"), F.lit(1).alias("attempt"), raw.alias("raw"))
 
 
 def judge_raw_one(spark: SparkSession, sf: str) -> DataFrame:
     """One-score judgements, two attempts per document: the first spelled five ways by
-    ``doc_id % 5`` (some fail), the second a bare digit."""
+    ``doc_id % 5`` (some fail), the second a bare digit after the text as reasoning; every
+    attempt carries the whole document text."""
     docs = read_table(spark, sf, "documents")
     s = _scores(5)
     text = F.coalesce(F.col("text"), F.lit(""))
     way = F.pmod(F.col("doc_id"), F.lit(5))
-    first = (F.when(way == 0, s)
-             .when(way == 1, F.concat(F.lit("<think>"), text, F.lit("</think> Score: "), s))
-             .when(way == 2, F.concat(F.lit("I would rate it "), s, F.lit("/5")))
+    think = F.concat(F.lit("<think>"), text, F.lit("</think>"))
+    first = (F.when(way == 0, F.concat(think, s))
+             .when(way == 1, F.concat(think, F.lit(" Score: "), s))
+             .when(way == 2, F.concat(think, F.lit("I would rate it "), s, F.lit("/5")))
              .when(way == 3, text)
-             .otherwise(F.lit("")))
+             .otherwise(think))
     a1 = docs.select(F.col("doc_id").alias("id"), F.lit(1).alias("attempt"), first.alias("raw"))
-    a2 = docs.select(F.col("doc_id").alias("id"), F.lit(2).alias("attempt"), s.alias("raw"))
+    a2 = docs.select(F.col("doc_id").alias("id"), F.lit(2).alias("attempt"), F.concat(think, s).alias("raw"))
     return a1.unionByName(a2)
 
 
@@ -279,7 +292,7 @@ def _q(s: str) -> str:
 
 
 SQL_RAW_REPLIES = f"""raw_responses AS (
-  SELECT conv_id * 1000 + turn - 1 AS id, 1 AS attempt,
+  SELECT conv_id * 1048576 + turn - 1 AS id, 1 AS attempt,
     CASE conv_id % 8
       WHEN 0 THEN '{{"reply": "' || {_esc_sql("coalesce(text, '')")} || '"}}'
       WHEN 1 THEN '<think>draft</think>' || coalesce(text, '')
@@ -305,22 +318,22 @@ _LAB_SQL = " || ".join((f"chr(10) || " if i else "") + f"'{lab}: ' || {_s_sql(i)
 SQL_JUDGE_SIX = f"""judge_raw AS (
   SELECT doc_id AS id, 1 AS attempt,
     CASE doc_id % 6
-      WHEN 0 THEN {_JS_SQL}
+      WHEN 0 THEN coalesce(text, '') || chr(10) || {_JS_SQL}
       WHEN 1 THEN '<think>' || coalesce(text, '') || '</think>' || {_JS_SQL}
-      WHEN 2 THEN {_LAB_SQL}
-      WHEN 3 THEN concat_ws(' ', {', '.join(_s_sql(i) for i in range(6))})
-      WHEN 4 THEN concat_ws(', ', {', '.join(_s_sql(i) for i in range(6))})
+      WHEN 2 THEN '<think>' || coalesce(text, '') || '</think>' || {_LAB_SQL}
+      WHEN 3 THEN '<think>' || coalesce(text, '') || '</think>' || concat_ws(' ', {', '.join(_s_sql(i) for i in range(6))})
+      WHEN 4 THEN '<think>' || coalesce(text, '') || '</think>' || concat_ws(', ', {', '.join(_s_sql(i) for i in range(6))})
       ELSE coalesce(text, '') END AS raw
   FROM documents)"""
 
 SQL_JUDGE_ONE = f"""judge_raw1 AS (
   SELECT doc_id AS id, 1 AS attempt,
     CASE doc_id % 5
-      WHEN 0 THEN {_s_sql(5)}
+      WHEN 0 THEN '<think>' || coalesce(text, '') || '</think>' || {_s_sql(5)}
       WHEN 1 THEN '<think>' || coalesce(text, '') || '</think> Score: ' || {_s_sql(5)}
-      WHEN 2 THEN 'I would rate it ' || {_s_sql(5)} || '/5'
+      WHEN 2 THEN '<think>' || coalesce(text, '') || '</think>I would rate it ' || {_s_sql(5)} || '/5'
       WHEN 3 THEN coalesce(text, '')
-      ELSE '' END AS raw
+      ELSE '<think>' || coalesce(text, '') || '</think>' END AS raw
   FROM documents
   UNION ALL
-  SELECT doc_id, 2, {_s_sql(5)} FROM documents)"""
+  SELECT doc_id, 2, '<think>' || coalesce(text, '') || '</think>' || {_s_sql(5)} FROM documents)"""

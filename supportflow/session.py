@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job relies on: AQE (runtime coalescing and skew-join splitting),
 # UTC session time, Arrow for the few pandas steps, no UI server.
@@ -65,6 +67,31 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder of this run deleted when the application ends, on any file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df, rows: int = BROADCAST_ROWS):
+    """``df`` with a broadcast hint while it has at most ``rows`` rows, else as it is (the
+    planner then joins by shuffle)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def written(df, what: str = "table"):
+    """``df`` written once as Parquet to the shared folder and read back (deleted when the
+    application ends): cuts the lineage and keeps columns prunable."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -130,5 +157,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder for iterative jobs")
     path = tempfile.mkdtemp(prefix="supportflow-ckpt-")
+    delete_on_exit(spark, path)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

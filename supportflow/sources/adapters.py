@@ -2,7 +2,8 @@
 
 ``conversations(conv_id, turn, role, text)`` stands in for a tweet dump:
 
-* ``tweet_id = conv_id * 1000 + turn``
+* ``tweet_id = conv_id * 2**20 + turn`` (one id per turn; a turn or conversation number that
+  does not fit raises)
 * ``author_id = BRAND`` for assistant turns, else ``'user_' || conv_id``
 * ``inbound = role <> 'assistant'``
 * ``in_response_to_tweet_id`` = id of turn - 1, ``response_tweet_id`` = id of turn + 1
@@ -20,8 +21,19 @@ from pyspark.sql import functions as F
 BRAND = "Brand"
 
 
-def _tweet_id() -> F.Column:
-    return F.col("conv_id") * F.lit(1000) + F.col("turn")
+TURNS = 1 << 20
+
+
+def tweet_id(conv_id: str = "conv_id", turn: str = "turn") -> F.Column:
+    """The id of a turn; injective, and an error where a number is out of range."""
+    c, t = F.col(conv_id).cast("long"), F.col(turn).cast("long")
+    fits = (t >= 0) & (t < TURNS) & (c >= 0) & (c < (1 << 42))
+    return (F.when(c.isNull() | t.isNull(), F.lit(None).cast("long"))
+            .when(fits, c * TURNS + t)
+            .otherwise(F.raise_error(F.lit("conversation or turn number out of range")).cast("long")))
+
+
+_tweet_id = tweet_id
 
 
 def tweets_from_conversations(conversations: DataFrame, brand: str = BRAND) -> DataFrame:

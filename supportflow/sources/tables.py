@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DRIVER_TABLES = (
@@ -32,7 +35,7 @@ CASES = T.StructType([
 
 CASE_VECTORS = T.StructType([
     T.StructField("case_id", T.LongType()),
-    T.StructField("vec", T.ArrayType(T.FloatType())),
+    T.StructField("vec", T.ArrayType(T.DoubleType())),
 ])
 
 GOLDEN = T.StructType(list(RAW_TWEETS.fields) + [
@@ -80,6 +83,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
     df = (spark.read.schema(schema)
           .option("header", True).option("multiLine", True)
           .option("escape", '"').option("mode", "PERMISSIVE")
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .csv(path))
     return df.select(*columns) if columns else df
 
@@ -94,19 +98,29 @@ def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> None:
-    """One atomic overwrite of the whole result (never a write per row)."""
-    w = df.write.mode("overwrite")
+    """Replace the whole result (never a write per row). The result is written to a
+    folder beside ``path`` and takes its place when it is complete, so a failed job leaves
+    the earlier result untouched."""
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    w = df.write
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(fresh))
     else:
-        w.format(fmt).save(path)
+        w.format(fmt).save(fresh)
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hadoop.Path(path), True)
+    if not fs.rename(hadoop.Path(fresh), hadoop.Path(path)):
+        raise OSError(f"could not move {fresh} to {path}")
 
 
 def write_vectors(df: DataFrame, path: str) -> None:
     """A5: the vector index is a Parquet table keyed by ``case_id``."""
-    write_table(df.select("case_id", "vec"), path)
+    write_table(df.select("case_id", F.col("vec").cast("array<double>").alias("vec")), path)
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:

@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from supportflow.functions.text import py_strip
 from supportflow.operators import lexicon as L
 from supportflow.operators import policy as P
-from supportflow.session import ensure_checkpoint_dir
+from supportflow.session import delete_on_exit, ensure_checkpoint_dir
+from supportflow.sources.adapters import tweet_id
 
 CONVERSATIONS = T.StructType([
     T.StructField("conv_id", T.LongType()),
@@ -47,6 +48,7 @@ def score_messages(messages: DataFrame, lex: L.Lexicon, policy: P.Policy) -> Dat
 
 def _paths(spark: SparkSession, name: str, out: str | None, ckpt: str | None) -> tuple[str, str]:
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex}"
+    delete_on_exit(spark, base)
     return out or base + "/out", ckpt or base + "/state"
 
 
@@ -62,7 +64,7 @@ def run_scoring_stream(spark: SparkSession, source: DataFrame, lex: L.Lexicon, p
     available input is processed (``availableNow``) and returns the output folder."""
     out, checkpoint = _paths(spark, "scoring", out, checkpoint)
     msgs = (source.filter(F.col("role") == "user")
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("tweet_id"), "text"))
+            .select(tweet_id().alias("tweet_id"), "text"))
     q = (score_messages(msgs, lex, policy).writeStream.format("parquet")
          .option("path", out).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())

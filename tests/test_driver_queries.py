@@ -1,7 +1,6 @@
 """Registered queries on the smallest driver tables: oracle agreement and invariants.
 
-A representative query per operator group runs against its DuckDB oracle by default; set
-``SUPPORTFLOW_ALL_ORACLES=1`` to run every registered query (as ``plans.check`` does).
+Every registered query runs against its DuckDB oracle.
 """
 
 import os
@@ -13,20 +12,10 @@ from supportflow.plans import check
 from supportflow.plans.queries import queries
 
 SF = "/root/testdata/sf0.001"
-
-GROUPS = [
-    "build_cases", "classify_intent", "escalation_decisions", "conversation_roots", "leakage_safe_cases",
-    "topk_retrieval", "classification_report", "stratified_split", "clean_replies", "judge_scores_six",
-    "tfidf", "apply_reviews", "stream_scoring",
-]
-
-
-def _names():
-    return sorted(queries()) if os.environ.get("SUPPORTFLOW_ALL_ORACLES") else GROUPS
-
+SF01 = "/root/testdata/sf0.01"
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
-@pytest.mark.parametrize("name", _names())
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_query_matches_oracle(spark, name):
     rec = check.compare(spark, SF, [name], verbose=False)[name]
     assert "error" not in rec, rec.get("error")
@@ -61,10 +50,35 @@ def test_stream_equals_batch(spark):
     """The file stream gives the same rows as the batch scoring of the same table."""
     from supportflow.operators import lexicon as L
     from supportflow.operators import policy as P
+    from supportflow.sources.adapters import tweet_id
     from supportflow.streaming import scoring as ST
     conv = spark.read.parquet(f"{SF}/conversations.parquet")
     msgs = (conv.filter(F.col("role") == "user")
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("tweet_id"), "text"))
+            .select(tweet_id().alias("tweet_id"), "text"))
     batch = ST.score_messages(msgs, L.STAND_IN, P.stand_in_v2())
     stream = queries()["stream_scoring"](spark, SF)
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.select(*batch.columns).collect()))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF01), reason="driver tables not present")
+def test_every_real_label_and_rule_fires(spark):
+    from supportflow.operators import lexicon as L
+    from supportflow.operators import policy as P
+    qs = queries()
+    seen = qs["classify_real"](spark, SF01).agg(*[F.collect_set(c).alias(c) for c in ("intent", "weak_label", "relabelled")]).first()
+    assert all(set(x) == set(L.LABEL_ORDER) for x in seen)
+    for name, policy in (("escalation_real", P.policy_v2()), ("escalation_real_v1", P.policy_v1())):
+        fired = {r.rule_id for r in qs[name](spark, SF01).select("rule_id").distinct().collect()}
+        assert fired == {r.rule_id for r in policy.rules}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_one_case_corpus_per_query(spark, monkeypatch):
+    from supportflow.operators import cases as C
+    built = []
+    real = C.build_cases
+    monkeypatch.setattr(C, "build_cases", lambda *a, **k: built.append(1) or real(*a, **k))
+    for name in ("agent_batch", "evidence_strings", "topk_safe"):
+        built.clear()
+        queries()[name](spark, SF)
+        assert len(built) == 1, name

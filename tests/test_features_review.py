@@ -58,7 +58,14 @@ def test_tfidf_matches_brute_force(spark, min_df, max_features, sublinear):
 def test_terms_keep_whole_long_text(spark):
     long = " ".join(f"w{i}" for i in range(20000))
     docs = spark.createDataFrame([(1, long)], "doc_id long, text string")
-    assert FT.terms(docs).count() == 20000 + 19999
+    assert FT.term_stats(docs).count() == 20000 + 19999
+
+
+def test_large_vocabulary_is_joined(spark, monkeypatch):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    sent = {(r.doc_id, r.term): r.weight for r in FT.tfidf(docs).collect()}
+    monkeypatch.setattr(FT, "VOCABULARY_ROWS", 1)
+    assert {(r.doc_id, r.term): pytest.approx(r.weight) for r in FT.tfidf(docs).collect()} == sent
 
 
 def test_majority_baseline_tie_goes_to_smallest(spark):

@@ -77,10 +77,38 @@ def test_empty_table(spark):
 
 
 def test_confusion_pairs_keep_zeros(spark, pairs_df):
-    got = {(r.true_label, r.pred_label): r.n for r in M.confusion_pairs(pairs_df, "y", "p", ["a", "b"]).collect()}
+    got = {(r.true_label, r.pred_label): r.n for r in M.confusion_pairs(
+        pairs_df.filter("y in ('a', 'b') and p in ('a', 'b')"), "y", "p", ["a", "b"]).collect()}
     assert got == {("a", "a"): 1, ("a", "b"): 1, ("b", "a"): 0, ("b", "b"): 2}
 
 
+def test_confusion_labels_come_from_the_data(spark, pairs_df):
+    got = {(r.true_label, r.pred_label): r.n for r in M.confusion_pairs(pairs_df, "y", "p").collect()}
+    labels = {x for r in pairs_df.collect() for x in (r.y, r.p) if x is not None}
+    assert set(got) == {(a, b) for a in labels for b in labels}
+    with pytest.raises(Exception, match="outside"):
+        M.confusion_pairs(pairs_df, "y", "p", ["a"]).collect()
+
+
+@pytest.mark.parametrize("partitions", [4, 16])
+def test_positions_beyond_the_range_sample(spark, partitions):
+    """Rows and offsets must come from one partitioning, whatever else the rows hold."""
+    n = 300_000
+    df = spark.range(n).select((F.xxhash64("id") % 1_000_003).alias("k"), "id", F.lit("kept").alias("more"),
+                               (F.col("id") * 2).alias("twice")).repartition(5)
+    out = SM.with_position(df, ["k", "id"], num_partitions=partitions)
+    assert out.agg(F.count_distinct("pos"), F.min("pos"), F.max("pos")).first()[:] == (n, 0, n - 1)
+    pairs = out.select("pos", "k").join(out.select((F.col("pos") - 1).alias("pos"), F.col("k").alias("after")), "pos")
+    assert pairs.filter("k > after").count() == 0
+
+
+def test_stratified_split_of_many_rows(spark):
+    df = spark.range(200_000).select("id", (F.col("id") % 2).alias("y"), F.lit("x").alias("more"))
+    got = {r.y: r.n for r in SM.stratified_split(df, "y", "id", 0.2, 42).filter("split = 'test'").groupBy("y").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {0: 20_000, 1: 20_000}
+
+
 def test_with_position_matches_sort(spark):
     rnd = random.Random(3)
     rows = [(rnd.randrange(50), i) for i in range(3000)]

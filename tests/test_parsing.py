@@ -100,3 +100,12 @@ def test_last_score(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "id int, raw string")
     got = [r["s"] for r in df.select("id", last_score("raw").alias("s")).orderBy("id").collect()]
     assert got == [4, 5, 2, None, 4, None, None, None, 3]
+
+
+def test_repeated_json_key_keeps_the_last_value(spark):
+    assert _run_replies(spark, ['{"reply": "the first reply text", "reply": "the second reply text"}']) == [
+        ("the second reply text", None)]
+    js = "{" + ", ".join(f'"{m}": 1, "{m}": {i % 5 + 1}' for i, m in enumerate(SIX)) + "}"
+    df = spark.createDataFrame([(1, js)], "id int, raw string")
+    r = parse_judge_six(df, "raw").first()
+    assert [r[m] for m in SIX] == [1, 2, 3, 4, 5, 1] and r.method == "json"

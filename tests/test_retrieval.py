@@ -20,8 +20,8 @@ def _frame(spark, ids, vecs, idc, vc):
                                  f"{idc} long, {vc} array<double>")
 
 
-@pytest.mark.parametrize("blocks", [(1, 1), (3, 4)])
-def test_topk_matches_brute_force(spark, blocks):
+@pytest.mark.parametrize("block_rows,pivots", [(20000, None), (10, None), (7, 12)])
+def test_topk_matches_brute_force(spark, block_rows, pivots):
     rng = np.random.default_rng(7)
     C = rng.normal(size=(60, 8))
     C /= np.linalg.norm(C, axis=1, keepdims=True)
@@ -32,7 +32,7 @@ def test_topk_matches_brute_force(spark, blocks):
     qids, cids = list(range(100, 125)), list(range(60))
     q = _frame(spark, qids, Q, "qid", "qvec")
     c = _frame(spark, cids, C, "case_id", "vec")
-    hits = R.top_k(q, c, k=5, query_blocks=blocks[0], corpus_blocks=blocks[1]).collect()
+    hits = R.top_k(q, c, k=5, block_rows=block_rows, pivots=pivots).collect()
     got = {}
     for h in sorted(hits, key=lambda h: (h.qid, h.rank)):
         got.setdefault(h.qid, []).append((h.case_id, round(h.score, 9)))
@@ -71,15 +71,15 @@ def test_text_vectors_match_python(spark):
     assert sum(got[1]) == 3 and sum(got[2]) == 0 and sum(got[4]) == 3
 
 
-@pytest.mark.parametrize("blocks", [(1, 1), (2, 3)])
-def test_exclude_self_leave_one_out(spark, blocks):
+@pytest.mark.parametrize("block_rows,pivots", [(20000, None), (8, 6)])
+def test_exclude_self_leave_one_out(spark, block_rows, pivots):
     rng = np.random.default_rng(11)
     V = rng.normal(size=(30, 6))
     V /= np.linalg.norm(V, axis=1, keepdims=True)
     ids = list(range(30))
     q = _frame(spark, ids, V, "qid", "qvec")
     c = _frame(spark, ids, V, "case_id", "vec")
-    hits = R.top_k(q, c, k=2, query_blocks=blocks[0], corpus_blocks=blocks[1], exclude_self=True).collect()
+    hits = R.top_k(q, c, k=2, block_rows=block_rows, pivots=pivots, exclude_self=True).collect()
     got = {}
     for h in sorted(hits, key=lambda h: (h.qid, h.rank)):
         got.setdefault(h.qid, []).append(h.case_id)
@@ -87,3 +87,43 @@ def test_exclude_self_leave_one_out(spark, blocks):
         s = V @ V[i]
         order = [j for j in sorted(ids, key=lambda j: (-s[j], j)) if j != i][:2]
         assert got[i] == order
+
+
+def test_far_blocks_are_skipped_and_results_stay_exact(spark):
+    """Queries near tight groups read few of the blocks; zero vectors and negative scores too."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    C = np.repeat(centres, 30, axis=0) + 0.02 * rng.normal(size=(600, 16))
+    C[::97] = 0.0
+    C[5] = C[4]
+    Q = np.concatenate([centres[:15] + 0.02 * rng.normal(size=(15, 16)), -centres[:3], np.zeros((1, 16))])
+    qids, cids = list(range(1000, 1000 + len(Q))), list(range(600))
+    visits = {}
+    hits = R.top_k(_frame(spark, qids, Q, "qid", "qvec"), _frame(spark, cids, C, "case_id", "vec"), k=5,
+                   block_rows=25, pivots=60, visits=visits).collect()
+    got = {}
+    for h in sorted(hits, key=lambda h: (h.qid, h.rank)):
+        got.setdefault(h.qid, []).append((h.case_id, round(h.score, 9)))
+    want = _brute(Q, qids, C, cids, 5)
+    assert {q: [(c, s) for c, s in v] for q, v in got.items()} == want
+    assert visits["visited"] < 0.6 * visits["all"], visits
+
+
+def test_vector_table_round_trip(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from supportflow.operators import features as FT
+    from supportflow.sources import tables as TB
+    texts = spark.createDataFrame([(1, "some words here"), (2, ""), (3, None)], "case_id long, t string")
+    v = R.l2_normalise(FT.text_vectors(texts, "t", "vec").select("case_id", "vec"), "vec")
+    TB.write_vectors(v, str(tmp_path / "v"))
+    back = TB.read_vectors(spark, str(tmp_path / "v"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, v.collect()))
+    TB.write_vectors(v.withColumn("vec", F.col("vec").cast("array<float>")), str(tmp_path / "v"))
+    assert TB.read_vectors(spark, str(tmp_path / "v")).count() == 3
+
+
+def test_score_from_evidence_string(spark):
+    df = spark.createDataFrame([("Similarity 0.8312 | Customer: x | Brand: y",), ("Similarity -0.1 | z",), ("none",), (None,)],
+                               "e string")
+    assert [r.s for r in df.select(R.similarity_from_evidence("e").alias("s")).collect()] == [0.8312, -0.1, 0.0, 0.0]

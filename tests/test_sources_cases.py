@@ -99,6 +99,28 @@ def test_build_cases_edges(spark):
     assert got_x == {10: ("20", "we can help"), 13: ("23", "first")}   # keep-first by reply id
 
 
+def test_first_reply_of_a_list_is_kept(spark):
+    rows = [(1, "u", True, "t", "q", "99,100", None), (2, "u", True, "t", "q", "100,99", None),
+            (99, "Brand", False, "t", "reply 99", None, "1"), (100, "Brand", False, "t", "reply 100", None, "2")]
+    tw = spark.createDataFrame(rows, TWEET_COLS)
+    got = {r.customer_tweet_id: r.brand_reply_id
+           for r in C.build_cases(C.linked_messages(tw, "Brand"), tw, "Brand", explode_ids=True).collect()}
+    assert got == {1: "99", 2: "100"}
+
+
+def test_long_conversations_keep_their_ids_apart(spark):
+    from supportflow.operators import threads as TH
+    from supportflow.sources.adapters import customer_messages, tweets_from_conversations
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} {t}") for c in (1, 2) for t in range(1500)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    tw = tweets_from_conversations(conv)
+    assert tw.select("tweet_id").distinct().count() == 3000
+    roots = {r.root for r in TH.conversation_roots(TH.reply_edges(tw)).collect()}
+    assert roots == {1 << 20, 2 << 20}
+    with pytest.raises(Exception, match="out of range"):
+        customer_messages(spark.createDataFrame([(1, 1 << 20, "user", "x")], conv.schema)).collect()
+
+
 def test_keep_first_heavy_key(spark):
     # one key holds most rows; the result is the smallest by the order columns
     rows = [(1, i % 97, f"r{i}") for i in range(5000)] + [(2, 5, "b"), (2, 5, "a")]
