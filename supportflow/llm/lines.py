@@ -109,8 +109,9 @@ def repeats(all_units: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The stretches to remove: ``id, row, start, end, n_words, n_units, first_id`` (the id that
     keeps the stretch's first unit)."""
     rank = F.struct(F.col("id").isNull().alias("n"), "id", "row", "at")
-    kept = (all_units.groupBy("a", "b").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > 1).select(F.col("a").alias("ka"), F.col("b").alias("kb"), "first"))
+    # written, so that the join below reads two plain shuffles, which AQE can split at a hot unit
+    kept = stored(all_units.groupBy("a", "b").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
+                  .filter(F.col("n") > 1).select(F.col("a").alias("ka"), F.col("b").alias("kb"), "first"), "kept")
     again = (all_units.join(kept, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")))
              .filter((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at"))))
     by_row = Window.partitionBy("row").orderBy("at")
