@@ -76,19 +76,17 @@ def scan(docs: DataFrame, known: DataFrame, text_col: str = "text", keep: list[s
     table = F.broadcast(table) if fits(table) else table
     rows = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("__row"),
                        F.monotonically_increasing_id().alias("__id"), normal_lines(F.col(text_col)).alias("__n"))
-    units = rows.select(
-        "__row", "__id", F.md5(one_line(F.col("__n"))).alias("__digest"),
-        F.posexplode(F.concat(F.array(F.col("__n")), F.split("__n", "\n"))).alias("__at", "__unit"))
-    units = units.select("__row", "__id", "__digest", "__at",
-                         F.when(F.col("__at") == 0, F.col("__digest")).otherwise(
-                             F.md5(one_line(F.col("__unit")))).alias("__d"))
+    # element 0 is the entire text; digests are taken after the explode, once per unit
+    units = (rows.select("__row", "__id", F.posexplode(F.concat(F.array(F.col("__n")), F.split("__n", "\n")))
+                         .alias("__at", "__unit"))
+             .select("__row", "__id", "__at", F.md5(one_line(F.col("__unit"))).alias("__d")))
     found = (units.join(table, F.col("__d") == F.col("__k"), "left")
              .filter((F.col("__at") == 0) | F.col("__l").isNotNull()))
     line = F.when(F.col("__at") > 0, F.col("__l"))
     first = F.col("__at") == 0
     out = found.groupBy("__id").agg(
         F.first(F.when(first, F.col("__row")), ignorenulls=True).alias("__row"),
-        F.max(F.when(first, F.col("__digest"))).alias("__digest"), F.max(F.when(first, F.col("__l"))).alias("__license"),
+        F.max(F.when(first, F.col("__d"))).alias("__digest"), F.max(F.when(first, F.col("__l"))).alias("__license"),
         F.count(line).alias("__n_lines"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split(line, ","))))), ",").alias("__lines"))
     return out.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(keep)],
