@@ -341,7 +341,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(signed.filter(F.col("n") > 0).groupBy("d1", "d2").agg(
         F.min(best).alias("best"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
     bands = classes.select(F.col("best.row").alias("row"), F.explode("keys").alias("g"))
-    shared = bands.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("g")
+    # written, so that the join below reads two plain shuffles, which AQE can split at a hot bucket
+    shared = stored(bands.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("g"), "shared")
     sketches = classes.select(F.col("best.row").alias("row"), F.col("sketch").alias("body"))
     members = stored(bands.join(shared, "g").join(sketches, "row"), "buckets")
     cluster = stored(components(joined_members(members, Sketches, percent, block, hubs=hubs)), "clusters")
