@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from supportflow.functions.text import WORD
 from supportflow.operators.sampling import with_position
-from supportflow.session import written
+from supportflow.session import spread, written
 
 TOKEN_RE = f"[{WORD}]{{2,}}"
 VOCABULARY_ROWS = 1_000_000
@@ -61,7 +61,8 @@ def term_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 df, total = Counter(), Counter()
         yield out()
 
-    return (docs.select(tokens(F.col(text_col))).mapInArrow(run, "term string, df long, total long")
+    return (spread(docs.select(text_col)).select(tokens(F.col(text_col)))
+            .mapInArrow(run, "term string, df long, total long")
             .groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")))
 
 
@@ -104,7 +105,7 @@ def tfidf(docs: DataFrame, min_df: int = 2, max_features: int = 100000, sublinea
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, term, weight`` for vocabulary terms (documents without one give no rows)."""
     vocab = vocabulary(docs, min_df, max_features, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("t"))
+    rows = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("t"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, term string, weight double"
     if vocab.count() > VOCABULARY_ROWS:
         return _tfidf_by_join(rows, vocab, sublinear, schema)

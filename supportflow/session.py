@@ -82,6 +82,13 @@ def small_side(df, rows: int = BROADCAST_ROWS):
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df):
+    """The rows over all cores if the input has fewer partitions than there are cores (a small
+    table, or one file of one row group); a large input stays where it is read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def written(df, what: str = "table"):
     """``df`` written once as Parquet to the shared folder and read back (deleted when the
     application ends): cuts the lineage and keeps columns prunable."""
