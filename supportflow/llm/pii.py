@@ -7,16 +7,20 @@ most 255); card (13 to 19 digits, single spaces or hyphens between, passing Luhn
 9 to 15 digits). Offsets are code points, end exclusive.
 
 **Disclosed terms.** The protected entities are the base values (normalised) that occur in at
-least ``support`` documents. For a term ``t`` and an entity ``e`` of the same document the
+least ``support`` distinct texts, and for every rarer value the narrowest of its classes that
+does: the mail domain, the /24 network, the first six digits of a card or five of a phone, then
+the whole kind (``email:*@host``, ``ip:1.2.3.*``, ``card:411111*``, ``phone:15551*``,
+``email:*``). For a term ``t`` and an entity ``e`` of the same document the
 corpus gives ``PMI = ln(N * n(t, e) / (n(t) * n(e)))``, and ``ln(N / n(e))`` is all that could be
 learned about ``e``. Their quotient, the share of the entity's information that the term
 discloses, is compared with two thresholds: from ``generalise_at`` a term is replaced by its
-class, from ``remove_at`` it is cut. A pair counts only if the term was seen near that entity in
-at least ``support`` different contexts (neighbouring words), so that copies of one text prove
-nothing. Terms are sanitised in the documents that hold the entity; a document without personal
-data stays as it is.
+class, from ``remove_at`` it is cut. A pair counts only if the term was seen with that entity in
+at least ``support`` distinct texts, so that copies of one text prove nothing. Terms are
+sanitised in the documents that hold the entity, or any value of a protected class; a document
+without personal data stays as it is. A value whose whole kind is in fewer than ``support``
+texts has no estimate.
 
-Plan: four narrow passes over whole texts. Only entities, pairs of recurring entities and counts
+Plan: four narrow passes over whole texts. Only entities, pairs of protected entities and counts
 of candidate terms are shuffled, all pre-aggregated per task. What is broadcast has a fixed
 size: two bitmaps of ``2**BITS`` bits (false positives are removed by the joins that follow) and
 blocks of at most ``block_rows`` rows of the disclosure table, one pass per block.
@@ -28,6 +32,7 @@ repeated row counts again; an empty table gives no rows; extra columns pass thro
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +110,24 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.translate(_AZ)}" if kind in ("email", "ip") else f"{kind}:{_digits(value)}"
 
 
+def classes(name: str) -> list[str]:
+    """The classes of an entity, narrowest first; ``*`` is in no value."""
+    kind, value = name.split(":", 1)
+    inner = {"email": lambda: "*@" + value.rsplit("@", 1)[1], "ip": lambda: value.rsplit(".", 1)[0] + ".*",
+             "card": lambda: value[:6] + "*", "phone": lambda: value[:5] + "*"}[kind]()
+    return [f"{kind}:{inner}", f"{kind}:*"]
+
+
+def own_keys(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The entities of a text and all their classes."""
+    own = {entity(k, text[s:e]) for k, s, e in spans}
+    return sorted(own.union(*map(classes, own)))
+
+
+def text_hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def marked(column: pa.Array) -> list[tuple[int, str]]:
     """Rows whose text has a digit or ``@``: no other can hold a base span."""
     data, offsets = K.text_bytes(column)
@@ -146,45 +169,60 @@ def bitmap(rows: DataFrame, column: str) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _entities(docs: DataFrame) -> DataFrame:
-    """``entity, n``: documents per base value."""
+def _entities(docs: DataFrame, support: int) -> DataFrame:
+    """``entity, h, n_e``: documents per protected entity, base value or class."""
     def make():
         def run(batch):
-            out = [x for _, t in marked(batch.column(0)) for x in {entity(k, t[s:e]) for k, s, e in base_spans(t)}]
-            return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(hash64(out))], names=["entity", "h"])
+            out, own, wide, text = [], [], [], []
+            for _, t in marked(batch.column(0)):
+                names = sorted({entity(k, t[s:e]) for k, s, e in base_spans(t)})
+                x = text_hash(t) if names else 0
+                rows = [(y, None, None) for y in sorted({y for n in names for y in classes(n)})]
+                rows += [(n, *classes(n)) for n in names]
+                for columns, values in zip((out, own, wide), zip(*rows)):
+                    columns += values
+                text += [x] * len(rows)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(out, pa.string()), pa.array(own, pa.string()), pa.array(wide, pa.string()),
+                 pa.array(hash64(out)), pa.array(text, pa.int64())], names=["entity", "inner", "kind", "h", "x"])
         return run
-    return in_batches(docs, make, "entity string, h long").groupBy("entity", "h").agg(F.count(F.lit(1)).alias("n_e"))
-
-
-def _pairs(docs: DataFrame, recurring) -> DataFrame:
-    """``entity, term, h, context, n``: recurring entities (by the bitmap) with the terms of
-    their documents; ``n`` is 1 on the first row of a pair in a document, else 0."""
+    every = stored(in_batches(docs, make, "entity string, inner string, kind string, h long, x long")
+                   .groupBy("entity", "inner", "kind", "h", "x").agg(F.count(F.lit(1)).alias("n"))
+                   .groupBy("entity", "inner", "kind", "h").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")),
+                   "values")
+    often = every.filter(F.col("texts") >= support)
+    rare = every.filter(F.col("inner").isNotNull() & (F.col("texts") < support))
+    wanted = rare.select("inner", "kind").distinct()
+    able = often.filter(F.col("inner").isNull()).select(F.col("entity").alias("able"))
+    falls = (wanted.join(able, F.col("inner") == F.col("able"), "left")
+             .select(F.coalesce("able", "kind").alias("entity")).distinct())
+    return often.filter(F.col("inner").isNotNull()).unionByName(
+        often.filter(F.col("inner").isNull()).join(falls, "entity", "left_semi")).select("entity", "h", "n_e")
+
+
+def _pairs(docs: DataFrame, protected) -> DataFrame:
+    """``entity, term, x``: protected entities (by the bitmap) with each term of their
+    documents, and the text's hash."""
     def make():
-        bits = recurring.value
+        bits = protected.value
 
         def run(batch):
-            es, ts, cs, ns = [], [], [], []
+            es, ts, xs = [], [], []
             for _, t in marked(batch.column(0)):
                 spans = base_spans(t)
-                found = sorted({entity(k, t[s:e]) for k, s, e in spans})
+                found = own_keys(t, spans)
                 found = [x for x, h in zip(found, hash64(found)) if bits[h & (1 << BITS) - 1]] if found else []
                 if not found:
                     continue
-                words = [w for w, _, _ in outside(t, spans)]
-                contexts, first = {}, set()
-                for a, w, b in zip(["", *words], words, [*words[1:], ""]):
-                    contexts[w, f"{a} {b}"] = w not in first
-                    first.add(w)
+                words = sorted({w for w, _, _ in outside(t, spans)})
                 for x in found:
-                    es += [x] * len(contexts)
-                    ts += [w for w, _ in contexts]
-                    cs += [c for _, c in contexts]
-                    ns += [int(n) for n in contexts.values()]
+                    es += [x] * len(words)
+                    ts += words
+                xs += [text_hash(t)] * (len(found) * len(words))
             return pa.RecordBatch.from_arrays([pa.array(es, pa.string()), pa.array(ts, pa.string()),
-                                               pa.array(cs, pa.string()), pa.array(ns, pa.int64())],
-                                              names=["entity", "term", "context", "n"])
+                                               pa.array(xs, pa.int64())], names=["entity", "term", "x"])
         return run
-    return in_batches(docs, make, "entity string, term string, context string, n long")
+    return in_batches(docs, make, "entity string, term string, x long")
 
 
 def _term_counts(docs: DataFrame, candidates) -> DataFrame:
@@ -210,17 +248,17 @@ def _term_counts(docs: DataFrame, candidates) -> DataFrame:
 
 def disclosures(docs: DataFrame, text_col: str = "text", support: int = SUPPORT,
                 threshold: float = GENERALISE_AT) -> DataFrame:
-    """``entity, term, n_e, n_t, n_te, contexts, disclosed``: the pairs whose share of
+    """``entity, term, n_e, n_t, n_te, texts, disclosed``: the pairs whose share of
     disclosed information reaches ``threshold``, over the whole corpus."""
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col(text_col).alias("t"))
     n_docs = texts.count()
-    known = stored(_entities(texts).filter(F.col("n_e") >= support), "entities")
+    known = stored(_entities(texts, support), "entities")
     pairs = (_pairs(texts, spark.sparkContext.broadcast(bitmap(known, "h")))
-             .groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
-             .groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("contexts"))
-             .filter(F.col("contexts") >= support).join(known.select("entity", "n_e"), "entity"))
+             .groupBy("entity", "term", "x").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts"))
+             .filter(F.col("texts") >= support).join(known.select("entity", "n_e"), "entity"))
 
     @F.pandas_udf("long")
     def word_hash(terms):
@@ -233,7 +271,7 @@ def disclosures(docs: DataFrame, text_col: str = "text", support: int = SUPPORT,
     share = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
     return (pairs.join(counts, "h").withColumn("disclosed", F.when(F.col("n_e") < n, share))
             .filter(F.col("disclosed") >= threshold)
-            .select("entity", "term", "n_e", "n_t", "n_te", "contexts", "disclosed"))
+            .select("entity", "term", "n_e", "n_t", "n_te", "texts", "disclosed"))
 
 
 def span_text(spans: list[tuple[str, int, int]]) -> str:
@@ -313,7 +351,7 @@ def _term_pass(width: int, block: list[tuple]):
             for i, t in marked(batch.column(width - 1)):
                 spans = base_spans(t)
                 own: dict[str, bool] = {}
-                for x in {entity(k, t[s:e]) for k, s, e in spans}:
+                for x in own_keys(t, spans):
                     for term, r in by_entity.get(x, {}).items():
                         own[term] = own.get(term, False) or r
                 if own:

@@ -243,6 +243,26 @@ def test_disclosed_terms_by_brute_force(spark, block_rows):
             assert rows[i]["sanitised"] == t
 
 
+def test_rare_values_are_measured_by_their_class(spark):
+    """One fixed phrase beside addresses that never recur, and copies that prove nothing."""
+    noise = prose(40, 31)
+    texts = [f"{t} Contact Jane Doe at person{i}@corp.example" for i, t in enumerate(noise[:5])]
+    texts += [f"Ring Bob at 10.0.{i}.1" for i in range(3)] + ["Copied phrase for 99.1.2.3"] * 4 + noise[5:]
+    d = table_of(spark, texts)
+    found = {(r["entity"], r["term"]) for r in pii.disclosures(d).collect()}
+    assert {("email:*@corp.example", w) for w in ("contact", "jane", "doe")} <= found
+    assert ("ip:*", "bob") in found and not any(t == "copied" for _, t in found)
+    rows = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(d).collect()}
+    assert all("Jane" not in rows[i] and "[EMAIL]" in rows[i] for i in range(5)) and "Copied" in rows[8]
+    assert all(rows[i] == texts[i] for i in range(12, len(texts)))
+
+
+def test_fixed_phrase_beside_a_recurring_value(spark):
+    texts = [f"{t} Contact Jane Doe at jane@corp.example" for t in prose(5, 33)] + prose(40, 34)
+    found = {(r["entity"], r["term"]) for r in pii.disclosures(table_of(spark, texts)).collect()}
+    assert {("email:jane@corp.example", w) for w in ("contact", "jane", "doe")} <= found
+
+
 def test_long_runs_are_linear(spark):
     for t in ("a" * 300_000, "1" * 300_000, "+1" + "(" * 300_000, "1." * 100_000, "a@" * 100_000):
         pii.base_spans(t)
