@@ -57,7 +57,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeated_passages(table(spark, sf_dir, "documents")).select(
+    return lines.repeated_passages(table(spark, sf_dir, "documents"), min_words=1).select(
         F.col("id").alias("doc_id"), "start", "end", "n_words", "n_units", F.col("first_id").alias("first_doc_id"))
 
 

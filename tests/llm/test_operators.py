@@ -452,6 +452,22 @@ def test_line_dedup_by_brute_force(spark):
     assert cut[51].startswith("Own start 1. ") and cut[51].endswith("Own end 1.")
 
 
+def test_query_returns_every_repeated_unit(spark):
+    """Short lines too: only a unit's earliest occurrence stays."""
+    from supportflow.llm.queries import queries
+    seen, want, short = set(), Counter(), 0
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        for u in brute_units(r["text"]):
+            if u in seen:
+                want[r["doc_id"]] += len(u)
+                short += len(u) < 20
+            seen.add(u)
+    got = Counter()
+    for r in queries()["op9_line_dedup"](spark, SF).collect():
+        got[r["doc_id"]] += r["n_words"]
+    assert got == want and short > 20
+
+
 # -- 10 quality ---------------------------------------------------------------------------------
 
 def brute_counts(text):
