@@ -1,5 +1,7 @@
 """Known licence texts and licence notices, by SPDX id (a notice has ``-notice`` after it)."""
 
+from supportflow.llm.license_full_texts import FULL_TEXTS
+
 # Public licence texts and the usual one-line notices.
 LICENSES = {
     "MIT": """MIT License
@@ -89,3 +91,11 @@ required.
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License.",
 }
+
+# BSD-3-Clause is BSD-2-Clause with one condition more.
+_BEFORE, _AFTER = LICENSES["BSD-2-Clause"].split("THIS SOFTWARE IS PROVIDED", 1)
+LICENSES["BSD-3-Clause"] = f"""{_BEFORE}3. Neither the name of the copyright holder nor the names of its contributors may
+be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED{_AFTER}"""
+LICENSES |= FULL_TEXTS

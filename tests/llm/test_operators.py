@@ -317,6 +317,15 @@ def test_license_texts_survive_layout_case_and_spelling(spark):
     assert rows[5][1] == "MIT-notice" and rows[7][1] == ""
 
 
+def test_common_full_texts_are_known(spark):
+    from supportflow.llm.license_texts import LICENSES
+    ids = ["Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0",
+           "GPL-3.0-or-later-notice", "AGPL-3.0-or-later-notice", "MPL-2.0-notice"]
+    texts = ["// " + LICENSES[i].upper().replace("\n", "\n// ") for i in ids]
+    rows = {r["doc_id"]: r["license"] for r in licenses.scan(table_of(spark, texts), licenses.known_licenses(spark)).collect()}
+    assert [rows[i] for i in range(len(ids))] == ids
+
+
 # -- 7 language ---------------------------------------------------------------------------------
 
 def test_language_on_held_out_documents(spark):
