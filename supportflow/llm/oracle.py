@@ -4,7 +4,8 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op2_warc": OP2, "op3_sharding": OP3, "op5_decontamination": OP5, "op6_licenses": op6()}
+    return {"op1_mixing": OP1, "op2_warc": OP2, "op3_sharding": OP3, "op5_decontamination": OP5, "op6_licenses": op6(),
+            "op12_fingerprints": OP12}
 
 
 OP1 = r"""
@@ -77,6 +78,26 @@ FROM d LEFT JOIN pos ON d.r = pos.r LEFT JOIN items ON d.r = items.r
 """
 
 
+#: The sketch of ``{0}``: lower-cased words in runs of five, MD5 of each run, hashes below an eighth.
+SKETCH = r"""(SELECT CASE WHEN len(h) = 0 THEN [] WHEN len(k) = 0 THEN [list_min(h)] ELSE list_sort(list_distinct(k)) END
+   FROM (SELECT h, list_filter(h, lambda x: x < '2') AS k
+         FROM (SELECT CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(2, len(w) - 3)), lambda i:
+                           substr(md5(array_to_string(list_slice(w, i, i + 4), ' ')), 1, 16)) END AS h
+               FROM (SELECT regexp_extract_all(lower({0}), '[^\x20\x09-\x0D]+') AS w))))"""
+LIKENESS = """CASE WHEN {0} = {1} THEN CAST(1 AS DOUBLE) WHEN least(len({0}), len({1})) = 0 THEN CAST(0 AS DOUBLE)
+  ELSE CAST(len(list_intersect({0}, {1})) AS DOUBLE) / least(len({0}), len({1})) END"""
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+o AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS following FROM d WINDOW w AS (ORDER BY doc_id DESC)),
+e AS (SELECT *, substr(t, 1, n - n // 2) || substr(following, 1, n // 2) AS edited FROM o),
+s AS (SELECT doc_id, n, edited, {SKETCH.format('t')} AS f, {SKETCH.format('edited')} AS ef, {SKETCH.format('following')} AS nf FROM e)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(f, ',') AS fingerprint,
+       array_to_string(ef, ',') AS edited_fingerprint, {LIKENESS.format('f', 'ef')} AS near_edited,
+       {LIKENESS.format('f', 'nf')} AS near_next
+FROM s
+"""
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportflow.llm import (decontaminate, language, licenses, lines, mixing, near_dedup, pii, quality, sharding,
-                             warc)
+from supportflow.llm import (decontaminate, fingerprints, language, licenses, lines, mixing, near_dedup, pii, quality,
+                             sharding, warc)
 from supportflow.llm.common import table
 
 
@@ -65,8 +65,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fingerprints.edited_neighbours(docs)
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                        F.array_join("fingerprint", ",").alias("fingerprint"),
+                        F.array_join("edited_fingerprint", ",").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
     own = (op1_mixing, op2_warc, op3_sharding, op4_pii, op5_decontamination, op6_licenses, op7_language,
-           op8_near_duplicates, op9_line_dedup, op10_quality)
+           op8_near_duplicates, op9_line_dedup, op10_quality, op12_fingerprints)
     return {**{f.__name__: f for f in own}, "pipeline": corpus_pipeline.run}
