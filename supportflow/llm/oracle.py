@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_mixing": OP1, "op2_warc": OP2, "op3_sharding": OP3, "op5_decontamination": OP5, "op6_licenses": op6(),
-            "op12_fingerprints": OP12}
+            "op12_fingerprints": OP12, "op13_hard_negatives": OP13}
 
 
 OP1 = r"""
@@ -98,6 +98,22 @@ FROM s
 """
 
 
+OP13 = """
+WITH r AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, c.id AS c, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+      FROM r a JOIN r c ON a.id <> c.id WHERE a.id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, c) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.a AS anchor_id, p.c AS positive_id, p.score AS positive_score, s.c AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.a, p.c ORDER BY s.score DESC, s.c) AS rank
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

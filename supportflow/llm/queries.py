@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportflow.llm import (decontaminate, fingerprints, language, licenses, lines, mixing, near_dedup, pii, quality,
-                             sharding, warc)
+from supportflow.llm import (decontaminate, fingerprints, hard_negatives, language, licenses, lines, mixing, near_dedup,
+                             pii, quality, sharding, warc)
 from supportflow.llm.common import table
 
 
@@ -73,8 +73,17 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("edited_fingerprint", ",").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, ident = F.col("label").cast("long"), F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.when(ident % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        hard_negatives.quantised("embedding").alias("vec"), (ident % 50 == 0).alias("anchor"))
+    return hard_negatives.mine(rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
     own = (op1_mixing, op2_warc, op3_sharding, op4_pii, op5_decontamination, op6_licenses, op7_language,
-           op8_near_duplicates, op9_line_dedup, op10_quality, op12_fingerprints)
+           op8_near_duplicates, op9_line_dedup, op10_quality, op12_fingerprints,
+           op13_hard_negatives)
     return {**{f.__name__: f for f in own}, "pipeline": corpus_pipeline.run}
