@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportflow.llm import (decontaminate, fingerprints, hard_negatives, language, licenses, lines, mixing, near_dedup,
-                             pii, quality, sharding, warc)
+from supportflow.llm import (alignment, decontaminate, fingerprints, hard_negatives, language, licenses, lines, mixing,
+                             near_dedup, pii, quality, sharding, warc)
 from supportflow.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), *alignment.vocabularies()).withColumnRenamed("id", "doc_id")
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = fingerprints.edited_neighbours(docs)
@@ -84,6 +88,6 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
     own = (op1_mixing, op2_warc, op3_sharding, op4_pii, op5_decontamination, op6_licenses, op7_language,
-           op8_near_duplicates, op9_line_dedup, op10_quality, op12_fingerprints,
+           op8_near_duplicates, op9_line_dedup, op10_quality, op11_alignment, op12_fingerprints,
            op13_hard_negatives)
     return {**{f.__name__: f for f in own}, "pipeline": corpus_pipeline.run}
