@@ -36,6 +36,8 @@ from supportflow.llm.common import prepare, stored
 
 SHINGLE = 5
 FRACTION = 1 / 8
+#: Blocks per shuffle partition: several, so that partitions come out even.
+CUTS = 6
 SPACE = r"[\x20\x09-\x0D]+"
 LOWEST = -(1 << 63)
 
@@ -95,9 +97,9 @@ def merged(rows: DataFrame, key: str, sketch: str) -> DataFrame:
 # -- the next document in a global order ---------------------------------------------------------
 
 def _cuts(keys: DataFrame) -> list[int]:
-    """The key at the head of each range of the order but the first: at most two values per
+    """The key at the head of each range of the order but the first: at most ``CUTS`` values per
     shuffle partition."""
-    n = 2 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = CUTS * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = keys.repartitionByRange(n, F.desc("k"), F.asc("h"))
     heads = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.max("k").alias("k")).collect()
     return sorted((r["k"] for r in heads), reverse=True)[1:]
