@@ -1,21 +1,25 @@
 """Exact vector retrieval.
 
-Small corpora (up to ``block_rows``) are one block that every query block meets; queries are
-dealt into enough blocks for all cores. Larger corpora are grouped around pivots (a bounded
-sample of their own vectors), so that most blocks need not be read:
-
-* every corpus vector goes to its nearest pivot; a block keeps its rows' largest angle to the
-  pivot and its extreme norms (one summary row per pivot, at most ``MAX_PIVOTS``);
-* a query's score in a block can be no better than ``|q| * norm * cos(angle(q, pivot) -
-  largest angle)``; each query first visits its most promising block and so learns a k-th
+A corpus of at most ``block_rows`` rows and ``BLOCK_BYTES`` is one block: it is counted, sent to
+the tasks once, and the queries are scored where they lie, without a shuffle. Larger corpora are
+grouped around pivots (a bounded sample of their own vectors), so that most blocks need not be
+read:
+
+* every corpus vector goes to its nearest pivot; the pivots are the leaves of a tree of two
+  levels, whose top is the square root of them. Both levels keep their rows' largest angle to
+  the pivot and extreme norms (one summary row per leaf, at most ``MAX_PIVOTS``);
+* a query's score in a group can be no better than ``|q| * norm * cos(angle(q, pivot) -
+  largest angle)``; each query first visits its most promising leaves and so learns a k-th
   score that any better hit must reach;
-* it then visits just the blocks whose bound reaches that score. The result is exact.
-
-Blocks are cut into parts of at most ``block_rows``, and the queries of a block likewise, so a
-task holds one part of each; a cogrouped pandas function multiplies them with numpy and keeps
-the best ``k`` per query, and a final window over ``qid`` (at most ``k`` rows per visited part)
-picks the global top ``k``. Ties go to the smaller ``case_id``. No cross join; only the pivots
-and their summaries are sent to the tasks.
+* it then visits just the leaves whose bound reaches that score; a top pivot whose bound doesn't
+  rules out all leaves below it. The result is exact.
+
+Groups are cut into parts of at most ``block_rows``. What a group costs follows from a histogram
+of the visits: a part is copied once per ``block_rows`` queries that visit its own group, never
+for queries that go elsewhere. A task multiplies one part with one block of its visitors by numpy
+and keeps the best ``k`` per query; a final window over ``qid`` (at most ``k`` rows per visited
+part) picks the global top ``k``. Ties go to the smaller ``case_id``. No cross join; only the
+pivots and their summaries are sent to the tasks, which handle ``CHUNK`` vectors at a time.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportflow.functions.text import fmt_fixed, py_strip
-from supportflow.session import ensure_checkpoint_dir, written
+from supportflow.session import ensure_checkpoint_dir, spread, written
 
 HITS_SCHEMA = "qid long, rank int, case_id long, score double"
 
@@ -69,41 +74,49 @@ def _topk_rows(S: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _block_topk(k: int, chunk: int = 128, exclude_self: bool = False):
-    empty = {"qid": pd.Series([], dtype="int64"), "rank": pd.Series([], dtype="int32"),
-             "case_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")}
-
-    def run(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame(empty)
-        C = np.stack(c["vec"].to_numpy()).astype(np.float64, copy=False)
-        ids = c["case_id"].to_numpy(dtype=np.int64)
-        qids = q["qid"].to_numpy(dtype=np.int64)
-        qv = q["qvec"].to_numpy()
-        kk = min(k, len(ids))
-        out = []
-        for s in range(0, len(q), chunk):          # scores: chunk x |corpus block| doubles (50 MB at 50k)
-            Q = np.stack(qv[s:s + chunk]).astype(np.float64, copy=False)
-            S = Q @ C.T
-            if exclude_self:                       # a row never retrieves itself
-                S[qids[s:s + chunk, None] == ids[None, :]] = -np.inf
-            top = _topk_rows(S, ids, kk)
-            part = pd.DataFrame({
-                "qid": np.repeat(qids[s:s + chunk], kk),
-                "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(Q)),
-                "case_id": ids[top].reshape(-1),
-                "score": np.take_along_axis(S, top, axis=1).reshape(-1),
-            })
-            out.append(part[np.isfinite(part["score"].to_numpy())] if exclude_self else part)
-        return pd.concat(out, ignore_index=True)
+def _matrix(column) -> np.ndarray:
+    """The vectors of an Arrow list column as one matrix."""
+    arrays = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    n = sum(map(len, arrays))
+    flat = [a.flatten().to_numpy(zero_copy_only=False) for a in arrays]
+    return np.concatenate(flat).astype(np.float64, copy=False).reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def _best_of_block(qids: np.ndarray, Q: np.ndarray, ids: np.ndarray, C: np.ndarray, k: int, exclude_self: bool) -> pa.Table:
+    """The best ``k`` of the block per query; scores of ``CHUNK`` queries at a time."""
+    kk, out = min(k, len(ids)), []
+    for s in range(0, len(Q), CHUNK):
+        S = Q[s:s + CHUNK] @ C.T
+        own = qids[s:s + CHUNK]
+        if exclude_self:                           # a row never retrieves itself
+            S[own[:, None] == ids[None, :]] = -np.inf
+        top = _topk_rows(S, ids, kk)
+        score = np.take_along_axis(S, top, axis=1).reshape(-1)
+        columns = np.repeat(own, kk), np.tile(np.arange(1, kk + 1, dtype=np.int32), len(own)), ids[top].reshape(-1), score
+        out.append([c[np.isfinite(score)] for c in columns] if exclude_self else columns)
+    kinds = (np.int64, np.int32, np.int64, np.float64)
+    return pa.table([pa.array(np.concatenate([np.zeros(0, t), *(o[i] for o in out)])) for i, t in enumerate(kinds)],
+                    names=["qid", "rank", "case_id", "score"])
+
+
+def _block_topk(k: int, exclude_self: bool):
+    def run(key, q: pa.Table, c: pa.Table) -> pa.Table:
+        ids, qids = (t[n].to_numpy().astype(np.int64) for t, n in ((c, "case_id"), (q, "qid")))
+        if not len(ids) or not len(qids):
+            qids, Q, C = qids[:0], np.zeros((0, 1)), np.zeros((len(ids), 1))
+        else:
+            Q, C = _matrix(q["qvec"]), _matrix(c["vec"])
+        return _best_of_block(qids, Q, ids, C, k, exclude_self)
     return run
 
 
-def _sizes(queries: DataFrame, corpus: DataFrame) -> tuple[int, int]:
-    rows = (queries.select(F.lit("q").alias("side")).unionByName(corpus.select(F.lit("c").alias("side")))
-            .groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect())
-    n = {r["side"]: r["n"] for r in rows}
-    return n.get("q", 0), n.get("c", 0)
+def _sizes(queries: DataFrame, corpus: DataFrame) -> tuple[int, int, int]:
+    """Rows of both sides, and the longest corpus vector."""
+    rows = (queries.select(F.lit("q").alias("side"), F.lit(0).alias("d"))
+            .unionByName(corpus.select(F.lit("c").alias("side"), F.size("vec").alias("d")))
+            .groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).collect())
+    n = {r["side"]: (r["n"], r["d"]) for r in rows}
+    return n.get("q", (0, 0))[0], *n.get("c", (0, 0))
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -111,111 +124,193 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-class Pivots:
-    """Directions that group a corpus, with each group's bounds (numpy, sent to the tasks).
-
-    The last group holds vectors without a direction (all zeros): their score is always 0.
-    """
+MAX_PIVOTS = 4096
+CHUNK = 128                                        # vectors that a task handles at a time
+BLOCK_BYTES = 64 << 20                             # of a corpus that is sent to the tasks whole
 
-    def __init__(self, directions: np.ndarray):
-        self.directions = directions
-        n = len(directions) + 1
-        self.angle, self.low, self.high = np.zeros(n), np.zeros(n), np.zeros(n)
-        self.parts = np.zeros(n, np.int64)                # 0: an empty group
 
-    def cosines(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        norm = np.sqrt((vectors * vectors).sum(axis=1))
-        unit = vectors / np.where(norm > 0, norm, 1)[:, None]
-        return np.clip(unit @ self.directions.T, -1, 1), norm
-
-    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(group, angle, norm)`` of corpus vectors."""
-        c, norm = self.cosines(vectors)
-        g = c.argmax(axis=1)
-        angle = np.arccos(c[np.arange(len(c)), g])
-        zero = norm == 0
-        return np.where(zero, len(self.directions), g), np.where(zero, 0.0, angle), norm
-
-    def bounds(self, vectors: np.ndarray) -> np.ndarray:
-        """Per query and group, a score that no row of the group exceeds."""
-        c, norm = self.cosines(vectors)
-        best = np.cos(np.maximum(0, np.arccos(c) - self.angle[:-1]))
-        best = norm[:, None] * np.where(best >= 0, best * self.high[:-1], best * self.low[:-1])
-        out = np.column_stack([best, np.zeros(len(c))]) + 1e-9
-        out[:, self.parts == 0] = -np.inf
-        return out
+class PivotTree:
+    """Directions in two levels that group a corpus, with each group's bounds (numpy, sent to the
+    tasks). Leaf ``len(leaves)`` holds vectors without a direction (zeros): their score is 0.
 
+    No step holds more than ``CHUNK`` cosines per pivot (4 MB); a query meets the leaves of a top
+    pivot only if that one's bound lets it."""
 
-MAX_PIVOTS = 4096
+    def __init__(self, directions: np.ndarray):
+        self.leaves = directions
+        top = directions[:math.isqrt(len(directions)) or len(directions)]
+        nearest = np.array([int((top @ v).argmax()) for v in directions], np.int64)
+        used, self.parent = np.unique(nearest, return_inverse=True)      # equal directions: some have no leaf
+        self.top = top[used]
+        self.below = [np.flatnonzero(self.parent == t) for t in range(len(used))]
+        self.summary(np.zeros((0, 6)))
+
+    def summary(self, rows: np.ndarray) -> None:
+        """``g, n, largest angle, largest angle to the top pivot, smallest norm, largest norm``."""
+        n, m = len(self.leaves) + 1, len(self.top)
+        self.rows, self.angle, self.low, self.high = (np.zeros(n) for _ in range(4))
+        self.top_angle, self.top_high, self.top_low = np.zeros(m), np.full(m, -np.inf), np.full(m, np.inf)
+        for g, size, angle, top_angle, low, high in rows:
+            g = int(g)
+            self.rows[g], self.angle[g], self.low[g], self.high[g] = size, angle, low, high
+            if g < len(self.leaves):
+                t = self.parent[g]
+                self.top_angle[t] = max(self.top_angle[t], top_angle)
+                self.top_high[t], self.top_low[t] = max(self.top_high[t], high), min(self.top_low[t], low)
+
+    @staticmethod
+    def units(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        norm = np.sqrt((vectors * vectors).sum(axis=1))
+        return vectors / np.where(norm > 0, norm, 1)[:, None], norm
 
+    def place(self, vectors: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``(leaf, angle, angle to the top pivot, norm)`` of corpus vectors."""
+        out = []
+        for s in range(0, len(vectors), CHUNK):
+            unit, norm = self.units(vectors[s:s + CHUNK])
+            cosine = np.clip(unit @ self.leaves.T, -1, 1)
+            leaf = cosine.argmax(axis=1)
+            angle = np.arccos(cosine[np.arange(len(unit)), leaf])
+            top_angle = np.arccos(np.clip((unit * self.top[self.parent[leaf]]).sum(axis=1), -1, 1))
+            zero = norm == 0
+            out.append((np.where(zero, len(self.leaves), leaf), np.where(zero, 0.0, angle), np.where(zero, 0.0, top_angle), norm))
+        return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
+
+    @staticmethod
+    def bound(cosine, norm, angle, low, high) -> np.ndarray:
+        best = np.cos(np.maximum(0, np.arccos(np.clip(cosine, -1, 1)) - angle))
+        return norm[:, None] * np.where(best >= 0, best * high, best * low) + 1e-9
+
+    def leaf_bounds(self, unit: np.ndarray, norm: np.ndarray, t: int) -> np.ndarray:
+        own = self.below[t]
+        bound = self.bound(unit @ self.leaves[own].T, norm, self.angle[own], self.low[own], self.high[own])
+        return np.where(self.rows[own] > 0, bound, -np.inf)
+
+    def top_bounds(self, unit: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        if not len(self.top):
+            return np.zeros((len(unit), 0))
+        filled = np.isfinite(self.top_high)
+        bound = self.bound(unit @ self.top.T, norm, self.top_angle, np.where(filled, self.top_low, 0),
+                           np.where(filled, self.top_high, 0))
+        return np.where(filled, bound, -np.inf)
+
+    def first(self, vectors: np.ndarray, k: int) -> list[np.ndarray]:
+        """The leaves with the best bounds, as many as it takes to hold ``k`` rows."""
+        out = [np.array([len(self.leaves)])] * len(vectors)
+        filled = np.flatnonzero(self.rows[:-1])
+        for s in range(0, len(vectors) if len(filled) else 0, CHUNK):
+            unit, norm = self.units(vectors[s:s + CHUNK])
+            bound = self.bound(unit @ self.leaves[filled].T, norm, self.angle[filled], self.low[filled], self.high[filled])
+            order = np.argsort(-bound, axis=1, kind="stable")
+            sizes = self.rows[filled][order]
+            for i, o, n in zip(range(s, s + len(unit)), order, (np.cumsum(sizes, axis=1) - sizes < k).sum(axis=1)):
+                out[i] = filled[o[:n]]
+        return out
 
-def _grouped_corpus(corpus: DataFrame, n_rows: int, block_rows: int, n_pivots: int) -> tuple[DataFrame, Pivots]:
-    """The corpus with ``g, part`` (written once), and the pivots with their summaries."""
+    def reached(self, vectors: np.ndarray, least: np.ndarray) -> list[np.ndarray]:
+        """Per query the leaves that may hold a score of at least ``least``."""
+        out: list[list[np.ndarray]] = [[] for _ in vectors]
+        zeros = np.array([len(self.leaves)])
+        for s in range(0, len(vectors), CHUNK):
+            unit, norm = self.units(vectors[s:s + CHUNK])
+            bar = least[s:s + CHUNK]
+            open_ = self.top_bounds(unit, norm) >= bar[:, None]
+            for x in range(len(self.top)):
+                at = np.flatnonzero(open_[:, x])
+                if len(at) and np.isfinite(self.top_high[x]):
+                    bounds = self.leaf_bounds(unit[at], norm[at], x)
+                    for i, row in zip(at, (bounds >= bar[at, None]) & np.isfinite(bounds)):
+                        out[s + i].append(self.below[x][row])
+            if self.rows[len(self.leaves)]:
+                for i in np.flatnonzero(bar <= 1e-9):
+                    out[s + i].append(zeros)
+        return [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
+
+
+def _grouped_corpus(corpus: DataFrame, block_rows: int, n_pivots: int) -> tuple[DataFrame, DataFrame, PivotTree]:
+    """The corpus with ``g, part`` (written once), its groups ``g, parts``, and the pivots."""
     unit = corpus.filter(vector_norm("vec") > 0).orderBy(F.xxhash64("case_id"), "case_id").limit(n_pivots)
-    sample = [np.asarray(r["vec"], float) for r in unit.select("vec").collect()]      # at most MAX_PIVOTS rows
-    directions = np.array([v / np.sqrt(v @ v) for v in sample]) if sample else np.zeros((0, 1))
-    pivots = Pivots(directions)
-    sent = corpus.sparkSession.sparkContext.broadcast(directions)
+    sample = _matrix(unit.select("vec").toArrow()["vec"])                             # at most MAX_PIVOTS rows
+    tree = PivotTree(PivotTree.units(sample)[0] if len(sample) else np.zeros((0, 1)))
+    sent = corpus.sparkSession.sparkContext.broadcast(tree)
 
-    @F.pandas_udf("g int, angle double, norm double")
+    @F.pandas_udf("g int, angle double, top double, norm double")
     def place(v: pd.Series) -> pd.DataFrame:
-        d = sent.value
         x = np.stack(v.to_numpy()).astype(float)
-        if not len(d):
-            return pd.DataFrame({"g": np.zeros(len(x), int), "angle": 0.0, "norm": 0.0})
-        g, angle, norm = Pivots(d).nearest(x)
-        return pd.DataFrame({"g": g, "angle": angle, "norm": norm})
+        if not len(sent.value.leaves):
+            return pd.DataFrame({"g": np.zeros(len(x), int), "angle": 0.0, "top": 0.0, "norm": 0.0})
+        return pd.DataFrame(dict(zip(("g", "angle", "top", "norm"), sent.value.place(x))))
 
     placed = written(corpus.select(F.col("case_id").cast("long"), "vec", place("vec").alias("p"))
                      .select("case_id", "vec", "p.*"), "corpus")
-    for r in placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("a"), F.min("norm").alias("l"),
-                                     F.max("norm").alias("h")).collect():             # one row per pivot
-        pivots.angle[r["g"]], pivots.low[r["g"]], pivots.high[r["g"]] = r["a"], r["l"], r["h"]
-        pivots.parts[r["g"]] = math.ceil(r["n"] / block_rows)
-    parts = F.element_at(F.array(*[F.lit(int(max(1, x))) for x in pivots.parts]), F.col("g") + 1)
-    return placed.select("case_id", "vec", "g", F.pmod(F.xxhash64("case_id"), parts).alias("part")), pivots
-
-
-def _visit(queries: DataFrame, corpus: DataFrame, pivots: Pivots, k: int, query_parts: int,
-           exclude_self: bool) -> DataFrame:
-    """Hits of ``queries(qid, qvec, g)`` in the group ``g`` they visit, part by part."""
-    parts = F.element_at(F.array(*[F.lit(int(x)) for x in pivots.parts]), F.col("g") + 1)
-    q = (queries.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1).cast("array<bigint>")))
-         .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(query_parts))))
-    c = corpus.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)).cast("array<bigint>")))
+    groups = written(placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("a"), F.max("top").alias("t"),
+                                             F.min("norm").alias("l"), F.max("norm").alias("h")), "groups")
+    tree.summary(np.array([tuple(r) for r in groups.collect()], float).reshape(-1, 6))     # one row per leaf
+    groups = F.broadcast(groups.select(F.col("g").alias("group"), F.ceil(F.col("n") / block_rows).alias("parts")))
+    parted = (placed.join(groups, F.col("g") == F.col("group"))
+              .select("case_id", "vec", "g", F.pmod(F.xxhash64("case_id"), "parts").alias("part")))
+    return parted, groups, tree
+
+
+def _visit(queries: DataFrame, corpus: DataFrame, groups: DataFrame, k: int, block_rows: int, exclude_self: bool,
+           histogram: list | None = None) -> DataFrame:
+    """Hits of ``queries(qid, qvec, to)`` in the groups ``to`` that they visit, part by part. A part
+    has a copy per ``block_rows`` visits of its own group."""
+    going = queries.select("qid", "qvec", F.explode("to").alias("g"))
+    visits = written(going.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "visits")
+    if histogram is not None:
+        histogram += [(r["g"], r["n"], math.ceil(r["n"] / block_rows)) for r in visits.collect()]
+    copies = F.broadcast(visits.join(groups, F.col("g") == F.col("group"))           # one row per group
+                         .select(F.col("g").alias("v"), "parts", F.ceil(F.col("n") / block_rows).alias("copies")))
+    to = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))     # noqa: E731
+    q = (going.join(copies, F.col("g") == F.col("v"))
+         .select("qid", "qvec", "g", to("parts").alias("part"), F.pmod(F.xxhash64("qid"), "copies").alias("qb")))
+    c = (corpus.join(copies, F.col("g") == F.col("v"))
+         .select("case_id", "vec", F.col("g").alias("g"), "part", to("copies").alias("qb")))
     return (q.groupBy("g", "part", "qb").cogroup(c.groupBy("g", "part", "qb"))
-            .applyInPandas(_block_topk(k, exclude_self=exclude_self), HITS_SCHEMA))
+            .applyInArrow(_block_topk(k, exclude_self), HITS_SCHEMA))
 
 
-def _pruned_top_k(queries: DataFrame, corpus: DataFrame, k: int, nq: int, nc: int, block_rows: int,
+def _pruned_top_k(queries: DataFrame, corpus: DataFrame, k: int, nq: int, block_rows: int,
                   n_pivots: int, exclude_self: bool, visits: dict | None) -> DataFrame:
-    c, pivots = _grouped_corpus(corpus, nc, block_rows, n_pivots)
-    if not pivots.parts.any():
-        return queries.sparkSession.createDataFrame([], HITS_SCHEMA)
-    sent = queries.sparkSession.sparkContext.broadcast(pivots)
-    query_parts = max(1, math.ceil(nq / block_rows))
+    c, groups, tree = _grouped_corpus(corpus, block_rows, n_pivots)
+    sent = queries.sparkSession.sparkContext.broadcast(tree)
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("array<int>")
     def first_group(v: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.bounds(np.stack(v.to_numpy()).astype(float)).argmax(axis=1))
+        return pd.Series(sent.value.first(np.stack(v.to_numpy()).astype(float), k))
 
     @F.pandas_udf("array<int>")
-    def other_groups(v: pd.Series, g: pd.Series, least: pd.Series) -> pd.Series:
-        bounds = sent.value.bounds(np.stack(v.to_numpy()).astype(float))
-        bounds[np.arange(len(v)), g.to_numpy()] = -np.inf
-        reach = (bounds >= least.to_numpy()[:, None]) & np.isfinite(bounds)
-        return pd.Series([np.flatnonzero(r) for r in reach])
-
-    q = written(queries.select(F.col("qid").cast("long"), "qvec", first_group("qvec").alias("g")), "queries")
-    first = written(_best(_visit(q, c, pivots, k, query_parts, exclude_self), k), "hits")
+    def other_groups(v: pd.Series, done: pd.Series, least: pd.Series) -> pd.Series:
+        reach = sent.value.reached(np.stack(v.to_numpy()).astype(float), least.to_numpy())
+        return pd.Series([np.setdiff1d(r, d) for r, d in zip(reach, done)])
+
+    histogram = None if visits is None else []
+    q = written(queries.select(F.col("qid").cast("long"), "qvec", first_group("qvec").alias("to")), "queries")
+    first = written(_best(_visit(q, c, groups, k, block_rows, exclude_self, histogram), k), "hits")
     least = first.groupBy(F.col("qid").alias("lid")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-    more = (q.join(least, F.col("qid") == F.col("lid"), "left")
-            .withColumn("to", other_groups("qvec", "g", F.coalesce("least", F.lit(float("-inf")))))
-            .select("qid", "qvec", F.explode("to").alias("g")))
+    more = written(q.join(least, F.col("qid") == F.col("lid"), "left")
+                   .withColumn("to", other_groups("qvec", "to", F.coalesce("least", F.lit(float("-inf")))))
+                   .select("qid", "qvec", "to"), "queries")
+    hits = first.unionByName(_visit(more, c, groups, k, block_rows, exclude_self, histogram))
     if visits is not None:
-        visits["visited"] = nq + more.count()
-        visits["all"] = nq * int((pivots.parts > 0).sum())
-    return _best(first.unionByName(_visit(more, c, pivots, k, query_parts, exclude_self)), k)
+        visits["visited"] = sum(n for _, n, _ in histogram)
+        visits["all"] = nq * int((tree.rows > 0).sum())
+        visits["copies"] = histogram
+    return _best(hits, k)
+
+
+def _sent_whole(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """Every query against a corpus of one block, which is sent to the tasks."""
+    rows = corpus.select(F.col("case_id").cast("long").alias("case_id"), "vec").toArrow()
+    sent = queries.sparkSession.sparkContext.broadcast((rows["case_id"].to_numpy(), _matrix(rows["vec"])))
+
+    def run(batches):
+        ids, C = sent.value
+        for b in batches:
+            if b.num_rows and len(ids):
+                yield from _best_of_block(b.column(0).to_numpy(), _matrix(b.column(1)), ids, C, k, exclude_self).to_batches()
+    return spread(queries.select(F.col("qid").cast("long").alias("qid"), "qvec")).mapInArrow(run, HITS_SCHEMA)
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, block_rows: int = 20000, pivots: int | None = None,
@@ -226,20 +321,16 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, block_rows: int = 2
     are checkpointed into the cluster's checkpoint folder unless ``materialize`` is off: every
     consumer then reads them instead of re-running the search. With ``exclude_self`` a query
     never retrieves the corpus row of the same id (leave-one-out). ``visits`` receives how many
-    (query, block) visits were made and how many there are in all.
+    (query, group) visits were made, how many there are in all, and the copies of each group
+    per round: ``(group, visits, copies)``.
     """
-    nq, nc = _sizes(queries, corpus)
-    if nc > block_rows or pivots:
-        n = min(MAX_PIVOTS, pivots or 2 * math.ceil(nc / block_rows))
-        out = _pruned_top_k(queries, corpus, k, nq, nc, block_rows, n, exclude_self, visits)
+    nq, nc, dim = _sizes(queries, corpus)
+    if nc > block_rows or 8 * nc * dim > BLOCK_BYTES or pivots:
+        block = max(1, min(block_rows, BLOCK_BYTES // (8 * max(1, dim))))
+        n = min(MAX_PIVOTS, pivots or 2 * math.ceil(nc / block))
+        out = _pruned_top_k(queries, corpus, k, nq, block, n, exclude_self, visits)
     else:
-        cores = queries.sparkSession.sparkContext.defaultParallelism
-        bq = max(1, math.ceil(nq / block_rows), min(2 * cores, math.ceil(nq / 256)))
-        q = queries.select(F.col("qid").cast("long"), "qvec", F.pmod(F.xxhash64("qid"), F.lit(bq)).alias("qb"))
-        c = corpus.select(F.col("case_id").cast("long"), "vec",
-                          F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<bigint>")).alias("qb"))
-        out = (q.groupBy("qb").cogroup(c.groupBy("qb"))
-               .applyInPandas(_block_topk(k, exclude_self=exclude_self), HITS_SCHEMA))
+        out = _sent_whole(queries, corpus, k, exclude_self)
     if materialize:
         ensure_checkpoint_dir(out.sparkSession)
         out = out.checkpoint()

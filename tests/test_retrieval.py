@@ -109,6 +109,54 @@ def test_far_blocks_are_skipped_and_results_stay_exact(spark):
     assert visits["visited"] < 0.6 * visits["all"], visits
 
 
+def test_a_group_is_copied_once_per_block_of_its_own_visits(spark):
+    """One group that most queries visit: the others are not copied for them."""
+    rng = np.random.default_rng(5)
+    centres = np.eye(12)
+    C = np.repeat(centres, 40, axis=0) + 0.01 * rng.normal(size=(480, 12))
+    Q = np.concatenate([np.repeat(centres[:1], 300, axis=0), centres[1:]]) + 0.01 * rng.normal(size=(311, 12))
+    qids, cids = list(range(311)), list(range(480))
+    visits, block = {}, 30
+    hits = R.top_k(_frame(spark, qids, Q, "qid", "qvec"), _frame(spark, cids, C, "case_id", "vec"), k=3,
+                   block_rows=block, pivots=40, visits=visits).collect()
+    got = {}
+    for h in sorted(hits, key=lambda h: (h.qid, h.rank)):
+        got.setdefault(h.qid, []).append((h.case_id, round(h.score, 9)))
+    assert got == _brute(Q, qids, C, cids, 3)
+    assert sum(n for _, n, _ in visits["copies"]) == visits["visited"]
+    assert all(c == -(-n // block) for _, n, c in visits["copies"])
+    # the corpus was copied len(queries) / block times for every group before
+    assert sum(c for *_, c in visits["copies"]) < 0.5 * -(-311 // block) * len({g for g, *_ in visits["copies"]})
+
+
+def test_pivot_tree_bounds_hold_and_stay_small(monkeypatch):
+    """No vector scores above its leaf's or its top pivot's bound; arrays of ``CHUNK`` rows."""
+    rng = np.random.default_rng(9)
+    V = rng.normal(size=(3000, 6)) * rng.choice([0.1, 1, 5], size=(3000, 1))
+    V[::50] = 0
+    tree = R.PivotTree(R.PivotTree.units(np.concatenate([V[1:40], V[1:3]]))[0])
+    leaf, angle, top, norm = tree.place(V)
+    rows = [(g, (leaf == g).sum(), angle[leaf == g].max(), top[leaf == g].max(), norm[leaf == g].min(), norm[leaf == g].max())
+            for g in np.unique(leaf)]
+    tree.summary(np.array(rows, float))
+    Q = rng.normal(size=(300, 6))
+    S = Q @ V.T
+    sizes, whole = [], R.PivotTree.units
+    monkeypatch.setattr(R.PivotTree, "units", staticmethod(lambda v: sizes.append(len(v)) or whole(v)))
+    for least in (-1.0, 0.0, 0.5, 3.0):
+        for q, reach in enumerate(tree.reached(Q, np.full(300, least))):
+            assert set(leaf[S[q] >= least]) <= set(reach.tolist())
+            assert len(set(reach.tolist())) == len(reach)
+    assert all(set(f) <= set(leaf) and tree.rows[f].sum() >= 3 for f in tree.first(Q, 3)) and max(sizes) <= R.CHUNK
+
+
+def test_empty_sides(spark):
+    q, c = _frame(spark, [1], [[1.0, 0.0]], "qid", "qvec"), _frame(spark, [7], [[1.0, 0.0]], "case_id", "vec")
+    for options in ({}, {"pivots": 2}):
+        assert R.top_k(q, c.limit(0), **options).count() == 0
+        assert R.top_k(q.limit(0), c, **options).count() == 0
+
+
 def test_vector_table_round_trip(spark, tmp_path):
     from pyspark.sql import functions as F
 
