@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supportflow.functions.text import lenient_id, py_strip
+from supportflow.operators.reduction import semi_join
+from supportflow.session import BROADCAST_ROWS
 
 
 def brand_replies(tweets: DataFrame, brand: str) -> DataFrame:
@@ -13,17 +15,22 @@ def brand_replies(tweets: DataFrame, brand: str) -> DataFrame:
     return tweets.filter((F.col("author_id") == F.lit(brand)) & ~F.col("inbound"))
 
 
-def linked_messages(tweets: DataFrame, brand: str) -> DataFrame:
+def linked_messages(tweets: DataFrame, brand: str, reduced: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Inbound messages the brand answered.
 
     Parent ids of brand replies are coerced leniently (B6), de-duplicated (E2) and used
     as the right side of a left-semi join; Spark picks broadcast or sort-merge by size.
+    ``reduced``: the ids are counted, and beyond ``broadcast_rows`` of them messages without
+    an answer are dropped by a bit set before the shuffle.
     """
     answered = (brand_replies(tweets, brand)
                 .select(lenient_id("in_response_to_tweet_id").alias("tweet_id"))
                 .filter(F.col("tweet_id").isNotNull())
                 .distinct())
-    return tweets.filter(F.col("inbound")).join(answered, "tweet_id", "left_semi")
+    inbound = tweets.filter(F.col("inbound"))
+    if reduced:
+        return semi_join(inbound, answered, "tweet_id", "tweet_id", broadcast_rows)
+    return inbound.join(answered, "tweet_id", "left_semi")
 
 
 def explode_reply_ids(df: DataFrame, col: str = "brand_reply_id") -> DataFrame:
@@ -51,26 +58,43 @@ def keep_first(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
             .select(*df.columns))
 
 
+def with_file_position(df: DataFrame, name: str = "position") -> DataFrame:
+    """``df``, read straight from Parquet files, with each row's place: file, then row in the file."""
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"),
+                                   F.col("_metadata.row_index").alias("row")).alias(name))
+
+
+def keep_first_in_file(df: DataFrame, key: str, position: str = "position") -> DataFrame:
+    """E1 in file order: of the rows with equal ``key`` the one that stands first in the files,
+    whatever its other values. Combined before the shuffle, like ``keep_first``. ``position`` sorts
+    the rows (``with_file_position``, or that of the CSV reader) and is dropped."""
+    return keep_first(df, key, [position]).drop(position)
+
+
 def build_cases(linked: DataFrame, tweets: DataFrame, brand: str,
-                explode_ids: bool = False) -> DataFrame:
+                explode_ids: bool = False, position: str | None = None) -> DataFrame:
     """C1 + B4 + E1 + H2 + B5: customer message joined to the brand reply it received.
 
     Keys are compared as text (B7) like the exchange files; a comma list of reply ids
-    matches nothing unless ``explode_ids`` (C1x) is on.
+    matches nothing unless ``explode_ids`` (C1x) is on. Of several rows for one message the
+    first in id order stays, or with ``position`` (a column of both tables) the first in file
+    order: of the messages, then of an id list, then of the replies.
     """
     cases = linked.select(                                   # B2: exchange column names
         F.col("tweet_id").alias("customer_tweet_id"), "created_at",
         F.col("text").alias("customer_text"),
-        F.col("response_tweet_id").cast("string").alias("brand_reply_id"))
+        F.col("response_tweet_id").cast("string").alias("brand_reply_id"),
+        *([F.col(position).alias("__first")] if position else []))
     cases = with_list_position(cases, "brand_reply_id") if explode_ids else cases.withColumn("__at", F.lit(0))
     replies = brand_replies(tweets, brand).select(
         F.col("tweet_id").cast("string").alias("brand_reply_id"),
-        F.col("text").alias("brand_reply"))
+        F.col("text").alias("brand_reply"), *([F.col(position).alias("__second")] if position else []))
     joined = (cases.join(replies, "brand_reply_id", "inner")
               .dropna(subset=["customer_text", "brand_reply"]))
     # The first id of the list, then the smaller id as a number
     joined = joined.withColumn("__number", F.col("brand_reply_id").try_cast("decimal(38,0)"))
-    first = keep_first(joined, "customer_tweet_id", ["__at", "__number", "brand_reply_id", "brand_reply"])
+    order = ["__first", "__at", "__second"] if position else ["__at", "__number", "brand_reply_id", "brand_reply"]
+    first = keep_first(joined, "customer_tweet_id", order)
     return (first
             .withColumn("customer_text", py_strip("customer_text"))
             .withColumn("brand_reply", py_strip("brand_reply"))

@@ -23,6 +23,12 @@ WHERE author_id = 'Brand' AND NOT inbound"""
 
 ORACLES["linked_messages"] = sql_with(T, LK) + "\nSELECT * FROM linked"
 
+ORACLES["linked_messages_reduced"] = ORACLES["linked_messages"]
+ORACLES["first_in_file_order"] = """
+WITH d AS (SELECT *, row_number() OVER () AS r FROM documents),
+f AS (SELECT *, row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY r) AS k FROM d)
+SELECT sha256(coalesce(text, '')) AS digest, doc_id, lang, source FROM f WHERE k = 1"""
+
 ORACLES["build_cases"] = sql_with(T, LK, CR) + """
 SELECT customer_tweet_id, created_at, customer_text, brand_reply_id, brand_reply FROM cases_raw
 WHERE customer_text <> '' AND brand_reply <> ''"""
@@ -140,6 +146,7 @@ ORACLES["conversation_roots"] = sql_with(T, RT, recursive=True) + \
 ORACLES["holdout_expand"] = sql_with(*_HOLD, recursive=True) + "\nSELECT tweet_id, conversation_root FROM held"
 ORACLES["leakage_safe_cases"] = sql_with(*_HOLD, recursive=True) + \
     "\nSELECT case_id, customer_tweet_id, brand_reply_id FROM safe"
+ORACLES["leakage_safe_reduced"] = ORACLES["leakage_safe_cases"]
 ORACLES["holdout_audit"] = sql_with(*_HOLD, recursive=True) + """
 SELECT 'tweets' AS stage, count(*)::BIGINT AS rows FROM tweets
 UNION ALL SELECT 'held_out_conversations', count(DISTINCT conversation_root) FROM held
@@ -170,6 +177,7 @@ _WORLD = (T, LK, CR, CS, MS, QV, CV, HT)
 ORACLES["case_vectors"] = sql_with(T, LK, CR, CS, CV) + """
 SELECT case_id, len(v)::INTEGER AS dim, round(sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) AS norm,
        round(list_sum(v), 6) AS checksum FROM cvec"""
+ORACLES["case_vectors_refreshed"] = ORACLES["case_vectors"]
 ORACLES["topk_retrieval"] = sql_with(*_WORLD) + "\nSELECT qid, rank, case_id, round(score, 6) AS score FROM hits"
 
 ORACLES["evidence_strings"] = sql_with(*_WORLD) + f"""

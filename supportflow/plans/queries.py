@@ -22,6 +22,7 @@ from supportflow.operators import retrieval as R
 from supportflow.plans import world as W
 from supportflow.sources.adapters import BRAND, tweet_id
 from supportflow.session import delete_on_exit, ensure_checkpoint_dir
+from supportflow.sources import snapshots
 from supportflow.sources import tables as TB
 from supportflow.sources.tables import read_table
 
@@ -48,6 +49,22 @@ def q_linked_messages(spark, sf):
     return C.linked_messages(W.tweets(spark, sf), BRAND)
 
 
+@register("linked_messages_reduced")
+def q_linked_messages_reduced(spark, sf):
+    """C2 with the bit set in front of the shuffle, also for a key set that would fit a broadcast."""
+    return C.linked_messages(W.tweets(spark, sf), BRAND, reduced=True, broadcast_rows=0)
+
+
+@register("first_in_file_order")
+def q_first_in_file_order(spark, sf):
+    """Of the documents with equal texts the one that stands first in the file. The key is a
+    digest, so no text is shuffled."""
+    docs = C.with_file_position(read_table(spark, sf, "documents"))
+    keyed = docs.select(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), "doc_id", "lang",
+                        "source", "position")
+    return C.keep_first_in_file(keyed, "digest")
+
+
 @register("build_cases")
 def q_build_cases(spark, sf):
     tw = W._materialize(W.tweets(spark, sf))             # read three times
@@ -262,6 +279,15 @@ def q_leakage_safe_cases(spark, sf):
     return _Holdout(spark, sf).safe.select("case_id", "customer_tweet_id", "brand_reply_id")
 
 
+@register("leakage_safe_reduced")
+def q_leakage_safe_reduced(spark, sf):
+    """C4 with the bit set in front of the shuffles."""
+    h = _Holdout(spark, sf)
+    held = W._materialize(h.held.select("tweet_id"))
+    return TH.leakage_safe_cases(h.cases, held, reduced=True, broadcast_rows=0).select(
+        "case_id", "customer_tweet_id", "brand_reply_id")
+
+
 @register("holdout_audit")
 def q_holdout_audit(spark, sf):
     h = _Holdout(spark, sf)
@@ -296,10 +322,28 @@ def q_vector_normalise(spark, sf):
                       F.round(F.aggregate("unit", F.lit(0.0), lambda a, x: a + x), 6).alias("checksum"))
 
 
+@register("case_vectors_refreshed")
+def q_case_vectors_refreshed(spark, sf):
+    """A first version of the vector table from cases with texts of half length, some of
+    them missing and some in excess; the second brings it up to date, bucket by bucket."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    now = W.cases(spark, sf).select("case_id", "customer_text")
+    odd, text = F.col("case_id") % 3, F.col("customer_text")
+    before = (now.filter(odd != 0).withColumn("customer_text", F.when(odd == 1, text).otherwise(F.left(text, F.length(text) / 2)))
+              .unionByName(now.filter(odd == 0).select((-F.col("case_id") - 1).alias("case_id"), "customer_text")))
+    W.update_case_vectors(before, path)
+    W.update_case_vectors(now, path)
+    return _vector_summary(snapshots.read(spark, path).select("case_id", "vec"))
+
+
 @register("case_vectors")
 def q_case_vectors(spark, sf):
     """The stored vector table, written and read back."""
-    v = W.stored_case_vectors(spark, sf, W.cases(spark, sf))
+    return _vector_summary(W.stored_case_vectors(spark, sf, W.cases(spark, sf)))
+
+
+def _vector_summary(v):
     return v.select("case_id", F.size("vec").alias("dim"), F.round(R.vector_norm("vec"), 6).alias("norm"),
                     F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("checksum"))
 

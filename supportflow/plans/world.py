@@ -27,6 +27,7 @@ from supportflow.operators import retrieval as R
 from supportflow.operators.sampling import with_position
 from supportflow.session import delete_on_exit, ensure_checkpoint_dir
 from supportflow.sources.adapters import BRAND, customer_messages, tweet_id, tweets_from_conversations
+from supportflow.sources import snapshots
 from supportflow.sources.tables import read_table, read_vectors, write_vectors
 
 K = 5
@@ -97,6 +98,20 @@ def stored_case_vectors(spark: SparkSession, sf: str, cs: DataFrame) -> DataFram
     return read_vectors(spark, path)
 
 
+def update_case_vectors(cs: DataFrame, path: str, seen=None) -> int:
+    """Brings the versioned vector table at ``path`` up to the cases ``case_id, customer_text``: only
+    new cases and those with another text are vectorised (``seen`` gets them), cases that are gone
+    go. Returns the version."""
+    def compute(rows: DataFrame) -> DataFrame:
+        if seen is not None:
+            seen(rows)
+        v = FT.text_vectors(rows, "customer_text", "vec").select("case_id", "text_print", "vec")
+        return R.l2_normalise(v, "vec")
+    printed = cs.select("case_id", "customer_text",
+                        F.xxhash64(F.coalesce("customer_text", F.lit(""))).alias("text_print"))
+    return snapshots.refresh(printed, path, "case_id", "text_print", compute)
+
+
 def hits(spark: SparkSession, sf: str, k: int = K, msgs: DataFrame | None = None,
          cs: DataFrame | None = None) -> DataFrame:
     return R.top_k(message_vectors(spark, sf, msgs), case_vectors(spark, sf, cs), k=k)

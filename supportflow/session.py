@@ -89,12 +89,18 @@ def spread(df):
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new folder below the shared checkpoint folder, deleted when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    return path
+
+
 def written(df, what: str = "table"):
     """``df`` written once as Parquet to the shared folder and read back (deleted when the
     application ends): cuts the lineage and keeps columns prunable."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    delete_on_exit(spark, path)
+    path = scratch_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from supportflow.sources import csv_chunks, snapshots
+
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -76,18 +78,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
              columns: list[str] | None = None) -> DataFrame:
-    """A1/A2: CSV exchange file with a fixed schema; quoted newlines allowed.
+    """A1/A2: CSV exchange files with a fixed schema; quoted line feeds allowed, and a large file
+    is still read by many tasks.
 
     A missing path raises ``AnalysisException [PATH_NOT_FOUND]`` (A3).
     """
-    df = (spark.read.schema(schema)
-          .option("header", True).option("multiLine", True)
-          .option("escape", '"').option("mode", "PERMISSIVE")
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .csv(path))
+    df = csv_chunks.read(spark, path, schema)
     return df.select(*columns) if columns else df
 
 
+def read_csv_positioned(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``read_csv`` with ``position``, which sorts the rows as they stand in the files."""
+    return csv_chunks.parsed(csv_chunks.records(spark, path), schema).select("row.*", "position")
+
+
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
     """Fail early when a table lacks columns a job needs."""
     missing = [c for c in required if c not in df.columns]
@@ -118,10 +122,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
         raise OSError(f"could not move {fresh} to {path}")
 
 
-def write_vectors(df: DataFrame, path: str) -> None:
-    """A5: the vector index is a Parquet table keyed by ``case_id``."""
-    write_table(df.select("case_id", F.col("vec").cast("array<double>").alias("vec")), path)
+def write_vectors(df: DataFrame, path: str) -> int:
+    """The vector index is a versioned table keyed by ``case_id``; a reader sees the version
+    before the write or after it."""
+    return snapshots.replace(df.select("case_id", F.col("vec").cast("array<double>").alias("vec")), path, "case_id")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CASE_VECTORS).parquet(path)
+    return snapshots.read(spark, path).select(*CASE_VECTORS.fieldNames())

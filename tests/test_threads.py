@@ -44,6 +44,41 @@ def test_roots_edge_cases(spark):
     assert got[4002] == 4000 and got[4000] == 4000
 
 
+def test_only_open_rows_move(spark):
+    """The tables that ids are looked up in are read without an exchange, also with a hot root."""
+    rows = [(i, None if i % 500 == 1 else i - 1) for i in range(1, 1001)]               # two long chains
+    rows += [(10_000 + i, 1) for i in range(2000)] + [(20_000 + i, 10_000 + i) for i in range(300)]
+    edges = spark.createDataFrame(rows, "id long, parent long")
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rounds = []
+        got = {r["id"]: r["root"] for r in TH.conversation_roots(edges, rounds).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert got == _brute_roots(dict(rows))
+    opened = [n for n, _ in rounds]
+    assert opened[0] == 3298 and opened == sorted(opened, reverse=True) and opened[1] < 0.5 * opened[0]
+    for k, (_, plan) in enumerate(rounds):
+        lines = plan.splitlines()
+        assert sum("SortMergeJoin" in x for x in lines) == k + 2
+        scans = [i for i, x in enumerate(lines) if "FileScan" in x]
+        depth = lambda x: len(x) - len(x.lstrip(" :+-"))                       # noqa: E731
+        exchanged = []
+        for i in scans:
+            d = depth(lines[i])
+            for j in range(i - 1, -1, -1):
+                if depth(lines[j]) < d:
+                    d = depth(lines[j])
+                    if "SortMergeJoin" in lines[j]:
+                        break
+                    if "Exchange" in lines[j]:
+                        exchanged.append(i)
+                        break
+        assert len(exchanged) == 1 and len(scans) == k + 3, plan               # the requests alone
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("roots_")]
+
+
 def test_holdout_removes_whole_conversations(spark):
     tw = spark.createDataFrame([(1, None), (2, "1"), (3, "2"), (10, None), (11, "10"), (20, None)],
                                "tweet_id long, in_response_to_tweet_id string")
