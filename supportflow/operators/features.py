@@ -7,29 +7,30 @@ vocabulary keeps terms in at least ``min_df`` documents, then the ``max_features
 frequent (total count desc, term asc).
 
 Plan: a document is one row, so its terms are counted inside the row and no text is ever
-shuffled. The first pass sums document frequency and total per term and task and shuffles
-only those sums; the second weighs each document's terms against the vocabulary, which is
-sent to the tasks while it has at most ``VOCABULARY_ROWS`` rows. Beyond that the terms are
-joined to it instead, and norms are taken per row number.
+shuffled. The JVM finds the tokens; a task works on the bytes of a whole batch: numpy hashes
+every token and neighbouring pair (64 bits), and sorts instead of looking up strings. The first
+pass sums document frequency and total per term and task and shuffles only those sums (strings
+are cut out of the text once per distinct term); the second weighs each document's terms against
+the vocabulary, which is sent to the tasks, hashed, while it has at most ``VOCABULARY_ROWS`` rows.
+Beyond that the terms are joined to it instead, and norms are taken per row number.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from supportflow.functions import textkit as K
 from supportflow.functions.text import WORD
 from supportflow.operators.sampling import with_position
 from supportflow.session import spread, written
 
 TOKEN_RE = f"[{WORD}]{{2,}}"
 VOCABULARY_ROWS = 1_000_000
-FLUSH = 500_000
+FLUSH = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -37,29 +38,96 @@ def tokens(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_RE), 0), "\n")
 
 
-def _grams(joined: str) -> list[str]:
-    t = joined.split("\n") if joined else []
-    return t + [f"{a} {b}" for a, b in zip(t, t[1:])]
+_TOKEN = np.ones(256, bool)
+_TOKEN[0x0A] = False
+
+
+class Grams:
+    """The unigrams and bigrams of a chunk of rows (tokens one per line): ``hash``, ``row`` and the
+    byte range of each, which for a bigram holds the line feed between its tokens."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        w = K.Words(data, offsets, _TOKEN, lower=False)
+        one = w.hashes()
+        pair = np.flatnonzero(w.row[1:] == w.row[:-1]) if len(one) > 1 else np.zeros(0, np.int64)
+        two = K.mix(one[pair] * K.GRAM + one[pair + 1]) if len(pair) else np.zeros(0, np.uint64)
+        self.data = data
+        self.hash = np.concatenate([one, two])
+        self.row = np.concatenate([w.row, w.row[pair]])
+        self.start = np.concatenate([w.start, w.start[pair]])
+        self.end = np.concatenate([w.end, w.end[pair + 1]]) if len(pair) else np.concatenate([w.end, np.zeros(0, np.int64)])
+
+    def terms(self, at: np.ndarray) -> pa.StringArray:
+        """The strings of some grams."""
+        size = self.end[at] - self.start[at]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        where = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - self.start[at], size)
+        raw = self.data[where]
+        raw[raw == 0x0A] = 0x20
+        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+
+
+def _chunks(column: pa.Array):
+    """``(first row, rows, grams)`` of a batch, bounded by the largest text."""
+    data, offsets = K.text_bytes(column)
+    for i, j in K.chunks(offsets):
+        yield i, j - i, Grams(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+
+
+def term_hashes(terms: pa.Array) -> np.ndarray:
+    """The hash that ``Grams`` gives to each term."""
+    data, offsets = K.text_bytes(terms)
+    data = np.where(data == 0x20, np.uint8(0x0A), data)        # a token holds no space
+    out = np.zeros(len(terms), np.uint64)
+    for i, j in K.chunks(offsets):
+        g = Grams(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+        out[i + g.row] = g.hash                                # a term's only bigram comes last
+    return out
+
+
+def _row_counts(g: Grams, n_rows: int, known: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """``(row, key, count)``: distinct grams per row, sorted. ``key`` is the place in the sorted
+    hashes ``known``, others left out; or without them in the chunk's own, returned as well with
+    a gram of each."""
+    if known is None:
+        values, first, key = np.unique(g.hash, return_index=True, return_inverse=True)
+        row = g.row
+    else:
+        key = np.minimum(np.searchsorted(known, g.hash), max(0, len(known) - 1))
+        hit = known[key] == g.hash if len(known) else np.zeros(len(g.hash), bool)
+        key, row, values, first = key[hit], g.row[hit], known, None
+    both, count = np.unique(row * max(1, len(values)) + key, return_counts=True)
+    return both // max(1, len(values)), both % max(1, len(values)), count, values, first
 
 
 def term_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``term, df, total`` over whole texts, summed per task before the shuffle."""
     def run(batches):
-        df, total = Counter(), Counter()
+        parts: list[tuple] = []
+
+        def merged():
+            hashes = np.concatenate([p[0] for p in parts])
+            u, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            sums = [np.bincount(inverse, np.concatenate([p[k] for p in parts]), len(u)).astype(np.int64) for k in (1, 2)]
+            return u, *sums, pa.concat_arrays([p[3] for p in parts]).take(pa.array(first))
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()),
-                                               pa.array([df[t] for t in total], pa.int64()),
-                                               pa.array(list(total.values()), pa.int64())], names=["term", "df", "total"])
+            _, df, total, terms = parts[0]
+            return pa.RecordBatch.from_arrays([terms, pa.array(df), pa.array(total)], names=["term", "df", "total"])
         for b in batches:
-            for joined in b.column(0).to_pylist():
-                g = _grams(joined)
-                df.update(set(g))
-                total.update(g)
-            if len(total) > FLUSH:
-                yield out()
-                df, total = Counter(), Counter()
-        yield out()
+            for _, n_rows, g in _chunks(b.column(0)):
+                if not len(g.hash):
+                    continue
+                _, key, count, values, first = _row_counts(g, n_rows)
+                parts.append((values, np.bincount(key, minlength=len(values)), np.bincount(key, count, len(values)), g.terms(first)))
+                if sum(len(p[0]) for p in parts) > 2 * FLUSH:
+                    parts = [merged()]
+                    if len(parts[0][0]) > FLUSH:
+                        yield out()
+                        parts = []
+        if parts:
+            parts = [merged()]
+            yield out()
 
     return (spread(docs.select(text_col)).select(tokens(F.col(text_col)))
             .mapInArrow(run, "term string, df long, total long")
@@ -109,38 +177,48 @@ def tfidf(docs: DataFrame, min_df: int = 2, max_features: int = 100000, sublinea
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, term string, weight double"
     if vocab.count() > VOCABULARY_ROWS:
         return _tfidf_by_join(rows, vocab, sublinear, schema)
-    idf = docs.sparkSession.sparkContext.broadcast({r["term"]: r["idf"] for r in vocab.select("term", "idf").collect()})
+    kept = vocab.select("term", "idf").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(hashed_vocabulary(kept["term"], kept["idf"].to_numpy()))
 
     def run(batches):
-        known = idf.value
+        known, idf, terms = sent.value
         for b in batches:
-            at, terms, weights = [], [], []
-            for i, joined in enumerate(b.column(1).to_pylist()):
-                c = [(t, n) for t, n in Counter(_grams(joined)).items() if t in known]
-                if c:
-                    w = _tf(np.array([n for _, n in c], float), sublinear) * np.array([known[t] for t, _ in c])
-                    at += [i] * len(c)
-                    terms += [t for t, _ in c]
-                    weights.append(w / np.sqrt(w @ w))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()),
-                 pa.array(np.concatenate(weights) if weights else np.zeros(0))], names=["doc_id", "term", "weight"])
+            for i, n_rows, g in _chunks(b.column(1)):
+                row, key, count, *_ = _row_counts(g, n_rows, known)
+                if not len(row):
+                    continue
+                weight = _weights(row, count, idf[key], sublinear)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + row)), terms.take(pa.array(key)), pa.array(weight)],
+                                                 names=["doc_id", "term", "weight"])
     return rows.mapInArrow(run, schema)
 
 
+def hashed_vocabulary(terms, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """A vocabulary for the tasks: sorted hashes, the values and the terms in that order."""
+    terms = pa.concat_arrays(terms.chunks) if isinstance(terms, pa.ChunkedArray) and terms.num_chunks else pa.array(
+        [] if isinstance(terms, pa.ChunkedArray) else terms, pa.string())
+    h = term_hashes(terms)
+    order = np.argsort(h, kind="stable")
+    return h[order], values[order], terms.take(pa.array(order))
+
+
+def _weights(row: np.ndarray, count: np.ndarray, idf: np.ndarray, sublinear: bool) -> np.ndarray:
+    """Weights of ``(row, term)`` pairs sorted by row, each row of unit length."""
+    w = _tf(count.astype(float), sublinear) * idf
+    return w / np.sqrt(np.bincount(row, w * w))[row]
+
+
 def _tfidf_by_join(rows: DataFrame, vocab: DataFrame, sublinear: bool, schema: str) -> DataFrame:
     """The same for a vocabulary too large to send: one row per document and term, joined."""
     def run(batches):
         for b in batches:
-            at, terms, n = [], [], []
-            for i, joined in enumerate(b.column(2).to_pylist()):
-                c = Counter(_grams(joined))
-                at += [i] * len(c)
-                terms += list(c)
-                n += list(c.values())
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(terms, pa.string()),
-                                              pa.array(n, pa.int64())], names=["doc_id", "row", "term", "n"])
+            for i, n_rows, g in _chunks(b.column(2)):
+                row, key, count, values, first = _row_counts(g, n_rows)
+                if len(row):
+                    at = pa.array(i + row)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(at), b.column(1).take(at), g.terms(first).take(pa.array(key)), pa.array(count)],
+                        names=["doc_id", "row", "term", "n"])
     counts = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "t").mapInArrow(
         run, schema.replace("term string, weight double", "row long, term string, n long"))
     tf = F.lit(1.0) + F.log(F.col("n").cast("double")) if sublinear else F.col("n").cast("double")
@@ -149,28 +227,30 @@ def _tfidf_by_join(rows: DataFrame, vocab: DataFrame, sublinear: bool, schema: s
     return w.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
 
 
-def sparse_rows(docs: DataFrame, vocab: dict[str, tuple[int, float]], sublinear: bool, text_col: str,
-                keep: list[str]) -> DataFrame:
+def sparse_rows(docs: DataFrame, vocab: pa.Table, sublinear: bool, text_col: str, keep: list[str]) -> DataFrame:
     """``keep`` with ``idx`` (ascending) and ``val``: the TF-IDF row of each document against a
-    vocabulary ``term -> (number, idf)`` of at most ``VOCABULARY_ROWS`` terms."""
-    if len(vocab) > VOCABULARY_ROWS:
-        raise ValueError(f"a vocabulary of {len(vocab)} terms is too large to send to every task")
+    vocabulary ``term, number, idf`` of at most ``VOCABULARY_ROWS`` terms."""
+    if vocab.num_rows > VOCABULARY_ROWS:
+        raise ValueError(f"a vocabulary of {vocab.num_rows} terms is too large to send to every task")
     rows = docs.select(*keep, tokens(F.col(text_col)).alias("__t"))
-    known = docs.sparkSession.sparkContext.broadcast(vocab)
+    number, idf = vocab["number"].to_numpy(), vocab["idf"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast((*hashed_vocabulary(vocab["term"], np.arange(len(number)))[:2], number, idf))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches):
-        terms = known.value
+        known, place, number, idf = sent.value
         for b in batches:
-            idx, val = [], []
-            for joined in b.column(len(keep)).to_pylist():
-                c = sorted((terms[t][0], n, terms[t][1]) for t, n in Counter(_grams(joined)).items() if t in terms)
-                w = _tf(np.array([n for _, n, _ in c], float), sublinear) * np.array([x for _, _, x in c])
-                idx.append([i for i, _, _ in c])
-                val.append(list(w / np.sqrt(w @ w)) if c else [])
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:len(keep)], pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float64()))],
-                names=[*keep, "idx", "val"])
+            for i, n_rows, g in _chunks(b.column(len(keep))):
+                row, key, count, *_ = _row_counts(g, n_rows, known)
+                at = place[key]
+                order = np.lexsort((number[at], row))
+                row, at = row[order], at[order]
+                val = _weights(row, count[order], idf[at], sublinear) if len(row) else np.zeros(0)
+                ends = pa.array(np.searchsorted(row, np.arange(n_rows + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(i, n_rows) for c in b.columns[:len(keep)]),
+                     pa.ListArray.from_arrays(ends, pa.array(number[at].astype(np.int32))),
+                     pa.ListArray.from_arrays(ends, pa.array(val))], names=[*keep, "idx", "val"])
     return rows.mapInArrow(run, f"{schema}, idx array<int>, val array<double>")
 
 

@@ -396,6 +396,8 @@ SELECT (SELECT count(*) FROM toks)::BIGINT AS n_train,
        (SELECT count(*) FROM split JOIN documents USING (doc_id) WHERE split = 'test')::BIGINT AS n_test,
        least((SELECT count(*) FROM vocab), 100000)::BIGINT AS n_terms,
        true AS gradient_vanishes, true AS beats_majority_loss, true AS predicts_labels"""
+ORACLES["stored_model"] = "WITH " + _SPLIT + """
+SELECT doc_id, quality, true AS agrees FROM split JOIN documents USING (doc_id) WHERE split = 'test'"""
 ORACLES["majority_baseline"] = "WITH " + _SPLIT + """
 SELECT doc_id, quality, (SELECT quality FROM split WHERE split = 'train' GROUP BY quality
                          ORDER BY count(*) DESC, quality LIMIT 1) AS prediction

@@ -592,11 +592,27 @@ def q_tfidf_logreg_check(spark, sf):
     pred = fit.predict(test.select("doc_id", "quality", "text"))
     return pred.agg(
         F.lit(train.count()).alias("n_train"), F.count(F.lit(1)).alias("n_test"),
-        F.lit(len(fit.vocab)).cast("long").alias("n_terms"), F.lit(bool(fit.gradient() < 1e-3)).alias("gradient_vanishes"),
+        F.lit(fit.vocab.num_rows).cast("long").alias("n_terms"), F.lit(bool(fit.gradient() < 1e-3)).alias("gradient_vanishes"),
         F.lit(bool(loss < math.log(k))).alias("beats_majority_loss"),
         F.coalesce(F.bool_and(F.col("prediction").isin(0, 1)), F.lit(True)).alias("predicts_labels"))
 
 
+@register("stored_model")
+def q_stored_model(spark, sf):
+    """L2/L3: a model saved as the second version of its table, read again by its path alone: its
+    predictions of the test split, and whether joins over the stored weights predict the same."""
+    train, test = _split_texts(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    MD.fit_logreg(train, "quality", max_iter=1, max_features=50).save(path)
+    MD.fit_logreg(train, "quality", max_iter=200).save(path)
+    got = MD.load(spark, path).predict(test.select("doc_id", "quality", "text")).drop("text")
+    best = F.max_by("class", F.struct("score", -F.col("class"))).alias("by_join")
+    joined = MD.scores_by_join(test, path, "doc_id").groupBy("id").agg(best)
+    return (got.join(joined, F.col("doc_id") == F.col("id"))
+            .select("doc_id", "quality", (F.col("prediction") == F.col("by_join")).alias("agrees")))
+
+
 @register("tfidf_100k")
 def q_tfidf_100k(spark, sf):
     """L1, third setting: minimum document frequency 2, 100,000 terms, raw counts."""

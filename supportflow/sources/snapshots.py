@@ -86,12 +86,16 @@ def _write(rows: DataFrame, path: str, key: str, buckets: int) -> dict[str, list
     return {f.split("=")[1]: [f"{name}/{f}"] for f in found if f.startswith(f"{_BUCKET}=")}
 
 
-def replace(rows: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> int:
-    """A new version that is ``rows`` alone."""
+def replace(rows: DataFrame, path: str, key: str, buckets: int = BUCKETS, properties: dict | None = None) -> int:
+    """A new version that is ``rows`` alone, with ``properties`` that belong to it."""
     spark = rows.sparkSession
     version = (versions(spark, path) or [0])[-1] + 1
     return _commit(spark, path, version, {"key": key, "buckets": buckets, "schema": rows.schema.json(),
-                                          "data": _write(rows, path, key, buckets)})
+                                          "properties": properties or {}, "data": _write(rows, path, key, buckets)})
+
+
+def properties(spark: SparkSession, path: str, version: int | None = None) -> dict:
+    return _load(spark, path, version or versions(spark, path)[-1]).get("properties", {})
 
 
 def _rows(spark: SparkSession, path: str, manifest: dict, buckets: list[str] | None = None) -> DataFrame:
