@@ -20,10 +20,21 @@ sanitised in the documents that hold the entity, or any value of a protected cla
 without personal data stays as it is. A value whose whole kind is in fewer than ``support``
 texts has no estimate.
 
-Plan: four narrow passes over whole texts. Only entities, pairs of protected entities and counts
-of candidate terms are shuffled, all pre-aggregated per task. What is broadcast has a fixed
-size: two bitmaps of ``2**BITS`` bits (false positives are removed by the joins that follow) and
-blocks of at most ``block_rows`` rows of the disclosure table, one pass per block.
+**Secrets** (kind ``secret``, spans beside the base ones): the value that a name such as token,
+password or api key assigns (8 characters or more, with a digit), private key headers, and keys
+of a known form (``AKIA...``, ``ghp_...``).
+
+Plan. One pass over whole texts writes those that hold a base span; entities, candidate words
+and pairs read these alone, a second pass over all texts counts the candidate words, a third
+writes the spans. What is shuffled is pre-aggregated per task and pruned without changing the
+result: ``disclosed >= a`` is ``n(t) <= n(t, e) * (N / n(e))**(1 - a)``, and ``n(t, e) <= n(e)``,
+so a pair needs ``n(t) <= n(e)**a * N**(1 - a)``; and a word in fewer than ``support`` of the
+written texts can't have a pair with support. Pairs outside both bounds are never emitted, the
+others as three 64-bit numbers; strings are fetched for the disclosed pairs only. Sent to the
+tasks: one byte per slot of a hash table sized from a count (at most ``2**MOST_BITS`` slots;
+words or entities that share one only let more pairs through, which the joins remove), and a
+disclosure table of at most ``block_rows`` rows. A larger one is dealt into blocks, each with a
+plan and a written result of its own, merged by the text's hash.
 
 Defined results: null texts are empty and have no spans; the statistics count rows, so a
 repeated row counts again; an empty table gives no rows; extra columns pass through.
@@ -31,7 +42,9 @@ repeated row counts again; an empty table gives no rows; extra columns pass thro
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -44,11 +57,11 @@ from supportflow.llm import textkit as K
 from supportflow.llm.common import in_batches, prepare, stored
 
 KINDS = ["email", "ip", "card", "phone"]
-TERM = "term"
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+TERM, SECRET = "term", "secret"
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", SECRET: "[SECRET]"}
 SUPPORT = 3
 GENERALISE_AT, REMOVE_AT = 0.7, 0.95
-BITS = 22
+MOST_BITS, LEVELS = 24, 8
 BLOCK_ROWS = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -57,6 +70,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")     # a later star
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_SECRET = re.compile(
+    r"(?i:\b(?:api|access|secret|private|auth|client)?[_ -]?(?:key|token|secret|password|passwd|pwd)\b)[\"']?[ \t]*[:=][ \t]*[\"']?"
+    r"(?P<v>(?=[^\s\"'<>,;0-9]{0,200}[0-9])[^\s\"'<>,;]{8,})"
+    r"|(?P<k>-----BEGIN [A-Z ]*PRIVATE KEY-----|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b)")
 _AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _MARK = np.isin(np.arange(256), np.frombuffer(b"0123456789@", np.uint8))
 
@@ -106,6 +123,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def secret_spans(text: str) -> list[tuple[str, int, int]]:
+    return [(SECRET, *m.span("v" if m["v"] else "k")) for m in _SECRET.finditer(text)]
+
+
 def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.translate(_AZ)}" if kind in ("email", "ip") else f"{kind}:{_digits(value)}"
 
@@ -157,26 +178,43 @@ def hash64(values: list[str]) -> np.ndarray:
     return w.hashes().view(np.int64)
 
 
-def bitmap(rows: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of ``2**BITS`` bits over the low bits of a long column, gathered as one row per
-    64 bits (at most ``2**BITS / 64`` rows, whatever the input)."""
-    low = F.col(column).bitwiseAND(F.lit((1 << BITS) - 1))
-    words = (rows.select(F.shiftright(low, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, int({column} & 63))").alias("b"))
+def slot_bytes(rows: DataFrame, column: str, byte: str, n: int) -> np.ndarray:
+    """A byte per slot, the bits of ``byte`` of all rows whose ``column`` falls into it, with about
+    eight slots for each of ``n`` rows; gathered as one long per eight slots (at most
+    ``2**MOST_BITS / 8``, whatever the input)."""
+    bits = min(MOST_BITS, max(10, (8 * n).bit_length()))
+    low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    words = (rows.select(F.shiftright(low, 3).cast("int").alias("w"),
+                         F.expr(f"shiftleft(cast({byte} as bigint), int({column} & 7) * 8)").alias("b"))
              .groupBy("w").agg(F.bit_or("b").alias("b")).collect())
-    out = np.zeros(1 << BITS - 6, np.int64)
+    out = np.zeros(1 << bits - 3, np.int64)
     for r in words:
         out[r["w"]] = r["b"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
+
+
+def at_slots(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return table[hashes.astype(np.int64) & (len(table) - 1)]
 
 
-def _entities(docs: DataFrame, support: int) -> DataFrame:
-    """``entity, h, n_e``: documents per protected entity, base value or class."""
+def holders(texts: DataFrame) -> DataFrame:
+    """``t, x``: the texts that hold a base span, with their hash; written once."""
+    def make():
+        def run(batch):
+            found = [t for _, t in marked(batch.column(0)) if base_spans(t)]
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(list(map(text_hash, found)), pa.int64())],
+                                              names=["t", "x"])
+        return run
+    return stored(in_batches(texts, make, "t string, x long"), "holders")
+
+
+def _entities(held: DataFrame, support: int) -> DataFrame:
+    """``entity, eh, n_e``: documents per protected entity, base value or class."""
     def make():
         def run(batch):
             out, own, wide, text = [], [], [], []
-            for _, t in marked(batch.column(0)):
+            for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 names = sorted({entity(k, t[s:e]) for k, s, e in base_spans(t)})
-                x = text_hash(t) if names else 0
                 rows = [(y, None, None) for y in sorted({y for n in names for y in classes(n)})]
                 rows += [(n, *classes(n)) for n in names]
                 for columns, values in zip((out, own, wide), zip(*rows)):
@@ -184,11 +222,11 @@ def _entities(docs: DataFrame, support: int) -> DataFrame:
                 text += [x] * len(rows)
             return pa.RecordBatch.from_arrays(
                 [pa.array(out, pa.string()), pa.array(own, pa.string()), pa.array(wide, pa.string()),
-                 pa.array(hash64(out)), pa.array(text, pa.int64())], names=["entity", "inner", "kind", "h", "x"])
+                 pa.array(hash64(out)), pa.array(text, pa.int64())], names=["entity", "inner", "kind", "eh", "x"])
         return run
-    every = stored(in_batches(docs, make, "entity string, inner string, kind string, h long, x long")
-                   .groupBy("entity", "inner", "kind", "h", "x").agg(F.count(F.lit(1)).alias("n"))
-                   .groupBy("entity", "inner", "kind", "h").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")),
+    every = stored(in_batches(held, make, "entity string, inner string, kind string, eh long, x long")
+                   .groupBy("entity", "inner", "kind", "eh", "x").agg(F.count(F.lit(1)).alias("n"))
+                   .groupBy("entity", "inner", "kind", "eh").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")),
                    "values")
     often = every.filter(F.col("texts") >= support)
     rare = every.filter(F.col("inner").isNotNull() & (F.col("texts") < support))
@@ -197,53 +235,96 @@ def _entities(docs: DataFrame, support: int) -> DataFrame:
     falls = (wanted.join(able, F.col("inner") == F.col("able"), "left")
              .select(F.coalesce("able", "kind").alias("entity")).distinct())
     return often.filter(F.col("inner").isNotNull()).unionByName(
-        often.filter(F.col("inner").isNull()).join(falls, "entity", "left_semi")).select("entity", "h", "n_e")
-
-
-def _pairs(docs: DataFrame, protected) -> DataFrame:
-    """``entity, term, x``: protected entities (by the bitmap) with each term of their
-    documents, and the text's hash."""
+        often.filter(F.col("inner").isNull()).join(falls, "entity", "left_semi")).select("entity", "eh", "n_e")
+
+
+def _keys_and_words(t: str, entities: np.ndarray):
+    """The protected keys of a text with their bytes, and its distinct words outside base spans,
+    as hashes."""
+    spans = base_spans(t)
+    keys = hash64(own_keys(t, spans))
+    masks = at_slots(entities, keys)
+    words = sorted({w for w, _, _ in outside(t, spans)}) if masks.any() else []
+    return keys[masks > 0], masks[masks > 0], words
+
+
+def _summed(counts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Counts per hash, merged in a task while they are at most a million."""
+    hashes, sums, size = [], [], 0
+    for h, n in itertools.chain(counts, [(None, None)]):
+        if h is not None:
+            hashes.append(h.view(np.int64))
+            sums.append(n)
+            size += len(h)
+        if size > 1_000_000 or h is None and size:
+            u, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate(sums), len(u)).astype(np.int64)
+            hashes, sums, size = [u], [n], len(u)
+            if h is None or size > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], names=["h", "n"])
+                hashes, sums, size = [], [], 0
+
+
+def _candidates(held: DataFrame, entities, support: int) -> DataFrame:
+    """``h``: words in at least ``support`` of the written texts that hold a protected key."""
+    def run(batches):
+        def counts():
+            for batch in batches:
+                for t in batch.column(0).to_pylist():
+                    h = hash64(_keys_and_words(t, entities.value)[2])
+                    yield h, np.ones(len(h), np.int64)
+        return _summed(counts())
+    return (held.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+            .filter(F.col("n") >= support).select("h"))
+
+
+def _term_counts(texts: DataFrame, candidates) -> DataFrame:
+    """``h, n_t``: documents per word hash, for hashes that share a slot with a candidate."""
+    def run(batches):
+        def counts():
+            table = candidates.value
+            for batch in batches:
+                data, offsets = K.text_bytes(batch.column(0))
+                for i, j in K.chunks(offsets):
+                    w = K.Words(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], K.ALNUM, lower=True)
+                    h = w.hashes()
+                    at = np.flatnonzero(at_slots(table, h))
+                    u, inverse = np.unique(h[at], return_inverse=True)
+                    pairs = np.unique(inverse * (j - i) + w.row[at])            # a word counts once per text
+                    yield u, np.bincount(pairs // (j - i), minlength=len(u))
+        return _summed(counts())
+    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n_t"))
+
+
+def _pairs(held: DataFrame, entities, words) -> DataFrame:
+    """``eh, h, x``: hashes of protected entities, of the words of their documents, and of the
+    text, for pairs within the bounds."""
     def make():
-        bits = protected.value
-
         def run(batch):
-            es, ts, xs = [], [], []
-            for _, t in marked(batch.column(0)):
-                spans = base_spans(t)
-                found = own_keys(t, spans)
-                found = [x for x, h in zip(found, hash64(found)) if bits[h & (1 << BITS) - 1]] if found else []
-                if not found:
-                    continue
-                words = sorted({w for w, _, _ in outside(t, spans)})
-                for x in found:
-                    es += [x] * len(words)
-                    ts += words
-                xs += [text_hash(t)] * (len(found) * len(words))
-            return pa.RecordBatch.from_arrays([pa.array(es, pa.string()), pa.array(ts, pa.string()),
-                                               pa.array(xs, pa.int64())], names=["entity", "term", "x"])
+            out = [[np.zeros(0, np.int64)] for _ in range(3)]
+            for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys, masks, own = _keys_and_words(t, entities.value)
+                h = hash64(own)
+                levels = at_slots(words.value, h)
+                for key, mask in zip(keys, masks):
+                    fit = h[(levels & mask) > 0]
+                    for column, values in zip(out, (np.full(len(fit), key), fit, np.full(len(fit), x))):
+                        column.append(values)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["eh", "h", "x"])
         return run
-    return in_batches(docs, make, "entity string, term string, x long")
+    return in_batches(held, make, "eh long, h long, x long")
 
 
-def _term_counts(docs: DataFrame, candidates) -> DataFrame:
-    """``h, n_t``: documents per word hash, for hashes in the bitmap; summed per task."""
-    def run(batches):
-        bits, total = candidates.value, {}
-        for batch in batches:
-            data, offsets = K.text_bytes(batch.column(0))
-            for i, j in K.chunks(offsets):
-                w = K.Words(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], K.ALNUM, lower=True)
-                h = w.hashes()
-                at = np.flatnonzero(bits[h & np.uint64((1 << BITS) - 1)])
-                pairs = np.unique(np.column_stack([h[at], w.row[at].astype(np.uint64)]), axis=0)
-                for x, n in zip(*np.unique(pairs[:, 0], return_counts=True)):
-                    total[int(x.view(np.int64))] = total.get(int(x.view(np.int64)), 0) + int(n)
-            if len(total) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["h", "n"])
-                total = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())],
-                                         names=["h", "n"])
-    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n_t"))
+def _names(held: DataFrame, wanted) -> DataFrame:
+    """``h, term``: the words whose hash is wanted, as strings."""
+    def make():
+        def run(batch):
+            words = sorted({w for t in batch.column(0).to_pylist() for w, _, _ in outside(t, base_spans(t))})
+            h = hash64(words)
+            at = np.flatnonzero(at_slots(wanted.value, h))
+            return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array([words[i] for i in at], pa.string())], names=["h", "term"])
+        return run
+    return in_batches(held, make, "h long, term string").distinct()
 
 
 def disclosures(docs: DataFrame, text_col: str = "text", support: int = SUPPORT,
@@ -252,26 +333,36 @@ def disclosures(docs: DataFrame, text_col: str = "text", support: int = SUPPORT,
     disclosed information reaches ``threshold``, over the whole corpus."""
     spark = docs.sparkSession
     prepare(spark)
+    send = spark.sparkContext.broadcast
     texts = docs.select(F.col(text_col).alias("t"))
-    n_docs = texts.count()
-    known = stored(_entities(texts, support), "entities")
-    pairs = (_pairs(texts, spark.sparkContext.broadcast(bitmap(known, "h")))
-             .groupBy("entity", "term", "x").agg(F.count(F.lit(1)).alias("n"))
-             .groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts"))
-             .filter(F.col("texts") >= support).join(known.select("entity", "n_e"), "entity"))
-
-    @F.pandas_udf("long")
-    def word_hash(terms):
-        import pandas as pd
-        return pd.Series(hash64(terms.tolist()))
-
-    pairs = stored(pairs.withColumn("h", word_hash("term")), "pairs")
-    counts = _term_counts(texts, spark.sparkContext.broadcast(bitmap(pairs.select("h").distinct(), "h")))
-    n = F.lit(float(max(n_docs, 1)))
+    n_docs = max(1, texts.count())
+    n = F.lit(float(n_docs))
+    held = holders(texts)
+    # a word with more documents than this discloses too little about the entity, whatever their overlap
+    most = F.when(F.col("n_e") < n, F.pow("n_e", F.lit(threshold)) * F.pow(n, F.lit(1 - threshold)) * (1 + 1e-9)).otherwise(0)
+    known = stored(_entities(held, support).withColumn("most", most), "entities")
+    size, bound = known.agg(F.count(F.lit(1)), F.max("most")).first()
+    bound = max(float(bound or 0), support)
+    steps = [support * (bound / support) ** (k / (LEVELS - 1)) for k in range(LEVELS)]
+    steps[-1] = bound
+    admitted = sum((F.when(F.col("most") > (steps[k - 1] if k else 0), F.lit(1 << k)).otherwise(0) for k in range(LEVELS)),
+                   F.lit(0))
+    entities = send(slot_bytes(known.withColumn("admitted", admitted), "eh", "admitted", size))
+    able = stored(_candidates(held, entities, support), "candidates")
+    n_able = able.count()
+    counts = _term_counts(texts, send(slot_bytes(able.withColumn("one", F.lit(1)), "h", "one", n_able)))
+    terms = stored(counts.filter((F.col("n_t") >= support) & (F.col("n_t") <= bound)).join(able, "h", "left_semi"), "terms")
+    level = F.expr("CASE " + " ".join(f"WHEN n_t <= {s!r}D THEN {1 << k}" for k, s in enumerate(steps)) + " END")
+    words = send(slot_bytes(terms.withColumn("level", level), "h", "level", n_able))
+    pairs = (_pairs(held, entities, words).groupBy("eh", "h", "x").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("eh", "h").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts"))
+             .filter(F.col("texts") >= support))
     share = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
-    return (pairs.join(counts, "h").withColumn("disclosed", F.when(F.col("n_e") < n, share))
-            .filter(F.col("disclosed") >= threshold)
-            .select("entity", "term", "n_e", "n_t", "n_te", "texts", "disclosed"))
+    found = stored(pairs.join(known, "eh").join(terms, "h").withColumn("disclosed", F.when(F.col("n_e") < n, share))
+                   .filter(F.col("disclosed") >= threshold), "disclosed")
+    hashes = found.select("h", F.lit(1).alias("one")).distinct()
+    names = _names(held, send(slot_bytes(hashes, "h", "one", hashes.count())))
+    return found.join(names, "h").select("entity", "term", "n_e", "n_t", "n_te", "texts", "disclosed")
 
 
 def span_text(spans: list[tuple[str, int, int]]) -> str:
@@ -292,74 +383,107 @@ def sanitised(text: str, spans: list[tuple[str, int, int]], removed: set[tuple[i
 def find(docs: DataFrame, found: DataFrame, text_col: str = "text", remove_at: float = REMOVE_AT,
          block_rows: int = BLOCK_ROWS, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``keep`` columns (default: all) with ``n_email``, ``n_ip``, ``n_card``, ``n_phone``,
-    ``base`` and ``spans`` (``kind:start:end`` comma-joined) and ``sanitised`` (the text)."""
+    ``n_secret``, ``base`` and ``spans`` (``kind:start:end`` comma-joined) and ``sanitised`` (the
+    text). A ``keep`` column named like one of these raises unless ``prefix`` sets it apart."""
     prepare(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    added = [*[(f"n_{k}", T.LongType()) for k in KINDS], ("base", T.StringType()), ("spans", T.StringType()),
+    counted = [*KINDS, SECRET]
+    added = [*[(f"n_{k}", T.LongType()) for k in counted], ("base", T.StringType()), ("spans", T.StringType()),
              ("sanitised", T.StringType())]
-    types = [f.dataType for f in rows.schema.fields]
-    carried = T.ArrayType(T.StringType())       # "start:end:r" or "start:end:g" of terms found so far
-    schema = T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate([*types, carried])])
-    out = rows.toDF(*[f"c{i}" for i in range(len(types))]).withColumn(
-        f"c{len(types)}", F.array().cast("array<string>"))
-    for block in _blocks(found.select("entity", "term", (F.col("disclosed") >= remove_at).alias("r")), block_rows):
-        out = in_batches(out, _term_pass(len(types), block), schema)
-    last = T.StructType([*schema.fields[:len(keep)], *(T.StructField(n, t) for n, t in added)])
+    if clash := {prefix + n for n, _ in added} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} exist; set prefix")
+    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    names = [f"c{i}" for i in range(len(keep) + 1)]
+    rows, width = rows.toDF(*names), len(names)
+    table = stored(found.select("entity", "term", (F.col("disclosed") >= remove_at).alias("r")), "disclosures")
+    n = table.count()
+    if n <= block_rows:
+        terms = docs.sparkSession.sparkContext.broadcast(_by_entity(table))
+    else:
+        rows, terms = _with_terms(rows, table, -(-n // block_rows)), None
+    last = T.StructType([*rows.schema.fields[:len(keep)], *(T.StructField(n, t) for n, t in added)])
 
     def make():
         def run(batch):
             n = batch.num_rows
-            counts, base, spans = {k: [0] * n for k in KINDS}, [""] * n, [""] * n
-            text = batch.column(len(keep))
+            counts, base, spans = {k: [0] * n for k in counted}, [""] * n, [""] * n
+            text = batch.column(width - 1)
             clean = text.to_pylist()
-            more = batch.column(len(keep) + 1).to_pylist()
+            more = None if terms else batch.column(width).to_pylist()
             for i, t in marked(text):
-                own = base_spans(t)
-                if not own:
+                own, secrets = base_spans(t), secret_spans(t)
+                if not own and not secrets:
                     continue
-                for k, _, _ in own:
+                for k, _, _ in own + secrets:
                     counts[k][i] += 1
-                terms = {(int(s), int(e), r) for s, e, r in (x.split(":") for x in more[i] or [])}
-                removed = {(s, e) for s, e, r in terms if r == "r"}
-                every = own + [(TERM, s, e) for s, e in sorted({(s, e) for s, e, _ in terms})]
+                at = disclosed(t, own, terms.value) if terms else {(m["s"], m["e"], m["r"]) for m in more[i] or []}
+                removed = {(s, e) for s, e, r in at if r}
+                every = own + secrets + [(TERM, s, e) for s, e in sorted({(s, e) for s, e, _ in at})]
                 base[i], spans[i], clean[i] = span_text(own), span_text(every), sanitised(t, every, removed)
             return pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(keep)], *(pa.array(counts[k], pa.int64()) for k in KINDS),
+                [*batch.columns[:len(keep)], *(pa.array(counts[k], pa.int64()) for k in counted),
                  pa.array(base, pa.string()), pa.array(spans, pa.string()), pa.array(clean, pa.string())],
                 names=[f.name for f in last.fields])
         return run
-    return in_batches(out, make, last).toDF(*keep, *[prefix + n for n, _ in added])
+    return in_batches(rows, make, last).toDF(*keep, *[prefix + n for n, _ in added])
 
 
-def _blocks(found: DataFrame, block_rows: int):
-    rows = stored(found, "disclosures")
-    n = rows.count()
-    k = -(-n // block_rows)
-    for b in range(k):
-        yield [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("entity", "term"), F.lit(k)) == b).collect()]
+def _by_entity(table: DataFrame) -> dict[str, dict[str, bool]]:
+    """A table of at most ``block_rows`` rows as ``entity -> term -> removed``."""
+    out: dict[str, dict[str, bool]] = {}
+    for e, t, r in table.collect():
+        out.setdefault(e, {})[t] = r
+    return out
 
 
-def _term_pass(width: int, block: list[tuple]):
-    def make():
-        by_entity: dict[str, dict[str, bool]] = {}
-        for e, t, r in block:
-            by_entity.setdefault(e, {})[t] = r
+def disclosed(text: str, spans: list[tuple[str, int, int]], by_entity: dict) -> set[tuple[int, int, bool]]:
+    """``(start, end, removed)`` of the terms that the text's own keys disclose."""
+    own: dict[str, bool] = {}
+    for x in own_keys(text, spans) if spans else []:
+        for term, r in by_entity.get(x, {}).items():
+            own[term] = own.get(term, False) or r
+    return {(s, e, own[w]) for w, s, e in outside(text, spans) if w in own} if own else set()
 
-        def run(batch):
-            got = batch.column(width).to_pylist()
-            for i, t in marked(batch.column(width - 1)):
-                spans = base_spans(t)
-                own: dict[str, bool] = {}
-                for x in own_keys(t, spans):
-                    for term, r in by_entity.get(x, {}).items():
-                        own[term] = own.get(term, False) or r
-                if own:
-                    got[i] = [*got[i], *(f"{s}:{e}:{'r' if own[w] else 'g'}" for w, s, e in outside(t, spans) if w in own)]
-            return pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(got, pa.list_(pa.string()))],
-                                              names=[f"c{i}" for i in range(width + 1)])
-        return run
-    return make
+
+def _with_terms(rows: DataFrame, table: DataFrame, k: int) -> DataFrame:
+    """``rows`` (text last) with the spans of all ``k`` blocks. A plan holds one block, whose
+    narrow result is written; the results meet the rows by the text's hash. Rows without base
+    spans get numbers of their own instead, so that they share no key."""
+    spark = rows.sparkSession
+    text = rows.columns[-1]
+    held = holders(rows.select(F.col(text).alias("t"))).dropDuplicates(["x"])
+    held, parts = stored(held, "holders"), []
+    for b in range(k):
+        block = spark.sparkContext.broadcast(_by_entity(table.filter(F.pmod(F.xxhash64("entity", "term"), F.lit(k)) == b)))
+
+        def make(block=block):
+            def run(batch):
+                out = [(x, *m) for t, x in zip(*(c.to_pylist() for c in batch.columns))
+                       for m in sorted(disclosed(t, base_spans(t), block.value))]
+                columns = list(zip(*out)) if out else [[]] * 4
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["x", "s", "e", "r"])
+            return run
+        parts.append(stored(in_batches(held, make, "x long, s int, e int, r boolean"), "block"))
+        block.unpersist()
+    merged = parts[0]
+    for p in parts[1:]:
+        merged = merged.unionByName(p)
+    merged = (merged.groupBy("x", "s", "e").agg(F.max("r").alias("r"))
+              .groupBy("x").agg(F.collect_list(F.struct("s", "e", "r")).alias("more")))      # one text's words
+
+    def hashed(batches):
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            x = np.arange(number, number + batch.num_rows, dtype=np.int64)
+            number += batch.num_rows
+            for i, t in marked(batch.column(len(batch.schema.names) - 1)):
+                if base_spans(t):
+                    x[i] = text_hash(t)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x)], names=[*batch.schema.names, "x"])
+    keyed = rows.mapInArrow(hashed, T.StructType([*rows.schema.fields, T.StructField("x", T.LongType())]))
+    return keyed.join(merged, "x", "left").select(*rows.columns, "more")
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise_at: float = GENERALISE_AT,
