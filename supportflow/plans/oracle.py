@@ -454,6 +454,13 @@ FROM conversations WHERE role = 'user' GROUP BY ALL"""
 # ---------------------------------------------------------------- streaming
 from supportflow.streaming.scoring import text_rules as _text_rules  # noqa: E402
 
+ORACLES["stream_judge_retry"] = ORACLES["judge_retry"]
+ORACLES["message_quarantine"] = sql_with(MS) + """
+SELECT outcome, count(*)::BIGINT AS n, sum(chars)::BIGINT AS characters FROM (
+  SELECT CASE tweet_id % 13 WHEN 1 THEN 'missing_id' WHEN 2 THEN 'unreadable_id+missing_text' WHEN 3 THEN 'missing_text'
+              WHEN 4 THEN 'corrupt_record' ELSE CASE WHEN trim(text, ' ') = '' THEN 'missing_text' ELSE 'valid' END END AS outcome,
+         CASE WHEN tweet_id % 13 IN (2, 3) THEN 1 ELSE length(text) END AS chars
+  FROM messages) GROUP BY outcome"""
 _tp = _text_rules(P.stand_in_v2())
 _trid = G.decide_sql(_tp, G.norm("text"), "confidence", "NULL", "NULL")
 ORACLES["stream_scoring"] = sql_with(MS) + f"""

@@ -723,6 +723,9 @@ def q_agent_error_split(spark, sf):
 
 
 # ---------------------------------------------------------------- streaming
+from supportflow.operators import quarantine as QU  # noqa: E402
+from supportflow.session import scratch_path  # noqa: E402
+from supportflow.streaming import attempts as AT  # noqa: E402
 from supportflow.streaming import scoring as ST  # noqa: E402
 
 
@@ -736,6 +739,39 @@ def q_stream_scoring(spark, sf):
     return spark.read.parquet(out)
 
 
+@register("stream_judge_retry")
+def q_stream_judge_retry(spark, sf):
+    """S1 with N8: the judge's attempts arrive in two runs of a stream, the second of which goes on
+    from the state of the first and sees some attempts again; equals the batch result."""
+    base = scratch_path(spark, "attempts")
+    raw = W.judge_raw_one(spark, sf).select(
+        F.col("id").cast("long").alias("id"), F.col("attempt").cast("int").alias("attempt"), "raw",
+        F.timestamp_seconds(F.lit(86_400) + F.col("attempt")).alias("at"))
+    late = F.pmod(F.xxhash64("id", "attempt"), F.lit(3))
+    for k, arrived in enumerate((late != 0, late != 1)):             # a third arrives in both runs
+        raw.filter(arrived).write.parquet(f"{base}/in/run={k}")
+        stream = (spark.readStream.schema(raw.schema).option("recursiveFileLookup", True).parquet(f"{base}/in")
+                  .select("id", "attempt", "raw", "at"))
+        AT.run(stream, f"{base}/out", f"{base}/state")
+    return AT.latest(spark, f"{base}/out")
+
+
+@register("message_quarantine")
+def q_message_quarantine(spark, sf):
+    """The customer messages as text records, damaged in four ways by rules over their
+    ids, read with types again: rows per outcome, each row counted once by all its reasons."""
+    m = W.messages(spark, sf).select("tweet_id", "text")
+    k = F.pmod("tweet_id", F.lit(13))
+    ident = F.when(k == 1, "").when(k == 2, F.concat(F.lit("id"), F.col("tweet_id").cast("string"))).otherwise(F.col("tweet_id").cast("string"))
+    text = F.concat(F.lit('"'), F.when(k.isin(2, 3), F.lit(" ")).otherwise(F.replace(F.col("text"), F.lit('"'), F.lit('""'))), F.lit('"'))
+    record = F.concat_ws(",", ident, text, F.when(k == 4, F.lit("more")))
+    good, bad = QU.split(QU.typed(m.select(record.alias("record")), QU.MESSAGE), QU.message_checks())
+    outcome = F.when(F.size("reasons") > 0, F.array_join("reasons", "+")).otherwise("valid")
+    every = good.select(F.array().cast("array<string>").alias("reasons"), "text").unionByName(bad.select("reasons", "text"))
+    return every.groupBy(outcome.alias("outcome")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("characters"))
+
+
 @register("stream_agent")
 def q_stream_agent(spark, sf):
     """Per micro-batch, the whole agent against static corpus tables; equals the batch job."""
