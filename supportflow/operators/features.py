@@ -235,7 +235,7 @@ def sparse_rows(docs: DataFrame, vocab: pa.Table, sublinear: bool, text_col: str
     rows = docs.select(*keep, tokens(F.col(text_col)).alias("__t"))
     number, idf = vocab["number"].to_numpy(), vocab["idf"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast((*hashed_vocabulary(vocab["term"], np.arange(len(number)))[:2], number, idf))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
 
     def run(batches):
         known, place, number, idf = sent.value
@@ -251,7 +251,7 @@ def sparse_rows(docs: DataFrame, vocab: pa.Table, sublinear: bool, text_col: str
                     [*(c.slice(i, n_rows) for c in b.columns[:len(keep)]),
                      pa.ListArray.from_arrays(ends, pa.array(number[at].astype(np.int32))),
                      pa.ListArray.from_arrays(ends, pa.array(val))], names=[*keep, "idx", "val"])
-    return rows.mapInArrow(run, f"{schema}, idx array<int>, val array<double>")
+    return rows.mapInArrow(run, f"{schema}idx array<int>, val array<double>")
 
 
 # ------------------------------------------------------------------------------------------

@@ -398,6 +398,15 @@ SELECT (SELECT count(*) FROM toks)::BIGINT AS n_train,
        true AS gradient_vanishes, true AS beats_majority_loss, true AS predicts_labels"""
 ORACLES["stored_model"] = "WITH " + _SPLIT + """
 SELECT doc_id, quality, true AS agrees FROM split JOIN documents USING (doc_id) WHERE split = 'test'"""
+ORACLES["svd_check"] = f"""
+WITH toks AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {G.lit(_TOK)}) AS t FROM documents),
+grams AS (SELECT doc_id, unnest(t) AS term FROM toks
+          UNION ALL
+          SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM toks
+          WHERE len(t) >= 2),
+vocab AS (SELECT term FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 2)
+SELECT (SELECT count(*) FROM documents)::BIGINT AS n_docs, least((SELECT count(*) FROM vocab), 20000)::BIGINT AS n_terms,
+       true AS orthonormal, true AS in_order, true AS values_are_the_vectors, true AS no_more_than_all"""
 ORACLES["majority_baseline"] = "WITH " + _SPLIT + """
 SELECT doc_id, quality, (SELECT quality FROM split WHERE split = 'train' GROUP BY quality
                          ORDER BY count(*) DESC, quality LIMIT 1) AS prediction

@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from supportflow.operators import cases as C
 from supportflow.operators import lexicon as L
 from supportflow.operators import policy as P
 from supportflow.operators import retrieval as R
+from supportflow.operators import svd as SV
 from supportflow.plans import world as W
 from supportflow.sources.adapters import BRAND, tweet_id
 from supportflow.session import delete_on_exit, ensure_checkpoint_dir
@@ -353,6 +355,33 @@ def q_topk_retrieval(spark, sf):
     return W.hits(spark, sf).select("qid", "rank", "case_id", F.round("score", 6).alias("score"))
 
 
+@register("topk_learned")
+def q_topk_learned(spark, sf):
+    """J1 + J4 with learned vectors: the factors of the cases' texts, every message against the
+    whole corpus."""
+    cs, msgs = W._materialize(W.cases(spark, sf).select("case_id", "customer_text")), W.messages(spark, sf)
+    f = SV.fit(cs, k=16, text_col="customer_text")
+    c = R.l2_normalise(f.vectors(cs, "customer_text", ["case_id"]), "vec")
+    q = R.l2_normalise(f.vectors(msgs.select(F.col("tweet_id").alias("qid"), "text"), "text", ["qid"], "qvec"), "qvec")
+    return R.top_k(q, c, k=W.K).select("qid", "rank", "case_id", F.round("score", 4).alias("score"))
+
+
+@register("svd_check")
+def q_svd_check(spark, sf):
+    """What must hold of any right factors of the documents' rows: sizes, orthonormal, singular
+    values in order, and no more captured than there is (one per document with a known term)."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    f = SV.fit(docs, k=16)
+    vec = f.vectors(docs, "text", ["doc_id"])
+    length = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    off = abs(f.right.T @ f.right - np.eye(16)).max()
+    total = float((f.values ** 2).sum())
+    return vec.agg(F.count(F.lit(1)).alias("n_docs"), F.lit(f.vocab.num_rows).cast("long").alias("n_terms"),
+                   F.lit(bool(off < 1e-8)).alias("orthonormal"), F.lit(bool((np.diff(f.values) <= 1e-9).all())).alias("in_order"),
+                   (F.abs(F.sum(length) - F.lit(total)) < 1e-6 * total).alias("values_are_the_vectors"),
+                   (F.max(length) <= 1 + 1e-9).alias("no_more_than_all"))
+
+
 @register("evidence_strings")
 def q_evidence_strings(spark, sf):
     cs = W.cases(spark, sf)
