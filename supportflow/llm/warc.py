@@ -4,7 +4,9 @@
 separator is the blank line that WARC asks for between records, so the files are plain WARC on
 any file system and a lost task is simply written again. Of pages with equal payloads the one
 with the smallest id (null last, then url) is a ``response``; the others are ``revisit`` records
-without a payload. Only payloads that occur more than once are shuffled.
+without a payload, which refer to its record, page and address. Every record has an id of its
+own, also those of repeated rows and null page ids. A ``warcinfo`` record, in a file of its own,
+describes the archive. Only payloads that occur more than once are shuffled.
 
 **Reading.** All records carry the same ``WARC-Warcinfo-ID``, a value that no payload contains
 (checked before writing), so Spark's splittable text reader can cut the files at their record
@@ -12,8 +14,9 @@ heads; lengths and digests of what was read are compared with the headers.
 
 **Index.** Every task sorts the captures it read into a run. Range partitioning by URL key and
 time gives each merging task the same key range of all runs; rows of one run stay in order, and
-a loser tree merges the runs. The key ends with the page id and the record's place, so even a URL
-with a third of all captures is spread over ranges.
+a loser tree merges the runs. There are so many ranges that one holds about ``MERGE_ROWS``
+captures, which bounds what a merging task keeps; the key ends with the page id and the record's
+place, so even a URL with a third of all captures is spread over ranges.
 
 Defined results: a null html is an empty payload; a null url has an empty key and no
 ``WARC-Target-URI``; a null page id is written as an absent ``X-Page-Id``; of fully equal rows one
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +37,7 @@ from supportflow.llm.common import hex_base32, prepare, shared_path, small_side,
 
 CRLF = "\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-MIN_BYTES = 0
+MIN_BYTES, MERGE_ROWS = 0, 100_000
 START = 1_700_000_000          # capture time of page 0; one second per id, as pages have no time
 
 
@@ -83,21 +87,39 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
     side = small_side(repeated)
     marked = rows.join(side, same, "left").filter(F.col("r_sha1").isNull() | is_first)
-    single = marked.filter(F.col("r_sha1").isNull())
+    # payloads under min_bytes are responses even if they are equal: the row's number tells them apart
+    own = F.when(F.col("bytes") < min_bytes, F.monotonically_increasing_id().cast("string")).otherwise("response")
+    single = marked.filter(F.col("r_sha1").isNull()).withColumn("own", own)
     chosen = (marked.filter(F.col("r_sha1").isNotNull()).groupBy("sha1", "bytes", "page_id", "url")
-              .agg(F.any_value("html").alias("html")))
-    responses = single.select("page_id", "url", "html", "bytes", "sha1").unionByName(
-        chosen.select("page_id", "url", "html", "bytes", "sha1"))
+              .agg(F.any_value("html").alias("html")).withColumn("own", F.lit("response")))
+    names = ["page_id", "url", "html", "bytes", "sha1", "own"]
+    responses = single.select(*names).unionByName(chosen.select(*names))
     revisits = (groups.join(side, same)
                 .withColumn("n", F.col("n") - F.when(is_first & (F.col("part") == F.col("first.part")), 1).otherwise(0))
                 .filter(F.col("n") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-                .select("page_id", "url", "bytes", "sha1", F.col("first.page_id").alias("refers_to")))
+                .select("page_id", "url", "bytes", "sha1", F.col("first.page_id").alias("refers_to"),
+                        F.col("first.url").alias("refers_url"),
+                        F.concat_ws(":", F.md5(F.coalesce("url", F.lit("")).cast("binary")), F.col("url").isNull().cast("int"),
+                                    "part", "copy").alias("own")))
     records = (responses.select(_record(warcinfo, "response", F.col("html")).alias("value"))
                .unionByName(revisits.select(_record(warcinfo, "revisit", None).alias("value"))))
-    records.write.option("lineSep", CRLF + CRLF).text(path)
+    about = spark.range(1).select(F.lit(_about(warcinfo)).alias("value"))
+    about.unionByName(records).write.option("lineSep", CRLF + CRLF).text(path)
     return warcinfo
 
 
+def _about(warcinfo: str) -> str:
+    """The warcinfo record that all others name."""
+    block = f"software: supportflow{CRLF}format: WARC File Format 1.1{CRLF}"
+    when = datetime.fromtimestamp(START, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return (f"WARC/1.1{CRLF}WARC-Type: warcinfo{CRLF}WARC-Record-ID: <{warcinfo}>{CRLF}WARC-Date: {when}{CRLF}"
+            f"Content-Type: application/warc-fields{CRLF}Content-Length: {len(block)}{CRLF}{CRLF}{block}")
+
+
+def _record_id(digest: Column, page: Column, own: Column) -> Column:
+    return F.concat(F.lit("<urn:sha1:"), digest, F.lit(":"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), own, F.lit(">"))
+
+
 def _record(warcinfo: str, kind: str, html: Column | None) -> Column:
     page = F.col("page_id").cast("string")
     digest = hex_base32(F.col("sha1"))
@@ -105,20 +127,22 @@ def _record(warcinfo: str, kind: str, html: Column | None) -> Column:
     second = F.pmod(F.coalesce(F.expr("try_cast(page_id as bigint)"), F.lit(0)), F.lit(1_000_000_000))
     when = F.date_format(F.timestamp_seconds(F.lit(START) + second), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     parts = [F.lit(f"WARC/1.1{CRLF}WARC-Warcinfo-ID: <{warcinfo}>{CRLF}WARC-Type: {kind}{CRLF}"),
-             _header("WARC-Record-ID", F.concat(F.lit("<urn:sha1:"), digest, F.lit(":"), F.coalesce(page, F.lit("")), F.lit(">"))),
+             _header("WARC-Record-ID", _record_id(digest, page, F.col("own"))),
              _header("WARC-Date", when), _header("WARC-Target-URI", F.col("url")), _header("X-Page-Id", page),
              _header("X-Payload-Length", F.col("bytes")), _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest))]
     if kind == "revisit":
         parts += [F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}"),
-                  _header("X-Refers-To-Page-Id", F.col("refers_to"))]
+                  _header("WARC-Refers-To", _record_id(digest, F.col("refers_to"), F.lit("response"))),
+                  _header("WARC-Refers-To-Target-URI", F.col("refers_url")), _header("X-Refers-To-Page-Id", F.col("refers_to"))]
     else:
         parts.append(F.lit(f"Content-Type: application/http;msgtype=response{CRLF}"))
     return F.concat(*parts, _header("Content-Length", F.octet_length(block)), F.lit(CRLF), block)
 
 
 def read_archives(spark: SparkSession, path: str, warcinfo: str, id_type: str = "long") -> DataFrame:
-    """One row per record: ``page_id, url, captured, record_type, payload_bytes, payload_digest,
-    refers_to, payload, intact`` (lengths and digest agree with the headers)."""
+    """One row per capture: ``page_id, url, captured, record_type, payload_bytes, payload_digest,
+    refers_to, payload, record_id, refers_record, intact`` (lengths and digest agree with the
+    headers)."""
     raw = spark.read.option("lineSep", f"WARC/1.1{CRLF}WARC-Warcinfo-ID: <{warcinfo}>{CRLF}").text(path)
     cut = F.locate(CRLF + CRLF, F.col("value"))
     parts = (raw.filter(F.length("value") > 0)
@@ -130,18 +154,19 @@ def read_archives(spark: SparkSession, path: str, warcinfo: str, id_type: str =
         return F.when(got != "", got)
     response = F.col("kind") == "response"
     fields = parts.select(
-        field("WARC-Type").alias("kind"), field("X-Page-Id").cast(id_type).alias("page_id"),
+        field("WARC-Type").alias("kind"), F.regexp_replace(field("WARC-Record-ID"), "[<>]", "").alias("record_id"),
+        F.regexp_replace(field("WARC-Refers-To"), "[<>]", "").alias("refers_record"), field("X-Page-Id").cast(id_type).alias("page_id"),
         field("WARC-Target-URI").alias("url"), field("WARC-Date").alias("captured"),
         field("X-Payload-Length").cast("long").alias("declared"), field("Content-Length").cast("long").alias("length"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
-        field("X-Refers-To-Page-Id").cast(id_type).alias("refers_to"), "block")
+        field("X-Refers-To-Page-Id").cast(id_type).alias("refers_to"), "block").filter(F.col("kind") != "warcinfo")
     payload = F.when(response, F.col("block").substr(F.lit(len(HTTP) + 1), F.length("block")))
     read = fields.withColumn("payload", payload)
     measured = (F.octet_length("payload") == F.col("declared")) & (hex_base32(F.sha1(F.col("payload").cast("binary"))) == F.col("digest"))
     return read.select("page_id", "url", "captured", F.col("kind").alias("record_type"),
                        F.when(response, F.octet_length("payload")).otherwise(F.col("declared")).cast("long").alias("payload_bytes"),
                        F.when(response, hex_base32(F.sha1(F.col("payload").cast("binary")))).otherwise(F.col("digest")).alias("payload_digest"),
-                       "refers_to", "payload",
+                       "refers_to", "payload", "record_id", "refers_record",
                        ((F.octet_length("block") == F.col("length")) & (~response | measured)).alias("intact"))
 
 
@@ -224,11 +249,12 @@ def capture_index(records: DataFrame) -> DataFrame:
     narrow = records.drop("payload").select(
         url_key(F.col("url")).alias("url_key"), F.coalesce("captured", F.lit("")).alias("captured"),
         F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("id_text"), "page_id", "url", "record_type",
-        "payload_bytes", "payload_digest", "refers_to", "intact",
+        "payload_bytes", "payload_digest", "refers_to", "record_id", "refers_record", "intact",
         F.spark_partition_id().cast("long").alias("run"), F.monotonically_increasing_id().alias("place"))
     key = ["url_key", "captured", "id_text", "place"]
     runs = stored(narrow.sortWithinPartitions(*key), "runs")
-    return merge_runs(runs, key, "run").drop("id_text", "run", "place")
+    ranges = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // MERGE_ROWS))
+    return merge_runs(runs, key, "run", ranges).drop("id_text", "run", "place")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, id_col: str = "page_id", **columns) -> DataFrame:
