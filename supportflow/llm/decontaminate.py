@@ -5,21 +5,25 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-c
 ``size`` consecutive words of an item; an item with fewer words, but not none, is one window.
 A document word inside any occurrence of a window is hit.
 
-Plan: the windows are computed and de-duplicated by Spark, then sent to the tasks in blocks of
-at most ``block_rows`` (window, item) rows, one narrow pass over the documents per block: what
-is broadcast never exceeds the block, whatever the benchmark's size, and no document is
-shuffled. Inside a pass, windows are compared by a 64-bit hash first and then by their bytes.
+Plan: the windows are computed and de-duplicated by Spark and broadcast to one narrow pass over
+the documents. More than ``block_rows`` (window, item) rows are dealt into blocks: each has a
+plan of its own that holds no other block and writes the hits of the distinct texts that have
+some; these meet the documents by the text's digest, and a last pass joins each text's hits.
+The driver and a task hold one block at a time, whatever the benchmark's size. Windows are
+compared by a 64-bit hash first and then by their bytes.
 
 Defined results: a null or empty text has no words and no hits; a null item text has no
 windows; a null item id counts as the empty string; repeated items count once, as items are
-told apart by id; repeated documents are scanned row by row; an empty benchmark leaves every
-document clean; extra columns of documents pass through, and the four added columns take the
-caller's ``prefix``.
+told apart by id; repeated documents have equal results; an empty benchmark leaves every document
+clean; extra columns of documents pass through, and the four added columns take the caller's
+``prefix``: without it, a column of one of their names raises.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from supportflow.llm import textkit as K
-from supportflow.llm.common import in_batches, prepare, stored
+from supportflow.llm.common import in_batches, prepare, small_side, stored
 
 SIZE = 10
 BLOCK_ROWS = 500_000
@@ -51,10 +55,8 @@ def item_windows(items: DataFrame, size: int = SIZE, id_col: str = "item_id",
 
 
 def blocks(windows: DataFrame, block_rows: int = BLOCK_ROWS):
-    """The windows as lists of at most about ``block_rows`` rows (equal windows together unless
-    one alone has more items than a block; blocks may then share a window)."""
-    n = windows.count()
-    k = max(1, -(-n // block_rows))
+    """The windows as lists of at most about ``block_rows`` rows, one at a time."""
+    k = max(1, -(-windows.count() // block_rows))
     if k == 1:
         yield windows.collect()
         return
@@ -98,10 +100,11 @@ class Lookup:
                     yield int(i), length, self.items[text]
 
 
-def _scan(text_index: int, rows: list[tuple], first: bool):
-    """A pass over record batches: adds, or extends, words, hit words, spans and items."""
+def _scan(text_index: int, block, first: bool):
+    """A pass over record batches: adds words, hit words, spans and items by the broadcast
+    ``block``, or (not ``first``) works them out from the spans and items in the last columns."""
     def make():
-        lookup = Lookup(rows)
+        lookup = Lookup(block.value if first else [])
 
         def run(batch):
             old = batch.columns if first else batch.columns[:-4]
@@ -154,10 +157,34 @@ def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, text_col: str = "t
              ("item_ids", T.ArrayType(T.StringType()))]
     types = [*(f.dataType for f in fields), *(t for _, t in added)]
     schema = T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate(types)])
-    out = docs.toDF(*[f"c{i}" for i in range(len(fields))])
-    for k, rows in enumerate(blocks(stored(item_windows(items, size, item_id, item_text), "windows"), block_rows)):
-        out = in_batches(out, _scan(at, [tuple(r) for r in rows], k == 0), schema)
-    return out.toDF(*docs.columns, *[prefix + n for n, _ in added])
+    if clash := {prefix + n for n, _ in added} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} exist; set prefix")
+    send = docs.sparkSession.sparkContext.broadcast
+    windows = stored(item_windows(items, size, item_id, item_text), "windows")
+    rows = docs.toDF(*[f"c{i}" for i in range(len(fields))])
+    names = [*docs.columns, *[prefix + n for n, _ in added]]
+    parts = blocks(windows, block_rows)
+    block, another = next(parts), next(parts, None)
+    if another is None:
+        return in_batches(rows, _scan(at, send([tuple(r) for r in block]), True), schema).toDF(*names)
+
+    narrow = docs.select(F.col(text_col).alias("c0"))
+    one = T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate([T.StringType(), *types[len(fields):]])])
+    hits = []
+    for block in itertools.chain([block, another], parts):
+        sent = send([tuple(r) for r in block])
+        found = in_batches(narrow, _scan(0, sent, True), one).filter(F.col("c2") > 0)
+        hits.append(stored(found.groupBy(F.md5("c0").alias("x")).agg(F.first("c3").alias("spans"), F.first("c4").alias("items")),
+                           "hits"))                         # equal texts have equal hits
+        sent.unpersist()
+    every = reduce(DataFrame.unionByName, hits).groupBy("x").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    every = small_side(stored(every, "hits"))
+    none = F.array().cast("array<long>"), F.array().cast("array<string>")
+    joined = (rows.withColumn("x_", F.md5(f"c{at}")).join(every, F.col("x_") == F.col("x"), "left")
+              .select(*rows.columns, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
+                      F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items")))
+    return in_batches(joined, _scan(at, None, False), schema).toDF(*names)
 
 
 def without_spans(text: F.Column, spans: F.Column) -> F.Column:
