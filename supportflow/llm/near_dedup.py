@@ -5,12 +5,12 @@ lower-cased; fewer words: the whole sequence as one). Documents are linked if
 ``100 * |A & B| >= 85 * |A | B|``; a component's smallest id names it.
 
 1. One numpy pass writes a signature per document: the set's size and 128-bit digest, the keys of
-   ``BANDS`` bands of ``ROWS`` MinHash samples, and the odd sketch of all samples, a bitmap of
+   ``bands(percent)`` bands of ``ROWS`` MinHash samples, and the odd sketch of all samples, a bitmap of
    ``SKETCH_BITS`` bits in which each sample flips one. Equal sets become one class.
 2. Classes that share a band key are candidates. Inside a bucket the XOR population counts of
    the sketches estimate similarities; pairs that may reach the threshold (six standard
    deviations of slack) put their classes into one cluster. A linked pair shares no bucket with
-   probability ``(1 - 0.85**4)**32 < 1e-10``.
+   probability ``(1 - 0.85**4)**32 < 1e-10`` (``bands`` follows the threshold).
 3. Only members of clusters have their full sets computed, from whole texts, and every pair of a
    cluster that is not connected yet is compared exactly.
 4. Components of the confirmed links, by contraction, in the cluster.
@@ -28,6 +28,8 @@ of which one is kept; an empty table gives no rows; extra columns pass through `
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,13 +40,23 @@ from supportflow.llm import textkit as K
 from supportflow.llm.common import in_batches, prepare, small_side, stored
 
 SHINGLE, PERCENT = 3, 85
-BANDS, ROWS, SKETCH_BITS = 32, 4, 512
-SAMPLES = BANDS * ROWS
+ROWS, SKETCH_BITS, MISS = 4, 512, 1e-10
 BLOCK, BLOCK_BYTES, HUBS = 2048, 32 << 20, 64
 
-_RNG = np.random.default_rng(20_240_229)
-_FACTORS = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
-_FLIPS = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
+
+def bands(percent: int = PERCENT) -> int:
+    """So many that a pair at the threshold shares none with a probability of at most ``MISS``
+    (32 at 85 %, 44 at 80 %)."""
+    return max(1, int(np.ceil(np.log(MISS) / np.log1p(-(min(percent, 99) / 100) ** ROWS))))
+
+
+@lru_cache(maxsize=4)
+def _sampling(samples: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20_240_229)
+    return (rng.integers(0, 1 << 32, samples, dtype=np.uint32) | np.uint32(1),
+            rng.integers(0, 1 << 32, samples, dtype=np.uint32))
+
+
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
 
@@ -73,23 +85,26 @@ def digests(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.column_stack([np.add.reduceat(K.mix(flat), starts), np.add.reduceat(K.mix(flat ^ _SECOND), starts)])
 
 
-def signatures(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(flat: np.ndarray, starts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """``(band keys, odd sketches)`` of non-empty sets that lie one after the other."""
     x = (flat >> np.uint64(32)).astype(np.uint32)
-    samples = np.empty((len(starts), SAMPLES), np.uint32)
+    n_bands = bands(percent)
+    n = n_bands * ROWS
+    factors, flips = _sampling(n)
+    samples = np.empty((len(starts), n), np.uint32)
     buffer = np.empty_like(x)
-    for k in range(SAMPLES):
-        np.bitwise_xor(x, _FLIPS[k], out=buffer)
-        np.multiply(buffer, _FACTORS[k], out=buffer)
+    for k in range(n):
+        np.bitwise_xor(x, flips[k], out=buffer)
+        np.multiply(buffer, factors[k], out=buffer)
         samples[:, k] = np.minimum.reduceat(buffer, starts)
-    tagged = K.mix(samples.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)))
-    keys = tagged.reshape(len(starts), BANDS, ROWS).copy()
+    tagged = K.mix(samples.astype(np.uint64) + (np.arange(n, dtype=np.uint64) << np.uint64(32)))
+    keys = tagged.reshape(len(starts), n_bands, ROWS).copy()
     for r in range(ROWS):
         keys[:, :, r] *= np.uint64(2 * r + 3)
-    keys = K.mix(keys.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * K.GRAM)
+    keys = K.mix(keys.sum(axis=2, dtype=np.uint64) + np.arange(n_bands, dtype=np.uint64) * K.GRAM)
     bits = (tagged % np.uint64(SKETCH_BITS)).astype(np.int64)
     parity = np.zeros((len(starts), SKETCH_BITS), np.uint8)
-    np.bitwise_xor.at(parity, (np.repeat(np.arange(len(starts)), SAMPLES), bits.ravel()), 1)
+    np.bitwise_xor.at(parity, (np.repeat(np.arange(len(starts)), n), bits.ravel()), 1)
     return keys.view(np.int64), np.packbits(parity, axis=1)
 
 
@@ -97,7 +112,8 @@ def most_flips(percent: int = PERCENT) -> int:
     """The largest XOR count of two sketches that a pair at the threshold can plausibly have:
     the mean number of differing samples plus six standard deviations, two bits each."""
     p = 1 - percent / 100
-    return int(2 * (SAMPLES * p + 6 * np.sqrt(SAMPLES * p * (1 - p)) + 1))
+    n = bands(percent) * ROWS
+    return int(2 * (n * p + 6 * np.sqrt(n * p * (1 - p)) + 1))
 
 
 class Sketches:
@@ -272,7 +288,8 @@ def components(links: DataFrame) -> DataFrame:
 
 # -- the operator -----------------------------------------------------------------------------
 
-def signature_table(docs: DataFrame, id_col: str, text_col: str, row_col: str | None, shingle: int) -> DataFrame:
+def signature_table(docs: DataFrame, id_col: str, text_col: str, row_col: str | None, shingle: int,
+                    percent: int = PERCENT) -> DataFrame:
     """Written: ``id, row, n, d1, d2, keys, sketch`` per document."""
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("t"))
@@ -295,7 +312,7 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, row_col: str |
                 flat = np.concatenate(sets)
                 starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
                 d[full] = digests(flat, starts)
-                k, s = signatures(flat, starts)
+                k, s = signatures(flat, starts, percent)
                 for at, x, y in zip(full, k, s):
                     keys[at], sketch[at] = x, y.tobytes()
             return pa.RecordBatch.from_arrays(
@@ -336,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: ``id, row, n_shingles, component_id, kept`` (one row of each component is kept,
     the one with the smallest id). ``row`` is ``row_col``, or a number given on reading."""
     prepare(docs.sparkSession)
-    signed = signature_table(docs, id_col, text_col, row_col, shingle)
+    signed = signature_table(docs, id_col, text_col, row_col, shingle, percent)
     best = F.struct(F.col("id").isNull().alias("nulls"), "id", "row")
     classes = stored(signed.filter(F.col("n") > 0).groupBy("d1", "d2").agg(
         F.min(best).alias("best"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
