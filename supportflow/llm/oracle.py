@@ -5,6 +5,7 @@ from __future__ import annotations
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_mixing": OP1, "op2_warc": OP2, "op3_sharding": OP3, "op5_decontamination": OP5, "op6_licenses": op6(),
+            "op8_near_duplicates": OP8, "pii_base": PII_BASE, "quality_base": QUALITY_BASE,
             "op12_fingerprints": OP12, "op13_hard_negatives": OP13}
 
 
@@ -98,6 +99,63 @@ FROM s
 """
 
 
+OP8 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))
+             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.r = p.a JOIN n y ON y.r = p.b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT r AS x, r AS y FROM d UNION SELECT c.x, e.b FROM c JOIN e ON c.y = e.a),
+m AS (SELECT c.x, min(d.doc_id) AS least FROM c JOIN d ON d.r = c.y GROUP BY c.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.least AS component_id, d.doc_id = m.least AS kept
+FROM d LEFT JOIN n ON n.r = d.r JOIN m ON m.x = d.r
+"""
+
+#: Spans of one kind: ``(match, start)`` lists; the pieces between the matches give the offsets.
+_FOUND = r"""(SELECT list_transform(range(1, len(m) + 1), lambda i: {{'t': m[i], 's': CAST(list_sum(list_transform(range(1, i + 1),
+   lambda j: length(g[j]))) + coalesce(list_sum(list_transform(range(1, i), lambda j: length(m[j]))), 0) AS BIGINT)}})
+   FROM (SELECT regexp_extract_all(t, '{0}') AS m, regexp_split_to_array(t, '{0}') AS g))"""
+_DIGITS = "regexp_replace(x.t, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: CASE WHEN k % 2 = 1
+   THEN CAST(substr(reverse({_DIGITS}), k, 1) AS INTEGER) ELSE 2 * CAST(substr(reverse({_DIGITS}), k, 1) AS INTEGER)
+   - 9 * CAST(CAST(substr(reverse({_DIGITS}), k, 1) AS INTEGER) > 4 AS INTEGER) END)) % 10 = 0"""
+PII_BASE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT r, doc_id,
+  {_FOUND.format('[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')} AS email,
+  list_filter({_FOUND.format('[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)')}, lambda x:
+    len(list_filter(string_split(x.t, '.'), lambda y: length(ltrim(y, '0')) > 3 OR CAST('0' || right(ltrim(y, '0'), 3) AS INTEGER) > 255)) = 0) AS ip,
+  list_filter({_FOUND.format('[0-9]([\\x20-]?[0-9])+')}, lambda x: length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}) AS card,
+  list_filter({_FOUND.format('\\+[0-9][\\x20().0-9-]+[0-9]')}, lambda x: length({_DIGITS}) BETWEEN 9 AND 15) AS phone
+  FROM d)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len(ip) AS BIGINT) AS n_ip, CAST(len(card) AS BIGINT) AS n_card,
+       CAST(len(phone) AS BIGINT) AS n_phone,
+       sha256(array_to_string(list_concat(
+         list_transform(email, lambda x: 'email:' || x.s || ':' || (x.s + length(x.t))),
+         list_transform(ip, lambda x: 'ip:' || x.s || ':' || (x.s + length(x.t))),
+         list_transform(card, lambda x: 'card:' || x.s || ':' || (x.s + length(x.t))),
+         list_transform(phone, lambda x: 'phone:' || x.s || ':' || (x.s + length(x.t)))), ',')) AS base_sha256
+FROM f
+"""
+QUALITY_BASE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+x AS (SELECT r, i, array_to_string(list_slice(w, i, i + 4), ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+y AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS k FROM x) WHERE k > 1),
+z AS (SELECT r, count(DISTINCT p) AS again FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM y) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS BIGINT) AS word_chars,
+       CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+       CAST(coalesce(l.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(z.again, 0) AS BIGINT) AS n_repeat_words,
+       len(w) < 10 OR 100 * coalesce(z.again, 0) > 20 * len(w) AS base_failed
+FROM d LEFT JOIN l USING (r) LEFT JOIN z USING (r)
+"""
+
 OP13 = """
 WITH r AS (
   SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,

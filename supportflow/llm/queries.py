@@ -28,7 +28,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.sanitise(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_secret",
                         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
                         F.sha2(F.col("sanitised").cast("binary"), 256).alias("sanitised_sha256"))
 
@@ -65,6 +65,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op4_pii``, which SQL can state."""
+    return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base rule of ``op10_quality``, which SQL can state."""
+    return op10_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                              "base_failed")
+
+
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), *alignment.vocabularies()).withColumnRenamed("id", "doc_id")
 
@@ -89,5 +100,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
     own = (op1_mixing, op2_warc, op3_sharding, op4_pii, op5_decontamination, op6_licenses, op7_language,
            op8_near_duplicates, op9_line_dedup, op10_quality, op11_alignment, op12_fingerprints,
-           op13_hard_negatives)
+           op13_hard_negatives, pii_base, quality_base)
     return {**{f.__name__: f for f in own}, "pipeline": corpus_pipeline.run}
