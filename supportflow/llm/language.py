@@ -13,7 +13,7 @@ to choose the temperature that scales the logits; the score is the calibrated pr
 predicted language. A probability says nothing about a language that was not learned: ``known``
 is the share of a text's letter trigrams that occur in at least two fitted documents, and a text
 is ``familiar`` if that share is not below ``bound``, by more than chance allows for its length.
-``bound`` is set on the held-back rows (a little under their lowest hundredth), whatever the
+``bound`` is set on the held-back rows (``MARGIN`` of their lowest hundredth), whatever the
 number of languages. The model holds ``BUCKETS`` weights per language and ``2**GRAM_BITS`` bits.
 
 Defined results: a text that is null or has no letter (``str.isalpha``) is ``und`` with score
@@ -43,6 +43,9 @@ PIECE = 1 << 20
 GRAM_BITS = 24
 #: Trigrams of a held-back row that counts for the bound.
 LONG = 50
+#: The bound as a part of the held-back rows' lowest hundredth: texts of few, repeated words lie
+#: up to a tenth below it.
+MARGIN = 0.85
 
 _LOWER = np.arange(1 << 16, dtype=np.uint32)
 for _c in range(1 << 16):
@@ -284,7 +287,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_d
     model = Model(classes, idf, w.astype(np.float32), b, best_temperature(logits, y[held]),
                   np.packbits(seen >= 2, bitorder="little"))
     shares = [(seen[g] >= 2).mean() for g in (np.frombuffer(sample[i][4], np.uint32) for i in held) if len(g) >= LONG]
-    model.bound = float(np.quantile(shares, 0.01)) * 0.95 if len(shares) >= 20 else 0.0
+    model.bound = float(np.quantile(shares, 0.01)) * MARGIN if len(shares) >= 20 else 0.0
     return model
 
 
