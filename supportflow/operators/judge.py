@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from supportflow.functions.parsing import JUDGE_METRICS, last_score, parse_judge_six
 
-# Field limits of the six-metric judge prompt.
+# Field limits of the six-metric judge prompt, and the texts of both prompts below.
 LIMITS = {"customer": 500, "intent": 100, "reply": 600, "evidence": 700}
 
 
