@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from supportflow.llm.common import prepare, small_side, stored
 
-DOCS, CHARS, PIECES, STEP = 1 << 13, 1 << 24, 400_000, 1 << 20
+DOCS, CHARS, PIECES, STEP = 1 << 13, 1 << 23, 400_000, 1 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
