@@ -175,3 +175,47 @@ def test_score_from_evidence_string(spark):
     df = spark.createDataFrame([("Similarity 0.8312 | Customer: x | Brand: y",), ("Similarity -0.1 | z",), ("none",), (None,)],
                                "e string")
     assert [r.s for r in df.select(R.similarity_from_evidence("e").alias("s")).collect()] == [0.8312, -0.1, 0.0, 0.0]
+
+
+def test_cells_match_brute_force_with_copies_ties_and_zeros(spark, monkeypatch):
+    """Blocks of a few rows, tiles smaller than a block, more copies than ``k``, null query ids."""
+    for name, n in (("PACK", 16), ("TILE", 8), ("HELD", 50), ("PAIRS", 7)):
+        monkeypatch.setattr(R, name, n)
+    rng = np.random.default_rng(13)
+    C = rng.integers(0, 4, size=(300, 12)) * 1.0
+    C[40:90] = C[40]                      # one large group of copies
+    C[100:104] = 0.0
+    Q = np.concatenate([C[35:45], rng.integers(0, 3, size=(40, 12)), np.zeros((2, 12)), -C[:2], 1e-30 * C[3:4]])
+    qids, cids = list(range(1000, 1000 + len(Q))), [int(i) for i in rng.permutation(300)]
+    calls, real = [], R._cells_top_k
+    monkeypatch.setattr(R, "_cells_top_k", lambda *a: calls.append(a) or real(*a))
+    hits = R.top_k(_frame(spark, qids, Q, "qid", "qvec"), _frame(spark, cids, C, "case_id", "vec"), k=4, block_rows=50).collect()
+    got = {}
+    for h in sorted(hits, key=lambda h: (h.qid, h.rank)):
+        got.setdefault(h.qid, []).append((h.case_id, h.score))
+    assert len(calls) == 1
+    for q, v in zip(qids, Q):             # scores of whole numbers are exact: every tie goes to the smaller id
+        s = C @ v
+        assert got[q] == [(cids[j], s[j]) for j in sorted(range(300), key=lambda j: (-s[j], cids[j]))[:4]] or q == qids[-1], q
+
+
+def test_one_cell_holds_a_part_of_a_corpus(monkeypatch):
+    """The pairs that a task holds stay bounded where all scores are equal."""
+    import pickle
+
+    import pyarrow as pa
+    n, dim, held = 3000, 8, []
+    monkeypatch.setattr(R, "HELD", 2000)
+    monkeypatch.setattr(R, "TILE", 100)
+    V = np.zeros((n, dim))
+    V[:, 0], V[:, 1] = 1, np.arange(n)      # no two equal, all alike for the query
+    row, at = np.nonzero(V)
+    body = lambda ids, X, r, c: pickle.dumps((ids, dim, np.bincount(r, minlength=len(X)).astype(np.int32), c.astype(np.int32), X[r, c]), 5)
+    q = np.zeros((20, dim))
+    q[:, 0] = 1
+    real = R._scores
+    monkeypatch.setattr(R, "_scores", lambda Q, c, r, col: held.append(len(r)) or real(Q, c, r, col))
+    run = R._cell_topk(3, False)
+    out = run(None, pa.table({"body": pa.array([body(np.arange(20), q, *np.nonzero(q))], pa.binary())}),
+              pa.table({"body": pa.array([body(np.arange(n)[::-1].copy(), V, row, at)], pa.binary())}))
+    assert out["case_id"].to_pylist() == [0, 1, 2] * 20 and max(held) <= 2000 + 20 * 100
