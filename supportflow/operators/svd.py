@@ -31,6 +31,19 @@ from supportflow.operators import features as FT
 from supportflow.session import written
 
 OVERSAMPLE, FAN, MAX_TERMS = 10, 32, 200_000
+TERMS = 1 << 17                                    # of the rows that a task multiplies at a time
+
+
+def _slices(idx, val):
+    """The rows of a batch in slices of about ``TERMS`` terms (a longer row is a slice of its own), so
+    that a task's products are bounded by that, not by the batch."""
+    ends = np.cumsum(idx.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    s = 0
+    while s < len(idx):
+        done = ends[s - 1] if s else 0
+        n = max(1, int(np.searchsorted(ends, done + TERMS, "right")) - s)
+        yield idx.slice(s, n), val.slice(s, n)
+        s += n
 
 
 def _products(idx, val, Q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,11 +70,12 @@ def _gram_pass(rows: DataFrame, Q: np.ndarray) -> np.ndarray:
         q = sent.value
         z = np.zeros_like(q)
         for b in batches:
-            row, term, value, y = _products(b.column(0), b.column(1), q)
-            order = np.argsort(term, kind="stable")
-            seen, starts = np.unique(term[order], return_index=True)
-            if len(seen):
-                z[seen] += np.add.reduceat(value[order, None] * y[row[order]], starts, axis=0)
+            for idx, val in _slices(b.column(0), b.column(1)):
+                row, term, value, y = _products(idx, val, q)
+                order = np.argsort(term, kind="stable")
+                seen, starts = np.unique(term[order], return_index=True)
+                if len(seen):
+                    z[seen] += np.add.reduceat(value[order, None] * y[row[order]], starts, axis=0)
         at = np.flatnonzero(z.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(z[at, j]) for j in range(l))], names=["term", *names])
     sums = (rows.select("idx", "val").mapInArrow(run, "term int, " + ", ".join(f"{c} double" for c in names))
@@ -90,7 +104,8 @@ def _tree_triangle(rows: DataFrame, Q: np.ndarray) -> np.ndarray:
         from pyspark import TaskContext
         r = np.zeros((0, l))
         for b in batches:
-            r = _triangle(np.vstack([r, _products(b.column(0), b.column(1), sent.value)[3]]))
+            for idx, val in _slices(b.column(0), b.column(1)):
+                r = _triangle(np.vstack([r, _products(idx, val, sent.value)[3]]))
         if len(r):
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([r.ravel()])], names=["part", "r"])
 
@@ -121,7 +136,8 @@ class Factors:
 
         def run(batches):
             for b in batches:
-                y = _products(b.column(len(keep)), b.column(len(keep) + 1), sent.value)[3]
+                y = np.vstack([np.zeros((0, sent.value.shape[1])), *(
+                    _products(idx, val, sent.value)[3] for idx, val in _slices(b.column(len(keep)), b.column(len(keep) + 1)))])
                 ends = pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.ListArray.from_arrays(ends, pa.array(y.ravel()))],
                                                  names=[*keep, out_col])

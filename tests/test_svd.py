@@ -57,3 +57,19 @@ def test_vectors_keep_similar_texts_together(spark):
     q = R.l2_normalise(f.vectors(docs.filter("id < 120").withColumnRenamed("id", "qid"), "text", ["qid"], "qvec"), "qvec")
     hits = R.top_k(q, q.selectExpr("qid as case_id", "qvec as vec"), k=3, exclude_self=True).collect()
     assert np.mean([h["qid"] % 5 == h["case_id"] % 5 for h in hits]) > 0.95
+
+
+def test_a_batch_is_multiplied_in_slices(monkeypatch):
+    """A batch of any size is cut by its terms: no row is lost, and none is cut."""
+    import pyarrow as pa
+    monkeypatch.setattr(SV, "TERMS", 50)
+    rng = np.random.default_rng(2)
+    sizes = [0, 0, 7, 200, 0, *rng.integers(0, 30, 100), 0]
+    idx = pa.array([rng.integers(0, 40, n).astype(np.int32) for n in sizes], pa.list_(pa.int32()))
+    val = pa.array([rng.normal(size=n) for n in sizes], pa.list_(pa.float64()))
+    Q = rng.normal(size=(40, 6))
+    parts = list(SV._slices(idx, val))
+    assert sum(len(i) for i, _ in parts) == len(idx)
+    assert all(len(i.flatten()) <= 50 or len(i) == 1 for i, _ in parts)
+    whole = SV._products(idx, val, Q)[3]
+    assert np.array_equal(np.vstack([SV._products(i, v, Q)[3] for i, v in parts]), whole)
