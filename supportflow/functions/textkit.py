@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 GRAM = np.uint64(0xD1B54A32D192ED03)
 
