@@ -105,10 +105,8 @@ def scores_by_join(rows: DataFrame, path: str, id_col: str, text_col: str = "tex
     tf = (F.lit(1.0) + F.log("n")) if snapshots.properties(spark, path, version)["sublinear"] else F.col("n").cast("double")
     terms = table.filter("number >= 0")
     v = counts.join(terms, "term").select("id", (tf * F.col("idf")).alias("v"), "weights")
-    norm = v.groupBy(F.col("id").alias("n_id")).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    parts = (v.join(norm, F.col("id") == F.col("n_id"))
-             .select("id", F.posexplode("weights").alias("class", "w"), (F.col("v") / F.col("norm")).alias("x"))
-             .groupBy("id", "class").agg(F.sum(F.col("x") * F.col("w")).alias("part")))
+    parts = (v.select("id", "v", F.posexplode("weights").alias("class", "w")).groupBy("id", "class")     # v is needed once
+             .agg((F.sum(F.col("v") * F.col("w")) / F.sqrt(F.sum(F.col("v") * F.col("v")))).alias("part")))
     base = (table.filter("number < 0").select(F.posexplode("weights").alias("c", "intercept")).withColumn("one", F.lit(1)))
     every = split.select(F.col("id").alias("r_id"), F.lit(1).alias("one")).join(F.broadcast(base), "one")     # a row per class
     return (every.join(parts, (F.col("r_id") == F.col("id")) & (F.col("c") == F.col("class")), "left")
@@ -171,6 +169,13 @@ def _with_features(rows: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("features", sparse("idx", "val"))
 
 
+LEAST_ROWS = 5000                                  # of a task, below which its overhead counts
+
+
+def _training_tasks(n: int, rows_per_task: int, cores: int) -> int:
+    return max(1, math.ceil(n / rows_per_task), min(cores, n // LEAST_ROWS))
+
+
 def fit_logreg(train: DataFrame, label: str, text_col: str = "text", min_df: int = 2, max_features: int = 100000,
                max_iter: int = 2000, C: float = 1.0, balanced: bool = True, sublinear: bool = True,
                rows_per_task: int = 100000) -> LogReg:
@@ -179,14 +184,16 @@ def fit_logreg(train: DataFrame, label: str, text_col: str = "text", min_df: int
     regression with L2 penalty ``1/(C*n)`` and balanced weights.
 
     Every optimizer iteration is one distributed gradient pass over the training rows, so
-    they are spread over ``ceil(n / rows_per_task)`` partitions: enough tasks for a large
-    training set, and no per-iteration cost of many near-empty tasks for a small one."""
+    they are spread over ``ceil(n / rows_per_task)`` partitions, or all cores if that is more and
+    leaves each ``LEAST_ROWS``: no core waits through the iterations of a large training set, and
+    a small one has no per-iteration cost of many near-empty tasks."""
     terms = FT.vocabulary(train, min_df, max_features, text_col).orderBy(F.desc("total"), "term").toArrow()
     vocab = pa.table({"term": terms["term"], "number": np.arange(terms.num_rows), "idf": terms["idf"]})   # at most max_features rows
     n = train.count()
     rows = FT.sparse_rows(train, vocab, sublinear, text_col, [label])
+    tasks = _training_tasks(n, rows_per_task, train.sparkSession.sparkContext.defaultParallelism)
+    rows = written(rows.repartition(tasks), "training")                                # first: the weights count its labels
     rows = class_weights(rows, label) if balanced else rows.withColumn("w", F.lit(1.0))
-    rows = written(rows.repartition(max(1, math.ceil(n / rows_per_task))), "training")
     rows = _with_features(rows, vocab.num_rows).withColumn("__y", F.col(label).cast("double"))
     reg = 1.0 / (C * max(n, 1))
     lr = LogisticRegression(featuresCol="features", labelCol="__y", family="multinomial", regParam=reg,
