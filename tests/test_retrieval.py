@@ -219,3 +219,91 @@ def test_one_cell_holds_a_part_of_a_corpus(monkeypatch):
     out = run(None, pa.table({"body": pa.array([body(np.arange(20), q, *np.nonzero(q))], pa.binary())}),
               pa.table({"body": pa.array([body(np.arange(n)[::-1].copy(), V, row, at)], pa.binary())}))
     assert out["case_id"].to_pylist() == [0, 1, 2] * 20 and max(held) <= 2000 + 20 * 100
+
+
+def _one_cell(Q, C, k, exclude_self=False):
+    """``{qid: [(case_id, score)]}`` of one cell, ids counted from 0."""
+    import pickle
+
+    import pyarrow as pa
+
+    def table(X):
+        row, at = np.nonzero(X)
+        packed = np.arange(len(X)), X.shape[1], np.bincount(row, minlength=len(X)).astype(np.int32), at.astype(np.int32), X[row, at]
+        return pa.table({"body": pa.array([pickle.dumps(packed, 5)], pa.binary())})
+    out, got = R._cell_topk(k, exclude_self)(None, table(Q), table(C)).to_pylist(), {}
+    for h in sorted(out, key=lambda h: (h["qid"], h["rank"])):
+        got.setdefault(h["qid"], []).append((h["case_id"], h["score"]))
+    return got
+
+
+def test_a_cell_scores_only_pairs_whose_folded_bound_reaches_the_best(monkeypatch):
+    """Sparse rows: behind the first tile few pairs are scored; the hits are those of every pair."""
+    monkeypatch.setattr(R, "TILE", 200)
+    monkeypatch.setattr(R, "ROWS", 16)
+    monkeypatch.setattr(R, "WAITING", 2)
+    rng = np.random.default_rng(3)
+    p = 1 / (2 + np.arange(64))                    # a few common components, many rare ones
+    C = (rng.random((3001, 64)) < 1.5 * p) * rng.integers(1, 4, size=(3001, 64)).astype(float)
+    C[::5] *= -1                                   # signs do not matter to the bound
+    C[700:760] = C[700]
+    Q = np.concatenate([C[690:740], (rng.random((30, 64)) < 1.5 * p) * 2.0])
+    scored, real = [], R._pair_scores
+    monkeypatch.setattr(R, "_pair_scores", lambda unit, whole, row, col: scored.append(len(row)) or real(unit, whole, row, col))
+    for exclude_self in (False, True):
+        scored.clear()
+        got = _one_cell(Q, C, 4, exclude_self)
+        for i, q in enumerate(Q):                  # scores of whole numbers are exact
+            s = C @ q
+            want = sorted((j for j in range(len(C)) if not (exclude_self and j == i)), key=lambda j: (-s[j], j))[:4]
+            assert got[i] == [(j, s[j]) for j in want], i
+        assert 0 < sum(scored) < 0.1 * len(Q) * len(C)
+
+
+def test_folded_rows_bound_every_score_and_dense_rows_are_not_folded_for_long(monkeypatch):
+    rng = np.random.default_rng(4)
+    C, Q = rng.normal(size=(900, 48)), rng.normal(size=(70, 48))
+    C, Q = (X / np.linalg.norm(X, axis=1)[:, None] for X in (C, Q))
+    folded = R._Folded(C.astype(np.float32))
+    assert folded.C.shape == (900, 24)
+    assert (folded.rows(Q.astype(np.float32)) @ folded.C.T >= Q @ C.T - 1e-5).all()
+    monkeypatch.setattr(R, "TILE", 50)
+    monkeypatch.setattr(R, "ROWS", 10)
+    kept, real = [], R._Folded
+    monkeypatch.setattr(R, "_Folded", lambda X: kept.append(real(X)) or kept[-1])
+    got, S = _one_cell(Q, C, 3), Q @ C.T
+    assert all([j for j, _ in got[i]] == np.argsort(-S[i])[:3].tolist() for i in range(len(Q)))
+    assert len(kept) == 1 and kept[0].many == 3 and kept[0].few <= 3        # three batches tried, 119 tiles in all
+    flags = rng.random((7, 11)) < 0.2
+    assert R._where(flags).tolist() == np.flatnonzero(flags).tolist()
+    assert R._where(flags[:1, :3]).tolist() == np.flatnonzero(flags[:1, :3]).tolist()
+
+
+def test_sizes_make_no_vector_and_single_rows_are_not_compared(spark, tmp_path):
+    """Rows are counted without their vectors; of a block only rows with another's print are compared."""
+    import pickle
+
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import ArrayType, DoubleType
+    made = tmp_path / "made"
+    made.mkdir()
+
+    def vector(i):
+        (made / f"{i}").touch()
+        return None if i == 0 else [float(i), 1.0, 2.0]
+    rows = spark.range(0, 400, 1, 8).select(F.col("id").alias("case_id"), F.udf(vector, ArrayType(DoubleType()))("id").alias("vec"))
+    assert R._sizes(rows.selectExpr("case_id as qid", "vec as qvec"), rows) == (400, 400, 3)
+    assert len(list(made.iterdir())) <= 200        # of the first partitions; all 400 before
+    assert R._sizes(rows.selectExpr("case_id as qid", "vec as qvec").limit(0), rows.limit(0)) == (0, 0, 0)
+
+    X = np.zeros((60, 5))
+    X[:, 0], X[:, 1] = 1, np.arange(60)
+    X[10:20] = X[10]
+    X[30:33] = 0
+    row, at = np.nonzero(X)
+    ids = np.random.default_rng(1).permutation(60)
+    v = R._Vectors([pickle.dumps((ids, 5, np.bincount(row, minlength=60).astype(np.int32), at.astype(np.int32), X[row, at]), 5)])
+    single, alike = v.by_print()
+    assert alike.tolist() == [*range(10, 20), *range(30, 33)] and len(single) == 47
+    kept = set(v.needed(2).tolist())
+    assert kept == set(single) | {10 + int(i) for i in np.argsort(ids[10:20])[:2]} | {30 + int(i) for i in np.argsort(ids[30:33])[:2]}
