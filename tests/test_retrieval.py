@@ -290,10 +290,12 @@ def test_sizes_make_no_vector_and_single_rows_are_not_compared(spark, tmp_path):
 
     def vector(i):
         (made / f"{i}").touch()
-        return None if i == 0 else [float(i), 1.0, 2.0]
+        return None if i == 7 else [float(i), 1.0, 2.0]
     rows = spark.range(0, 400, 1, 8).select(F.col("id").alias("case_id"), F.udf(vector, ArrayType(DoubleType()))("id").alias("vec"))
     assert R._sizes(rows.selectExpr("case_id as qid", "vec as qvec"), rows) == (400, 400, 3)
     assert len(list(made.iterdir())) <= 200        # of the first partitions; all 400 before
+    late = rows.filter("case_id >= 7 and case_id < 20").coalesce(1)        # the first vector is null
+    assert R._sizes(late.selectExpr("case_id as qid", "vec as qvec"), late) == (13, 13, 3)
     assert R._sizes(rows.selectExpr("case_id as qid", "vec as qvec").limit(0), rows.limit(0)) == (0, 0, 0)
 
     X = np.zeros((60, 5))
