@@ -279,6 +279,29 @@ def test_folded_rows_bound_every_score_and_dense_rows_are_not_folded_for_long(mo
     assert R._where(flags[:1, :3]).tolist() == np.flatnonzero(flags[:1, :3]).tolist()
 
 
+def test_a_few_tiles_of_many_do_not_end_the_folded_bound(monkeypatch):
+    """The first tile knows only poor scores, so many pairs of the next reach its bar: that tile meets
+    whole rows, the tiles behind it the folded ones."""
+    monkeypatch.setattr(R, "TILE", 256)
+    monkeypatch.setattr(R, "ROWS", 60)
+    rng = np.random.default_rng(8)
+    Q = (rng.random((60, 128)) < 0.1) * rng.integers(2, 6, size=(60, 128)).astype(float)
+    Q[:, 0], Q[:, 127] = 1, 0
+    C = Q[rng.integers(0, 60, 3000)] + (rng.random((3000, 128)) < 0.01)
+    C[:256, :127], C[:256, 127] = 0, 1 + np.arange(256) / 256
+    kept, real = [], R._Folded
+    monkeypatch.setattr(R, "_Folded", lambda X: kept.append(real(X)) or kept[-1])
+    got = _one_cell(Q, C, 2)
+    for i, q in enumerate(Q):                      # scores of whole numbers are exact
+        s = C @ q
+        assert got[i] == [(j, s[j]) for j in sorted(range(len(C)), key=lambda j: (-s[j], j))[:2]], i
+    assert kept[0].many >= 1 and kept[0].few >= 8   # of 11 tiles; 0 before: the batch went back to whole rows
+    for n in (1, 63, 64, 65, 5000):
+        for share in (0.0, 0.01, 1.0):
+            flags = rng.random(n) < share
+            assert R._where(flags).tolist() == np.flatnonzero(flags).tolist()
+
+
 def test_sizes_make_no_vector_and_single_rows_are_not_compared(spark, tmp_path):
     """Rows are counted without their vectors; of a block only rows with another's print are compared."""
     import pickle
